@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid, quality
 from .packing import pack_documents
 from .simhash_dedup import near_groups
 from .substring_dedup import remove_repeats
@@ -14,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 3"
+    voters = quality.fit(docs, table(spark, sf_dir, "labels"), f"{remainder} <> 1")
+    scored = quality.score(docs, voters, carry=["doc_id"])
+    return scored.select("doc_id", F.coalesce(F.expr(f"{remainder} = 1"), F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
 
@@ -27,5 +35,11 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op5_packing, op8_substring_dedup)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, remainder = table(spark, sf_dir, "documents"), "crc32(cast(doc_id as string)) % 4"
+    found = langid.identify(docs, langid.fit(docs, f"{remainder} <> 2"), carry=["doc_id"])
+    return found.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op5_packing, op8_substring_dedup, op10_langid)}
 ORACLES: dict[str, str] = {}
