@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, quality
+from . import decontaminate, langid, licences, quality
 from .packing import pack_documents
 from .simhash_dedup import near_groups
 from .substring_dedup import remove_repeats
@@ -30,6 +30,17 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return licences.scan(table(spark, sf_dir, "documents"), carry=["doc_id"]).select("doc_id", *(f"found.{n}" for n in names))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each benchmark item found in a document, with its best region; clean documents give none."""
+    found = decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return found.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.item_id", "hit.edits", "hit.start", "hit.end")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -41,5 +52,5 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op5_packing, op8_substring_dedup, op10_langid)}
+QUERIES = {f.__name__: f for f in (op2_quality, op3_simhash, op5_packing, op6_licences, op7_decontaminate, op8_substring_dedup, op10_langid)}
 ORACLES: dict[str, str] = {}
