@@ -24,12 +24,12 @@ from pyspark.sql import types as T
 
 from .bytetext import text_bytes
 
-Q = 8
+Q = 12
 #: Edits allowed, as a share of the item's length.
-EDITS = 0.1
+EDITS = 0.05
 SLICE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
-GATE_BITS = 22
+GATE_BITS = 20
 KEEP = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -39,9 +39,12 @@ def plain(text: str) -> bytes:
 
 
 def grams(line: np.ndarray) -> np.ndarray:
-    """The q-gram at each byte, as the number that its bytes spell."""
+    """A 64-bit number for the q-gram at each byte, from its first and its last 8 bytes."""
     n = len(line) - Q + 1
-    return np.ndarray(max(0, n), "<u8", line.tobytes() + bytes(8), strides=(1,)) if n > 0 else np.zeros(0, np.uint64)
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    eight = np.ndarray(n + Q - 8, "<u8", line.tobytes(), strides=(1,))
+    return (eight[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ (eight[Q - 8 :] * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
 def budget(m: int) -> int:
@@ -86,10 +89,12 @@ class Items:
         self.gate[self.slot(self.keys)] = True
         self.size = np.array([len(line) for _, line in self.lines], np.int64)
         self.edits = np.array([budget(n) for n in self.size], np.int64)
+        self.bound = self.size - Q + 1 - self.edits * Q
+        self.least = self.bound.min(initial=1 << 30)
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - GATE_BITS)
+        return (keys * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - GATE_BITS)
 
     def bands(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, item, band) where the lemma's bound is met."""
@@ -98,20 +103,25 @@ class Items:
         found = grams(data)
         where = np.flatnonzero(self.gate[self.slot(found)])
         k = np.minimum(np.searchsorted(self.keys, found[where]), len(self.keys) - 1)
-        ok = self.keys[k] == found[where]
-        where, k = where[ok], k[ok]
         doc = np.searchsorted(at, where, "right") - 1
-        ok = where + Q <= at[doc + 1]
+        ok = (self.keys[k] == found[where]) & (where + Q <= at[doc + 1])
+        ok[ok] = np.bincount(doc[ok], minlength=len(at))[doc[ok]] >= self.least  # fewer than any item asks for
         where, k, doc = where[ok], k[ok], doc[ok]
+        if not len(where):
+            return
         times = self.count[k]
-        flat = np.repeat(self.first[k] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        item, doc = self.item[flat], np.repeat(doc, times)
-        diagonal = np.repeat(where - at[doc[np.cumsum(times) - times]] if len(where) else where, times) - self.place[flat]
-        band = diagonal // (self.edits[item] + 1)
-        rows = np.concatenate([np.stack([doc, item, band - d]) for d in (0, 1)], axis=1)
-        kinds, count = np.unique(rows, axis=1, return_counts=True) if rows.size else (rows, np.zeros(0, int))
-        enough = count >= self.size[kinds[1]] - Q + 1 - self.edits[kinds[1]] * Q
-        yield from zip(*(x.tolist() for x in kinds[:, enough]), strict=True)
+        source = np.repeat(np.arange(len(k)), times)
+        flat = self.first[k][source] + np.arange(len(source)) - (np.cumsum(times) - times)[source]
+        item = self.item[flat]
+        band = (where - at[doc])[source] - self.place[flat]
+        band //= self.edits[item] + 1
+        low, span = int(band.min()) - 1, int(band.max() - band.min()) + 2
+        cell = (doc[source] * len(self.size) + item) * span + (band - low)
+        cells, count = np.unique(np.concatenate([cell, cell - 1]), return_counts=True)
+        item = cells // span % len(self.size)
+        enough = count >= self.bound[item]
+        for c, i in zip(cells[enough].tolist(), item[enough].tolist(), strict=True):
+            yield c // span // len(self.size), i, c % span + low
 
     def hits(self, line: np.ndarray, of: list[tuple[int, int]]) -> list[dict]:
         """The best region of each item in one text, from the bands that met the bound."""
