@@ -5,6 +5,8 @@ A fingerprint bit is 1 where over half of a text's shingle hashes have it set. F
 
 Plan. Equal fingerprints become one row first. Two fingerprints within ``radius`` bits agree on at least
 one of ``radius + 1`` bit blocks (pigeonhole), so each is dealt once to the bucket of each of its blocks.
+For wide radii (a similarity of 0.8) that bound is of no use; there, blocks are random bits of a longer
+fingerprint, as many as a stated chance to meet in one of them asks for.
 A bucket far above the mean is cut into slices, and each pair of slices meets in a tile of its own. Within
 a bucket the fingerprints are sorted by Gray rank, where neighbours differ in few bits, and groups of
 neighbours get a node with the bits that all share and their mask. A self-join walks pairs of nodes from
@@ -20,64 +22,118 @@ are rows of one fingerprint. Columns other than the two named are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .bytetext import text_bytes
+from .bytetext import splitmix, text_bytes
 from .scratch import Scratch
 
-BITS = 64
 FAN_OUT = 8
 #: Fingerprints of a bucket that are joined in one task at most, or this many times the mean.
 TILE_ROWS, TILE_MEANS = 20_000, 4
-PAIRS_AT_ONCE = 1 << 20
+PAIRS_AT_ONCE = 1 << 18
 EDGES = "a long, b long"
+MIX = 0x9E3779B97F4A7C15
 
 
-def fingerprint(raw: bytes, shingle: int = 4) -> int:
-    """SimHash of the XXH64 (seed 42) of each run of ``shingle`` lower-cased words, repeats included."""
+@dataclass(frozen=True)
+class Plan:
+    """What is compared: words of a shingle, 64-bit words of a fingerprint, the radius, and the bits of each bucket."""
+
+    shingle: int
+    words: int
+    radius: int
+    blocks: tuple[tuple[int, ...], ...]
+
+
+def exact_plan(shingle: int = 4, radius: int = 4) -> Plan:
+    """64 bits in ``radius + 1`` blocks: by pigeonhole, no pair within the radius is missed."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return Plan(shingle, 1, radius, tuple(tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)))
+
+
+def similarity_plan(rows: int, shingle: int = 5, similarity: float = 0.8, missed: float = 0.02) -> Plan:
+    """256 bits and the radius of a Jaccard similarity (of sets of shingles), with a margin of half a deviation.
+
+    Two sets of similarity J have a cosine of about 2J / (1 + J), and differ in each bit with the chance of
+    their angle over pi. A pair at the similarity agrees in none of the buckets with the chance ``missed``.
+    Buckets take more bits as the corpus grows, and so many more buckets that this stays so.
+    """
+    words = 4
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = int(64 * words * differ + 0.5 * math.sqrt(64 * words * differ * (1 - differ)))
+    bits = max(13, math.ceil(math.log2(max(2, rows))) - 5)
+    blocks = math.ceil(math.log(missed) / math.log(1 - (1 - differ) ** bits))
+    rng = np.random.default_rng(7)
+    return Plan(shingle, words, radius, tuple(tuple(sorted(rng.choice(64 * words, bits, replace=False).tolist())) for _ in range(blocks)))
+
+
+def fingerprint(raw: bytes, shingle: int = 4, words: int = 1) -> bytes:
+    """SimHash of the XXH64 (seed 42) of each run of ``shingle`` lower-cased words, repeats included.
+
+    Words of a fingerprint after the first use a mix of the same hashes.
+    """
     line = b" ".join(raw.lower().split())
     if not line:
-        return 0
+        return bytes(8 * words)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     n = max(1, len(gaps) + 2 - shingle)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[shingle - 1 :].tolist(), len(line)] if len(gaps) >= shingle - 1 else [len(line)]
     digest = xxhash.xxh64_digest
-    hashes = b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)])
-    rows = np.frombuffer(hashes, np.uint8).reshape(n, 8)
-    ones = np.zeros(BITS, np.int64)
+    hashes = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)]), ">u8")
+    if words > 1:
+        own = hashes.astype(np.uint64)
+        hashes = np.stack([own, *(splitmix(own + np.uint64(k * MIX % 2**64)) for k in range(1, words))], axis=1).astype(">u8")
+    rows, ones = hashes.view(np.uint8).reshape(n, 8 * words), np.zeros(64 * words, np.int64)
     for i in range(0, n, 248):  # counts of up to 248 fit a byte
         ones += np.unpackbits(rows[i : i + 248], axis=1).sum(axis=0, dtype=np.uint8)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
+    return np.packbits(2 * ones > n).tobytes()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
-    """``doc_id`` and ``fp``, the fingerprint as a signed long, for each row."""
+def fingerprints(docs: DataFrame, plan: Plan, carry: list[str], text: str = "text") -> DataFrame:
+    """The ``carry`` columns and ``fp``, the fingerprint's bytes, for each row."""
+    schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("fp", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, at = text_bytes(batch.column(1))
+            data, at = text_bytes(batch.column(batch.num_columns - 1))
             raw, at = data.tobytes(), at.tolist()
-            marks = np.array([fingerprint(raw[a:b], shingle) for a, b in zip(at, at[1:], strict=False)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
+            marks = pa.array([fingerprint(raw[a:b], plan.shingle, plan.words) for a, b in zip(at, at[1:], strict=False)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], marks], [*carry, "fp"])
+
+    return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+def as_codes(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Fingerprints as rows of 64-bit words."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, ">u8").astype(np.uint64).reshape(len(column), -1)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
-    """The place of each code in the reflected Gray sequence."""
+    """The place of each code in the reflected Gray sequence, as words from the highest on."""
     rank = codes.copy()
     for k in (1, 2, 4, 8, 16, 32):
         rank ^= rank >> np.uint64(k)
+    for w in range(1, codes.shape[1]):  # an odd number of ones above reflects the rest
+        rank[:, w] ^= np.uint64(0) - (rank[:, w - 1] & np.uint64(1))
     return rank
 
 
+def ones(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 class Forest:
     """Connected parts of the rows of one bucket; joins give the links that connect two parts."""
 
@@ -106,15 +162,15 @@ class GrayIndex:
         self.all, self.any = [codes], [codes]
         while len(self.all[-1]) > 1:
             cuts = np.arange(0, len(self.all[-1]), FAN_OUT)
-            self.all.append(np.bitwise_and.reduceat(self.all[-1], cuts))
-            self.any.append(np.bitwise_or.reduceat(self.any[-1], cuts))
+            self.all.append(np.bitwise_and.reduceat(self.all[-1], cuts, axis=0))
+            self.any.append(np.bitwise_or.reduceat(self.any[-1], cuts, axis=0))
 
     def gap(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest and most bits in which a code under node a differs from one under node b."""
         pattern_a, pattern_b = self.all[level][a], self.all[level][b]
         mask = ~(pattern_a ^ self.any[level][a]) & ~(pattern_b ^ self.any[level][b])
-        least = np.bitwise_count((pattern_a ^ pattern_b) & mask).astype(np.int64)
-        return least, least + np.bitwise_count(~mask)
+        least = ones((pattern_a ^ pattern_b) & mask)
+        return least, least + ones(~mask)
 
     def below(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         first = node * FAN_OUT
@@ -128,7 +184,7 @@ class GrayIndex:
         forest = Forest(len(self.codes))
         top = len(self.all) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        near = np.flatnonzero(np.bitwise_count(self.codes[1:] ^ self.codes[:-1]) <= radius)
+        near = np.flatnonzero(ones(self.codes[1:] ^ self.codes[:-1]) <= radius)
         forest.join(near, near + 1)
         while stack:
             level, a, b = stack.pop()
@@ -169,39 +225,52 @@ class GrayIndex:
         return x[ok], y[ok]
 
 
-def spanning_links(codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each code of a bucket to the first code of its part."""
-    codes = codes[np.argsort(gray_rank(codes), kind="stable")]
-    part = GrayIndex(codes).links(radius)
+def spanning_links(codes: np.ndarray, numbers: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each fingerprint of a bucket to the first one of its part, by their numbers."""
+    order = np.lexsort(gray_rank(codes).T[::-1])
+    part = GrayIndex(codes[order]).links(radius)
     child = np.flatnonzero(part != np.arange(len(codes)))
-    return codes[part[child]], codes[child]
+    return numbers[order[part[child]]], numbers[order[child]]
+
+
+def deal(classes: DataFrame, plan: Plan) -> DataFrame:
+    """A row for each fingerprint and block: ``block``, ``value`` (its bits there), ``number``, ``fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1).astype(np.int64)
+                for block, own in enumerate(plan.blocks):
+                    value = bits[:, own] @ (np.int64(1) << np.arange(len(own), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block, np.int32)), pa.array(value), part.column(0), part.column(1)], ["block", "value", "number", "fp"])
+
+    return classes.select("number", "fp").mapInArrow(run, "block int, value long, number long, fp binary")
 
 
-def near_links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Links ``a``, ``b`` between distinct fingerprints ``fp`` that connect all those within ``radius`` bits."""
-    spark = fps.sparkSession
-    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
-    blocks = [F.struct(F.lit(i).alias("block"), F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("value")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    dealt = fps.select("fp", F.explode(F.array(*blocks)).alias("at")).select("fp", "at.block", "at.value")
+def near_links(classes: DataFrame, plan: Plan) -> DataFrame:
+    """Links ``a``, ``b`` between the numbers of distinct fingerprints that connect all those within the radius."""
+    spark, dealt = classes.sparkSession, deal(classes, plan)
     sizes = dealt.groupBy("block", "value").agg(F.count("*").alias("n"))
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.avg("n").alias("mean")))).where(F.col("n") > F.greatest(F.lit(TILE_ROWS), TILE_MEANS * F.col("mean")))
-    # at most radius + 1 times 2**13 rows (with the default radius), however many documents there are
-    hot = sizes.select("block", "value", F.ceil(F.col("n") / F.greatest(F.lit(TILE_ROWS), F.col("mean"))).cast("int").alias("slices"))
+    mean = sizes.agg(F.avg("n")).first()[0] or 0
+    limit = max(TILE_ROWS, TILE_MEANS * mean)
+    # Buckets that hold over TILE_MEANS times the mean: fewer than a part of the blocks' number of values.
+    hot = sizes.where(F.col("n") > limit).select("block", "value", F.ceil(F.col("n") / max(TILE_ROWS, mean)).cast("int").alias("slices"))
     tiles = dealt.join(F.broadcast(hot), ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    tiles = tiles.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = tiles.select("fp", F.col("block").cast("int").alias("block"), "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    tiles = tiles.withColumn("own", F.pmod(F.xxhash64("number"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    tiles = tiles.select("number", "fp", "block", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keyed = tiles.withColumn("part", F.pmod(F.xxhash64("block", "value", "low", "high"), F.lit(parts)).cast("int"))
 
     def run(table):
-        block, value, low, high = (table.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "low", "high"))
-        codes = table.column("fp").to_numpy().view(np.uint64)
-        order = np.lexsort((high, low, value, block))
-        keys = np.stack([block, value, low, high])[:, order]
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "low", "high")])
+        codes, numbers = as_codes(table.column("fp")), table.column("number").to_numpy()
+        order = np.lexsort(keys[::-1])
+        keys = keys[:, order]
         edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        found = [spanning_links(codes[own], radius) for own in np.split(order, edges) if len(own) > 1]
-        a, b = (np.concatenate([np.zeros(0, np.uint64), *(x[i] for x in found)]).view(np.int64) for i in (0, 1))
-        return pa.table({"a": a, "b": b})
+        found = [spanning_links(codes[own], numbers[own], plan.radius) for own in np.split(order, edges) if len(own) > 1]
+        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return keyed.groupBy("part").applyInArrow(run, EDGES).distinct()
 
@@ -226,13 +295,31 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         before = now
 
 
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 4, radius: int = 4) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id`` (its smallest doc_id) for each row of ``docs``."""
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marks = scratch.save(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    classes = scratch.save(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = scratch.save(components(near_links(classes.select("fp"), radius), scratch), "roots")
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def rooted_classes(marks: DataFrame, plan: Plan, scratch: Scratch, least: Column) -> DataFrame:
+    """``fp``, ``root`` (the same for all fingerprints of a component) and ``least``, of the rows of a fingerprint."""
+    classes = scratch.save(marks.groupBy("fp").agg(F.min(least).alias("least")).withColumn("number", F.monotonically_increasing_id()), "classes")
+    roots = components(near_links(classes, plan), scratch)
+    return scratch.save(classes.join(roots, classes.number == roots.node, "left").select("fp", "least", F.coalesce("root", "number").alias("root")), "rooted")
+
+
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (its smallest doc_id) for each row of ``docs``."""
+    plan, scratch = plan or exact_plan(), Scratch(docs.sparkSession, "simhash")
+    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marks = scratch.save(fingerprints(ids, plan, ["doc_id"]), "fingerprints")
+    rooted = rooted_classes(marks, plan, scratch, F.col("doc_id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.save(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return marks.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
+    """The rows of ``docs`` less all but one of each group of near copies: that of the smallest doc_id stays."""
+    scratch = Scratch(docs.sparkSession, "simhash_keep")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    if plan is None:
+        plan = similarity_plan(docs.count())
+    marks = scratch.save(fingerprints(rows, plan, ["row", "uid"], f"row.{text}"), "fingerprints")
+    order = F.struct(F.col(f"row.{doc_id}").isNull().alias("none"), F.col(f"row.{doc_id}").alias("id"), F.col("uid"))
+    kept = rooted_classes(marks, plan, scratch, order).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
+    return marks.join(kept, "uid", "left_semi").select("row.*")
