@@ -34,7 +34,7 @@ normalise_query = exact_form
 
 def tidy(text: Column) -> Column:
     """One space for each run of blanks, lines stripped, blank lines dropped."""
-    lines = F.transform(F.split(F.regexp_replace(text, r"[ \t]+", " "), "\n"), F.trim)
+    lines = F.transform(F.split(F.regexp_replace(text, r"[ \t]+", " "), "\n"), lambda x: F.trim(x))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
@@ -51,7 +51,7 @@ def match_key(text: Column) -> Column:
 
 def multivalue(cell: Column, separator: str) -> Column:
     """Stripped non-blank parts; a blank or null cell gives no part."""
-    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), separator), F.trim)
+    parts = F.transform(F.split(F.coalesce(cell, F.lit("")), separator), lambda x: F.trim(x))
     return F.filter(parts, lambda x: x != "")
 
 

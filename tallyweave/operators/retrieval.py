@@ -79,7 +79,7 @@ def deletions(word: Column) -> Column:
 
 def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
     """Vocabulary terms within two edits of each asked term of ``least`` letters; an equi-join on deletions."""
-    key = lambda df, name: df.where(F.length("term") >= 3).select(F.col("term").alias(name), F.explode(deletions(F.col("term"))).alias("key"))
+    key = lambda df, name: df.select("term").where(F.length("term") >= 3).withColumn("key", F.explode(deletions(F.col("term")))).withColumnRenamed("term", name)
     pairs = key(asked.where(F.length("term") >= least), "query_term").join(key(vocabulary, "term"), "key").select("query_term", "term").distinct()
     edits = F.levenshtein("query_term", "term")
     return pairs.withColumn("edits", edits).where((edits > 0) & (edits <= distance)).withColumn("weight", F.lit(0.5))

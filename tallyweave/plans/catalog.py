@@ -2,5 +2,459 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import ids
+from ..functions import text as tx
+from ..operators import cluster, decide, evaluate, ledger, retrieval
+from . import base
+from .oracles import ORACLES as ORACLES  # noqa: PLC0414
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.withColumn("score", F.round("score", digits) + F.lit(0.0))
+
+
+def candidates(spark: SparkSession, d: str, k: int) -> DataFrame:
+    return retrieval.bm25_topk(base.benchmark(spark, d), base.documents(spark, d), k)
+
+
+def two_lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
+    """The benchmark texts, and their first eight words, as two retrievers."""
+    docs, full = base.documents(spark, d), base.benchmark(spark, d)
+    head = full.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
+    return retrieval.bm25_topk(full, docs, k).withColumn("retriever", F.lit("full")).unionByName(retrieval.bm25_topk(head, docs, k).withColumn("retriever", F.lit("head")))
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return base.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def label_queries(v: DataFrame) -> DataFrame:
+    """The first vector of each label."""
+    return v.groupBy(F.col("label").alias("query_id")).agg(F.min_by("vector", "id").alias("vector"))
+
+
+def attempts(spark: SparkSession, d: str) -> DataFrame:
+    return base.select(spark, d, base.ATTEMPTS)
+
+
+def results(spark: SparkSession, d: str) -> DataFrame:
+    return decide.derive_status(attempts(spark, d))
+
+
+def judged(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate.judged(results(spark, d), base.gold_sets(spark, d))
+
+
+def at_floors(spark: SparkSession, d: str, accept: float, review: float) -> DataFrame:
+    return decide.derive_status(attempts(spark, d), accept_at=accept, review_floor=review)
+
+
+@query
+def bm25_topk(spark, d):
+    return rounded(candidates(spark, d, 10))
+
+
+@query
+def bm25_postings_stats(spark, d):
+    docs = base.documents(spark, d)
+    index = retrieval.postings(docs).groupBy("term").agg(F.count("*").alias("df")).agg(F.count("*").alias("n_terms"), F.sum("df").alias("n_postings"))
+    return retrieval.corpus_stats(docs).crossJoin(index).withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query
+def exact_lookup(spark, d):
+    part = base.table(spark, d, "part")
+    asked = base.table(spark, d, "supplier").join(part, F.col("p_partkey") == F.col("s_suppkey") * 3, "left")
+    mention = F.concat(F.coalesce("p_name", F.lit("none")), F.when(F.col("s_suppkey") % 3 == 0, " x").otherwise("!"))
+    return retrieval.exact_lookup(asked.select(F.col("s_suppkey").alias("source_id"), mention.alias("mention")), part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+
+
+@query
+def exact_boosted_search(spark, d):
+    part = base.table(spark, d, "part")
+    docs = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_name").alias("exact"))
+    asked = base.table(spark, d, "region").join(part, F.col("p_partkey") == F.col("r_regionkey") + 1).select(F.col("r_regionkey").alias("query_id"), F.col("p_name").alias("text"))
+    return rounded(retrieval.exact_first(asked, docs))
+
+
+@query
+def fuzzy_vocabulary_expand(spark, d):
+    terms = base.benchmark(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    return retrieval.fuzzy_terms(terms, terms)
+
+
+@query
+def dense_topk(spark, d):
+    v = vectors(spark, d)
+    return rounded(retrieval.top(retrieval.dense_scores(label_queries(v), v.select("id", "vector")), 10))
+
+
+@query
+def dense_best_per_record(spark, d):
+    v = vectors(spark, d)
+    scores = retrieval.dense_scores(label_queries(v), v.select("id", "vector")).withColumn("record", F.floor(F.col("id") / 4))
+    return rounded(retrieval.top(retrieval.best_per_record(scores).withColumnRenamed("record", "id"), 10))
+
+
+@query
+def matryoshka_topk(spark, d):
+    v = vectors(spark, d)
+    return rounded(retrieval.top(retrieval.dense_scores(label_queries(v), v.select("id", "vector"), 16), 10))
+
+
+@query
+def rrf_multi_query(spark, d):
+    return rounded(retrieval.top(retrieval.fuse(two_lists(spark, d)), 10), 9)
+
+
+@query
+def rrf_weighted(spark, d):
+    return rounded(retrieval.top(retrieval.fuse(two_lists(spark, d), weights={"full": 2.0}).drop("evidence"), 10), 9)
+
+
+@query
+def combsum(spark, d):
+    return rounded(retrieval.top(retrieval.comb_sum(two_lists(spark, d)), 10))
+
+
+@query
+def rrf_excluding(spark, d):
+    """Ranks are those of the full pool; excluded documents leave after fusion, so they shorten nothing."""
+    out = base.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id"))
+    return rounded(retrieval.top(retrieval.fuse(two_lists(spark, d)).drop("evidence").join(out, "id", "left_anti"), 5), 9).select("query_id", "id", "score", "rank")
+
+
+def sized(spark, d):
+    text = base.documents(spark, d).select("id", F.length("text").alias("size"))
+    return candidates(spark, d, 12).join(text, "id")
+
+
+@query
+def candidate_keys(spark, d):
+    return retrieval.with_keys(sized(spark, d)).select("query_id", "id", "rank", "key")
+
+
+@query
+def budget_prefix(spark, d):
+    return retrieval.within_budget(sized(spark, d), F.col("size"), 10, 8000).select("query_id", "id", "rank", "used", "kept")
+
+
+@query
+def shortlist(spark, d):
+    return rounded(retrieval.shortlist(retrieval.bm25_scores(base.benchmark(spark, d), base.documents(spark, d)), 15, 20.0)).select("query_id", "id", "score", "rank")
+
+
+@query
+def resolve_keys(spark, d):
+    e, kind = F.col("event_id"), F.col("event_id") % 7
+    answer = F.when(kind == 0, "none").when(kind == 1, " c01. ").when(kind == 2, "C09").when(kind == 3, '"C03"').when(kind == 4, "").when(kind == 5, F.concat(F.lit("c"), F.lpad((e % 6).cast("string"), 2, "0"))).otherwise("N/A")
+    issued = F.create_map(*(F.lit(x) for i in range(1, 5) for x in (f"C0{i}", f"id{i}")))
+    return base.table(spark, d, "events").select("event_id", tx.resolve_key(answer, issued).alias("r")).select("event_id", "r.id", "r.resolution")
+
+
+@query
+def overlap_choose(spark, d):
+    """The offline decider: of each list, the candidate with most shared tokens, and its share of all overlaps."""
+    asked = base.benchmark(spark, d).select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("q"))
+    texts = base.documents(spark, d).select("id", F.array_distinct(tx.tokens(F.col("text"))).alias("t"))
+    scored = candidates(spark, d, 12).join(texts, "id").join(asked, "query_id").withColumn("overlap", F.round(tx.jaccard(F.col("q"), F.col("t")), 9))
+    best = scored.groupBy("query_id").agg(F.min_by("id", F.struct((-F.col("overlap")).alias("o"), "rank")).alias("id"), F.max("overlap").alias("overlap"), F.try_divide(F.max("overlap"), F.sum("overlap")).alias("share"))
+    return best.select("query_id", "id", F.round("overlap", 6).alias("overlap"), F.round("share", 6).alias("share"))
+
+
+@query
+def normalise_query(spark, d):
+    return base.table(spark, d, "documents").select("doc_id", F.md5(tx.normalise_query(F.col("text"))).alias("digest"))
+
+
+@query
+def tidy_text(spark, d):
+    return base.table(spark, d, "documents").select("doc_id", F.md5(tx.tidy(F.col("text"))).alias("digest"))
+
+
+@query
+def sanitise_query(spark, d):
+    return base.table(spark, d, "pages").select("page_id", F.md5(tx.sanitise_query(F.concat("url", F.lit(" AND "), "url"))).alias("digest"))
+
+
+@query
+def multivalue_split(spark, d):
+    cell = F.concat("p_type", F.lit(" ||"), "p_name")
+    return base.table(spark, d, "part").select("p_partkey", F.array_join(tx.multivalue(cell, " "), ",").alias("parts"))
+
+
+@query
+def curie_urls(spark, d):
+    p = F.col("page_id")
+    uri = F.when(p % 3 == 0, F.concat(F.lit("http://purl.obolibrary.org/obo/GO_"), p)).when(p % 3 == 1, F.concat(F.lit("http://x.org/a#frag"), p)).otherwise(F.replace("url", F.lit("#"), F.lit("")))
+    return base.table(spark, d, "pages").select("page_id", tx.curie(uri).alias("curie"))
+
+
+@query
+def redact_urls(spark, d):
+    url = F.concat(F.lit("https://me:pw@host/"), F.col("page_id"), F.lit("?a=1&api_key=s3"), F.col("page_id"), F.lit("&b=2"))
+    return base.table(spark, d, "pages").select("page_id", tx.redact_url(url).alias("url"))
+
+
+@query
+def partition_split(spark, d):
+    drawn = base.table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), ids.draw("salt", F.col("c_custkey")).alias("draw"))
+    return drawn.select("source_id", F.round("draw", 9).alias("draw"), ids.partition_of(F.col("draw"), {"prompt_train": 0.5, "validation": 0.25, "test": 0.25}).alias("part"))
+
+
+@query
+def holdout_deal(spark, d):
+    rows = base.table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"))
+    return evaluate.deal_holdout(rows, ids.draw("fit", F.col("source_id"))).select("source_id", "part")
+
+
+@query
+def audit_sample(spark, d):
+    score = F.col("score")
+    return attempts(spark, d).select("source_id", "attempt", decide.should_verify(score, 0.6, 0.8).alias("verify"), decide.should_audit("run", F.col("source_id"), score, 0.8, 0.1).alias("audit"))
+
+
+@query
+def record_digest(spark, d):
+    return base.table(spark, d, "part").select("p_partkey", ids.record_digest(F.col("p_partkey"), name=F.col("p_name"), brand=F.col("p_brand")).alias("digest"))
+
+
+@query
+def changed_records(spark, d):
+    part = base.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    stored = part.where("id % 5 <> 0").select("id", ids.record_digest(F.col("id"), name=F.col("name")).alias("digest"))
+    edited = F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("*"))).otherwise(F.col("name"))
+    return ledger.upsert(stored, part.where("id % 7 <> 0").select("id", ids.record_digest(F.col("id"), name=edited).alias("digest")))
+
+
+@query
+def derive_status(spark, d):
+    return results(spark, d)
+
+
+@query
+def decider_status(spark, d):
+    rows = base.select(spark, d, base.SIGNALS).withColumn("v", decide.decider_status())
+    return rows.groupBy("v.status", "v.reason").agg(F.count("*").alias("n"), F.sum("order_id").alias("orders"))
+
+
+def log(spark, d):
+    return base.select(spark, d, base.LOG)
+
+
+def snapshot(spark, d):
+    return base.select(spark, d, base.SNAPSHOT)
+
+
+@query
+def ledger_current(spark, d):
+    return ledger.current_view(snapshot(spark, d), log(spark, d)).select("source_id", "status", "seq", "matched_id")
+
+
+@query
+def ledger_history(spark, d):
+    return ledger.history(log(spark, d)).select("source_id", "seq", "status", "revision", "current")
+
+
+@query
+def removed_sources(spark, d):
+    return ledger.removed_sources(log(spark, d), snapshot(spark, d))
+
+
+@query
+def resume_todo(spark, d):
+    return ledger.resume_todo(snapshot(spark, d), log(spark, d))
+
+
+@query
+def snapshot_dedupe(spark, d):
+    return ledger.distinct_snapshots(base.table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("digest")))
+
+
+@query
+def failing_streaks(spark, d):
+    return ledger.failing_streak(log(spark, d))
+
+
+@query
+def status_counts(spark, d):
+    return ledger.latest(log(spark, d)).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def duplicate_targets(spark, d):
+    return ledger.duplicate_targets(ledger.latest(log(spark, d)))
+
+
+@query
+def failure_groups(spark, d):
+    return ledger.top_groups(results(spark, d), "reason")
+
+
+@query
+def results_page(spark, d):
+    return ledger.page(results(spark, d), 100, 50).select("source_id", "status", "total", "next_offset")
+
+
+def reviews(spark, d):
+    return ledger.applicable_reviews(base.select(spark, d, base.REVIEWS), log(spark, d))
+
+
+@query
+def review_history(spark, d):
+    return reviews(spark, d).select("review_id", "source_id", "state")
+
+
+@query
+def adjudicated(spark, d):
+    return ledger.adjudicated(ledger.latest(log(spark, d)), reviews(spark, d))
+
+
+@query
+def eval_metrics(spark, d):
+    return evaluate.metrics(judged(spark, d))
+
+
+@query
+def threshold_curve(spark, d):
+    rows = evaluate.at_thresholds(attempts(spark, d)).withColumn("floor", F.least(F.lit(decide.REVIEW_FLOOR), F.col("threshold")))
+    found = decide.derive_status(rows, ("source_id", "threshold"), F.col("threshold"), F.col("floor"))
+    return evaluate.metrics(evaluate.judged(found, base.gold_sets(spark, d)), ("threshold",))
+
+
+@query
+def calibration(spark, d):
+    return evaluate.calibration(judged(spark, d))
+
+
+@query
+def ceiling_buckets(spark, d):
+    a = attempts(spark, d)
+    seen = a.groupBy("source_id").agg(F.collect_set("chosen_id").alias("retrieved"), F.collect_set(F.when(F.col("candidate_count") > 1, F.col("chosen_id"))).alias("keyed"), F.coalesce(F.bool_or(F.col("reason") == "candidate_budget_exceeded"), F.lit(False)).alias("cut"), F.coalesce(F.bool_or(F.col("retrieval_failures") > 0), F.lit(False)).alias("degraded"))
+    rows = judged(spark, d).join(seen, "source_id").withColumn("known_gold", F.filter("gold_ids", lambda x: x % 19 != 0))
+    return rows.groupBy(evaluate.ceiling_bucket().alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query
+def replay_transitions(spark, d):
+    return evaluate.transitions(results(spark, d), at_floors(spark, d, 0.8, 0.5))
+
+
+@query
+def fit_grid(spark, d):
+    rows = judged(spark, d).withColumn("p_choice", (F.col("source_id") % 10) / 10)
+    return evaluate.fit_grid(rows, [0.5, 0.6, 0.7, 0.8, 0.9], [0.3, 0.5, 0.7], 0.4)
+
+
+@query
+def retrieval_recall(spark, d):
+    asked, docs = base.benchmark(spark, d), base.documents(spark, d)
+    ranked = retrieval.bm25_topk(asked, docs, 50)
+    # A stated query set (the benchmark) is met in one pass over the documents.
+    gold = docs.join(F.broadcast(asked.withColumnRenamed("text", "passage")), F.contains("text", "passage")).select("query_id", "id")
+    return evaluate.recall_at(ranked, gold, (1, 5, 50))
+
+
+@query
+def partition_scores(spark, d):
+    return evaluate.partition_scores(base.select(spark, d, "SELECT vec_id AS item_id, vec_id % 40 AS cluster_id, label AS gold_id FROM {embeddings}"))
+
+
+@query
+def order_sensitivity(spark, d):
+    one = base.select(spark, d, "SELECT vec_id AS item_id, vec_id % 40 AS cluster_id FROM {embeddings}")
+    two = base.select(spark, d, "SELECT vec_id AS item_id, vec_id % 60 AS cluster_id FROM {embeddings}")
+    return evaluate.order_sensitivity(one, two)
+
+
+@query
+def exact_mention_clusters(spark, d):
+    return cluster.by_exact_mention(base.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("label")))
+
+
+@query
+def gold_clusters(spark, d):
+    return cluster.by_gold_set(base.gold_sets(spark, d))
+
+
+@query
+def cluster_sizes(spark, d):
+    return cluster.with_outcomes(base.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("cluster_id")))
+
+
+@query
+def member_changes(spark, d):
+    members = base.table(spark, d, "events").groupBy(F.col("user_id").alias("cluster_id"), F.col("event_type").alias("revision")).agg(F.collect_set(F.col("event_id") % 20).alias("members"))
+    return cluster.member_changes(members)
+
+
+@query
+def merge_ancestry(spark, d):
+    return cluster.merge_ancestry(spark, base.table(spark, d, "nation").where("n_nationkey > 0").selectExpr("n_nationkey AS child", "CAST(n_nationkey DIV 2 AS INT) AS parent"))
+
+
+@query
+def leader_clusters(spark, d):
+    """Greedy leaders within blocks of one brand and type."""
+    part = base.table(spark, d, "part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("label"), F.concat_ws("|", "p_brand", "p_type").alias("block"))
+    return cluster.by_leaders(part, "block")
+
+
+@query
+def usage_totals(spark, d):
+    rows = base.table(spark, d, "orders").join(base.table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.groupBy(F.col("o_orderpriority").alias("kind")).agg(F.count("*").alias("calls"), F.sum("l_linenumber").alias("prompt_tokens"), F.sum("l_quantity").cast("long").alias("completion_tokens"), F.count_if(F.col("l_returnflag") == "N").alias("cache_hits"))
+
+
+@query
+def agreement(spark, d):
+    a = results(spark, d).selectExpr("source_id", "status = 'matched' AS m1", "matched_id AS id1")
+    b = at_floors(spark, d, 0.8, 0.5).selectExpr("source_id", "status = 'matched' AS m2", "matched_id AS id2")
+    both = F.when(F.col("m1") & F.col("m2"), F.when(F.col("id1") == F.col("id2"), "same").otherwise("different"))
+    verdict = both.when(F.col("m1"), "only_first").when(F.col("m2"), "only_second").otherwise("neither")
+    return a.join(b, "source_id").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query
+def compare_runs(spark, d):
+    gold, runs = base.gold_sets(spark, d), None
+    for accept in (0.5, 0.7, 0.9):
+        one = evaluate.metrics(evaluate.judged(at_floors(spark, d, accept, 0.4), gold)).withColumn("run", F.lit(accept))
+        runs = one if runs is None else runs.unionByName(one)
+    all_runs = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each run
+    p = F.col("accepted_precision")
+    return runs.select("run", "accepted_precision", "coverage", F.round(p - F.first(p).over(all_runs), 4).alias("delta"), (p == F.max(p).over(all_runs)).alias("best"))
+
+
+@query
+def retry_metrics(spark, d):
+    gold = base.gold_sets(spark, d)
+    first = attempts(spark, d).where("attempt = 0").join(gold, "source_id").select("source_id", (F.coalesce(decide.acceptable(), F.lit(False)) & F.coalesce(F.array_contains("gold_ids", F.col("chosen_id")), F.lit(False))).alias("first_right"))
+    rows = judged(spark, d).where("labelled").join(first, "source_id").withColumn("right", (F.col("status") == "matched") & F.col("correct"))
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("right") & ~F.col("first_right")).alias("recovered"), F.count_if(F.col("first_right") & ~F.col("right")).alias("broken"))
+
+
+@query
+def decision_diagnostics(spark, d):
+    one = attempts(spark, d).groupBy("source_id").agg(F.bool_or(F.col("verifier") == "disagree").alias("v"), F.bool_or(F.col("resolution") == "unresolved").alias("u"), F.bool_or(F.col("retrieval_failures") > 0).alias("d"), F.count("attempt").alias("n"))
+    return one.agg(F.count_if("v").alias("verifier_disagreed"), F.count_if("u").alias("unresolved"), F.count_if("d").alias("degraded"), F.count_if(F.col("n") > 1).alias("retried"))
+
+
+@query
+def failures_by_role(spark, d):
+    s, c = F.col("status"), F.col("correct")
+    role = F.when((s == "matched") & ~c, "wrong_match").when((s == "unmatched") & ~F.col("no_match"), "missed").when((s == "needs_review") & c, "needless_review").when(s == "failed", "failed")
+    rows = judged(spark, d).where("labelled").select(role.alias("role"), "source_id").where("role is not null")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy("source_id"))).where("place <= 20")
