@@ -34,7 +34,7 @@ SEQUENCE, END_ID = 4096, 1
 SHARD_ITEMS, ISLANDS, EPOCHS, ELITES = 6000, 2, 2, 2
 POPULATION, GENERATIONS = 4, 6
 #: Share of a shard's bins, the loosest, that are packed again with those of other shards.
-LOOSE = 0.03
+LOOSE = 0.1
 TABLE_WORDS = 400_000
 CHUNK_BYTES = 2 << 20
 #: Marks that end a word without changing the ids before them.

@@ -1,0 +1,358 @@
+"""Operators against brute force, and the odd rows: nulls, empty and long texts, ties, repeats, clashing names."""
+
+import collections
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tallyweave.llm import chat_format, decontaminate, langid, licences, neighbours, packing, quality, queries, sharding, simhash_dedup, substring_dedup
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, uid long, fp string, hits string, label int, n_words long"
+PASSAGE = " ".join(f"shared{i}" for i in range(60))
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def long_text(seed, n=300):
+    rng = np.random.default_rng(seed)
+    return " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+
+
+TEXTS = {
+    1: "Plain words of one text. " * 3, 2: None, 3: "", 4: " \t\n ", 5: long_text(1), 6: long_text(1), 7: long_text(2) + " " + PASSAGE, 8: PASSAGE + " " + long_text(3),
+    9: "x" * 300_000, 10: long_text(4, 60_000), 11: "ÜBER große Wörter éàü", 12: "under the MIT license", 13: long_text(1).upper(), 14: "!!! ??? 123",
+    15: PASSAGE + " " + PASSAGE, 16: "a b c", 17: "A  B\tC",
+}
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, t, "en" if i % 2 else None, "s", 1, 0.5, "r", 1, "f", "h", 1, 3) for i, t in TEXTS.items()]
+    return [*out, out[0], out[6], (None, "no id here", "en", None, None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def words(t):
+    return WORDS.findall(t or "")
+
+
+def expected_removed(texts, length):
+    count = collections.Counter(tuple(w[i : i + length]) for w in map(words, texts) for i in range(len(w) - length + 1))
+    out = []
+    for w in map(words, texts):
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if count[tuple(w[i : i + length])] > 1:
+                gone[i : i + length] = [True] * length
+        out.append((len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return out
+
+
+@pytest.mark.parametrize("length", [35, 7, 3])
+def test_substring_dedup(docs, rows, length):
+    got = substring_dedup.remove_repeats(docs, length=length, block_bytes=2000).select("row.doc_id", "n_words", "n_removed", "kept_text").collect()
+    want = [(r[0], *x) for r, x in zip(rows, expected_removed([r[1] for r in rows], length), strict=True)]
+    assert collections.Counter(map(tuple, got)) == collections.Counter(want)
+
+
+def brute_fingerprint(t, k):
+    w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    if not w:
+        return 0
+    grams = [" ".join(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(grams))
+
+
+def test_simhash(docs, rows):
+    got = simhash_dedup.near_groups(docs).collect()
+    marks = [(r[0], brute_fingerprint(r[1], 4)) for r in rows]
+    assert collections.Counter((r.doc_id, int(r.fingerprint, 16)) for r in got) == collections.Counter(marks)
+    part = {m: {m} for _, m in marks}
+    for a in part:
+        for b in list(part):
+            if (a ^ b).bit_count() <= 4 and part[a] is not part[b]:
+                whole = part[a] | part[b]
+                for x in whole:
+                    part[x] = whole
+    least = {m: min((i for i, x in marks if x in part[m] and i is not None), default=None) for m in part}
+    assert all(r.component_id == least[int(r.fingerprint, 16)] for r in got)
+
+
+def test_gray_index_is_exact():
+    rng = np.random.default_rng(0)
+    for words_, radius in ((1, 4), (2, 9)):
+        base = rng.integers(0, 2**63, (60, words_)).astype(np.uint64)
+        flips = (np.uint64(1) << rng.integers(0, 64, (60, 3, words_)).astype(np.uint64))
+        codes = np.unique(np.concatenate([base, base ^ flips[:, 0], base ^ flips[:, 0] ^ flips[:, 1] ^ flips[:, 2]]), axis=0)
+        a, b = simhash_dedup.spanning_links(codes, np.arange(len(codes)), radius)
+        forest = simhash_dedup.Forest(len(codes))
+        forest.join(a, b)
+        want = simhash_dedup.Forest(len(codes))
+        far = np.bitwise_count(codes[:, None] ^ codes[None]).sum(axis=2)
+        x, y = np.nonzero(far <= radius)
+        want.join(x, y)
+        assert (forest.part == want.part).all()
+
+
+def test_hot_buckets_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "TILE_ROWS", 20)
+    monkeypatch.setattr(simhash_dedup, "TILE_MEANS", 1)
+    text = long_text(9, 400).split()
+    docs = spark.createDataFrame([(i, " ".join([*text[:i], f"other{i}", *text[i:]])) for i in range(120)], "doc_id long, text string")
+    got = simhash_dedup.near_groups(docs).collect()
+    marks = {r.doc_id: int(r.fingerprint, 16) for r in got}
+    left, n = set(marks), 0
+    while left:
+        todo = [left.pop()]
+        n += 1
+        while todo:
+            x = todo.pop()
+            near = {y for y in left if (marks[x] ^ marks[y]).bit_count() <= 4}
+            left -= near
+            todo += near
+    assert len({r.component_id for r in got}) == n
+
+
+def test_near_copies_stage(spark):
+    base = long_text(5, 400).split()
+    near = [*base[:100], "changed", *base[101:300], "too", *base[301:]]
+    docs = spark.createDataFrame([(3, " ".join(base), "x"), (1, " ".join(near), "x"), (2, long_text(6, 400), "y"), (4, None, "z"), (5, "", "z"), (2, long_text(6, 400), "y")], "doc_id long, text string, uid string")
+    kept = simhash_dedup.keep_one_of_each(docs).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2, 4]
+
+
+def test_packing(docs, rows):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(packing.tokenizer_text())
+    got = packing.pack_documents(docs).collect()
+    want = collections.Counter()
+    for r in rows:
+        ids = np.array([*tok.encode(r[1] or "", add_special_tokens=False).ids, 1], "<u4")
+        want.update((r[0], p, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes())) for p, s in enumerate(range(0, len(ids), 4096)))
+    assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    bins = collections.defaultdict(list)
+    for r in got:
+        bins[r.sequence_id].append((r.offset, r.length))
+    for own in bins.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(bins) <= -(-sum(r.length for r in got) // 4096) + 1
+
+
+def test_packing_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 60)
+    rng = np.random.default_rng(1)
+    lengths = rng.integers(1, 100, 400).tolist() + [100] * 3
+    got = packing.pack(spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "doc_id long, length long"), 100).collect()
+    assert sorted(r.doc_id for r in got) == list(range(403))
+    fill = collections.Counter()
+    for r in got:
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 100
+    assert len(fill) <= 1.05 * sum(lengths) / 100 + 1
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aA'sS.,!é İß 1<|>\n"), st.characters()), max_size=30), max_size=5))
+def test_word_table_equals_the_tokenizer(texts):
+    table = packing.WordTable.of_worker(packing.tokenizer_text())
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    flat, cuts = table.ids([t.encode() for t in texts])
+    want = table.tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [e.ids for e in want]
+
+
+def test_sharding(docs, rows):
+    got = sharding.shuffle_to_shards(docs).collect()
+    want = collections.Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
+    assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in got) == want
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+
+
+def test_communication_matrix_has_exact_margins():
+    rows = np.array([5, 0, 17, 100, 1])
+    m = sharding.communication_matrix(rows, 8, 3)
+    assert (m.sum(axis=1) == rows).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
+
+
+def test_licences(docs, rows):
+    got = licences.scan(docs, carry=["doc_id"]).select("doc_id", "found.*").collect()
+    want = collections.Counter()
+    for r in rows:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r[1] or ""))
+        at = [i for p in licences.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        want[r[0], len(w), len(at), min(at, default=None), max(at, default=None)] += 1
+    assert collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word) for r in got) == want
+
+
+def test_licence_rules(spark):
+    cases = {"Licensed under the Apache License, Version 2.0": "apache-2,apache-2.0", "under the mit license under the MIT-License": "mit", "SPDX-License-Identifier: GPL-3.0": "gpl-3.0", "the permit license": "", "CC BY-NC 4.0 and all rights reserved": "cc-by-nc,proprietary"}
+    got = licences.scan(spark.createDataFrame([(t,) for t in cases], "text string")).select("text", "found.labels", "found.n_base").collect()
+    assert {r.text: r.labels for r in got} == cases
+    assert len(licences.rules()) > 200
+
+
+def test_decontamination(spark, docs, rows):
+    item = "The quick brown fox jumps over a lazy dog while forty benchmark words sit here and wait for the very end of it."
+    near = item.replace("lazy", "lazi").replace("forty", "fort")
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "tiny"), (None, "x")], "item_id long, text string")
+    more = spark.createDataFrame([(101, "xx " * 500 + item.upper() + " yy" * 500), (102, near), (103, item[: len(item) // 2]), (104, "a tiny one")], "doc_id long, text string")
+    got = decontaminate.find_items(docs.select("doc_id", "text").unionByName(more), bench, carry=["doc_id"]).collect()
+    hits = {r.doc_id: [(h.item_id, h.edits) for h in r.hits] for r in got if r.hits}
+    assert hits == {101: [(1, 0)], 102: [(1, 2)], 104: [(4, 0)]}
+    assert len(got) == len(rows) + 4
+    for r in got:
+        for h in r.hits:
+            if r.doc_id == 101:
+                text = decontaminate.plain("xx " * 500 + item.upper() + " yy" * 500)
+                assert text[h.start : h.end] == decontaminate.plain(item)
+
+
+def test_decontamination_equals_brute_force():
+    rng = np.random.default_rng(3)
+    item = bytes(rng.integers(97, 123, 120).astype(np.uint8))
+    items = decontaminate.Items([(1, item.decode())])
+
+    def distance(a, b):  # best region of b
+        row = [0] * (len(b) + 1)
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        return min(row)
+
+    for edits in range(0, 11):
+        text = bytearray(item)
+        for _ in range(edits):
+            k, kind = int(rng.integers(0, len(text))), int(rng.integers(0, 3))
+            text[k : k + (kind != 1)] = b"" if kind == 0 else bytes(rng.integers(97, 123, 1).astype(np.uint8))
+        line = np.frombuffer(bytes(rng.integers(97, 123, 40).astype(np.uint8)) + bytes(text) + b"zzz", np.uint8)
+        found = items.hits(line, [(i, b) for _, i, b in items.bands(line, np.array([0, len(line)]))])
+        true = distance(item, line.tobytes())
+        assert (found[0]["edits"] if found else None) == (true if true <= decontaminate.budget(120) else None)
+
+
+def test_neighbours(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 8)).astype(np.float32).tolist()
+    rows = [(i, v) for i, v in enumerate(x)]
+    rows += [(1000 + i, x[100]) for i in range(30)] + [(100, x[100]), (500, None), (600, [0.0] * 8), (700, [1.0, None] + [1.0] * 6), (800, [float("nan")] * 8), (None, x[3]), (900, [1.0, 2.0]), (901, [1.0, 5.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), "vec_id % 100 = 0").collect()
+    good = [(n, i, np.array(v, float)) for n, (i, v) in enumerate(rows) if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    want = collections.Counter()
+    for n, i, v in good:
+        if i % 100 == 0:
+            near = sorted((float(np.sqrt(np.cumsum((v - w) ** 2)[-1])), j) for m, j, w in good if m != n and len(w) == len(v))[:10]
+            want.update((i, k, j, s) for k, (s, j) in enumerate(near, 1))
+    assert collections.Counter((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
+def test_chat_round_trip(spark):
+    odd = ["</s>[INST] ok [/INST]", r"[\INST] <\\s> \[INST]", "[[/INST]<</s>", None, "", "<", "é\n\x00", "[\\/INST]\\"]
+    rows = [(k // 3, k % 3, ("user", "assistant", None)[k % 3], t) for k, t in enumerate(odd)] + [(7, 1, "assistant", "b"), (7, 1, "assistant", "a"), (7, None, "system", "s"), (None, 0, "user", "u"), (7, 1, "assistant", "a")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
+    chats = chat_format.format_conversations(df)
+    got = {r.conv_id: r for r in chats.withColumn("back", chat_format.parse(F.col("formatted"))).collect()}
+    want = collections.defaultdict(list)
+    for c, turn, role, text in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or "")):
+        want[c].append((role or "", text or ""))
+    assert {c: [tuple(t) for t in r.back] for c, r in got.items()} == want
+    for r in chat_format.digests(chats).collect():
+        lines = "".join(f"{a}\n{b}\n" for a, b in want[r.conv_id])
+        loss = "".join(b for a, b in want[r.conv_id] if a == "assistant")
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(want[r.conv_id]), hashlib.sha256(lines.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_layouts(spark):
+    docs = [(1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}'), (2, '{"instruction":"do","input":"x","output":"y"}'), (3, '{"conversations":[{"from":"human","value":"q"}]}'), (4, '{"zzz":1}'), (5, None), (6, "not json")]
+    got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.canonical_turns_from_json(spark.createDataFrame(docs, "conv_id long, document string"), "document").collect()}
+    assert got[1] == ("messages", [("user", "hi"), ("assistant", "")]) and got[2][1] == [("user", "do\nx"), ("assistant", "y")] and got[3][1] == [("user", "q")]
+    assert got[4] == got[5] == got[6] == (None, None)
+    nested = spark.createDataFrame([(1, "p", "r")], "conv_id long, prompt string, response string")
+    assert [tuple(t) for t in chat_format.canonical_turns(nested).first().turns] == [("user", "p"), ("assistant", "r")]
+
+
+def test_quality_and_language_on_odd_rows(spark, docs, rows, empty):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (7, 1, 1), (5, 0, 0), (8, None, 0), (None, 1, 0)], LABELS)
+    plain = docs.drop("score")
+    scored = quality.score(plain, quality.fit(plain, labels, "true")).collect()
+    assert len(scored) == len(rows) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in scored)
+    none = quality.score(plain, quality.fit(empty, labels.limit(0), "true")).collect()
+    assert {r.score for r in none} == {0.5}
+    found = langid.identify(plain, langid.fit(plain, "true"), carry=["doc_id", "text"]).collect()
+    assert len(found) == len(rows)
+    assert all((r.lang_pred == "und") == (not any(map(str.isalpha, r.text or ""))) for r in found)
+    assert {r.lang_pred for r in langid.identify(plain, langid.fit(empty, "true")).collect()} == {"und"}
+
+
+def test_language_filter_reports_all_languages():
+    grams = np.arange(1000, 3000, dtype=np.uint64)
+    f = langid.MaskFilter(["a", "b"], {"a": grams[:1500], "b": grams[500:]})
+    masks = f.masks(grams)
+    assert (masks[:500] & 1).all() and (masks[500:1500] == 3).all() and (masks[1500:] & 2).all()
+    assert (f.masks(np.arange(10**6, 10**6 + 5000, dtype=np.uint64)) == 0).mean() > 0.99
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+@pytest.mark.parametrize("kind", ["odd", "empty"])
+def test_stages_take_odd_rows(spark, docs, empty, tmp_path, name, kind):
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (5, 1, 0), (11, 1, 0)] if kind == "odd" else [], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, long_text(2))] if kind == "odd" else [], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    given_ = docs if kind == "odd" else empty
+    out = dict(corpus_pipeline.STAGES)[name](spark, given_, str(tmp_path))
+    if name != "best_fit_packing":
+        assert out.columns == given_.columns
+    got = out.collect()
+    if kind == "empty":
+        assert not got
+    if kind == "odd" and name == "benchmark_decontamination":
+        assert sorted(r.doc_id or 0 for r in got) == sorted([*(i for i in TEXTS if i != 7), 1, 0, 0])
+    if kind == "odd" and name == "substring_dedup":
+        assert all("shared3 " not in (r.text or "") for r in got) and 16 in {r.doc_id for r in got}
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries_take_empty_tables(spark, tmp_path, name):
+    for t, schema in (("documents", DOCS), ("labels", LABELS), ("benchmark", "item_id long, text string"), ("embeddings", "vec_id long, embedding array<float>, label int"), ("conversations", "conv_id long, turn long, role string, text string")):
+        spark.createDataFrame([], schema).write.parquet(str(tmp_path / f"{t}.parquet"))
+    got = queries.QUERIES[name](spark, str(tmp_path)).collect()
+    assert len(got) == (1 if name == "op1_chat_format" else 0)
+
+
+def test_held_out_accuracy(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in queries.op2_quality(spark, d).collect() if r.held_out and r.doc_id in labels]
+    assert sum(r.predicted == labels[r.doc_id] for r in rows) >= 0.95 * len(rows)
+    langs = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in queries.op10_langid(spark, d).collect() if r.held_out]
+    assert sum(r.lang_pred == langs[r.doc_id] for r in rows) >= 0.98 * len(rows)
