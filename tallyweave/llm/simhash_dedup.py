@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -316,10 +316,14 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pla
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near copies: that of the smallest doc_id stays."""
     scratch = Scratch(docs.sparkSession, "simhash_keep")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("uid"))
+    # A row is told by id and text, not by a number of its own: so only narrow tables are written.
+    key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(text).isNull().cast("string")), 256)
     if plan is None:
         plan = similarity_plan(docs.count())
-    marks = scratch.save(fingerprints(rows, plan, ["row", "uid"], f"row.{text}"), "fingerprints")
-    order = F.struct(F.col(f"row.{doc_id}").isNull().alias("none"), F.col(f"row.{doc_id}").alias("id"), F.col("uid"))
-    kept = rooted_classes(marks, plan, scratch, order).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.uid").alias("uid"))
-    return marks.join(kept, "uid", "left_semi").select("row.*")
+    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), F.col(text).alias("text"))
+    marks = scratch.save(fingerprints(rows, plan, ["id", "key"]), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    kept = rooted_classes(marks, plan, scratch, order).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
+    found = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(kept, "key", "left_semi")
+    repeats = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows of one id and text: one stays
+    return found.withColumn("place", repeats).where("place = 1").select("row.*")
