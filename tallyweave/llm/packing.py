@@ -16,6 +16,8 @@ word-to-ids table in front of the tokenizer; ids equal those of the tokenizer on
 from __future__ import annotations
 
 import bisect
+import itertools
+import re
 import sys
 import types
 import zlib
@@ -35,10 +37,12 @@ SHARD_ITEMS, ISLANDS, EPOCHS, ELITES = 6000, 2, 2, 2
 POPULATION, GENERATIONS = 4, 6
 #: Share of a shard's bins, the loosest, that are packed again with those of other shards.
 LOOSE = 0.1
-TABLE_WORDS = 400_000
+TABLE_WORDS = 600_000
+#: Not white space, not a letter, and one id of its own: stands between words that are encoded in one call.
+MARK = "\x1f"
 CHUNK_BYTES = 2 << 20
-#: Marks that end a word without changing the ids before them.
-TAIL = b".,;:!?*%&$#|"
+#: Marks after a word's last ASCII letter or digit are a token run of their own.
+TAIL = re.compile(rb"([A-Za-z0-9])([.,;:!?*%&$#|]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ELITE = "shard long, island int, score double, bins binary"
 
@@ -54,6 +58,8 @@ class WordTable:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = found[0] if len(found) == 1 else -1  # no such id: then each word is encoded alone
         self.clear()
 
     def clear(self) -> None:
@@ -69,53 +75,60 @@ class WordTable:
             kept[key] = cls(tokenizer_json)
         return kept[key]
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-
-    def add(self, word: bytes, ids: list[int]) -> None:
-        k = len(self.place)
-        if k == len(self.starts):
-            self.starts, self.lengths = np.resize(self.starts, 2 * k), np.resize(self.lengths, 2 * k)
-        while self.used + len(ids) > len(self.flat):
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, and how many each has; one call takes many words with a mark between."""
+        flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for i in range(0, len(words), 2000):
+            some = [w.decode("utf-8", "replace") for w in words[i : i + 2000]]
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
+            marks = np.flatnonzero(ids == self.mark)
+            if self.mark >= 0 and len(marks) == len(some) - 1 and not any(MARK in w for w in some):
+                flat.append(np.delete(ids, marks))
+                lengths.append(np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1)
+            else:
+                each = [e.ids for e in self.tokenizer.encode_batch(some, add_special_tokens=False)]
+                flat.append(np.fromiter(itertools.chain.from_iterable(each), np.uint32))
+                lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
+        return np.concatenate(flat), np.concatenate(lengths)
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Words of a text, with final marks as words of their own; ASCII capitals lowered where that is safe.
+
+        Lowering first could change how a letter composes with a combining mark, so texts with one keep theirs.
+        """
+        if b"\xcc" not in text and b"\xcd" not in text:
+            text = text.lower()
+        return TAIL.sub(rb"\1 \2", text).split()
+
+    def learn(self, words: list[bytes]) -> None:
+        flat, lengths = self.encode(words)
+        k, n, total = len(self.place), len(words), len(flat)
+        while k + n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while self.used + total > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.place[word], self.starts[k], self.lengths[k] = k, self.used, len(ids)
-        self.used += len(ids)
-
-    def known(self, word: bytes) -> list[int]:
-        k = self.place[word]
-        return self.flat[self.starts[k] : self.starts[k] + self.lengths[k]].tolist()
-
-    def learn(self, words: set[bytes]) -> None:
-        parts = {}
-        for w in words:
-            low = w.lower() if w.isascii() else w
-            stem = low.rstrip(TAIL)
-            parts[w] = (stem, low[len(stem) :]) if stem and stem[-1:].isalnum() else (low, b"")
-        new = list({x for p in parts.values() for x in p if x and x not in self.place})
-        for x, ids in zip(new, self.encode(new), strict=True):
-            self.add(x, ids)
-        for w, p in parts.items():
-            if w not in self.place:
-                self.add(w, [i for x in p if x for i in self.known(x)])
+        self.flat[self.used : self.used + total] = flat
+        self.starts[k : k + n], self.lengths[k : k + n] = self.used + np.cumsum(lengths) - lengths, lengths
+        self.place.update(zip(words, range(k, k + n), strict=True))
+        self.used += total
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (and the end)."""
-        split = [t.split() for t in texts]
-        words = [w for ws in split for w in ws]
-        found = list(map(self.place.get, words))
+        split = [self.words(t) for t in texts]
+        words = list(itertools.chain.from_iterable(split))
+        found, used, new = list(map(self.place.get, words)), self.used, []
         if None in found:
-            if len(self.place) > TABLE_WORDS:
-                self.clear()
-                self.learn(set(words))
-            else:
-                self.learn({w for w, k in zip(words, found, strict=True) if k is None})
+            new = list({w for w, k in zip(words, found, strict=True) if k is None})
+            self.learn(new)
             found = list(map(self.place.__getitem__, words))
         at = np.array(found, np.int64)
         lengths = self.lengths[at]
-        ends = np.cumsum(lengths)
-        first = np.concatenate([[0], ends])
+        first = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(self.starts[at] - first[:-1], lengths) + np.arange(first[-1])]
+        if len(self.place) > TABLE_WORDS:  # full: words that are new now are forgotten, the frequent ones came early
+            for w in new:
+                del self.place[w]
+            self.used = used
         return flat, first[np.cumsum([0, *map(len, split)])]
 
 
