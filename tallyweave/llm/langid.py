@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .bytetext import splitmix, text_bytes
 
-#: Labelled texts of a language that are learned, and languages, at most.
-SAMPLE, LANGUAGES = 1500, 64
+#: Labelled texts of a language that are learned (the same number from each of its parts), and languages, at most.
+SAMPLE, PARTS, LANGUAGES = 1500, 50, 64
 #: Bytes of an n-gram, and what a hit of that size counts.
 SIZES = {3: 1.0, 4: 1.5, 5: 2.0}
 #: N-grams of a language that are kept, seen this often at least.
@@ -102,8 +102,10 @@ class MaskFilter:
 def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> MaskFilter | None:
     """Learns from rows with a language where the SQL condition ``teaches`` on ``doc_id`` holds."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where("lang is not null").where(teaches)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE).select("doc_id", "lang").distinct()
+    # Parts of a language are cut on their own, and before the shuffle too: no task ranks all ids of a language.
+    order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
+    parts = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)))
+    sample = parts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE // PARTS).select("doc_id", "lang").distinct()
     sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
     if len(sizes) > LANGUAGES:
         raise ValueError(f"more than {LANGUAGES} languages")
