@@ -29,7 +29,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,6 +324,6 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     marks = scratch.save(fingerprints(rows, plan, ["id", "key"]), "fingerprints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     kept = rooted_classes(marks, plan, scratch, order).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
-    found = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).join(kept, "key", "left_semi")
-    repeats = F.row_number().over(Window.partitionBy("key").orderBy("key"))  # rows of one id and text: one stays
-    return found.withColumn("place", repeats).where("place = 1").select("row.*")
+    # Rows of one id and text: one stays. They meet before the shuffle already, however many they are.
+    found = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).groupBy("key").agg(F.first("row").alias("row"))
+    return found.join(kept, "key", "left_semi").select("row.*")
