@@ -102,6 +102,13 @@ def is_valid_score(score: Column) -> Column:
     return F.coalesce(score.between(0.0, 1.0) & ~F.isnan(score), F.lit(False))
 
 
+def confidence(answer: Column) -> Column:
+    """The number of a JSON answer if it is one in [0, 1]; null for anything else, nothing is coerced or clamped."""
+    value = F.try_parse_json(answer)
+    number = F.when(F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double"))
+    return F.when(is_valid_score(number), number)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

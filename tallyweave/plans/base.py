@@ -43,6 +43,16 @@ SELECT l_orderkey AS order_id, l_partkey AS part_id, l_suppkey AS supp_id, l_lin
   l_partkey % 53 = 0 AS failed, l_suppkey % 11 = 0 AS degraded
 FROM {lineitem}
 """
+ANSWERS = """
+SELECT event_id, CASE event_id % 9 WHEN 0 THEN '0.75' WHEN 1 THEN '"0.9"' WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN '1.7' WHEN 5 THEN '-0.1' WHEN 6 THEN '1' WHEN 7 THEN '{{"a": 1}}' ELSE 'not json' END AS answer
+FROM {events}
+"""
+PROPOSALS = """
+SELECT user_id AS source_id, event_id AS place, CASE WHEN event_type IN ('view', 'click') THEN 'candidate' ELSE 'query' END AS kind,
+  CASE WHEN event_id % 13 = 0 THEN ' ' WHEN event_type IN ('view', 'click') THEN concat(' c0', event_id % 6, ' ') ELSE concat('Term  ', event_id % 8) END AS value
+FROM {events}
+"""
+PARENTS = "SELECT p_partkey AS id, p_partkey - p_partkey % 10 AS parent FROM {part} WHERE p_partkey % 10 <> 0"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, similarity
 from ..functions import text as tx
-from ..operators import cluster, decide, evaluate, ledger, retrieval
+from ..operators import catalogue, cluster, decide, evaluate, frontier, ledger, retrieval
 from . import base
 from .oracles import ORACLES as ORACLES  # noqa: PLC0414
 
@@ -458,3 +458,91 @@ def failures_by_role(spark, d):
     role = F.when((s == "matched") & ~c, "wrong_match").when((s == "unmatched") & ~F.col("no_match"), "missed").when((s == "needs_review") & c, "needless_review").when(s == "failed", "failed")
     rows = judged(spark, d).where("labelled").select(role.alias("role"), "source_id").where("role is not null")
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy("source_id"))).where("place <= 20")
+
+
+@query
+def confidence_values(spark, d):
+    return base.select(spark, d, base.ANSWERS).select("event_id", tx.confidence(F.col("answer")).alias("score"))
+
+
+@query
+def name_similarity(spark, d):
+    part = base.table(spark, d, "part")
+    return part.select("p_partkey", F.round(similarity.similarity(F.col("p_name"), F.col("p_type")), 6).alias("score"))
+
+
+@query
+def route_proposals(spark, d):
+    issued = base.select(spark, d, "SELECT DISTINCT user_id AS source_id, concat('C0', event_id % 4) AS key FROM {events}")
+    seen = base.select(spark, d, "SELECT DISTINCT user_id AS source_id, concat('term ', event_id % 5) AS query FROM {events} WHERE user_id % 2 = 0")
+    return frontier.route_proposals(base.select(spark, d, base.PROPOSALS), issued, seen)
+
+
+@query
+def dispatch_calls(spark, d):
+    requests = base.select(spark, d, "SELECT event_id AS seq, concat(event_type, user_id % 40) AS request_key FROM {events}")
+    return frontier.dispatch(requests, base.select(spark, d, "SELECT concat(event_type, user_id % 40) AS request_key FROM {events} WHERE user_id % 40 < 6"), 90)
+
+
+@query
+def stop_reasons(spark, d):
+    return frontier.stop_reason(base.select(spark, d, "SELECT user_id AS run, event_id AS iteration, event_type AS digest FROM {events}"), 900)
+
+
+@query
+def max_live_clusters(spark, d):
+    return frontier.max_live(base.select(spark, d, "SELECT user_id AS run, event_id - event_id % 7 AS step, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE -1 END AS delta FROM {events}"))
+
+
+@query
+def join_passes(spark, d):
+    hits = two_lists(spark, d)
+    return frontier.join_passes(*(hits.where(F.col("retriever") == r).select("query_id", "id", "rank") for r in ("head", "full")))
+
+
+@query
+def preflight_counts(spark, d):
+    rows = base.select(spark, d, "SELECT doc_id - doc_id % 3 * (doc_id % 2) AS id, CASE WHEN doc_id % 10 = 0 THEN ' ' WHEN doc_id % 10 = 1 THEN NULL ELSE text END AS text FROM {documents}")
+    return catalogue.preflight(rows, "text")
+
+
+@query
+def gold_restricted(spark, d):
+    return catalogue.restricted_gold(base.select(spark, d, base.GOLD_FLAT), base.select(spark, d, "SELECT p_partkey AS id FROM {part} WHERE p_partkey % 4 <> 0"))
+
+
+@query
+def gold_alias_closure(spark, d):
+    aliases = base.select(spark, d, "SELECT p_partkey AS id, p_partkey + 1 AS alias FROM {part} WHERE p_partkey % 6 = 0")
+    return catalogue.alias_closure(base.select(spark, d, base.GOLD_FLAT), aliases)
+
+
+@query
+def hop_headroom(spark, d):
+    shown = base.select(spark, d, "SELECT DISTINCT l_orderkey AS source_id, l_partkey AS candidate FROM {lineitem} WHERE l_linenumber > 3")
+    missed = base.select(spark, d, base.GOLD_FLAT).join(shown.withColumnRenamed("candidate", "gold_id"), ["source_id", "gold_id"], "left_anti")
+    return catalogue.hop_headroom(missed, shown, base.select(spark, d, base.PARENTS))
+
+
+@query
+def co_exposure(spark, d):
+    shown = base.select(spark, d, "SELECT l_orderkey AS decision, l_partkey AS item_id FROM {lineitem}")
+    return catalogue.co_exposure(shown, base.select(spark, d, "SELECT p_partkey AS item_id, p_brand AS gold_id FROM {part}"))
+
+
+@query
+def screen_funnel(spark, d):
+    """Of the asked texts that a document holds: how many are retrieved, shortlisted, and first."""
+    docs, items = base.documents(spark, d), base.benchmark(spark, d)
+    gold = items.withColumnRenamed("text", "item").join(docs, F.contains("text", "item")).select("query_id", "id")
+    best = candidates(spark, d, 50).join(gold, ["query_id", "id"], "right").groupBy("query_id").agg(F.min("rank").alias("best"))
+    return best.agg(F.count("*").alias("asked"), F.count("best").alias("retrieved"), F.count_if(F.col("best") <= 5).alias("shortlisted"), F.count_if(F.col("best") == 1).alias("first"))
+
+
+@query
+def pair_table(spark, d):
+    """Candidate pairs with their label, and the gold pairs that blocking left out."""
+    docs, items = base.documents(spark, d), base.benchmark(spark, d)
+    gold = items.withColumnRenamed("text", "item").join(docs, F.contains("text", "item")).select("query_id", "id").withColumn("gold", F.lit(True))
+    pairs = candidates(spark, d, 5).select("query_id", "id").withColumn("shown", F.lit(True)).join(gold, ["query_id", "id"], "full")
+    return pairs.select("query_id", "id", F.coalesce("gold", F.lit(False)).alias("same"), F.col("shown").isNull().alias("blocking_miss"))

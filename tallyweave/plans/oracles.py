@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import ATTEMPTS, GOLD_FLAT, LABELLED, LOG, REVIEWS, SIGNALS, SNAPSHOT, plain
+from .base import ANSWERS, ATTEMPTS, GOLD_FLAT, LABELLED, LOG, PARENTS, PROPOSALS, REVIEWS, SIGNALS, SNAPSHOT, plain
 
 FAILURES = "('provider_failure', 'retriever_failure', 'fatal_provider_failure', 'unresolved_output', 'candidate_budget_exceeded')"
 
@@ -168,4 +168,23 @@ FROM judged LEFT JOIN k USING (source_id) LEFT JOIN r USING (source_id) LEFT JOI
 SELECT count(*) AS n, count_if(j.status = 'matched' AND j.correct AND NOT (f.ok AND f.hit)) AS recovered, count_if(f.ok AND f.hit AND NOT (j.status = 'matched' AND j.correct)) AS broken FROM judged j JOIN f USING (source_id) WHERE labelled""",
     "decision_diagnostics": f"{ALL} SELECT count_if(v) AS verifier_disagreed, count_if(u) AS unresolved, count_if(d) AS degraded, count_if(n > 1) AS retried FROM (SELECT source_id, bool_or(verifier = 'disagree') AS v, bool_or(resolution = 'unresolved') AS u, bool_or(retrieval_failures > 0) AS d, count(attempt) AS n FROM attempts GROUP BY ALL)",
     "failures_by_role": f"{ALL}, r AS (SELECT source_id, CASE WHEN status = 'matched' AND NOT correct THEN 'wrong_match' WHEN status = 'unmatched' AND NOT no_match THEN 'missed' WHEN status = 'needs_review' AND correct THEN 'needless_review' WHEN status = 'failed' THEN 'failed' END AS role FROM judged WHERE labelled) SELECT role, source_id, row_number() OVER (PARTITION BY role ORDER BY source_id) AS place FROM r WHERE role IS NOT NULL QUALIFY place <= 20",
+    "confidence_values": f"SELECT event_id, CASE WHEN answer IN ('0.75', '1') THEN answer::DOUBLE END AS score FROM ({plain(ANSWERS)})",
+    "route_proposals": f"""WITH p AS (SELECT source_id, place, kind, trim(value) AS value, CASE WHEN kind = 'candidate' THEN upper(trim(value)) ELSE lower(regexp_replace(trim(value), ' +', ' ', 'g')) END AS form FROM ({plain(PROPOSALS)})),
+q AS (SELECT *, row_number() OVER (PARTITION BY source_id, kind, form ORDER BY place) AS n,
+  CASE WHEN kind = 'candidate' THEN EXISTS (SELECT 1 FROM events e WHERE e.user_id = source_id AND 'C0' || e.event_id % 4 = form) ELSE source_id % 2 = 0 AND EXISTS (SELECT 1 FROM events e WHERE e.user_id = source_id AND 'term ' || e.event_id % 5 = form) END AS known FROM p)
+SELECT source_id, place, kind, value, CASE WHEN value = '' THEN 'blank' WHEN kind = 'candidate' AND NOT known THEN 'not_issued' WHEN kind = 'candidate' AND n > 1 THEN 'duplicate' WHEN kind = 'candidate' THEN 'candidate' WHEN known OR n > 1 THEN 'already_tried' ELSE 'query' END AS outcome FROM q""",
+    "dispatch_calls": """WITH r AS (SELECT event_id AS seq, event_type || user_id % 40 AS request_key, user_id % 40 < 6 AS hit FROM events), m AS (SELECT request_key, min(seq) AS f, row_number() OVER (ORDER BY min(seq)) AS n FROM r WHERE NOT hit GROUP BY request_key)
+SELECT seq, request_key, CASE WHEN hit THEN 'cached' WHEN n > 90 THEN 'refused' WHEN seq = f THEN 'call' ELSE 'shared' END AS answer FROM r LEFT JOIN m USING (request_key)""",
+    "stop_reasons": "SELECT user_id AS run, event_id AS iteration, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 'converged' WHEN count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 THEN 'oscillation' WHEN event_id >= 900 THEN 'max_iterations' END AS reason FROM events",
+    "max_live_clusters": "WITH s AS (SELECT user_id AS run, event_id - event_id % 7 AS step, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE -1 END) AS delta FROM events GROUP BY ALL), l AS (SELECT run, sum(delta) OVER (PARTITION BY run ORDER BY step) AS live FROM s) SELECT run, max(live)::BIGINT AS max_live FROM l GROUP BY run",
+    "join_passes": f"{TOP20}, o AS (SELECT query_id, id, min(CASE retriever WHEN 'head' THEN 0 ELSE 1000 END + rank) AS spot FROM hits GROUP BY ALL) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS rank FROM o",
+    "preflight_counts": "WITH i AS (SELECT doc_id - doc_id % 3 * (doc_id % 2) AS id, doc_id % 10 <= 1 OR trim(coalesce(text, '')) = '' AS blank FROM documents), g AS (SELECT id, count(*) AS n FROM i GROUP BY id) SELECT (SELECT count(*) FROM i) AS rows, (SELECT count(*) FROM g WHERE n > 1) AS duplicate_ids, (SELECT count(*) FROM i WHERE blank) AS empty_texts",
+    "gold_restricted": f"SELECT source_id, count_if(k) AS kept, count_if(NOT k) AS dropped FROM (SELECT source_id, gold_id IN (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0) AS k FROM ({plain(GOLD_FLAT)})) GROUP BY ALL",
+    "gold_alias_closure": f"WITH g AS ({plain(GOLD_FLAT)}) SELECT source_id, gold_id FROM g UNION SELECT source_id, gold_id + 1 FROM g WHERE gold_id % 6 = 0 AND gold_id IN (SELECT p_partkey FROM part)",
+    "hop_headroom": f"""WITH g AS ({plain(GOLD_FLAT)}), s AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS candidate FROM lineitem WHERE l_linenumber > 3), h AS ({plain(PARENTS)}),
+m AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source_id = g.source_id AND candidate = gold_id))
+SELECT count(*) AS missed, count_if(EXISTS (SELECT 1 FROM s JOIN h ON (h.id = candidate AND h.parent = gold_id) OR (h.parent = candidate AND h.id = gold_id) WHERE s.source_id = m.source_id)) AS one_hop FROM m""",
+    "co_exposure": "WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i, p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT (SELECT count(*) FROM (SELECT DISTINCT x.i, y.i FROM s x JOIN s y ON x.o = y.o AND x.b = y.b AND x.i < y.i)) AS exposed_pairs, (SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)) AS gold_pairs",
+    "screen_funnel": f"WITH {bm25(ITEMS, DOCS, 'a')}, r AS (SELECT query_id, id, {RANK} AS rank FROM a QUALIFY {RANK} <= 50), g AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT query_id, min(rank) AS best FROM g LEFT JOIN r USING (query_id, id) GROUP BY ALL) SELECT count(*) AS asked, count(best) AS retrieved, count_if(best <= 5) AS shortlisted, count_if(best = 1) AS \"first\" FROM f",
+    "pair_table": f"WITH {bm25(ITEMS, DOCS, 'a')}, r AS (SELECT query_id, id, true AS shown FROM a QUALIFY {RANK} <= 5), g AS (SELECT item_id AS query_id, doc_id AS id, true AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, id, coalesce(gold, false) AS same, shown IS NULL AS blocking_miss FROM r FULL JOIN g USING (query_id, id)",
 }

@@ -152,3 +152,27 @@ def test_stream_settles_each_source_once(spark, tmp_path):
         match_stream(stream, match, str(tmp_path / "ledger"), str(tmp_path / "checkpoint"), "source_id long, status string").awaitTermination(120)
     got = sorted((r.source_id, r.status) for r in spark.read.parquet(str(tmp_path / "ledger")).collect())
     assert got == [(1, "failed"), (2, "matched"), (3, "matched")]
+
+
+def test_similarity_takes_the_larger_measure(spark):
+    from tallyweave.functions.similarity import similarity
+
+    rows = spark.createDataFrame([("red apple", "apple red"), ("colour", "color"), ("", "x"), (None, "x")], "a string, b string")
+    got = [r.s for r in rows.select(similarity(F.col("a"), F.col("b")).alias("s")).collect()]
+    assert got[0] == 1.0 and abs(got[1] - 10 / 11) < 1e-9 and got[2] == 0.0
+
+
+def test_confidence_is_never_coerced_or_clamped(spark):
+    answers = ["0", "1.0", "1e-3", "1.0001", "-1", "NaN", "Infinity", '"0.5"', "true", "null", "[0.5]", "", None]
+    rows = spark.createDataFrame([(x,) for x in answers], "a string")
+    assert [r.c for r in rows.select(tx.confidence(F.col("a")).alias("c")).collect()] == [0.0, 1.0, 0.001] + [None] * 10
+
+
+def test_dispatch_calls_once_for_equal_requests_and_stops_at_the_budget(spark):
+    from tallyweave.operators import frontier
+
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c"), (5, "d"), (6, "c")], "seq long, request_key string")
+    cache = spark.createDataFrame([("d",), ("d",)], "request_key string")
+    got = {r.seq: r.answer for r in frontier.dispatch(asked, cache, 2).collect()}
+    assert got == {1: "call", 2: "call", 3: "shared", 4: "refused", 5: "cached", 6: "refused"}
+    assert frontier.dispatch(asked.limit(0), cache, 2).count() == 0
