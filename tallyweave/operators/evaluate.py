@@ -127,3 +127,16 @@ def order_sensitivity(first: DataFrame, second: DataFrame) -> DataFrame:
     pairs = left.agg(F.sum(pairs_in(c("a"))).alias("p")).crossJoin(right.agg(F.sum(pairs_in(c("b"))).alias("q")))
     p, r = ratio(c("tp"), c("p")), ratio(c("tp"), c("q"))
     return joined.crossJoin(pairs).select(f1(p, r).alias("pair_f1"), c("unstable_items").cast("long").alias("unstable_items"))
+
+
+def run_gate(baseline: DataFrame, candidate: DataFrame, tolerance: float = 0.02, most_tokens: float = 0.5) -> DataFrame:
+    """Whether a candidate run may replace the baseline, by ``domain``: ``accuracy`` and ``tokens`` of both.
+
+    A domain's accuracy may fall by the tolerance, the mean over domains not at all.
+    """
+    a, b = (d.select("domain", F.col("accuracy").alias(f"accuracy_{n}"), F.col("tokens").alias(f"tokens_{n}")) for d, n in ((baseline, "before"), (candidate, "after")))
+    delta, ratio_ = F.round(F.col("accuracy_after") - F.col("accuracy_before"), 6), F.col("tokens_after") / F.nullif("tokens_before", F.lit(0))
+    both = a.join(b, "domain").select("domain", delta.alias("delta"), F.round(ratio_, 6).alias("token_ratio"))
+    fine = F.coalesce((F.col("delta") >= -tolerance) & (F.col("token_ratio") <= most_tokens), F.lit(False))
+    mean = F.round(F.avg("delta").over(Window.partitionBy(F.lit(0))), 6)  # a row for each domain
+    return both.withColumn("domain_passes", fine).withColumn("run_passes", F.every("domain_passes").over(Window.partitionBy(F.lit(0))) & (mean >= 0))

@@ -46,6 +46,14 @@ def stop_reason(states: DataFrame, most: int) -> DataFrame:
     return states.select("run", "iteration", reason.alias("reason"))
 
 
+def selected_iteration(states: DataFrame, most: int) -> DataFrame:
+    """Each run's first stop and the iteration to keep: the last if converged, else that with least ``unresolved``, of equals the first."""
+    stops = states.join(stop_reason(states, most), ["run", "iteration"])
+    first = stops.where("reason is not null").groupBy("run").agg(F.min(F.struct("iteration", "reason")).alias("stop")).select("run", F.col("stop.iteration").alias("last"), "stop.reason")
+    best = states.join(first, "run").where(F.col("iteration") <= F.col("last")).groupBy("run", "last", "reason").agg(F.min(F.struct("unresolved", "iteration")).alias("best"))
+    return best.select("run", "last", "reason", F.when(F.col("reason") == "converged", F.col("last")).otherwise(F.col("best.iteration")).alias("selected"))
+
+
 def max_live(deltas: DataFrame) -> DataFrame:
     """The most live clusters of each run at a step's end, from ``run``, ``step``, ``delta``. Steps are summed before they are ordered."""
     steps = deltas.groupBy("run", "step").agg(F.sum("delta").alias("delta"))

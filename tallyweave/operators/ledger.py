@@ -94,3 +94,24 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "id", digest: str = "di
     a, b = stored.select(key, F.col(digest).alias("old")), new.select(key, F.col(digest).alias("new"))
     action = F.when(F.col("old").isNull(), "insert").when(F.col("new").isNull(), "prune").when(F.col("old") == F.col("new"), "keep").otherwise("update")
     return a.join(b, key, "full").select(key, action.alias("action"))
+
+
+def review_problems(reviews: DataFrame, results: DataFrame, targets: str) -> DataFrame:
+    """Why a review can't be applied (null: it can), for each of ``result_key``, ``source_hash``, ``proposed_id``.
+
+    ``results`` has a row for each ``result_key``: source_hash, matched_id, current, target_digest. ``targets``
+    is the digest of the targets as they are now.
+    """
+    r = results.select("result_key", F.col("source_hash").alias("now_hash"), "matched_id", "current", "target_digest", F.lit(True).alias("known"))
+    c = F.col
+    problem = (
+        F.when(c("known").isNull(), "unknown_key").when(~c("source_hash").eqNullSafe(c("now_hash")), "source_changed").when(~c("current"), "not_current")
+        .when(~c("proposed_id").eqNullSafe(c("matched_id")), "recomputed").when(c("target_digest") != targets, "targets_changed")
+    )
+    return reviews.join(r, "result_key", "left").select(*reviews.columns, problem.alias("problem"))
+
+
+def applied_batch(checked: DataFrame) -> DataFrame:
+    """All checked reviews, or none if any of them has a problem."""
+    bad = checked.agg(F.count("problem").alias("bad"))
+    return checked.crossJoin(F.broadcast(bad)).where("bad = 0").drop("bad", "problem")  # one row

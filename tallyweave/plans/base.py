@@ -53,6 +53,16 @@ SELECT user_id AS source_id, event_id AS place, CASE WHEN event_type IN ('view',
 FROM {events}
 """
 PARENTS = "SELECT p_partkey AS id, p_partkey - p_partkey % 10 AS parent FROM {part} WHERE p_partkey % 10 <> 0"
+REPLIES = """
+SELECT event_id, CASE event_id % 8 WHEN 0 THEN '<think>{{"a": 0}}</think> {{"a": 1}}' WHEN 1 THEN 'so </THINK>```json {{"a": 2,}} ```' WHEN 2 THEN 'Sure: {{"a": "}}", "b": {{"c": 3}}}} and {{"d": 4}}'
+  WHEN 3 THEN '[1, 2]' WHEN 4 THEN 'none' WHEN 5 THEN '{{"a": 5' WHEN 6 THEN '<reasoning>{{"a": 6}}' END AS reply
+FROM {events}
+"""
+KEYED = """
+SELECT event_id AS result_key, event_id % 11 AS source_hash, event_id % 50 AS matched_id, event_id % 5 <> 0 AS current, CASE WHEN event_id % 7 = 0 THEN 't0' WHEN event_id % 7 < 5 THEN 't1' END AS target_digest
+FROM {events} WHERE event_id % 13 <> 0
+"""
+WORKSHEET = "SELECT event_id AS result_key, CASE WHEN event_id % 17 = 0 THEN 99 ELSE event_id % 11 END AS source_hash, event_id % 50 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS proposed_id FROM {events}"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

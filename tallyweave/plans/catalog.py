@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import ids, similarity
+from ..functions import answers, ids, similarity
 from ..functions import text as tx
 from ..operators import catalogue, cluster, decide, evaluate, frontier, ledger, retrieval
 from . import base
@@ -546,3 +546,25 @@ def pair_table(spark, d):
     gold = items.withColumnRenamed("text", "item").join(docs, F.contains("text", "item")).select("query_id", "id").withColumn("gold", F.lit(True))
     pairs = candidates(spark, d, 5).select("query_id", "id").withColumn("shown", F.lit(True)).join(gold, ["query_id", "id"], "full")
     return pairs.select("query_id", "id", F.coalesce("gold", F.lit(False)).alias("same"), F.col("shown").isNull().alias("blocking_miss"))
+
+
+@query
+def parsed_answers(spark, d):
+    return base.select(spark, d, base.REPLIES).select("event_id", answers.json_object(F.col("reply")).alias("object"))
+
+
+@query
+def review_problems(spark, d):
+    return ledger.review_problems(base.select(spark, d, base.WORKSHEET), base.select(spark, d, base.KEYED), "t1")
+
+
+@query
+def run_gate(spark, d):
+    rows = "SELECT domain, avg(CASE WHEN l_quantity > {0} THEN 1.0D ELSE 0.0D END) AS accuracy, avg(l_extendedprice * {1}) AS tokens FROM (SELECT *, concat(l_returnflag, l_linestatus) AS domain FROM {{lineitem}}) t GROUP BY domain"
+    return evaluate.run_gate(base.select(spark, d, rows.format("25", "1.0D")), base.select(spark, d, rows.format("24 + l_linenumber % 2", "0.4D")))
+
+
+@query
+def selected_iterations(spark, d):
+    states = base.select(spark, d, "SELECT user_id AS run, event_id AS iteration, event_type AS digest, event_id % 17 AS unresolved FROM {events}")
+    return frontier.selected_iteration(states, 900)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .base import ANSWERS, ATTEMPTS, GOLD_FLAT, LABELLED, LOG, PARENTS, PROPOSALS, REVIEWS, SIGNALS, SNAPSHOT, plain
+from .base import ANSWERS, ATTEMPTS, GOLD_FLAT, KEYED, LABELLED, LOG, PARENTS, PROPOSALS, REVIEWS, SIGNALS, SNAPSHOT, WORKSHEET, plain
 
 FAILURES = "('provider_failure', 'retriever_failure', 'fatal_provider_failure', 'unresolved_output', 'candidate_budget_exceeded')"
 
@@ -187,4 +187,10 @@ SELECT count(*) AS missed, count_if(EXISTS (SELECT 1 FROM s JOIN h ON (h.id = ca
     "co_exposure": "WITH s AS (SELECT DISTINCT l_orderkey AS o, l_partkey AS i, p_brand AS b FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT (SELECT count(*) FROM (SELECT DISTINCT x.i, y.i FROM s x JOIN s y ON x.o = y.o AND x.b = y.b AND x.i < y.i)) AS exposed_pairs, (SELECT sum(n * (n - 1) // 2)::BIGINT FROM (SELECT count(*) AS n FROM part GROUP BY p_brand)) AS gold_pairs",
     "screen_funnel": f"WITH {bm25(ITEMS, DOCS, 'a')}, r AS (SELECT query_id, id, {RANK} AS rank FROM a QUALIFY {RANK} <= 50), g AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), f AS (SELECT query_id, min(rank) AS best FROM g LEFT JOIN r USING (query_id, id) GROUP BY ALL) SELECT count(*) AS asked, count(best) AS retrieved, count_if(best <= 5) AS shortlisted, count_if(best = 1) AS \"first\" FROM f",
     "pair_table": f"WITH {bm25(ITEMS, DOCS, 'a')}, r AS (SELECT query_id, id, true AS shown FROM a QUALIFY {RANK} <= 5), g AS (SELECT item_id AS query_id, doc_id AS id, true AS gold FROM benchmark b JOIN documents d ON contains(d.text, b.text)) SELECT query_id, id, coalesce(gold, false) AS same, shown IS NULL AS blocking_miss FROM r FULL JOIN g USING (query_id, id)",
+    "parsed_answers": """SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{"a":1}' WHEN 1 THEN '{"a":2}' WHEN 2 THEN '{"a":"}","b":{"c":3}}' END AS object FROM events""",
+    "review_problems": f"SELECT w.*, CASE WHEN k.result_key IS NULL THEN 'unknown_key' WHEN w.source_hash IS DISTINCT FROM k.source_hash THEN 'source_changed' WHEN NOT current THEN 'not_current' WHEN proposed_id IS DISTINCT FROM matched_id THEN 'recomputed' WHEN target_digest <> 't1' THEN 'targets_changed' END AS problem FROM ({plain(WORKSHEET)}) w LEFT JOIN ({plain(KEYED)}) k USING (result_key)",
+    "run_gate": "WITH d AS (SELECT l_returnflag || l_linestatus AS domain, round(avg(CASE WHEN l_quantity > 24 + l_linenumber % 2 THEN 1.0::DOUBLE ELSE 0 END) - avg(CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0 END), 6) AS delta, round(avg(l_extendedprice * 0.4) / avg(l_extendedprice), 6) AS token_ratio FROM lineitem GROUP BY ALL), p AS (SELECT *, delta >= -0.02 AND token_ratio <= 0.5 AS domain_passes FROM d) SELECT *, bool_and(domain_passes) OVER () AND round(avg(delta) OVER (), 6) >= 0 AS run_passes FROM p",
+    "selected_iterations": """WITH e AS (SELECT user_id AS run, event_id AS i, event_id % 17 AS u, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 'converged' WHEN count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 THEN 'oscillation' WHEN event_id >= 900 THEN 'max_iterations' END AS reason FROM events),
+f AS (SELECT run, min(i) AS last, arg_min(reason, i) AS reason FROM e WHERE reason IS NOT NULL GROUP BY run)
+SELECT run, last, f.reason AS reason, CASE WHEN f.reason = 'converged' THEN last ELSE arg_min(i, u * 1000000000 + i) END AS selected FROM f JOIN e USING (run) WHERE i <= last GROUP BY run, last, f.reason""",
 }

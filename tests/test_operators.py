@@ -176,3 +176,29 @@ def test_dispatch_calls_once_for_equal_requests_and_stops_at_the_budget(spark):
     got = {r.seq: r.answer for r in frontier.dispatch(asked, cache, 2).collect()}
     assert got == {1: "call", 2: "call", 3: "shared", 4: "refused", 5: "cached", 6: "refused"}
     assert frontier.dispatch(asked.limit(0), cache, 2).count() == 0
+
+
+def test_json_objects_of_odd_answers(spark):
+    from tallyweave.functions import answers
+
+    cases = {
+        '{"a": [1, 2,], }': '{"a":[1,2]}',
+        'x {"a": "\\"}"} y': '{"a":"\\"}"}',
+        "} {": None,
+        '"{" {"a": 1}': '{"a":1}',
+        "<think>never closed {": None,
+        "```\n{\"b\": null}\n``` {\"a\": 1}": '{"b":null}',
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(cases)], "i int, a string")
+    got = [r.o for r in rows.select("i", answers.json_object(F.col("a")).alias("o")).orderBy("i").collect()]
+    assert got == list(cases.values())
+
+
+def test_reviews_apply_all_or_none(spark):
+    results = spark.createDataFrame([(1, "h", 5, True, "t"), (2, "h", None, True, None)], "result_key long, source_hash string, matched_id long, current boolean, target_digest string")
+    good = spark.createDataFrame([(1, "h", 5), (2, "h", None)], "result_key long, source_hash string, proposed_id long")
+    bad = good.union(spark.createDataFrame([(3, "h", 5)], good.schema))
+    assert ledger.applied_batch(ledger.review_problems(good, results, "t")).count() == 2
+    assert ledger.applied_batch(ledger.review_problems(bad, results, "t")).count() == 0
