@@ -261,6 +261,35 @@ def test_decontamination_equals_brute_force():
         assert (found[0]["edits"] if found else None) == (true if true <= decontaminate.budget(120) else None)
 
 
+def test_fewest_edits_equals_the_table():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        item, region = (bytes(rng.integers(97, 100, int(n)).astype(np.uint8)) for n in rng.integers((1, 0), (90, 120)))
+        row = [0] * (len(region) + 1)
+        for i, x in enumerate(item, 1):
+            new = [i]
+            for j, y in enumerate(region, 1):
+                new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
+            row = new
+        assert decontaminate.fewest_edits(item, region) == min(row)
+
+
+@pytest.mark.parametrize("size", [81, 120, 394])
+@pytest.mark.parametrize("share", [0.06, 0.07, 0.08, 0.09, 0.1])
+def test_decontamination_finds_up_to_a_tenth_of_edits(size, share):
+    rng = np.random.default_rng(size)
+    item = bytes(rng.integers(97, 123, size).astype(np.uint8))
+    items = decontaminate.Items([(1, item.decode())])
+    edits = int(share * size)
+    text = bytearray(item)
+    for k in range(edits):
+        at = (2 * k + 1) * size // (2 * edits)
+        text[at] = 97 + (text[at] - 97 + 1) % 26
+    line = np.frombuffer(b"0" * 40 + bytes(text) + b"0" * 9, np.uint8)
+    found = items.hits(line, [(i, b) for _, i, b in items.bands(line, np.array([0, len(line)]))])
+    assert [(h["item_id"], h["edits"]) for h in found] == [(1, edits)]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8)).astype(np.float32).tolist()
