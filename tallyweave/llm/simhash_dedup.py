@@ -5,8 +5,11 @@ A fingerprint bit is 1 where over half of a text's shingle hashes have it set. F
 
 Plan. Equal fingerprints become one row first. Two fingerprints within ``radius`` bits agree on at least
 one of ``radius + 1`` bit blocks (pigeonhole), so each is dealt once to the bucket of each of its blocks.
-For wide radii (a similarity of 0.8) that bound is of no use; there, blocks are random bits of a longer
-fingerprint, as many as a stated chance to meet in one of them asks for.
+For a Jaccard similarity (0.8 of sets of shingles) that bound is of no use; there, blocks are random bits of
+a longer fingerprint, as many as a stated chance to meet in one of them asks for, and a link within the
+radius only proposes: components of such links meet whole, and pairs in them link if their sets of shingles
+(told by 64-bit hashes) have the similarity. Equal sets become one row first. What is lost are pairs whose
+fingerprints lie beyond the radius, and those that meet in no bucket nor through others.
 A bucket far above the mean is cut into slices, and each pair of slices meets in a tile of its own. Within
 a bucket the fingerprints are sorted by Gray rank, where neighbours differ in few bits, and groups of
 neighbours get a node with the bits that all share and their mask. A self-join walks pairs of nodes from
@@ -40,18 +43,24 @@ FAN_OUT = 8
 #: Fingerprints of a bucket that are joined in one task at most, or this many times the mean.
 TILE_ROWS, TILE_MEANS = 20_000, 4
 PAIRS_AT_ONCE = 1 << 18
+#: Fingerprints of a bucket up to which all its pairs are compared, where links only propose.
+SMALL_ROWS = 256
+#: Sets of shingles that one task verifies on average, at most.
+SETS_AT_ONCE = 5_000
 EDGES = "a long, b long"
 MIX = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
 class Plan:
-    """What is compared: words of a shingle, 64-bit words of a fingerprint, the radius, and the bits of each bucket."""
+    """What is compared: words of a shingle, 64-bit words of a fingerprint, the radius, the bits of each bucket, and the
+    Jaccard similarity (numerator and denominator) that sets of shingles must have, if any."""
 
     shingle: int
     words: int
     radius: int
     blocks: tuple[tuple[int, ...], ...]
+    similarity: tuple[int, int] | None = None
 
 
 def exact_plan(shingle: int = 4, radius: int = 4) -> Plan:
@@ -60,36 +69,41 @@ def exact_plan(shingle: int = 4, radius: int = 4) -> Plan:
     return Plan(shingle, 1, radius, tuple(tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)))
 
 
-def similarity_plan(rows: int, shingle: int = 5, similarity: float = 0.8, missed: float = 0.02) -> Plan:
-    """256 bits and the radius of a Jaccard similarity (of sets of shingles), with a margin of half a deviation.
+def similarity_plan(rows: int, shingle: int = 5, similarity: tuple[int, int] = (4, 5), missed: float = 0.001, deviations: float = 3.5) -> Plan:
+    """256 bits and the radius of a Jaccard similarity (of sets of shingles), with a margin of some deviations.
 
-    Two sets of similarity J have a cosine of about 2J / (1 + J), and differ in each bit with the chance of
+    Two sets of similarity J have a cosine of at least 2J / (1 + J), and differ in each bit with the chance of
     their angle over pi. A pair at the similarity agrees in none of the buckets with the chance ``missed``.
     Buckets take more bits as the corpus grows, and so many more buckets that this stays so.
     """
     words = 4
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = int(64 * words * differ + 0.5 * math.sqrt(64 * words * differ * (1 - differ)))
+    differ = math.acos(2 * similarity[0] / sum(similarity)) / math.pi
+    radius = int(64 * words * differ + deviations * math.sqrt(64 * words * differ * (1 - differ)))
     bits = max(13, math.ceil(math.log2(max(2, rows))) - 5)
     blocks = math.ceil(math.log(missed) / math.log(1 - (1 - differ) ** bits))
     rng = np.random.default_rng(7)
-    return Plan(shingle, words, radius, tuple(tuple(sorted(rng.choice(64 * words, bits, replace=False).tolist())) for _ in range(blocks)))
+    return Plan(shingle, words, radius, tuple(tuple(sorted(rng.choice(64 * words, bits, replace=False).tolist())) for _ in range(blocks)), similarity)
 
 
-def fingerprint(raw: bytes, shingle: int = 4, words: int = 1) -> bytes:
-    """SimHash of the XXH64 (seed 42) of each run of ``shingle`` lower-cased words, repeats included.
-
-    Words of a fingerprint after the first use a mix of the same hashes.
-    """
+def shingles(raw: bytes, shingle: int) -> np.ndarray:
+    """The XXH64 (seed 42) of each run of ``shingle`` lower-cased words, repeats included; of fewer words, of all."""
     line = b" ".join(raw.lower().split())
     if not line:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
     n = max(1, len(gaps) + 2 - shingle)
     starts = [0, *(gaps[: n - 1] + 1).tolist()]
     ends = [*gaps[shingle - 1 :].tolist(), len(line)] if len(gaps) >= shingle - 1 else [len(line)]
     digest = xxhash.xxh64_digest
-    hashes = np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)]), ">u8")
+    return np.frombuffer(b"".join([digest(line[a:b], 42) for a, b in zip(starts, ends, strict=True)]), ">u8")
+
+
+def simhash(hashes: np.ndarray, words: int = 1) -> bytes:
+    """SimHash of shingle hashes. Words of a fingerprint after the first use a mix of the same hashes."""
+    n = len(hashes)
+    if not n:
+        return bytes(8 * words)
+    hashes = hashes.astype(">u8")
     if words > 1:
         own = hashes.astype(np.uint64)
         hashes = np.stack([own, *(splitmix(own + np.uint64(k * MIX % 2**64)) for k in range(1, words))], axis=1).astype(">u8")
@@ -99,16 +113,26 @@ def fingerprint(raw: bytes, shingle: int = 4, words: int = 1) -> bytes:
     return np.packbits(2 * ones > n).tobytes()
 
 
+def fingerprint(raw: bytes, shingle: int = 4, words: int = 1) -> bytes:
+    """SimHash of the shingles of a text, repeats included."""
+    return simhash(shingles(raw, shingle), words)
+
+
 def fingerprints(docs: DataFrame, plan: Plan, carry: list[str], text: str = "text") -> DataFrame:
-    """The ``carry`` columns and ``fp``, the fingerprint's bytes, for each row."""
+    """The ``carry`` columns and ``fp``, the fingerprint's bytes, for each row; with a similarity those of the set of
+    shingles, followed by 128 bits that tell the set."""
     schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("fp", T.BinaryType())])
 
+    def of_set(raw: bytes) -> bytes:
+        own = np.unique(shingles(raw, plan.shingle).astype(np.uint64))
+        return simhash(own, plan.words) + xxhash.xxh3_128_digest(own.tobytes())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = text_bytes(batch.column(batch.num_columns - 1))
             raw, at = data.tobytes(), at.tolist()
-            marks = pa.array([fingerprint(raw[a:b], plan.shingle, plan.words) for a, b in zip(at, at[1:], strict=False)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], marks], [*carry, "fp"])
+            marks = [of_set(raw[a:b]) if plan.similarity else fingerprint(raw[a:b], plan.shingle, plan.words) for a, b in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.binary())], [*carry, "fp"])
 
     return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
@@ -233,6 +257,23 @@ def spanning_links(codes: np.ndarray, numbers: np.ndarray, radius: int) -> tuple
     return numbers[order[part[child]]], numbers[order[child]]
 
 
+def spanning_links_of_small(codes: np.ndarray, numbers: np.ndarray, cuts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many small buckets at once, from all pairs of each; bucket k has the rows from ``cuts[k]`` on."""
+    forest = Forest(len(codes))
+    left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(codes)) - 1  # rows of the bucket after each
+    upto = np.concatenate([[0], np.cumsum(left)])
+    i = 0
+    while i < len(codes):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS_AT_ONCE, "right")) - 1)
+        a = np.repeat(np.arange(i, j), left[i:j])
+        b = a + 1 + np.arange(len(a)) - (upto[a] - upto[i])
+        near = ones(codes[a] ^ codes[b]) <= radius
+        forest.join(a[near], b[near])
+        i = j
+    child = np.flatnonzero(forest.part != np.arange(len(codes)))
+    return numbers[forest.part[child]], numbers[child]
+
+
 def deal(classes: DataFrame, plan: Plan) -> DataFrame:
     """A row for each fingerprint and block: ``block``, ``value`` (its bits there), ``number``, ``fp``."""
 
@@ -268,7 +309,15 @@ def near_links(classes: DataFrame, plan: Plan) -> DataFrame:
         order = np.lexsort(keys[::-1])
         keys = keys[:, order]
         edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        found = [spanning_links(codes[own], numbers[own], plan.radius) for own in np.split(order, edges) if len(own) > 1]
+        found, small = [], []
+        for own in np.split(order, edges):
+            if plan.similarity and 1 < len(own) <= SMALL_ROWS:
+                small.append(own)
+            elif len(own) > 1:
+                found.append(spanning_links(codes[own], numbers[own], plan.radius))
+        if small:
+            own = np.concatenate(small)
+            found.append(spanning_links_of_small(codes[own], numbers[own], np.cumsum([0, *map(len, small)]), plan.radius))
         a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -302,6 +351,85 @@ def rooted_classes(marks: DataFrame, plan: Plan, scratch: Scratch, least: Column
     return scratch.save(classes.join(roots, classes.number == roots.node, "left").select("fp", "least", F.coalesce("root", "number").alias("root")), "rooted")
 
 
+def set_links(codes: np.ndarray, sets: list[np.ndarray], plan: Plan) -> np.ndarray:
+    """The connected part of each set, where sets within the radius that have the similarity are linked."""
+    num, den = plan.similarity
+    size = np.array([len(x) for x in sets])
+    order = np.argsort(size, kind="stable")
+    codes, size, at = codes[order], size[order], np.concatenate([[0], np.cumsum(size[order])])
+    ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    flag, part = np.zeros(int(ids.max(initial=0)) + 1, bool), np.arange(len(sets))
+    for i in range(len(sets)):
+        end = int(np.searchsorted(size, size[i] * den // num, "right"))  # larger ones can't have the similarity
+        near = i + 1 + np.flatnonzero((part[i + 1 : end] != part[i]) & (ones(codes[i + 1 : end] ^ codes[i]) <= plan.radius))
+        if not len(near):
+            continue
+        flag[ids[at[i] : at[i + 1]]] = True
+        common = np.array([np.count_nonzero(flag[ids[at[j] : at[j + 1]]]) for j in near])
+        flag[ids[at[i] : at[i + 1]]] = False
+        for j in near[common * (num + den) >= num * (size[i] + size[near])]:
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+    out = np.empty(len(sets), np.int64)
+    out[order] = order[part]
+    return out
+
+
+def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan) -> DataFrame:
+    """Links ``a``, ``b`` that connect all pairs of the similarity within each root of ``proposed`` (``key``, ``number``,
+    ``fp``, ``root``), whose texts are those of ``texts`` (``key``, ``text``). Large roots are cut into slices that meet in tiles."""
+    spark = texts.sparkSession
+    sizes = proposed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    sliced = proposed.join(sizes.select("root", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("slices")), "root")
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SETS_AT_ONCE))
+    hashed = T.StructType([T.StructField(n, t) for n, t in (("root", T.LongType()), ("slices", T.IntegerType()), ("number", T.LongType()), ("fp", T.BinaryType()), ("hashes", T.BinaryType()))])
+
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, at = text_bytes(batch.column(4))
+            first = []
+            for k, number in enumerate(batch.column(2).to_pylist()):  # rows of one id and text: one stays
+                if number not in seen:
+                    seen.add(number)
+                    first.append(k)
+            sets = [np.unique(shingles(data[at[k] : at[k + 1]].tobytes(), plan.shingle).astype(np.uint64)).tobytes() for k in first]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first, pa.int64())) for c in range(4)), pa.array(sets, pa.binary())], hashed.names)
+
+    rows = texts.join(sliced, "key").select("root", "slices", "number", "fp", F.col("text").cast("string").alias("text")).mapInArrow(hash_texts, hashed)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("number"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select("number", "fp", "hashes", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    keyed = rows.withColumn("part", F.pmod(F.xxhash64("root", "low", "high"), F.lit(parts)).cast("int"))
+
+    def run(table):
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("root", "low", "high", "number")])
+        codes, raw, order = as_codes(table.column("fp")), table.column("hashes").to_pylist(), np.lexsort(keys[::-1])
+        keys = keys[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
+        order, keys = order[new], keys[:, new]
+        a, b = [], []
+        for own in np.split(np.arange(len(order)), np.flatnonzero((keys[:3, 1:] != keys[:3, :-1]).any(axis=0)) + 1):
+            part = set_links(codes[order[own]], [np.frombuffer(raw[k], np.uint64) for k in order[own]], plan)
+            child = np.flatnonzero(part != np.arange(len(own)))
+            a.append(keys[3, own[child]])
+            b.append(keys[3, own[part[child]]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return keyed.groupBy("part").applyInArrow(run, EDGES).distinct()
+
+
+def alike_classes(texts: DataFrame, marks: DataFrame, plan: Plan, scratch: Scratch, least: Column) -> DataFrame:
+    """``root`` and ``least`` as in ``rooted_classes``, where components are of pairs whose sets have the plan's similarity."""
+    classes = marks.groupBy("fp").agg(F.min(least).alias("least")).select(F.expr(f"substring(fp, 1, {8 * plan.words})").alias("fp"), "least", F.monotonically_increasing_id().alias("number"))
+    classes = scratch.save(classes, "classes")
+    roots = components(near_links(classes, plan), scratch)
+    proposed = scratch.save(classes.join(roots, classes.number == roots.node).select(F.col("least.key").alias("key"), "number", "fp", "root"), "proposed")
+    links = components(verified_links(texts, proposed, plan), Scratch(scratch.spark, "simhash_verified"))
+    return classes.join(links, classes.number == links.node, "left").select("least", F.coalesce("root", "number").alias("root"))
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (its smallest doc_id) for each row of ``docs``."""
     plan, scratch = plan or exact_plan(), Scratch(docs.sparkSession, "simhash")
@@ -323,7 +451,8 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), F.col(text).alias("text"))
     marks = scratch.save(fingerprints(rows, plan, ["id", "key"]), "fingerprints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
-    kept = rooted_classes(marks, plan, scratch, order).groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
+    rooted = alike_classes(rows.select("key", "text"), marks, plan, scratch, order) if plan.similarity else rooted_classes(marks, plan, scratch, order)
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
     # Rows of one id and text: one stays. They meet before the shuffle already, however many they are.
     found = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).groupBy("key").agg(F.first("row").alias("row"))
     return found.join(kept, "key", "left_semi").select("row.*")

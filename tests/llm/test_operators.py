@@ -141,6 +141,47 @@ def test_near_copies_stage(spark):
     assert sorted(r.doc_id for r in kept) == [1, 2, 4]
 
 
+def shingle_sets(texts):
+    return [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+
+
+def changed_words(rng, base, edits):
+    own = list(base)
+    for at in np.linspace(3, len(own) - 4, edits).astype(int):
+        own[at] = f"new{rng.integers(0, 10**9)}"
+    return " ".join(own)
+
+
+def test_near_copies_have_the_true_similarity(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(60):  # 8 or 12 changed words of 400 give a similarity of about 0.82 and 0.74
+        base = long_text(1000 + k, 400).split()
+        texts += [" ".join(base), changed_words(rng, base, 8 if k % 2 else 12)]
+    sets = shingle_sets(texts)
+    true = [len(a & b) / len(a | b) for a, b in zip(sets[::2], sets[1::2], strict=True)]
+    assert 0.8 <= min(true[1::2]) < 0.83 and 0.7 < max(true[::2]) < 0.78
+    kept = simhash_dedup.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [i for i in range(120) if i % 2 == 0 or true[i // 2] < 0.8]
+
+
+def test_near_copies_are_of_sets(spark):
+    line, other = long_text(21, 40), long_text(22, 12)
+    texts = [f"{line} {line} {line} {other}", f"{line} {line} {other} ", f"{line} {line} {line} {line} {line} {line} {other}"]
+    assert len(set(map(frozenset, shingle_sets(texts)))) == 1
+    kept = simhash_dedup.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept] == [0]
+
+
+def test_verified_links_over_slices(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "TILE_ROWS", 8)
+    monkeypatch.setattr(simhash_dedup, "SMALL_ROWS", 4)
+    rng, base = np.random.default_rng(4), long_text(30, 300).split()
+    texts = [changed_words(rng, base, 3) for _ in range(40)] + [changed_words(rng, base, 20) for _ in range(10)] + [long_text(31), None]
+    kept = simhash_dedup.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in kept) == [0, *range(40, 52)]
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
