@@ -9,7 +9,8 @@ products; the labels of its ``NEIGHBOURS`` nearest are weighted by similarity, a
 class among all labelled rows over that in the sample.
 
 Null, empty and white-space texts have no terms and get the share of label 1. Without labelled rows every
-score is 0.5. Null labels and null ids teach nothing; of repeated labels of an id the largest counts.
+score is 0.5. Null labels and null ids teach nothing; of repeated labels of an id the largest counts, and of
+repeated rows of an id one teaches (the one whose term shares are the smallest bytes).
 Repeated rows are scored each. Extra columns are carried as they are; result columns are added last, and
 a column of ``docs`` with one of their names must be left out of ``carry``.
 """
@@ -115,10 +116,12 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: str, doc_id: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shares = term_shares(*text_bytes(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shares], pa.binary())], ["label", "shares"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in shares], pa.binary())], ["label", "doc_id", "shares"])
 
     taught = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(sample, "doc_id").select("label", "text", "doc_id")
-    rows = taught.select("label", "text").mapInArrow(run, "label int, shares binary").orderBy("label", "shares").limit(2 * SAMPLE).collect()
+    # A row for each id: at most SAMPLE of a class, however often an id is repeated.
+    each = taught.mapInArrow(run, "label int, doc_id long, shares binary").groupBy("label", "doc_id").agg(F.min("shares").alias("shares"))
+    rows = each.orderBy("label", "shares").collect()
     shares = np.array([np.frombuffer(r.shares, np.float32) for r in rows], np.float32).reshape(-1, TERMS)
     return Voters(shares, np.array([r.label for r in rows], np.int64), sizes)
 

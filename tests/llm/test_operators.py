@@ -384,6 +384,20 @@ def test_quality_and_language_on_odd_rows(spark, docs, rows, empty):
     assert {r.lang_pred for r in langid.identify(plain, langid.fit(empty, "true")).collect()} == {"und"}
 
 
+@pytest.mark.parametrize("repeats", [{}, {0: 100}, {1: 100}])
+def test_quality_sample_takes_both_classes_of_repeated_rows(spark, monkeypatch, repeats):
+    monkeypatch.setattr(quality, "SAMPLE", 20)
+    ids = [i for i in range(60) for _ in range(repeats.get(i, 2))]
+    texts = {i: long_text(i, 30) if i % 2 else "!!! ??? " * (i + 1) for i in range(60)}
+    docs = spark.createDataFrame([(i, texts[i]) for i in ids], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], LABELS)
+    # Ids 0 and 1 are sampled for sure where each class has no more than SAMPLE of them.
+    voters = quality.fit(docs, labels, "doc_id < 40" if repeats else "true")
+    assert np.bincount(voters.labels.astype(int)).tolist() == [20, 20]
+    scores = {r.doc_id: r.predicted for r in quality.score(docs, voters).collect()}
+    assert scores == {i: i % 2 for i in range(60)}
+
+
 def test_language_filter_reports_all_languages():
     grams = np.arange(1000, 3000, dtype=np.uint64)
     f = langid.MaskFilter(["a", "b"], {"a": grams[:1500], "b": grams[500:]})
