@@ -7,7 +7,7 @@ Each language's popcount over a text's n-grams is corrected by its filter's fals
 highest corrected share decides. Longer n-grams weigh more; ties go to the language with more sampled rows.
 
 A null text, or one without a letter, is ``und`` with score 0. Null languages teach nothing; without any
-labelled row all is ``und``. Repeated rows are judged each. Extra columns are carried as they are.
+labelled row all is ``und``. Each 64 languages have a filter of their own. Repeated rows are judged each. Extra columns are carried as they are.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from .bytetext import splitmix, text_bytes
 
-#: Labelled texts of a language that are learned (the same number from each of its parts), and languages, at most.
+#: Labelled texts of a language that are learned, at most (the same number from each of its parts), and languages of a filter.
 SAMPLE, PARTS, LANGUAGES = 1500, 50, 64
 #: Bytes of an n-gram, and what a hit of that size counts.
 SIZES = {3: 1.0, 4: 1.5, 5: 2.0}
@@ -99,16 +99,25 @@ class MaskFilter:
         return out / np.maximum(weight, 1)[:, None] if n else out
 
 
-def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> MaskFilter | None:
+class MaskFilters:
+    """Filters of ``LANGUAGES`` languages each, asked as one."""
+
+    def __init__(self, names: list[str], kept: dict[str, np.ndarray]) -> None:
+        self.names = names
+        self.filters = [MaskFilter(names[i : i + LANGUAGES], kept) for i in range(0, len(names), LANGUAGES)]
+
+    def shares(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.hstack([f.shares(data, at) for f in self.filters])
+
+
+def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> MaskFilters | None:
     """Learns from rows with a language where the SQL condition ``teaches`` on ``doc_id`` holds."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where("lang is not null").where(teaches)
     # Parts of a language are cut on their own, and before the shuffle too: no task ranks all ids of a language.
     order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
     parts = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)))
     sample = parts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE // PARTS).select("doc_id", "lang").distinct()
-    sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not sizes:
         return None
 
@@ -123,14 +132,14 @@ def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text
                         number, count = np.unique(grams(data, size), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(number)), pa.array([size] * len(number), pa.int32()), pa.array(number.view(np.int64)), pa.array(count)], ["lang", "size", "gram", "n"])
 
-    taught = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), ["doc_id", "lang"])  # LANGUAGES * SAMPLE ids at most
+    taught = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), ["doc_id", "lang"])  # SAMPLE ids of a language at most
     counts = taught.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= KEPT).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # KEPT numbers for each language and size at most
-    return MaskFilter(list(sizes), {n: np.zeros(0, np.uint64) for n in sizes} | {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in kept})
+    return MaskFilters(list(sizes), {n: np.zeros(0, np.uint64) for n in sizes} | {r.lang: np.array(r.grams, np.int64).view(np.uint64) for r in kept})
 
 
-def identify(docs: DataFrame, model: MaskFilter | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, model: MaskFilters | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (all by default), ``lang_pred`` and ``score`` for each row."""
     carry = docs.columns if carry is None else carry
     shared = docs.sparkSession.sparkContext.broadcast(model)

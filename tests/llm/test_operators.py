@@ -406,6 +406,15 @@ def test_language_filter_reports_all_languages():
     assert (f.masks(np.arange(10**6, 10**6 + 5000, dtype=np.uint64)) == 0).mean() > 0.99
 
 
+def test_more_languages_than_a_word_has_bits(spark):
+    rng = np.random.default_rng(2)
+    words_ = {k: ["".join(map(chr, rng.integers(97, 123, 6))) for _ in range(8)] for k in range(70)}
+    rows = [(k * 10 + i, f"l{k}", " ".join(rng.permutation(words_[k]))) for k in range(70) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    got = langid.identify(docs, langid.fit(docs, "true")).collect()
+    assert len(got) == 350 and all(r.lang_pred == r.lang for r in got)
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 @pytest.mark.parametrize("kind", ["odd", "empty"])
 def test_stages_take_odd_rows(spark, docs, empty, tmp_path, name, kind):
