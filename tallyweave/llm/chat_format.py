@@ -2,8 +2,13 @@
 
 The nested field paths of a layout are hashed; the hash selects a declarative mapping, which names where
 the turns lie and which field is their role and text. Two entrances share the mappings: DataFrames, whose
-schema has one fingerprint, and columns of JSON documents, where each row has its own and unknown layouts
-are reported, not dropped. Both give canonical turns, an array of (role, text).
+schema has one fingerprint, and columns of JSON documents, where each row has its own, over the fields of
+all its messages, and unknown layouts are reported, not dropped. Both give canonical turns, an array of
+(role, text). Sources of several layouts become one table of conversations by ``format_sources``.
+
+Of a schema only paths that some mapping names are hashed, so ids and other columns beside a layout don't
+matter. Where those left fit no mapping as a whole, the widest mapping within them is taken, and two of
+equal width are refused with an error.
 
 The template writes each turn as ``<s>[INST]role[/INST]text</s>``. Where a role or text holds a control
 string, or an escaped one, a backslash is put after its first bracket, so no control string is left inside
@@ -11,8 +16,9 @@ and one backslash taken away gives the original. ``parse`` reads turns back from
 
 Null texts and roles are empty ones. Turns of a conversation are ordered by turn number, then role, then
 text, so ties and repeated rows have one result; a null turn comes first. Rows with a null conversation id
-are one conversation. Extra columns are not read. An empty table gives no conversation. One conversation
-is one value of the result, so its turns meet in one row; different conversations never do.
+are one conversation. Extra columns are not read. An empty table gives no conversation. Very long texts are
+kept whole. One conversation is one value of the result, so its turns meet in one row; different
+conversations never do.
 """
 
 from __future__ import annotations
@@ -59,6 +65,9 @@ MAPPINGS = (
     Mapping("turn rows", ("conv_id", "turn", "role", "text")),
     Mapping("messages", ("messages[].role", "messages[].content"), "messages", "role", "content"),
     Mapping("message texts", ("messages[].role", "messages[].text"), "messages", "role", "text"),
+    Mapping("mixed messages", ("messages[].role", "messages[].content", "messages[].text"), "messages", "role", "content\ntext"),
+    Mapping("messages of speakers", ("messages[].from", "messages[].content"), "messages", "from", "content", roles=HUMAN),
+    Mapping("named messages", ("messages[].role", "messages[].name", "messages[].content"), "messages", "role", "content"),
     Mapping("from and value", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", roles=HUMAN),
     Mapping("prompt and response", ("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
     Mapping("prompt and completion", ("prompt", "completion"), turns=(("user", "prompt"), ("assistant", "completion"))),
@@ -69,26 +78,31 @@ MAPPINGS = (
     Mapping("text", ("text",), turns=(("assistant", "text"),)),
 )
 BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
+#: All paths that mappings name: others of a schema are not part of its fingerprint.
+KNOWN = frozenset(p for m in MAPPINGS for p in m.paths)
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
+    """Nested field paths; a dot within a field's name is written as two."""
     if isinstance(kind, T.StructType):
-        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name}" if at else f.name)]
+        return [p for f in kind.fields for p in schema_paths(f.dataType, f"{at}.{f.name.replace('.', '..')}" if at else f.name.replace(".", ".."))]
     if isinstance(kind, T.ArrayType):
         return schema_paths(kind.elementType, f"{at}[]")
     return [at]
 
 
 def select_mapping(schema: T.StructType) -> Mapping:
-    """The mapping of a DataFrame's layout; ids and other extra columns beside it don't matter."""
-    paths = schema_paths(schema)
-    exact = BY_FINGERPRINT.get(fingerprint(paths))
-    if exact:
-        return exact
-    known = sorted((m for m in MAPPINGS if set(m.paths) <= set(paths)), key=lambda m: -len(m.paths))
-    if not known:
-        raise ValueError(f"no mapping for the layout {sorted(paths)}")
-    return BY_FINGERPRINT[fingerprint(known[0].paths)]
+    """The mapping that the fingerprint of a DataFrame's known paths selects."""
+    paths = KNOWN.intersection(schema_paths(schema))
+    chosen = BY_FINGERPRINT.get(fingerprint(list(paths)))
+    if chosen:
+        return chosen
+    within = sorted((m for m in MAPPINGS if paths.issuperset(m.paths)), key=lambda m: -len(m.paths))
+    if not within:
+        raise ValueError(f"no mapping for the layout {sorted(schema_paths(schema))}")
+    if len(within) > 1 and len(within[1].paths) == len(within[0].paths):
+        raise ValueError(f"both {within[0].name!r} and {within[1].name!r} fit the layout {sorted(paths)}")
+    return within[0]
 
 
 def turn(role: Column, text: Column) -> Column:
@@ -107,7 +121,7 @@ def joined(field: str, value) -> Column:
 def mapped(m: Mapping, value) -> Column:
     """Canonical turns, where ``value(name)`` is a field's column."""
     if m.messages:
-        return F.coalesce(F.transform(value(m.messages), lambda x: turn(renamed(x[m.role], m.roles), x[m.text])), F.array().cast(TURN))
+        return F.coalesce(F.transform(value(m.messages), lambda x: turn(renamed(x[m.role], m.roles), joined(m.text, lambda f: x[f]))), F.array().cast(TURN))
     return F.array(*(turn(F.lit(role), joined(field, value)) for role, field in m.turns))
 
 
@@ -122,12 +136,14 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 
 def json_paths(document: Column) -> Column:
-    """Sorted nested field paths of a JSON document (objects, and arrays of objects), as lines."""
+    """Sorted nested field paths of a JSON document (objects, and arrays of objects with the fields of all), as lines."""
     top = F.from_json(document, "map<string, string>")
+
     def of(entry):
-        inner = F.from_json(F.get_json_object(entry.value, "$[0]"), "map<string, string>")
-        nested = F.transform(F.map_keys(inner), lambda k: F.concat(entry.key, F.lit("[]."), k))
-        return F.when(F.ltrim(entry.value).startswith("[") & inner.isNotNull(), nested).otherwise(F.array(entry.key))
+        fields = F.array_distinct(F.flatten(F.transform(F.from_json(entry.value, "array<map<string, string>>"), lambda x: F.coalesce(F.map_keys(x), F.array(F.lit("?"))))))
+        nested = F.transform(fields, lambda k: F.concat(entry.key, F.lit("[]."), k))
+        return F.when(F.ltrim(entry.value).startswith("[") & (F.size(fields) > 0), nested).otherwise(F.array(entry.key))
+
     return F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries(top), of))), "\n")
 
 
@@ -140,7 +156,8 @@ def canonical_turns_from_json(df: DataFrame, document: str, conv_id: str = "conv
             continue
         def value(name, m=m):
             found = F.get_json_object("document", f"$.{name}")
-            return F.from_json(found, f"array<struct<`{m.role}`: string, `{m.text}`: string>>") if m.messages else F.coalesce(found, F.lit(""))
+            fields = ", ".join(f"`{f}`: string" for f in (m.role, *m.text.split("\n")))
+            return F.from_json(found, f"array<struct<{fields}>>") if m.messages else F.coalesce(found, F.lit(""))
         here = F.col("fingerprint") == m.fingerprint
         layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, mapped(m, value)).otherwise(turns)
     return marked.select("conv_id", layout.alias("layout"), turns.alias("turns"))
@@ -179,6 +196,17 @@ def format_conversations(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     return canonical_turns(df, conv_id).select("conv_id", formatted(F.col("turns")).alias("formatted"))
 
 
+def format_sources(tables: list[DataFrame], documents: list[tuple[DataFrame, str]], conv_id: str = "conv_id") -> DataFrame:
+    """``conv_id``, ``layout`` and ``formatted`` of all conversations of tables, each of one layout, and of tables with a
+    column of JSON documents. A document of an unknown layout has null for both."""
+    found = [canonical_turns(t, conv_id).select("conv_id", F.lit(select_mapping(t.schema).name).alias("layout"), "turns") for t in tables]
+    found += [canonical_turns_from_json(t, column, conv_id) for t, column in documents]
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.select("conv_id", "layout", formatted(F.col("turns")).alias("formatted"))
+
+
 def digests(chats: DataFrame) -> DataFrame:
     """What is read back from each ``formatted``: its turns and its text under the loss mask."""
     read = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("turns")))

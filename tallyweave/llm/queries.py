@@ -21,9 +21,11 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = spark.sql("select * from values (-1L, 0L, 'user'), (-1L, 1L, 'assistant') as t(conv_id, turn, role)").withColumn("text", F.lit(PROBE))
-    return chat_format.digests(chat_format.format_conversations(rows.unionByName(probe)))
+    """Two layouts: the table's rows by turn, and conversation -1 as a JSON document of messages."""
+    rows = table(spark, sf_dir, "conversations")
+    turns = F.array(*(F.struct(F.lit(role).alias("role"), F.lit(PROBE).alias("content")) for role in ("user", "assistant")))
+    probe = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.to_json(F.struct(turns.alias("messages"))).alias("document"))
+    return chat_format.digests(chat_format.format_sources([rows], [(probe, "document")]))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
