@@ -8,14 +8,17 @@ seed only, so a rerun of any task gives the same rows.
 
 The matrix is drawn on the driver: a row of ``shards`` numbers for each partition, not each document. A
 shard is permuted by random keys: ranges of keys with some ten thousand rows are ranked alone and placed
-by a prefix sum over their counts, so no task holds a whole shard.
+by a prefix sum over their counts, so no task holds a whole shard. Counts are drawn for any number of rows.
 
-Null texts have one byte of size (no text plus 1) and the CRC-32 of nothing. Null and repeated ids are
-rows like others. Equal texts are dealt apart like any rows. Extra columns are not read.
+An empty table gives no rows. Very long texts are rows like others. Null texts have one byte of size (no
+text plus 1) and the CRC-32 of nothing. Null and repeated ids are rows like others. Equal texts are dealt
+apart like any rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,20 +27,43 @@ from .scratch import Scratch
 
 SHARDS, SEED = 8, 42
 RANGE_ROWS = 20_000
+#: Standard deviations on either side of the mode within which a count is drawn: the rest is below 1e-30.
+REACH = 12
+
+
+def hypergeometric(rng: np.random.Generator, good: int, bad: int, drawn: int) -> int:
+    """How many of ``drawn`` rows out of ``good + bad`` are good, for numbers of any size.
+
+    The law's ratios of neighbouring values are summed outwards from its mode, as far as ``REACH`` standard
+    deviations, where less is left than a double can tell; one uniform number is looked up in their sums.
+    """
+    total = good + bad
+    low, high = max(0, drawn - bad), min(drawn, good)
+    if low == high:
+        return low
+    mode = (drawn + 1) * (good + 1) // (total + 2)
+    spread = math.sqrt(drawn * (good / total) * (bad / total) * max(0.0, (total - drawn) / max(1, total - 1)))
+    reach = int(REACH * spread) + 40
+    low, high = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(low, high, dtype=np.float64)  # of each value to the next
+    steps = np.log(good - x) + np.log(drawn - x) - np.log(x + 1) - np.log(float(bad - drawn + 1) + x)
+    logs = np.concatenate([[0.0], np.cumsum(steps)])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return low + int(np.searchsorted(sums, rng.random() * sums[-1], "right").clip(0, len(sums) - 1))
 
 
 def communication_matrix(rows: np.ndarray, shards: int, seed: int) -> np.ndarray:
     """How many of each partition's ``rows`` each shard gets, drawn so that shard sizes are exact."""
     rng, total = np.random.default_rng(seed), int(rows.sum())
-    room = np.full(shards, total // shards) + (np.arange(shards) < total % shards)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
     out = np.zeros((len(rows), shards), np.int64)
     for i, n in enumerate(rows.tolist()):
-        left = n
+        left, rest = n, sum(room)
         for s in range(shards):  # the number for a shard, given those for the shards before it
-            rest = int(room[s + 1 :].sum())
-            out[i, s] = rng.hypergeometric(int(room[s]), rest, left) if left and room[s] else 0
+            rest -= room[s]
+            out[i, s] = hypergeometric(rng, room[s], rest, left) if left else 0
             left -= int(out[i, s])
-        room -= out[i]
+        room = [r - int(x) for r, x in zip(room, out[i], strict=True)]
     return out
 
 
