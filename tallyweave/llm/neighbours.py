@@ -7,10 +7,15 @@ above the k-th best upper bound of a query can't be among its nearest. Surviving
 double precision and pushed through a heap of k for each query and task; the tasks' heaps are merged by a
 ranking over at most k rows of each.
 
-Queries are a stated set, broadcast in slices of at most ``SLICE_QUERIES``; each slice meets all rows in
-one scan. Vectors that are null, zero, or hold a null or non-finite component, and rows without an id,
-take no part; a query meets only vectors of its own dimension. Ties go to the smaller id. Repeated rows
-are candidates of their own, and a repeated query row finds its other copies. Extra columns are not read.
+Queries are a stated set that meets all rows. Both sides are dealt to groups of at most ``TILE_GROUP``
+vectors on average, and each pair of groups is a tile of a grid, which one task joins: no side is collected
+or broadcast, and a vector is sent once for each group of the other side. Within a tile codes meet in blocks.
+
+Vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take no part;
+a query meets only vectors of its own dimension. Components may have any finite size: where a bound can't be
+told in doubles the pair survives, and where squares leave their range the distance is computed from scaled
+differences. Ties go to the smaller id. Repeated rows are candidates of their own, and a repeated query row
+finds its other copies. An empty table gives no rows. Extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -23,18 +28,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .names import named
 from .scratch import Scratch
 
 NEAREST = 10
-SLICE_QUERIES, TILE_ROWS, TILE_QUERIES = 4096, 2048, 256
+TILE_GROUP, TILE_ROWS, TILE_QUERIES = 100_000, 2048, 256
 #: float32 adds products of int8 exactly up to this many components.
 EXACT_DIMENSIONS = 1024
+#: Pairs whose distances are recomputed at once.
+PAIRS_AT_ONCE = 1 << 16
+#: Below this a distance's squares may have left the range of doubles.
+SMALL = 1e-140
 FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, scale, squared length of the scaled codes, length of what rounding left."""
-    scale = np.abs(x).max(axis=1) / 127
+    scale = np.maximum(np.abs(x).max(axis=1) / 127, np.finfo(np.float64).tiny)
     codes = np.rint(x / scale[:, None]).astype(np.int8)
     near = codes * scale[:, None]
     return codes, scale, (near * near).sum(axis=1), np.linalg.norm(x - near, axis=1) * (1 + 1e-9) + 1e-12
@@ -50,7 +60,13 @@ def int8_products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distance of each row of x to the same row of y, squares added in order."""
     d = x - y
-    return np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+    out = np.sqrt(np.cumsum(d * d, axis=1)[:, -1])
+    odd = np.flatnonzero(~((out >= SMALL) & (out < np.inf)))
+    if len(odd):
+        most = np.abs(d[odd]).max(axis=1)
+        scaled = d[odd] / np.where((most > 0) & (most < np.inf), most, 1)[:, None]
+        out[odd] = np.where(most < np.inf, most * np.sqrt(np.cumsum(scaled * scaled, axis=1)[:, -1]), np.inf)
+    return out
 
 
 class Nearest:
@@ -70,17 +86,18 @@ class Nearest:
             near = np.sqrt(np.maximum(self.square[own, None] + square - 2 * product, 0))
             slack = self.error[own, None] + error + 1e-7 * (1 + near)
             itself = self.numbers[own, None] == numbers
-            upper = np.where(itself, np.inf, near + slack)
+            upper = near + slack
+            upper[itself | np.isnan(upper)] = np.inf
             bound = self.worst[own]
             if len(ids) > self.k:
                 bound = np.minimum(bound, np.partition(upper, self.k - 1, axis=1)[:, self.k - 1])
-            at, of = np.nonzero((near - slack <= bound[:, None]) & ~itself)
+            at, of = np.nonzero(~(near - slack > bound[:, None]) & ~itself)
             self.push(at + q, of, ids, vectors)
 
     def push(self, at: np.ndarray, of: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
         if not len(at):
             return
-        score = np.concatenate([distances(self.vectors[at[i : i + 65536]], vectors[of[i : i + 65536]]) for i in range(0, len(at), 65536)])
+        score = np.concatenate([distances(self.vectors[at[i : i + PAIRS_AT_ONCE]], vectors[of[i : i + PAIRS_AT_ONCE]]) for i in range(0, len(at), PAIRS_AT_ONCE)])
         order = np.lexsort((ids[of], score, at))
         at, of, score = at[order], of[order], score[order]
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
@@ -101,11 +118,29 @@ class Nearest:
                 yield number, own, -i, -s
 
 
-def matrices(numbers: list, ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    by: dict[int, list] = {}
-    for row in zip(numbers, ids, vectors, strict=True):
-        by.setdefault(len(row[2]), []).append(row)
-    return {n: (np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.float64)) for n, rows in by.items()}
+def by_dimension(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(dimension, numbers, ids, vectors) of the table's rows, at most ``TILE_ROWS`` at a time."""
+    for batch in table.select(["number", "vec_id", "v"]).to_batches(max_chunksize=TILE_ROWS):
+        sizes = np.diff(batch.column(2).offsets.to_numpy())
+        for n in np.unique(sizes).tolist():
+            some = batch.filter(pa.array(sizes == n))
+            yield n, some.column(0).to_numpy(), some.column(1).to_numpy(), some.column(2).flatten().to_numpy().reshape(-1, n)
+
+
+def tile(k: int):
+    def run(key, queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        parts: dict[int, list] = {}
+        for n, *some in by_dimension(queries):
+            parts.setdefault(n, []).append(some)
+        with np.errstate(over="ignore", invalid="ignore"):
+            state = {n: Nearest(*(np.concatenate(x) for x in zip(*some, strict=True)), k) for n, some in parts.items()}
+            for n, numbers, ids, vectors in by_dimension(candidates):
+                if n in state:
+                    state[n].meet(numbers, ids, vectors)
+        cols = list(zip(*(r for s in state.values() for r in s.rows()), strict=True)) or [[], [], [], []]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "query_id", "vec_id", "score"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, is_query: str, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEAREST) -> DataFrame:
@@ -115,36 +150,21 @@ def nearest(vectors: DataFrame, is_query: str, vec_id: str = "vec_id", embedding
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "neighbours")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    rows = vectors.select(named(vec_id).cast("long").alias("vec_id"), named(embedding).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("vec_id is not null and v is not null").where(finite & F.exists("v", lambda x: x != 0))
-    rows = scratch.save(rows.withColumn("number", F.monotonically_increasing_id()), "vectors")
-    queries = rows.where(is_query)
-    slices = max(1, -(-queries.count() // SLICE_QUERIES))
-    found = None
-    for part in range(slices):
-        own = queries.where(F.pmod(F.xxhash64("number"), F.lit(slices)) == part).orderBy("number").collect()
-        shared = spark.sparkContext.broadcast(matrices([r.number for r in own], [r.vec_id for r in own], [r.v for r in own]))
-        some = rows.select("number", "vec_id", "v").mapInArrow(tiles(shared, k), FOUND)
-        found = some if found is None else found.union(some)
+    rows = scratch.save(rows.withColumn("number", F.monotonically_increasing_id()).withColumn("asks", F.expr(f"coalesce({is_query}, false)")), "vectors")
+    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
+    query_groups = max(1, -(-asking // TILE_GROUP))
+    row_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TILE_GROUP))
+
+    def grouped(df: DataFrame, own_groups: int, own_name: str, other_groups: int, other_name: str) -> DataFrame:
+        mine = F.pmod(F.xxhash64("number"), F.lit(own_groups)).cast("int").alias(own_name)
+        return df.select("number", "vec_id", "v", mine).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.lit(other_groups - 1))))
+
+    asked = grouped(rows.where("asks"), query_groups, "qg", row_groups, "rg").groupBy("qg", "rg")
+    met = grouped(rows, row_groups, "rg", query_groups, "qg").groupBy("qg", "rg")
+    found = asked.cogroup(met).applyInArrow(tile(k), FOUND)
     best = Window.partitionBy("query").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def tiles(shared, k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state = {n: Nearest(*m, k) for n, m in shared.value.items()}
-        for batch in batches:
-            for i in range(0, batch.num_rows, TILE_ROWS):
-                part = batch.slice(i, TILE_ROWS)
-                sizes = np.diff(part.column(2).offsets.to_numpy())
-                for n in np.unique(sizes).tolist():
-                    if n in state:
-                        own = part.filter(pa.array(sizes == n))
-                        state[n].meet(own.column(0).to_numpy(), own.column(1).to_numpy(), own.column(2).flatten().to_numpy().reshape(-1, n))
-        rows = [r for s in state.values() for r in s.rows()]
-        cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query", "query_id", "vec_id", "score"])
-
-    return run
