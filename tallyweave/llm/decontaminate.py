@@ -2,21 +2,26 @@
 
 Texts are lower-cased and every run of other than letters and digits becomes one space. A region that is
 within ``k`` edits of an item of ``m`` bytes shares at least ``(m - q + 1) - k * q`` of its q-grams, all
-on diagonals at most ``k`` apart. So shared q-grams are counted in diagonal bands that overlap by half,
-which hold any such region whole in one band; bands below the bound can't match. What is left is measured by
-Myers' bit vectors, and where those stay within ``k`` by banded alignment, which gives the region and its
-edits exactly.
+on diagonals at most ``k`` apart. So an item is looked for only in texts that hold as many of its q-grams
+anywhere, and there shared q-grams are counted in diagonal bands that overlap by half, which hold any such
+region whole in one band; bands below the bound can't match. What is left is measured by Myers' bit vectors,
+and where those stay within ``k`` by banded alignment, which gives the region and its edits exactly.
+
+Places of a q-gram in a text times its places in an item are counted some at a time, and where both are many
+by one product of polynomials over the diagonals: so memory and time are bounded for repetitive texts too.
 
 The benchmark is a stated query set: its items are broadcast in slices of at most ``SLICE_BYTES`` of text,
-and each slice meets all documents in one scan. Items shorter than q are looked up as whole words. Null or
-empty items match nothing, null or empty documents are clean, repeated rows are judged each, and extra
-columns are carried as they are.
+and each slice meets all documents in one scan. Items shorter than q are looked up as whole words, all in
+one pass. Null or empty items match nothing, null or empty documents are clean, very long ones are read
+whole, repeated rows are judged each, and an empty table gives no rows. Of equal edits the first region is
+given. Extra columns are carried as they are; one named ``hits`` gets an underscore after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import text_bytes
+from .names import carried, fresh, named, source
 
 Q = 8
 #: Edits allowed, as a share of the item's length. At q = 8 the lemma's bound is positive for all of it from 32 bytes on.
@@ -31,6 +37,8 @@ EDITS = 0.1
 SLICE_BYTES = 8 << 20
 CHUNK_BYTES = 1 << 20
 GATE_BITS = 20
+#: Pairs of places that are counted at once, and of one q-gram from which on they are counted by a product.
+PAIRS_AT_ONCE = 1 << 20
 KEEP = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 HIT = T.ArrayType(T.StructType([T.StructField("item_id", T.LongType()), T.StructField("edits", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
@@ -69,14 +77,14 @@ def best_region(item: np.ndarray, region: np.ndarray, low: int, high: int) -> tu
     return int(row[k]), int(at[k])
 
 
-def fewest_edits(item: bytes, region: bytes) -> int:
-    """Edits of the item's best match anywhere in the region (Myers' bit vectors): never more than a band's."""
+def fewest_edits(item: bytes, region: bytes) -> tuple[int, int]:
+    """(edits, end) of the item's best match anywhere in the region (Myers' bit vectors), the first of equals."""
     m = len(item)
     all_, top, where = (1 << m) - 1, 1 << (m - 1), [0] * 256
     for i, c in enumerate(item):
         where[c] |= 1 << i
-    up, down, edits, best = all_, 0, m, m
-    for c in region:
+    up, down, edits, best, end = all_, 0, m, m, 0
+    for at, c in enumerate(region, 1):
         same = where[c]
         across = (((same & up) + up) ^ up) | same
         more, less = down | (all_ & ~(across | up)), up & across
@@ -84,10 +92,36 @@ def fewest_edits(item: bytes, region: bytes) -> int:
             edits += 1
         elif less & top:
             edits -= 1
-            best = min(best, edits)
+            if edits < best:
+                best, end = edits, at
         more, same = more << 1, same | down
         up, down = ((less << 1) | ~(same | more)) & all_, more & same & all_
-    return best
+    return best, end
+
+
+class ShortItems:
+    """Items shorter than q, by one automaton over the words around them."""
+
+    def __init__(self, lines: list[tuple[int, bytes]]) -> None:
+        self.automaton = ahocorasick.Automaton()
+        by: dict[bytes, list[int]] = {}
+        for number, line in lines:
+            by.setdefault(line, []).append(number)
+        for line, numbers in by.items():
+            self.automaton.add_word(f" {line.decode('latin-1')} ", (numbers, len(line)))
+        if by:
+            self.automaton.make_automaton()
+
+    def __len__(self) -> int:
+        return len(self.automaton)
+
+    def places(self, raw: bytes) -> dict[int, tuple[int, int]]:
+        """The first place of each item in a text, and its size."""
+        found: dict[int, tuple[int, int]] = {}
+        for end, (numbers, size) in self.automaton.iter(f" {raw.decode('latin-1')} "):
+            for number in numbers:
+                found.setdefault(number, (end - size - 1, size))
+        return found
 
 
 class Items:
@@ -95,15 +129,17 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         lines = [(i, plain(t or "")) for i, t in rows]
-        self.short = [(i, line) for i, line in lines if 0 < len(line) < Q]
+        self.short = ShortItems([(i, line) for i, line in lines if 0 < len(line) < Q])
         self.lines = [(i, np.frombuffer(line, np.uint8)) for i, line in lines if len(line) >= Q]
         keys = [grams(line) for _, line in self.lines]
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])
         flat = np.concatenate([np.zeros(0, np.uint64), *keys])
         order = np.argsort(flat, kind="stable")
-        self.item, self.place = item[order], place[order].astype(np.int64)
+        self.item = item[order]  # of each place, in order of the q-grams
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        rank = np.searchsorted(self.keys, flat)
+        cuts = np.cumsum([0, *map(len, keys)])
+        self.ranks = [rank[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]  # of each item's q-grams, by place
         self.gate = np.zeros(1 << GATE_BITS, bool)
         self.gate[self.slot(self.keys)] = True
         self.size = np.array([len(line) for _, line in self.lines], np.int64)
@@ -124,49 +160,100 @@ class Items:
         k = np.minimum(np.searchsorted(self.keys, found[where]), len(self.keys) - 1)
         doc = np.searchsorted(at, where, "right") - 1
         ok = (self.keys[k] == found[where]) & (where + Q <= at[doc + 1])
-        ok[ok] = np.bincount(doc[ok], minlength=len(at))[doc[ok]] >= self.least  # fewer than any item asks for
+        ok[ok] = np.bincount(doc[ok], minlength=len(at))[doc[ok]] >= min(self.least, 1 << 30)  # fewer than any item asks for
         where, k, doc = where[ok], k[ok], doc[ok]
-        if not len(where):
-            return
-        times = self.count[k]
-        source = np.repeat(np.arange(len(k)), times)
-        flat = self.first[k][source] + np.arange(len(source)) - (np.cumsum(times) - times)[source]
-        item = self.item[flat]
-        band = (where - at[doc])[source] - self.place[flat]
-        band //= self.edits[item] + 1
-        low, span = int(band.min()) - 1, int(band.max() - band.min()) + 2
-        cell = (doc[source] * len(self.size) + item) * span + (band - low)
-        cells, count = np.unique(np.concatenate([cell, cell - 1]), return_counts=True)
-        item = cells // span % len(self.size)
-        enough = count >= self.bound[item]
-        for c, i in zip(cells[enough].tolist(), item[enough].tolist(), strict=True):
-            yield c // span // len(self.size), i, c % span + low
+        cuts = np.searchsorted(doc, np.arange(len(at)))
+        for d in np.unique(doc).tolist():
+            own = slice(cuts[d], cuts[d + 1])
+            for item in self.likely(np.unique(k[own])):
+                for band in self.bands_of(item, k[own], where[own] - at[d]):
+                    yield d, item, band
+
+    def likely(self, ranks: np.ndarray) -> list[int]:
+        """Items that have at least their bound of places whose q-grams are among these of a text."""
+        times, held = self.count[ranks], np.zeros(len(self.size), np.int64)
+        upto = np.concatenate([[0], np.cumsum(times)])
+        i = 0
+        while i < len(ranks):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS_AT_ONCE, "right")) - 1)
+            flat = np.repeat(self.first[ranks[i:j]] - upto[i:j], times[i:j]) + np.arange(upto[i], upto[j])
+            held += np.bincount(self.item[flat], minlength=len(held))
+            i = j
+        return np.flatnonzero(held >= self.bound).tolist()
+
+    def bands_of(self, item: int, k: np.ndarray, places: np.ndarray) -> list[int]:
+        """Bands of one text whose count of the item's q-grams meets the bound; the text has q-grams ``k`` at ``places``."""
+        own = self.ranks[item]
+        order = np.argsort(own, kind="stable")
+        ranked = own[order]
+        low, high = np.searchsorted(ranked, k, "left"), np.searchsorted(ranked, k, "right")
+        times = high - low
+        keep = times > 0
+        k, places, low, times = k[keep], places[keep], low[keep], times[keep]
+        width, shift = int(self.edits[item]) + 1, len(own)  # a diagonal may be as low as -shift
+        counts = np.zeros((int(places.max(initial=0)) + shift) // width + 3, np.int64)
+        zero = -(-shift // width)  # the cell of band 0
+        often = np.bincount(k, minlength=0)
+        pairs = often[k] * times
+        hot = pairs > PAIRS_AT_ONCE
+        for rank in np.unique(k[hot]).tolist():
+            text, line = np.zeros(int(places.max()) + 1), np.zeros(shift)
+            text[places[k == rank]], line[order[np.searchsorted(ranked, rank) : np.searchsorted(ranked, rank, "right")]] = 1, 1
+            size = 1 << int(len(text) + shift).bit_length()
+            by_diagonal = np.rint(np.fft.irfft(np.fft.rfft(text, size) * np.fft.rfft(line[::-1], size), size)).astype(np.int64)[: len(text) + shift - 1]
+            cell = (np.arange(len(by_diagonal)) - (shift - 1)) // width + zero
+            counts += np.bincount(cell, by_diagonal, minlength=len(counts)).astype(np.int64)
+        places, low, times = places[~hot], low[~hot], times[~hot]
+        upto = np.concatenate([[0], np.cumsum(times)])
+        i = 0
+        while i < len(places):
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS_AT_ONCE, "right")) - 1)
+            at = order[np.repeat(low[i:j] - upto[i:j], times[i:j]) + np.arange(upto[i], upto[j])]
+            counts += np.bincount((np.repeat(places[i:j], times[i:j]) - at) // width + zero, minlength=len(counts))
+            i = j
+        both = counts.copy()
+        both[:-1] += counts[1:]  # a band holds its own diagonals and the next one's
+        return (np.flatnonzero(both >= self.bound[item]) - zero).tolist()
+
+    def regions(self, of: list[tuple[int, int]], size: int) -> Iterator[tuple[int, int, int]]:
+        """(item, start, end) of the bands in a text of that size, where those that overlap are one."""
+        last = None
+        for item, band in of:
+            k, m = int(self.edits[item]), int(self.size[item])
+            a, b = max(0, band * (k + 1) - k), min(size, (band + 2) * (k + 1) + m + k)
+            if last and last[0] == item and a <= last[2]:
+                last = (item, last[1], b)
+                continue
+            if last:
+                yield last
+            last = (item, a, b)
+        if last:
+            yield last
 
     def hits(self, line: np.ndarray, of: list[tuple[int, int]]) -> list[dict]:
         """The best region of each item in one text, from the bands that met the bound."""
         best: dict[int, tuple[int, int, int]] = {}
         raw = line.tobytes()
-        for item, band in of:
+        for item, a, b in self.regions(sorted(of), len(line)):
             number, text = self.lines[item]
             k, m = int(self.edits[item]), len(text)
-            a = max(0, band * (k + 1) - k)
-            b = min(len(line), (band + 2) * (k + 1) + m + k)
+            if best.get(number, (1, 0, 0))[0] == 0:  # regions rise: the first place without edits has been found
+                continue
             exact = raw.find(text.tobytes(), a, b)
             if exact >= 0:
                 best[number] = min(best.get(number, (k + 1, 0, 0)), (0, exact, exact + m))
                 continue
-            if fewest_edits(text.tobytes(), raw[a:b]) > k:
+            edits, end = fewest_edits(text.tobytes(), raw[a:b])
+            if edits > k:
                 continue
-            region, low = line[a:b], band * (k + 1) - a
-            edits, end = best_region(text, region, low - k, low + 2 * (k + 1) + k)
+            first = max(a, a + end - m - k)
+            edits, size = best_region(text, line[first : a + end], -k, max(0, a + end - first - m) + k)
             if edits <= k:
-                back, size = best_region(text[::-1], region[:end][::-1], -k, k)
-                best[number] = min(best.get(number, (k + 1, 0, 0)), (edits, a + end - size if back <= edits else max(a, a + end - m), a + end))
-        padded = b" " + raw + b" "
-        for number, text in self.short:
-            place = padded.find(b" " + text + b" ")
-            if place >= 0:
-                best[number] = (0, place, place + len(text))
+                end = first + size
+                back, size = best_region(text[::-1], line[first:end][::-1], -k, k)
+                best[number] = min(best.get(number, (k + 1, 0, 0)), (edits, end - size if back <= edits else max(first, end - m), end))
+        if len(self.short):
+            best.update((number, (0, place, place + size)) for number, (place, size) in self.short.places(raw).items())
         return [{"item_id": i, "edits": e, "start": s, "end": t} for i, (e, s, t) in sorted(best.items())]
 
 
@@ -175,15 +262,16 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     Regions are byte ranges of the normalised text. An item that occurs several times gives its best region.
     """
-    carry = docs.columns if carry is None else carry
-    spark, out = docs.sparkSession, docs.select(*carry, F.col(text).cast("string").alias("__text"), F.array().cast(HIT).alias("__hits"))
-    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
+    columns, names = carried(docs, carry, ["hits"])
+    body, found = fresh("text_read", names), fresh("hits_read", names)
+    spark, out = docs.sparkSession, docs.select(*columns, source(docs, text).cast("string").alias(body), F.array().cast(HIT).alias(found))
+    items = benchmark.select(named(item_id).cast("long").alias("item_id"), named(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
     for number in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number).orderBy("item_id", "text").collect()
         shared, schema = spark.sparkContext.broadcast(Items([tuple(r) for r in rows])), out.schema
         out = out.mapInArrow(scan(shared, schema), schema)
-    return out.drop("__text").withColumnRenamed("__hits", "hits")
+    return out.select(*map(named, names), F.col(found).alias("hits"))
 
 
 def scan(shared, schema: T.StructType):
@@ -206,7 +294,7 @@ def scan(shared, schema: T.StructType):
                 for doc, item, band in items.bands(joined, ends):
                     of.setdefault(doc, []).append((item, band))
                 for k, line in enumerate(lines):
-                    new.append(items.hits(np.frombuffer(line, np.uint8), of.get(k, [])) if line and (k in of or items.short) else [])
+                    new.append(items.hits(np.frombuffer(line, np.uint8), of.get(k, [])) if line and (k in of or len(items.short)) else [])
                 i = j
             old = batch.column(batch.num_columns - 1).to_pylist()
             hits = pa.array([[*a, *b] for a, b in zip(old, new, strict=True)], hit_type)
