@@ -2,22 +2,26 @@
 
 Documents become token ids and an end id; only those longer than a sequence are cut. Whole pieces fill a
 sequence each. The rest are dealt at random to shards of some thousands, and each shard is packed on
-several islands. An island keeps a population of packings that starts from best-fit decreasing. Crossover
-injects whole well-filled bins of one parent into another, removes the bins that held the same documents,
-and best-fits the displaced ones, longest first. After each epoch the best packings of an island migrate
-to the next one. The loosest bins of all shards are then pooled and packed again, over fewer shards each
-time, until a single shard has had them, so the number of shards costs next to no sequences.
-
-Null and empty texts are one end id. Repeated rows are packed each. Extra columns are not read. The ids
-of a word don't depend on its neighbours across ASCII white space, so each worker keeps a bounded
-word-to-ids table in front of the tokenizer; ids equal those of the tokenizer on the whole text.
+several islands. An island keeps a population of packings that starts from best-fit decreasing and from bins
+filled one after the other as tightly as a longest document and pairs allow. Crossover injects whole
+well-filled bins of one parent into another and removes the bins that held the same documents. Displaced
+documents first change places with one or two documents of a bin that they fill better (dominance), then
+best-fit, and what is left fills new bins. After each epoch the best packings of an island migrate to the
+next one. A population that has reached the lower bound stops. The loosest bins of all shards are then pooled
+and packed again, over fewer shards each time, until a single shard has had them, so the number of shards
+costs next to no sequences.
+
+Null and empty texts are one end id; very long texts are cut into pieces. Repeated rows are packed each, an
+empty table gives no rows, and extra columns, whatever their names, are not read. The ids of a word don't
+depend on its neighbours across ASCII white space, so each worker keeps a bounded word-to-ids table in front
+of the tokenizer; a text that holds a special token's string is given to the tokenizer as it is. So ids equal
+those of the tokenizer on the whole text.
 """
 
 from __future__ import annotations
 
 import bisect
 import itertools
-import re
 import sys
 import types
 import zlib
@@ -25,24 +29,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import text_bytes
+from .names import named
 from .scratch import Scratch
 
 #: Fixed values of the contract.
 SEQUENCE, END_ID = 4096, 1
 SHARD_ITEMS, ISLANDS, EPOCHS, ELITES = 6000, 2, 2, 2
-POPULATION, GENERATIONS = 4, 6
+POPULATION, GENERATIONS = 5, 8
+#: Displaced documents that may change places at once, and documents of a bin up to which its pairs may go.
+SWAPPED, PAIRED = 192, 12
 #: Share of a shard's bins, the loosest, that are packed again with those of other shards.
 LOOSE = 0.1
 TABLE_WORDS = 600_000
 #: Not white space, not a letter, and one id of its own: stands between words that are encoded in one call.
 MARK = "\x1f"
 CHUNK_BYTES = 2 << 20
-#: Marks after a word's last ASCII letter or digit are a token run of their own.
-TAIL = re.compile(rb"([A-Za-z0-9])([.,;:!?*%&$#|]+)(?=[ \t\n\r\x0b\x0c]|\Z)")
+#: 1 for ASCII letters and digits, 2 for marks that are a token run of their own after one of them.
+KINDS = np.zeros(256, np.uint8)
+KINDS[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", np.uint8)] = 1
+KINDS[np.frombuffer(b".,;:!?*%&$#|", np.uint8)] = 2
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 ELITE = "shard long, island int, score double, bins binary"
 
@@ -57,7 +66,8 @@ class WordTable:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True
+        #: Strings that are tokens of their own wherever they stand, and what would become one when lowered.
+        self.special = sorted({t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()})
         found = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = found[0] if len(found) == 1 else -1  # no such id: then each word is encoded alone
         self.clear()
@@ -91,14 +101,18 @@ class WordTable:
                 lengths.append(np.fromiter(map(len, each), np.int64, len(each)))
         return np.concatenate(flat), np.concatenate(lengths)
 
-    def words(self, text: bytes) -> list[bytes]:
-        """Words of a text, with final marks as words of their own; ASCII capitals lowered where that is safe.
+    def words(self, texts: list[bytes]) -> list[list[bytes]]:
+        """Words of each text, with a run of marks after a letter or digit as a word of its own; ASCII capitals lowered.
 
         Lowering first could change how a letter composes with a combining mark, so texts with one keep theirs.
         """
-        if b"\xcc" not in text and b"\xcd" not in text:
-            text = text.lower()
-        return TAIL.sub(rb"\1 \2", text).split()
+        flat = np.frombuffer(b"".join(t if b"\xcc" in t or b"\xcd" in t else t.lower() for t in texts), np.uint8)
+        kinds = KINDS[flat]
+        marks = np.flatnonzero((kinds[1:] == 2) & (kinds[:-1] == 1)) + 1
+        at = np.cumsum([0, *map(len, texts)])
+        at += np.searchsorted(marks, at)  # a mark at a text's begin has its space in the text before
+        raw = np.insert(flat, marks, 32).tobytes()
+        return [raw[a:b].split() for a, b in zip(at.tolist(), at[1:].tolist(), strict=False)]
 
     def learn(self, words: list[bytes]) -> None:
         flat, lengths = self.encode(words)
@@ -114,7 +128,15 @@ class WordTable:
 
     def ids(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and where each text's begin (and the end)."""
-        split = [self.words(t) for t in texts]
+        whole = {k for k, t in enumerate(texts) if self.special and any(map(t.lower().__contains__, self.special))}
+        if not whole:
+            return self.ids_of_words(self.words(texts))
+        flat, cuts = self.ids_of_words(self.words([b"" if k in whole else t for k, t in enumerate(texts)]))
+        each = [self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids if k in whole else flat[cuts[k] : cuts[k + 1]] for k, t in enumerate(texts)]
+        return np.concatenate([np.asarray(x, np.uint32) for x in each]), np.cumsum([0, *map(len, each)])
+
+    def ids_of_words(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts without special tokens, by their words."""
         words = list(itertools.chain.from_iterable(split))
         found, used, new = list(map(self.place.get, words)), self.used, []
         if None in found:
@@ -164,7 +186,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 i = j
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 class Packer:
@@ -195,44 +217,131 @@ class Packer:
 
     def score(self, bins: np.ndarray) -> float:
         """Mean square fill: of two packings with as many bins, the one with emptier odd bins is better."""
-        return float(((np.bincount(bins, self.lengths) / self.size) ** 2).mean())
+        return float(((np.bincount(bins, self.lengths) / self.size) ** 2).mean()) if len(bins) else 0.0
+
+    def tight(self, bins: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Puts the items into new bins, one bin after the other: the longest item left, then what fills the room best.
+
+        While two items can't fill the room, the longest that fits is next; then the best pair or single one is.
+        """
+        n = int(bins.max(initial=-1)) + 1
+        left = items[np.argsort(self.lengths[items], kind="stable")]
+        sizes = self.lengths[left]
+        while len(left):
+            room, chosen = self.size - int(sizes[-1]), [len(left) - 1]
+            free, names = sizes[:-1], np.arange(len(left) - 1)
+            while len(free) and room >= free[0]:
+                end = int(np.searchsorted(free, room, "right"))
+                if room > 2 * int(free[end - 1]) + int(free[0]):
+                    take = [end - 1]
+                else:
+                    mate = np.minimum(np.searchsorted(free, room - free[:end], "right") - 1, np.arange(end) - 1)
+                    sums = np.where(mate >= 0, free[:end] + free[np.maximum(mate, 0)], free[:end])
+                    best = int(sums.argmax())
+                    take = [best] if mate[best] < 0 else [int(mate[best]), best]
+                room -= int(free[take].sum())
+                chosen += names[take].tolist()
+                free, names = np.delete(free, take), np.delete(names, take)
+            bins[left[chosen]] = n
+            left, sizes = np.delete(left, chosen), np.delete(sizes, chosen)
+            n += 1
+        return bins
+
+    def swapped(self, bins: np.ndarray) -> bool:
+        """Lets displaced items (bin -1) take the place of one or two items of a bin that they fill better."""
+        out = np.flatnonzero(bins < 0)
+        if len(out) > SWAPPED:
+            out = self.rng.choice(out, SWAPPED, replace=False)
+        held = np.flatnonzero(bins >= 0)
+        if not len(out) or not len(held):
+            return False
+        order = held[np.argsort(bins[held], kind="stable")]
+        own, size = bins[order], self.lengths[order]
+        free = self.size - np.bincount(own, size, int(own[-1]) + 1).astype(np.int64)
+        last = np.searchsorted(own, own, "right") - np.arange(len(own)) - 1  # items of the bin after each
+        crowd = np.bincount(own)[own]
+        last = np.where((crowd <= PAIRED) & (free[own] > 0), last, 0)
+        one = np.flatnonzero(free[own] > 0)
+        a = np.repeat(np.arange(len(own)), last)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(last) - last, last)
+        first, second = np.concatenate([one, a]), np.concatenate([np.full(len(one), -1), b])
+        taken = size[first] + np.where(second >= 0, size[second], 0)
+        i, j = np.triu_indices(len(out), 1)
+        come = np.concatenate([self.lengths[out], self.lengths[out[i]] + self.lengths[out[j]]])
+        rank = np.argsort(come, kind="stable")
+        at = np.searchsorted(come[rank], taken + free[own[first]], "right") - 1
+        better = np.flatnonzero((at >= 0) & (come[rank[at]] > taken))
+        after = taken[better] + free[own[first[better]]] - come[rank[at[better]]]
+        better = better[np.lexsort((-(come[rank[at[better]]] - taken[better]), after))]
+        left, done, moved = np.ones(len(out), bool), set(), False
+        for k in better.tolist():
+            c = int(rank[at[k]])
+            inward = [c] if c < len(out) else [int(i[c - len(out)]), int(j[c - len(out)])]
+            number = int(own[first[k]])
+            if number in done or not left[inward].all():
+                continue
+            done.add(number)
+            left[inward] = False
+            bins[order[first[k]]] = -1
+            if second[k] >= 0:
+                bins[order[second[k]]] = -1
+            bins[out[inward]] = number
+            moved = True
+        return moved
+
+    def repaired(self, bins: np.ndarray) -> np.ndarray:
+        """Puts displaced items (bin -1) by exchange, then into bins with room, then into new ones."""
+        while self.swapped(bins):
+            if self.rng.random() < 0.2:
+                break
+        kept = bins >= 0
+        bins[kept] = self.compact(bins[kept])
+        n, items = int(bins.max(initial=-1)) + 1, np.flatnonzero(bins < 0)
+        placed = self.best_fit(bins.copy(), items)
+        late = np.flatnonzero(placed >= n)
+        tight = placed.copy()
+        tight[late] = -1
+        tight = self.tight(tight, late)
+        return max(placed, tight, key=self.score)
 
     def cross(self, host: np.ndarray, donor: np.ndarray) -> np.ndarray:
         fill = np.bincount(donor, self.lengths)
-        order = np.argsort(-fill, kind="stable")
-        chosen = self.rng.choice(order[: max(1, len(order) // 2)], max(1, len(order) // 5), replace=False)
+        full = np.argsort(-fill, kind="stable")[: max(1, len(fill) // 2)]
+        chosen = self.rng.choice(full, max(1, len(fill) // 5), replace=False) if len(full) >= len(fill) // 5 > 0 else full
         injected = np.isin(donor, chosen)
         hit = np.isin(host, host[injected])
         child = np.where(hit, -1, host)
-        child[~hit] = self.compact(child[~hit]) if (~hit).any() else child[~hit]
-        first = int(child.max(initial=-1)) + 1
-        child[injected] = first + self.compact(donor[injected])
-        return self.best_fit(child, np.flatnonzero(child < 0))
+        child[injected] = int(host.max(initial=-1)) + 1 + donor[injected]
+        return self.repaired(child)
 
     def shaken(self, bins: np.ndarray) -> np.ndarray:
-        """Empties the loosest bins and some others, and best-fits their items."""
+        """Empties the loosest bins and some others, and puts their items anew."""
         fill = np.bincount(bins, self.lengths)
         loose = np.argsort(fill, kind="stable")[: max(2, len(fill) // 50)]
         out = np.isin(bins, np.concatenate([loose, self.rng.integers(0, len(fill), max(2, len(fill) // 20))]))
-        child = np.where(out, -1, bins)
-        child[~out] = self.compact(child[~out])
-        return self.best_fit(child, np.flatnonzero(out))
+        return self.repaired(np.where(out, -1, bins))
 
     def evolve(self, given: list[np.ndarray], generations: int) -> list[np.ndarray]:
         """The best packings after some generations, best first; stops at the lower bound."""
-        start = [self.best_fit(np.full(len(self.lengths), -1, np.int64), np.arange(len(self.lengths)))]
-        people = sorted([*given, *start], key=self.score, reverse=True)
-        while len(people) < POPULATION:
+        none, every = np.full(len(self.lengths), -1, np.int64), np.arange(len(self.lengths))
+        people = [*given, self.best_fit(none.copy(), every)]
+        if not self.done(people):
+            people.append(self.tight(none.copy(), every))
+        people = sorted(people, key=self.score, reverse=True)
+        while len(people) < POPULATION and not self.done(people):
             people.append(self.shaken(people[0]))
         for _ in range(generations):
             people = sorted(people, key=self.score, reverse=True)[:POPULATION]
-            if int(people[0].max(initial=-1)) + 1 <= self.bound:
+            if self.done(people):
                 break
             for a in range(len(people) - 1):
-                people.append(self.cross(people[a], people[self.rng.integers(a + 1, POPULATION)]))
+                people.append(self.cross(people[a], people[self.rng.integers(a + 1, len(people))]))
             people.append(self.shaken(people[0]))
         return sorted(people, key=self.score, reverse=True)[:ELITES]
 
+    def done(self, people: list[np.ndarray]) -> bool:
+        return any(int(p.max(initial=-1)) + 1 <= self.bound for p in people)
+
 
 def pack_level(items: DataFrame, shards: int, level: int, size: int, scratch: Scratch) -> DataFrame:
     """``uid``, ``length``, ``bin`` (a number of its own over all levels), ``fill`` of each item of ``items``.
@@ -301,8 +410,6 @@ def pack(pieces: DataFrame, size: int = SEQUENCE) -> DataFrame:
     for part in done[1:]:
         placed = placed.union(part)
 
-    from pyspark.sql import Window
-
     offset = F.sum("length").over(Window.partitionBy("bin").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1))
     placed = placed.withColumn("offset", F.coalesce(offset, F.lit(0))).select("uid", F.col("bin").alias("sequence_id"), "offset")
     return pieces.join(placed, "uid").drop("uid")
