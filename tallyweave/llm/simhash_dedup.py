@@ -3,28 +3,34 @@
 A fingerprint bit is 1 where over half of a text's shingle hashes have it set. Fingerprints link at
 ``radius`` or fewer differing bits; components of links are the groups of near copies.
 
-Plan. Equal fingerprints become one row first. Two fingerprints within ``radius`` bits agree on at least
-one of ``radius + 1`` bit blocks (pigeonhole), so each is dealt once to the bucket of each of its blocks.
-For a Jaccard similarity (0.8 of sets of shingles) that bound is of no use; there, blocks are random bits of
-a longer fingerprint, as many as a stated chance to meet in one of them asks for, and a link within the
-radius only proposes: components of such links meet whole, and pairs in them link if their sets of shingles
-(told by 64-bit hashes) have the similarity. Equal sets become one row first. What is lost are pairs whose
-fingerprints lie beyond the radius, and those that meet in no bucket nor through others.
-A bucket far above the mean is cut into slices, and each pair of slices meets in a tile of its own. Within
-a bucket the fingerprints are sorted by Gray rank, where neighbours differ in few bits, and groups of
-neighbours get a node with the bits that all share and their mask. A self-join walks pairs of nodes from
-the top: the shared bits that differ bound the distance of all pairs below, so whole groups are pruned,
-and where even all open bits together stay within the radius, two groups link at once. Only links between
-parts that are not yet connected are written, at most one less than the bucket's fingerprints, so a group
-of copies never gives all its pairs. Components come from alternating large-star and small-star rounds.
-
-A text without words has fingerprint zero and links like any other; null texts are empty ones. A null
-doc_id is kept as a row, but can't be a component's id unless its whole component has none. Repeated rows
-are rows of one fingerprint. Columns other than the two named are not read.
+Plan. Equal fingerprints become one row first. Two fingerprints within ``radius`` bits agree on all bits of
+at least one of the plan's blocks (of ``radius + m`` chunks, ``m`` agree), so each is dealt to the bucket of
+its bits in each block. Which ``m`` is taken depends on the number of rows and changes no result.
+For a Jaccard similarity (0.8 of sets of shingles) that bound is of no use; there, blocks are fixed random
+bits of a longer fingerprint, as many as a stated chance to meet in one of them asks for, whatever the
+corpus holds, and a link within the radius only proposes: components of such links meet whole, and pairs in
+them link if their sets of shingles (told by 64-bit hashes) have the similarity. Equal sets become one row
+first. What is lost are pairs whose fingerprints lie beyond the radius, and those that meet in no bucket nor
+through others.
+
+A bucket of more than ``TILE_ROWS`` is cut into slices, and each pair of slices meets in a tile of its own.
+A task holds many tiles in one index: rows in order of tile and of Gray rank, where neighbours differ in few
+bits. Groups of neighbours get a node with the bits that all share and their mask, and the tiles they span.
+A self-join walks pairs of nodes from the top: nodes without a common tile are pruned, and the shared bits
+that differ bound the distance of all pairs below, so whole groups are pruned; where even all open bits
+together stay within the radius, two groups link at once. Only links between parts that are not yet connected
+are written, at most one less than a tile's fingerprints, so a group of copies never gives all its pairs.
+Components come from alternating large-star and small-star rounds.
+
+A text without words has fingerprint zero and links like any other; null texts are empty ones, very long ones
+are taken whole, an empty table gives no rows. A null doc_id is kept as a row, but can't be a component's id
+unless its whole component has none. Repeated rows are rows of one fingerprint; where one of each group is
+kept, the least row stays. Columns other than the two named, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,16 +43,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import splitmix, text_bytes
+from .names import named
 from .scratch import Scratch
 
 FAN_OUT = 8
-#: Fingerprints of a bucket that are joined in one task at most, or this many times the mean.
-TILE_ROWS, TILE_MEANS = 20_000, 4
-PAIRS_AT_ONCE = 1 << 18
-#: Fingerprints of a bucket up to which all its pairs are compared, where links only propose.
-SMALL_ROWS = 256
-#: Sets of shingles that one task verifies on average, at most.
-SETS_AT_ONCE = 5_000
+#: Fingerprints of one slice of a bucket, and of one task on average.
+TILE_ROWS, TASK_ROWS = 20_000, 50_000
+PAIRS_AT_ONCE = 1 << 15
+#: Sets of shingles in one slice of a proposed component, and of one task on average.
+SET_ROWS, SETS_AT_ONCE = 4_000, 5_000
+#: Rows of a table of hot buckets up to which it is broadcast.
+FEW_ROWS = 100_000
+#: What comparing two fingerprints costs, where sending one is 1: decides between exact plans only.
+COMPARE = 0.01
 EDGES = "a long, b long"
 MIX = 0x9E3779B97F4A7C15
 
@@ -63,23 +72,33 @@ class Plan:
     similarity: tuple[int, int] | None = None
 
 
-def exact_plan(shingle: int = 4, radius: int = 4) -> Plan:
-    """64 bits in ``radius + 1`` blocks: by pigeonhole, no pair within the radius is missed."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return Plan(shingle, 1, radius, tuple(tuple(range(a, b)) for a, b in zip(cuts, cuts[1:], strict=False)))
+def exact_plan(rows: int, shingle: int = 4, radius: int = 4) -> Plan:
+    """64 bits in ``radius + m`` chunks: by pigeonhole, ``m`` of them agree, so no pair within the radius is missed.
 
+    Of m = 1, 2, 3 the one that costs least for so many rows: more chunks give more buckets, and smaller ones.
+    """
+
+    def blocks(m: int) -> tuple[tuple[int, ...], ...]:
+        n = radius + m
+        cuts = [64 * i // n for i in range(n + 1)]
+        return tuple(tuple(x for c in some for x in range(cuts[c], cuts[c + 1])) for some in itertools.combinations(range(n), m))
+
+    def cost(own: tuple[tuple[int, ...], ...]) -> float:
+        return sum(1 + rows / 2 ** len(bits) / 2 * COMPARE for bits in own)
+
+    return Plan(shingle, 1, radius, min(map(blocks, (1, 2, 3)), key=cost))
 
-def similarity_plan(rows: int, shingle: int = 5, similarity: tuple[int, int] = (4, 5), missed: float = 0.001, deviations: float = 3.5) -> Plan:
+
+def similarity_plan(shingle: int = 5, similarity: tuple[int, int] = (4, 5), missed: float = 0.001, deviations: float = 3.5, bits: int = 13) -> Plan:
     """256 bits and the radius of a Jaccard similarity (of sets of shingles), with a margin of some deviations.
 
     Two sets of similarity J have a cosine of at least 2J / (1 + J), and differ in each bit with the chance of
-    their angle over pi. A pair at the similarity agrees in none of the buckets with the chance ``missed``.
-    Buckets take more bits as the corpus grows, and so many more buckets that this stays so.
+    their angle over pi. A pair at the similarity agrees in none of the buckets, of ``bits`` each, with the chance
+    ``missed``; there are as many buckets as that takes.
     """
     words = 4
     differ = math.acos(2 * similarity[0] / sum(similarity)) / math.pi
     radius = int(64 * words * differ + deviations * math.sqrt(64 * words * differ * (1 - differ)))
-    bits = max(13, math.ceil(math.log2(max(2, rows))) - 5)
     blocks = math.ceil(math.log(missed) / math.log(1 - (1 - differ) ** bits))
     rng = np.random.default_rng(7)
     return Plan(shingle, words, radius, tuple(tuple(sorted(rng.choice(64 * words, bits, replace=False).tolist())) for _ in range(blocks)), similarity)
@@ -179,36 +198,37 @@ class Forest:
 
 
 class GrayIndex:
-    """Nodes over codes in Gray order: level 0 has the codes, each level above a node for ``FAN_OUT`` below."""
+    """Nodes over codes in order of tile and Gray rank: level 0 has the codes, each level above a node for ``FAN_OUT`` below.
+
+    A node has the bits that all its codes hold, those that any holds, and its first and last tile.
+    """
 
-    def __init__(self, codes: np.ndarray) -> None:
+    def __init__(self, codes: np.ndarray, tiles: np.ndarray) -> None:
         self.codes = codes
-        self.all, self.any = [codes], [codes]
+        self.all, self.any, self.low, self.high = [codes], [codes], [tiles], [tiles]
         while len(self.all[-1]) > 1:
             cuts = np.arange(0, len(self.all[-1]), FAN_OUT)
             self.all.append(np.bitwise_and.reduceat(self.all[-1], cuts, axis=0))
             self.any.append(np.bitwise_or.reduceat(self.any[-1], cuts, axis=0))
+            self.low.append(self.low[-1][cuts])
+            self.high.append(self.high[-1][np.append(cuts[1:], len(self.high[-1])) - 1])
 
     def gap(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Fewest and most bits in which a code under node a differs from one under node b."""
         pattern_a, pattern_b = self.all[level][a], self.all[level][b]
+        if not level:
+            exact = ones(pattern_a ^ pattern_b)
+            return exact, exact
         mask = ~(pattern_a ^ self.any[level][a]) & ~(pattern_b ^ self.any[level][b])
         least = ones((pattern_a ^ pattern_b) & mask)
         return least, least + ones(~mask)
 
-    def below(self, level: int, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = node * FAN_OUT
-        return first, np.minimum(first + FAN_OUT, len(self.all[level - 1]))
-
-    def head(self, level: int, node: np.ndarray) -> np.ndarray:
-        return node * FAN_OUT**level
-
     def links(self, radius: int) -> np.ndarray:
-        """The connected part of each code, where codes within ``radius`` bits are linked."""
+        """The connected part of each code, where codes of one tile within ``radius`` bits are linked."""
         forest = Forest(len(self.codes))
         top = len(self.all) - 1
         stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        near = np.flatnonzero(ones(self.codes[1:] ^ self.codes[:-1]) <= radius)
+        near = np.flatnonzero((ones(self.codes[1:] ^ self.codes[:-1]) <= radius) & (self.low[0][1:] == self.low[0][:-1]))
         forest.join(near, near + 1)
         while stack:
             level, a, b = stack.pop()
@@ -216,12 +236,13 @@ class GrayIndex:
                 stack += [(level, a[i : i + PAIRS_AT_ONCE], b[i : i + PAIRS_AT_ONCE]) for i in range(0, len(a), PAIRS_AT_ONCE)]
                 continue
             least, most = self.gap(level, a, b)
-            whole = most <= radius
+            meet = (self.low[level][b] <= self.high[level][a]) & (least <= radius)
+            whole = meet & (most <= radius) & (self.low[level][a] == self.high[level][b])
             for x, y in ((a[whole], b[whole]), (a[whole], a[whole]), (b[whole], b[whole])):
                 self.link_nodes(forest, level, x, y)
-            rest = (least <= radius) & ~whole
-            a, b = a[rest], b[rest]
-            if level and len(a):
+            rest = meet & ~whole
+            if level and rest.any():
+                a, b = a[rest], b[rest]
                 apart = ~self.joined(forest, level, a, b)
                 stack.append((level - 1, *self.expand(level, a[apart], b[apart])))
         return forest.part
@@ -230,11 +251,12 @@ class GrayIndex:
         if not level:
             forest.join(a, b)
             return
-        for step in range(FAN_OUT**level):  # all codes of both nodes are within the radius of each other
+        size = FAN_OUT**level
+        for step in range(size if len(a) else 0):  # all codes of both nodes are within the radius of each other
             for node in (a, b):
-                at = self.head(level, node) + step
-                ok = (at < len(self.codes)) & (at < self.head(level, node + 1))
-                forest.join(self.head(level, a)[ok], at[ok])
+                at = node * size + step
+                ok = (at < len(self.codes)) & (at < (node + 1) * size)
+                forest.join(a[ok] * size, at[ok])
 
     def joined(self, forest: Forest, level: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         cuts = np.arange(0, len(self.codes), FAN_OUT**level)
@@ -242,83 +264,65 @@ class GrayIndex:
         return (low[a] == high[a]) & (low[b] == high[b]) & (low[a] == low[b])
 
     def expand(self, level: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        (a0, a1), (b0, b1) = self.below(level, a), self.below(level, b)
+        """Pairs of children that may have a tile in common."""
+        n = len(self.all[level - 1])
         i, j = np.divmod(np.arange(FAN_OUT * FAN_OUT), FAN_OUT)
-        x, y = a0[:, None] + i, b0[:, None] + j
-        ok = (x < a1[:, None]) & (y < b1[:, None]) & (x <= y)
+        x, y = (a * FAN_OUT)[:, None] + i, (b * FAN_OUT)[:, None] + j
+        ok = (x < n) & (y < n) & (x <= y)
+        x, y = x[ok], y[ok]
+        ok = self.low[level - 1][y] <= self.high[level - 1][x]
         return x[ok], y[ok]
 
 
-def spanning_links(codes: np.ndarray, numbers: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each fingerprint of a bucket to the first one of its part, by their numbers."""
-    order = np.lexsort(gray_rank(codes).T[::-1])
-    part = GrayIndex(codes[order]).links(radius)
+def spanning_links(codes: np.ndarray, numbers: np.ndarray, radius: int, tiles: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each fingerprint of a tile to the first one of its part, by their numbers."""
+    tiles = np.zeros(len(codes), np.int64) if tiles is None else tiles
+    order = np.lexsort((*gray_rank(codes).T[::-1], tiles))
+    part = GrayIndex(codes[order], tiles[order]).links(radius)
     child = np.flatnonzero(part != np.arange(len(codes)))
     return numbers[order[part[child]]], numbers[order[child]]
 
 
-def spanning_links_of_small(codes: np.ndarray, numbers: np.ndarray, cuts: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """The same for many small buckets at once, from all pairs of each; bucket k has the rows from ``cuts[k]`` on."""
-    forest = Forest(len(codes))
-    left = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(codes)) - 1  # rows of the bucket after each
-    upto = np.concatenate([[0], np.cumsum(left)])
-    i = 0
-    while i < len(codes):
-        j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS_AT_ONCE, "right")) - 1)
-        a = np.repeat(np.arange(i, j), left[i:j])
-        b = a + 1 + np.arange(len(a)) - (upto[a] - upto[i])
-        near = ones(codes[a] ^ codes[b]) <= radius
-        forest.join(a[near], b[near])
-        i = j
-    child = np.flatnonzero(forest.part != np.arange(len(codes)))
-    return numbers[forest.part[child]], numbers[child]
-
-
 def deal(classes: DataFrame, plan: Plan) -> DataFrame:
-    """A row for each fingerprint and block: ``block``, ``value`` (its bits there), ``number``, ``fp``."""
+    """A row for each fingerprint and block: ``bucket`` (the block and its bits there), ``number``, ``fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 bits = np.unpackbits(np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(part.num_rows, -1), axis=1).astype(np.int64)
-                for block, own in enumerate(plan.blocks):
-                    value = bits[:, own] @ (np.int64(1) << np.arange(len(own), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), block, np.int32)), pa.array(value), part.column(0), part.column(1)], ["block", "value", "number", "fp"])
+                for block, own_bits in enumerate(plan.blocks):
+                    value = bits[:, own_bits] @ (np.int64(1) << np.arange(len(own_bits), dtype=np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array((block << 48) + value), part.column(0), part.column(1)], ["bucket", "number", "fp"])
 
-    return classes.select("number", "fp").mapInArrow(run, "block int, value long, number long, fp binary")
+    return classes.select("number", "fp").mapInArrow(run, "bucket long, number long, fp binary")
 
 
-def near_links(classes: DataFrame, plan: Plan) -> DataFrame:
+def cut(rows: DataFrame, sizes: DataFrame, key: str, size: int, scratch: Scratch) -> DataFrame:
+    """``rows`` with ``low`` and ``high``: groups of a ``key`` with over ``size`` rows are cut into slices, and each row
+    stands once for each pair of slices with its own. ``sizes`` has the rows ``n`` of each key; rows have a ``number``."""
+    hot = scratch.save(sizes.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("slices")), f"hot_{key}")
+    many = hot.count()
+    if not many:
+        return rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
+    found = rows.join(F.broadcast(hot) if many <= FEW_ROWS else hot, key, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    found = found.withColumn("own", F.pmod(F.xxhash64("number"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return found.select(*rows.columns, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def near_links(classes: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """Links ``a``, ``b`` between the numbers of distinct fingerprints that connect all those within the radius."""
     spark, dealt = classes.sparkSession, deal(classes, plan)
-    sizes = dealt.groupBy("block", "value").agg(F.count("*").alias("n"))
-    mean = sizes.agg(F.avg("n")).first()[0] or 0
-    limit = max(TILE_ROWS, TILE_MEANS * mean)
-    # Buckets that hold over TILE_MEANS times the mean: fewer than a part of the blocks' number of values.
-    hot = sizes.where(F.col("n") > limit).select("block", "value", F.ceil(F.col("n") / max(TILE_ROWS, mean)).cast("int").alias("slices"))
-    tiles = dealt.join(F.broadcast(hot), ["block", "value"], "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-    tiles = tiles.withColumn("own", F.pmod(F.xxhash64("number"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    tiles = tiles.select("number", "fp", "block", "value", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = tiles.withColumn("part", F.pmod(F.xxhash64("block", "value", "low", "high"), F.lit(parts)).cast("int"))
+    tiles = cut(dealt, dealt.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", TILE_ROWS, scratch)
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * len(plan.blocks) // TASK_ROWS)
+    keyed = tiles.withColumn("part", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(parts)).cast("int"))
 
     def run(table):
-        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("block", "value", "low", "high")])
-        codes, numbers = as_codes(table.column("fp")), table.column("number").to_numpy()
+        keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("bucket", "low", "high")])
         order = np.lexsort(keys[::-1])
         keys = keys[:, order]
-        edges = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
-        found, small = [], []
-        for own in np.split(order, edges):
-            if plan.similarity and 1 < len(own) <= SMALL_ROWS:
-                small.append(own)
-            elif len(own) > 1:
-                found.append(spanning_links(codes[own], numbers[own], plan.radius))
-        if small:
-            own = np.concatenate(small)
-            found.append(spanning_links_of_small(codes[own], numbers[own], np.cumsum([0, *map(len, small)]), plan.radius))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in found)]) for i in (0, 1))
+        tile = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
+        a, b = spanning_links(as_codes(table.column("fp"))[order], table.column("number").to_numpy()[order], plan.radius, tile)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return keyed.groupBy("part").applyInArrow(run, EDGES).distinct()
@@ -338,16 +342,18 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "n")
         small = large.join(least, large.a == least.n).selectExpr("b as a", "m as b").where("a <> b").union(least.selectExpr("n as a", "m as b")).distinct()
         edges = scratch.save(small, f"edges{turn}")
+        scratch.drop(f"edges{turn - 1}", f"large{turn}")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             return edges.selectExpr("a as node", "b as root").union(edges.selectExpr("b as node", "b as root").distinct())
         before = now
 
 
-def rooted_classes(marks: DataFrame, plan: Plan, scratch: Scratch, least: Column) -> DataFrame:
+def rooted_classes(marks: DataFrame, plan: Plan | None, scratch: Scratch, least: Column) -> DataFrame:
     """``fp``, ``root`` (the same for all fingerprints of a component) and ``least``, of the rows of a fingerprint."""
     classes = scratch.save(marks.groupBy("fp").agg(F.min(least).alias("least")).withColumn("number", F.monotonically_increasing_id()), "classes")
-    roots = components(near_links(classes, plan), scratch)
+    plan = plan or exact_plan(classes.count())
+    roots = components(near_links(classes, plan, scratch), scratch)
     return scratch.save(classes.join(roots, classes.number == roots.node, "left").select("fp", "least", F.coalesce("root", "number").alias("root")), "rooted")
 
 
@@ -375,30 +381,28 @@ def set_links(codes: np.ndarray, sets: list[np.ndarray], plan: Plan) -> np.ndarr
     return out
 
 
-def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan) -> DataFrame:
+def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """Links ``a``, ``b`` that connect all pairs of the similarity within each root of ``proposed`` (``key``, ``number``,
     ``fp``, ``root``), whose texts are those of ``texts`` (``key``, ``text``). Large roots are cut into slices that meet in tiles."""
     spark = texts.sparkSession
-    sizes = proposed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    sliced = proposed.join(sizes.select("root", F.ceil(F.col("n") / TILE_ROWS).cast("int").alias("slices")), "root")
+    sizes = scratch.save(proposed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SETS_AT_ONCE))
-    hashed = T.StructType([T.StructField(n, t) for n, t in (("root", T.LongType()), ("slices", T.IntegerType()), ("number", T.LongType()), ("fp", T.BinaryType()), ("hashes", T.BinaryType()))])
+    hashed = T.StructType([T.StructField(n, t) for n, t in (("root", T.LongType()), ("number", T.LongType()), ("fp", T.BinaryType()), ("hashes", T.BinaryType()))])
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            data, at = text_bytes(batch.column(4))
+            data, at = text_bytes(batch.column(3))
             first = []
-            for k, number in enumerate(batch.column(2).to_pylist()):  # rows of one id and text: one stays
+            for k, number in enumerate(batch.column(1).to_pylist()):  # rows of one id and text: one stays
                 if number not in seen:
                     seen.add(number)
                     first.append(k)
             sets = [np.unique(shingles(data[at[k] : at[k + 1]].tobytes(), plan.shingle).astype(np.uint64)).tobytes() for k in first]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first, pa.int64())) for c in range(4)), pa.array(sets, pa.binary())], hashed.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first, pa.int64())) for c in range(3)), pa.array(sets, pa.binary())], hashed.names)
 
-    rows = texts.join(sliced, "key").select("root", "slices", "number", "fp", F.col("text").cast("string").alias("text")).mapInArrow(hash_texts, hashed)
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("number"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    rows = rows.select("number", "fp", "hashes", "root", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = texts.join(proposed, "key").select("root", "number", "fp", F.col("text").cast("string").alias("text")).mapInArrow(hash_texts, hashed)
+    rows = cut(rows, sizes, "root", SET_ROWS, scratch)
     keyed = rows.withColumn("part", F.pmod(F.xxhash64("root", "low", "high"), F.lit(parts)).cast("int"))
 
     def run(table):
@@ -424,35 +428,42 @@ def alike_classes(texts: DataFrame, marks: DataFrame, plan: Plan, scratch: Scrat
     """``root`` and ``least`` as in ``rooted_classes``, where components are of pairs whose sets have the plan's similarity."""
     classes = marks.groupBy("fp").agg(F.min(least).alias("least")).select(F.expr(f"substring(fp, 1, {8 * plan.words})").alias("fp"), "least", F.monotonically_increasing_id().alias("number"))
     classes = scratch.save(classes, "classes")
-    roots = components(near_links(classes, plan), scratch)
+    roots = components(near_links(classes, plan, scratch), scratch)
     proposed = scratch.save(classes.join(roots, classes.number == roots.node).select(F.col("least.key").alias("key"), "number", "fp", "root"), "proposed")
-    links = components(verified_links(texts, proposed, plan), Scratch(scratch.spark, "simhash_verified"))
+    links = components(verified_links(texts, proposed, plan, scratch), Scratch(scratch.spark, "simhash_verified"))
     return classes.join(links, classes.number == links.node, "left").select("least", F.coalesce("root", "number").alias("root"))
 
 
+def orderable(kind: T.DataType) -> bool:
+    """Whether rows of the type can be compared."""
+    if isinstance(kind, T.StructType):
+        return all(orderable(f.dataType) for f in kind.fields)
+    return orderable(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """``doc_id``, ``fingerprint`` (hex digits), ``component_id`` (its smallest doc_id) for each row of ``docs``."""
-    plan, scratch = plan or exact_plan(), Scratch(docs.sparkSession, "simhash")
-    ids = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marks = scratch.save(fingerprints(ids, plan, ["doc_id"]), "fingerprints")
+    scratch, shape = Scratch(docs.sparkSession, "simhash"), plan or exact_plan(0)
+    ids = docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).alias("text"))
+    marks = scratch.save(fingerprints(ids, shape, ["doc_id"]), "fingerprints")
     rooted = rooted_classes(marks, plan, scratch, F.col("doc_id"))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = scratch.save(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "named")
-    return marks.join(named, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+    whole = scratch.save(rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id"), "whole")
+    return marks.join(whole, "fp").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", plan: Plan | None = None) -> DataFrame:
     """The rows of ``docs`` less all but one of each group of near copies: that of the smallest doc_id stays."""
-    scratch = Scratch(docs.sparkSession, "simhash_keep")
+    scratch, plan = Scratch(docs.sparkSession, "simhash_keep"), plan or similarity_plan()
     # A row is told by id and text, not by a number of its own: so only narrow tables are written.
-    key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col(doc_id).cast("string"), F.lit("none")), F.coalesce(F.col(text).cast("string"), F.lit("")), F.col(text).isNull().cast("string")), 256)
-    if plan is None:
-        plan = similarity_plan(docs.count())
-    rows = docs.select(F.col(doc_id).alias("id"), key.alias("key"), F.col(text).alias("text"))
+    body = named(text).cast("string")
+    key = F.sha2(F.concat_ws("\x00", F.coalesce(named(doc_id).cast("string"), F.lit("none")), F.coalesce(body, F.lit("")), body.isNull().cast("string")), 256)
+    rows = docs.select(named(doc_id).alias("id"), key.alias("key"), named(text).alias("text"))
     marks = scratch.save(fingerprints(rows, plan, ["id", "key"]), "fingerprints")
     order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
     rooted = alike_classes(rows.select("key", "text"), marks, plan, scratch, order) if plan.similarity else rooted_classes(marks, plan, scratch, order)
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
-    # Rows of one id and text: one stays. They meet before the shuffle already, however many they are.
-    found = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).groupBy("key").agg(F.first("row").alias("row"))
+    # Rows of one id and text: the least one stays. They meet before the shuffle already, however many they are.
+    least = F.min("row") if orderable(docs.schema) else F.min_by("row", F.to_json("row"))
+    found = docs.select(F.struct(*map(named, docs.columns)).alias("row"), key.alias("key")).groupBy("key").agg(least.alias("row"))
     return found.join(kept, "key", "left_semi").select("row.*")
