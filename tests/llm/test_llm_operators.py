@@ -2,15 +2,20 @@
 
 import collections
 import hashlib
+import math
 import re
+import resource
+import time
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tallyweave.llm import chat_format, decontaminate, langid, licences, neighbours, packing, quality, queries, sharding, simhash_dedup, substring_dedup
@@ -114,9 +119,31 @@ def test_gray_index_is_exact():
         assert (forest.part == want.part).all()
 
 
+@pytest.mark.parametrize("m", [1, 2, 3])
+def test_plans_meet_all_pairs_within_the_radius(m, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "COMPARE", {1: 0.0, 2: 1e-2, 3: 1.0}[m])
+    plan = simhash_dedup.exact_plan(10**7)
+    assert len(plan.blocks) == {1: 5, 2: 15, 3: 35}[m]
+    rng = np.random.default_rng(m)
+    for _ in range(300):
+        flipped = set(rng.choice(64, 4, replace=False).tolist())
+        assert any(flipped.isdisjoint(block) for block in plan.blocks)
+
+
+def test_gray_index_keeps_tiles_apart():
+    rng = np.random.default_rng(3)
+    codes = rng.integers(0, 2**5, (3000, 1)).astype(np.uint64) ** np.uint64(9)
+    tiles = np.sort(rng.integers(0, 90, 3000))
+    a, b = simhash_dedup.spanning_links(codes, np.arange(3000), 4, tiles)
+    forest, want = simhash_dedup.Forest(3000), simhash_dedup.Forest(3000)
+    forest.join(a, b)
+    far = np.bitwise_count(codes[:, 0][:, None] ^ codes[:, 0][None])
+    want.join(*np.nonzero((far <= 4) & (tiles[:, None] == tiles[None])))
+    assert (forest.part == want.part).all()
+
+
 def test_hot_buckets_are_cut(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "TILE_ROWS", 20)
-    monkeypatch.setattr(simhash_dedup, "TILE_MEANS", 1)
     text = long_text(9, 400).split()
     docs = spark.createDataFrame([(i, " ".join([*text[:i], f"other{i}", *text[i:]])) for i in range(120)], "doc_id long, text string")
     got = simhash_dedup.near_groups(docs).collect()
@@ -175,7 +202,8 @@ def test_near_copies_are_of_sets(spark):
 
 def test_verified_links_over_slices(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "TILE_ROWS", 8)
-    monkeypatch.setattr(simhash_dedup, "SMALL_ROWS", 4)
+    monkeypatch.setattr(simhash_dedup, "SET_ROWS", 5)
+    monkeypatch.setattr(simhash_dedup, "FEW_ROWS", 0)
     rng, base = np.random.default_rng(4), long_text(30, 300).split()
     texts = [changed_words(rng, base, 3) for _ in range(40)] + [changed_words(rng, base, 20) for _ in range(10)] + [long_text(31), None]
     kept = simhash_dedup.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
@@ -183,9 +211,7 @@ def test_verified_links_over_slices(spark, monkeypatch):
 
 
 def test_packing(docs, rows):
-    from tokenizers import Tokenizer
-
-    tok = Tokenizer.from_str(packing.tokenizer_text())
+    tok = TOKENIZER
     got = packing.pack_documents(docs).collect()
     want = collections.Counter()
     for r in rows:
@@ -217,13 +243,51 @@ def test_packing_over_several_shards(spark, monkeypatch):
     assert len(fill) <= 1.05 * sum(lengths) / 100 + 1
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.sampled_from("aA'sS.,!é İß 1<|>\n"), st.characters()), max_size=30), max_size=5))
+def packed(lengths, generations):
+    packer = packing.Packer(lengths, 4096, 3)
+    first = packer.best_fit(np.full(len(lengths), -1, np.int64), np.arange(len(lengths)))
+    best = packer.evolve([], generations)[0]
+    assert np.bincount(best, lengths).max() <= 4096 and best.min() >= 0
+    return int(first.max()) + 1, int(best.max()) + 1
+
+
+@pytest.mark.parametrize("bins", [100, 500, 2000])
+def test_genetic_step_beats_best_fit_on_triplets(bins):
+    rng = np.random.default_rng(bins)
+    a = rng.integers(1556, 2007, bins)
+    b = rng.integers(1024, (4096 - a) // 2 + 1)
+    lengths = rng.permutation(np.concatenate([a, b, 4096 - a - b]))
+    first, best = packed(lengths, packing.GENERATIONS)
+    assert first > 1.1 * bins and best <= 1.02 * bins
+
+
+def test_genetic_step_gains_by_generations():
+    lengths = np.random.default_rng(1).integers(1000, 3000, 1500)
+    first, none = packed(lengths, 0)
+    assert packed(lengths, 12)[1] <= none <= first
+
+
+@pytest.mark.parametrize("lengths", [[], [1], [4095], [2048] * 7, [1] * 50, [4000, 96, 97, 3999]])
+def test_packings_of_few_items(lengths):
+    x = np.array(lengths, np.int64)
+    packer = packing.Packer(x, 4096, 1)
+    for best in packer.evolve([], 5):
+        assert (np.bincount(best, x) <= 4096).all() and len(set(best.tolist())) == -(-sum(lengths) // 4096)
+        crossed = packer.cross(best, best)
+        assert (np.bincount(crossed, x) <= 4096).all() and (crossed >= 0).all()
+
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+PART = st.one_of(st.sampled_from(["<|endoftext|>", "<|EndOfText|>", "<|startoftext|>x", "a.b", "a.,", "3.5%", "e\u0301.", "\u0301"]), st.text(alphabet=st.one_of(st.sampled_from("aA'sS.,!é İß 1<|>\n"), st.characters()), max_size=30))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(PART, max_size=4).map("".join), max_size=5))
 def test_word_table_equals_the_tokenizer(texts):
     table = packing.WordTable.of_worker(packing.tokenizer_text())
     texts = [t.encode("utf-8", "ignore").decode() for t in texts]
     flat, cuts = table.ids([t.encode() for t in texts])
-    want = table.tokenizer.encode_batch(texts, add_special_tokens=False)
+    want = TOKENIZER.encode_batch(texts, add_special_tokens=False)
     assert [flat[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [e.ids for e in want]
 
 
@@ -244,6 +308,17 @@ def test_communication_matrix_has_exact_margins():
     assert (m.sum(axis=1) == rows).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
 
 
+def test_counts_are_drawn_for_any_number_of_rows():
+    rows = np.array([2 * 10**9, 3 * 10**9, 10, 0])
+    m = sharding.communication_matrix(rows, 8, 1)
+    assert (m.sum(axis=1) == rows).all() and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1 and (m >= 0).all()
+    rng = np.random.default_rng(1)
+    few = np.bincount([sharding.hypergeometric(rng, 7, 9, 6) for _ in range(20_000)], minlength=7) / 20_000
+    assert np.allclose(few, [math.comb(7, k) * math.comb(9, 6 - k) / math.comb(16, 6) for k in range(7)], atol=0.012)
+    many = np.array([sharding.hypergeometric(rng, 10**11 // 8, 10**11 // 8 * 7, 10**6) for _ in range(3000)])
+    assert abs(many.mean() - 125_000) < 25 and abs(many.std() / math.sqrt(10**6 / 8 * 7 / 8) - 1) < 0.06
+
+
 def test_licences(docs, rows):
     got = licences.scan(docs, carry=["doc_id"]).select("doc_id", "found.*").collect()
     want = collections.Counter()
@@ -302,6 +377,41 @@ def test_decontamination_equals_brute_force():
         assert (found[0]["edits"] if found else None) == (true if true <= decontaminate.budget(120) else None)
 
 
+def test_decontamination_of_repetitive_texts_is_bounded():
+    items = decontaminate.Items([(1, "ab cd ef " * 660)])
+    before, began = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+    for text, found in (("ab cd ef " * 6600, (0, 0)), (("ab cd eg " * 3 + "ab cd ef " * 5) * 825, None), ("ab cd " * 10_000, ())):
+        line = np.frombuffer(decontaminate.plain(text), np.uint8)
+        hits = items.hits(line, [(i, b) for _, i, b in items.bands(line, np.array([0, len(line)]))])
+        if found is None:
+            assert 0 < hits[0]["edits"] <= decontaminate.budget(5939)
+        else:
+            assert [(h["edits"], h["start"]) for h in hits] == ([found] if found else [])
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000 and time.time() - began < 60
+
+
+def test_counts_by_products_equal_counts_by_pairs(monkeypatch):
+    rng = np.random.default_rng(5)
+    item = "".join(rng.choice(["ab cd ", "ef "], 60))
+    text = "".join(rng.choice(["ab cd ", "ef ", "x "], 400, p=[0.45, 0.45, 0.1]))
+    items = decontaminate.Items([(1, item)])
+    line = np.frombuffer(decontaminate.plain(text + item), np.uint8)
+    monkeypatch.setattr(decontaminate.Items, "likely", lambda self, ranks: [0])
+    items.bound = np.array([12])
+    pairs = list(items.bands(line, np.array([0, len(line)])))
+    monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 3)
+    assert list(items.bands(line, np.array([0, len(line)]))) == pairs and len(pairs) > 3
+
+
+def test_short_items_are_found_as_words():
+    rows = [(k, t) for k, t in enumerate(["a", "a b", "tiny", "b", "tiny", "zz", "é"])]
+    items = decontaminate.Items(rows)
+    for text in ("so tiny a b", "ab tinyb", "a", "b a b", "É z", ""):
+        raw = decontaminate.plain(text)
+        want = {i for i, t in rows if f" {t} " in f" {raw.decode()} "}
+        assert {h["item_id"] for h in items.hits(np.frombuffer(raw, np.uint8), [])} == want
+
+
 def test_fewest_edits_equals_the_table():
     rng = np.random.default_rng(8)
     for _ in range(200):
@@ -312,7 +422,7 @@ def test_fewest_edits_equals_the_table():
             for j, y in enumerate(region, 1):
                 new.append(min(row[j - 1] + (x != y), row[j] + 1, new[-1] + 1))
             row = new
-        assert decontaminate.fewest_edits(item, region) == min(row)
+        assert decontaminate.fewest_edits(item, region) == (min(row), row.index(min(row)) if min(row) < len(item) else 0)
 
 
 @pytest.mark.parametrize("size", [81, 120, 394])
@@ -331,6 +441,29 @@ def test_decontamination_finds_up_to_a_tenth_of_edits(size, share):
     assert [(h["item_id"], h["edits"]) for h in found] == [(1, edits)]
 
 
+def test_neighbours_of_any_finite_size(spark):
+    rows = [(0, [1e200, 0.0]), (1, [0.0, 1e200]), (2, [1e200, 1e199]), (100, [1.0, 2.0]), (3, [1e-200, 2e-200]), (200, [3e-200, 1e-200]), (300, [1.7e308, 0.0]), (4, [-1.7e308, 0.0]), (5, [5e-324, 0.0])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id % 100 = 0", k=20).collect()
+    got = collections.defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r.vec_id, r.score))
+    at = dict(rows)
+    for q, near in got.items():
+        want = sorted(((math.hypot(*(a - b for a, b in zip(at[q], v, strict=True))), i) for i, v in rows if i != q), key=lambda x: x)
+        assert [i for i, _ in near] == [i for _, i in want]
+        assert all(math.isclose(s, w, rel_tol=1e-12) for (_, s), (w, _) in zip(near, want, strict=True))
+    assert set(got) == {0, 100, 200, 300}
+
+
+def test_neighbours_over_a_grid(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 6)).tolist()
+    df = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    whole = neighbours.nearest(df, "vec_id % 5 = 0").collect()
+    monkeypatch.setattr(neighbours, "TILE_GROUP", 30)
+    assert sorted(neighbours.nearest(df, "vec_id % 5 = 0").collect()) == sorted(whole) and len(whole) == 800
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(300, 8)).astype(np.float32).tolist()
@@ -362,11 +495,22 @@ def test_chat_round_trip(spark):
         assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(want[r.conv_id]), hashlib.sha256(lines.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+def nested_layout(spark):
+    return spark.createDataFrame([(9, [("user", "hi"), (None, None)])], "conv_id long, messages array<struct<role: string, content: string>>")
+
+
 def test_layouts(spark):
     docs = [(1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}]}'), (2, '{"instruction":"do","input":"x","output":"y"}'), (3, '{"conversations":[{"from":"human","value":"q"}]}'), (4, '{"zzz":1}'), (5, None), (6, "not json")]
     got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.canonical_turns_from_json(spark.createDataFrame(docs, "conv_id long, document string"), "document").collect()}
     assert got[1] == ("messages", [("user", "hi"), ("assistant", "")]) and got[2][1] == [("user", "do\nx"), ("assistant", "y")] and got[3][1] == [("user", "q")]
     assert got[4] == got[5] == got[6] == (None, None)
+    mixed = [(1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","text":"yo"}]}'), (2, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","other":"yo"}]}'), (3, '{"messages":[]}')]
+    got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.canonical_turns_from_json(spark.createDataFrame(mixed, "conv_id long, document string"), "document").collect()}
+    assert got == {1: ("mixed messages", [("user", "hi"), ("assistant", "yo")]), 2: (None, None), 3: (None, None)}
+    with pytest.raises(ValueError, match="both"):
+        chat_format.canonical_turns(spark.createDataFrame([("a", "b", "c", "d", 1)], "prompt string, response string, question string, answer string, conv_id long"))
+    both = chat_format.format_sources([spark.createDataFrame([(5, 0, "user", "x", "y")], "conv_id long, turn long, role string, text string, `a.b` string"), nested_layout(spark)], [(spark.createDataFrame(mixed, "conv_id long, document string"), "document")])
+    assert {r.conv_id: r.layout for r in both.collect()} == {5: "turn rows", 9: "messages", 1: "mixed messages", 2: None, 3: None}
     nested = spark.createDataFrame([(1, "p", "r")], "conv_id long, prompt string, response string")
     assert [tuple(t) for t in chat_format.canonical_turns(nested).first().turns] == [("user", "p"), ("assistant", "r")]
 
