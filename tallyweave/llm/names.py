@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +30,19 @@ def fresh(name: str, taken: list[str]) -> str:
     return name
 
 
-def carried(docs: DataFrame, carry: list[str] | None, added: list[str]) -> tuple[list[Column], list[str]]:
-    """The columns to carry (all by default) and their names; one named like an added column gets an underscore after it."""
-    names: list[str] = []
-    out: list[Column] = []
+@dataclass(frozen=True)
+class Carried:
+    """Columns to carry through a function over Arrow batches: there they are c0, c1, ..., afterwards they have their names."""
+
+    columns: list[Column]
+    inner: list[str]
+    names: list[str]
+
+
+def carried(docs: DataFrame, carry: list[str] | None, added: list[str]) -> Carried:
+    """The columns to carry (all by default); one named like an added column gets an underscore after its name."""
     wanted = docs.columns if carry is None else carry
-    for c in wanted:
-        names.append(fresh(c, [*added, *names, *(x for x in wanted if x != c)]) if c.lower() in {a.lower() for a in added} else c)
-        out.append(named(c).alias(names[-1]))
-    return out, names
+    taken = {a.lower() for a in added}
+    names = [fresh(c, [*added, *(x for x in wanted if x != c)]) if c.lower() in taken else c for c in wanted]
+    inner = [f"c{k}" for k in range(len(wanted))]
+    return Carried([named(c).alias(i) for c, i in zip(wanted, inner, strict=True)], inner, names)
