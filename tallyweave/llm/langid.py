@@ -6,8 +6,13 @@ for each language, so the AND of an n-gram's slots names all languages that cont
 Each language's popcount over a text's n-grams is corrected by its filter's false-positive rate, and the
 highest corrected share decides. Longer n-grams weigh more; ties go to the language with more sampled rows.
 
-A null text, or one without a letter, is ``und`` with score 0. Null languages teach nothing; without any
-labelled row all is ``und``. Each 64 languages have a filter of their own. Repeated rows are judged each. Extra columns are carried as they are.
+The sample has one id, the one of the least hash, of each of ``SAMPLE`` parts of a language's ids, so it is
+an aggregate that each task begins on its own rows, and no task ranks a language.
+
+A null text, or one without a letter, is ``und`` with score 0. Null languages and ids teach nothing; without
+any labelled row all is ``und``. Each 64 languages have a filter of their own. Very long texts are read whole,
+repeated rows are judged each, an empty table gives no rows. Extra columns are carried as they are; one named
+like a result column gets an underscore after it.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import splitmix, text_bytes
+from .bytetext import splitmix
+from .names import carried, named, source
 
-#: Labelled texts of a language that are learned, at most (the same number from each of its parts), and languages of a filter.
-SAMPLE, PARTS, LANGUAGES = 1500, 50, 64
+#: Labelled ids of a language that are learned, at most, and languages of a filter.
+SAMPLE, LANGUAGES = 2000, 64
 #: Bytes of an n-gram, and what a hit of that size counts.
 SIZES = {3: 1.0, 4: 1.5, 5: 2.0}
 #: N-grams of a language that are kept, seen this often at least.
@@ -112,11 +118,10 @@ class MaskFilters:
 
 def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> MaskFilters | None:
     """Learns from rows with a language where the SQL condition ``teaches`` on ``doc_id`` holds."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang")).where("lang is not null").where(teaches)
-    # Parts of a language are cut on their own, and before the shuffle too: no task ranks all ids of a language.
-    order = Window.partitionBy("lang", "part").orderBy(F.xxhash64("doc_id"), "doc_id")
-    parts = rows.withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(PARTS)))
-    sample = parts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= SAMPLE // PARTS).select("doc_id", "lang").distinct()
+    rows = docs.select(named(doc_id).cast("long").alias("doc_id"), named(lang).alias("lang"), named(text).cast("string").alias("text")).where("doc_id is not null and lang is not null").where(teaches)
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(SAMPLE))
+    first = F.min(F.struct(F.xxhash64("doc_id").alias("hash"), F.col("doc_id").alias("doc_id")))
+    sample = rows.groupBy("lang", part.alias("part")).agg(first.alias("first")).select("lang", "first.doc_id")
     sizes = {r.lang: r["count"] for r in sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
     if not sizes:
         return None
@@ -132,7 +137,7 @@ def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text
                         number, count = np.unique(grams(data, size), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(number)), pa.array([size] * len(number), pa.int32()), pa.array(number.view(np.int64)), pa.array(count)], ["lang", "size", "gram", "n"])
 
-    taught = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).join(F.broadcast(sample), ["doc_id", "lang"])  # SAMPLE ids of a language at most
+    taught = rows.join(F.broadcast(sample), ["doc_id", "lang"])  # SAMPLE ids of a language at most
     counts = taught.select("lang", "text").mapInArrow(run, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).where(F.col("n") >= SEEN)
     top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "gram")
     kept = counts.withColumn("place", F.row_number().over(top)).where(F.col("place") <= KEPT).groupBy("lang").agg(F.collect_list("gram").alias("grams")).collect()  # KEPT numbers for each language and size at most
@@ -141,9 +146,10 @@ def fit(docs: DataFrame, teaches: str, doc_id: str = "doc_id", text: str = "text
 
 def identify(docs: DataFrame, model: MaskFilters | None, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (all by default), ``lang_pred`` and ``score`` for each row."""
-    carry = docs.columns if carry is None else carry
+    held = carried(docs, carry, ["lang_pred", "score"])
+    inner = held.inner
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*docs.select(*held.columns).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = shared.value
@@ -155,7 +161,6 @@ def identify(docs: DataFrame, model: MaskFilters | None, text: str = "text", car
                 some = np.diff(at) > 0
                 names[i:j][some] = np.array(judge.names, object)[shares.argmax(axis=1)[some]]
                 scores[i:j] = np.where(some, shares.max(axis=1) / np.maximum(shares.sum(axis=1), 1e-9), 0)
-            kept = [batch.column(k) for k in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(scores)], [*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names, pa.string()), pa.array(scores)], [*inner, "lang_pred", "score"])
 
-    return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*held.columns, source(docs, text).cast("string").alias("text_read")).mapInArrow(run, schema).toDF(*held.names, "lang_pred", "score")
