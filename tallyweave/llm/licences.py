@@ -1,108 +1,81 @@
 """License scans by ordered signature rules.
 
 A text is lower-cased (A-Z) and reduced to its words of letters, digits and other than ASCII characters,
-with one space between. Rules are regular expressions over that line, written as license names with their
-versions times the phrases that license notices use. A rule runs only on texts that hold one of its keywords.
-Detections are ordered by priority, then length, then place; one that lies within the interval of a
-detection before it is suppressed. Base phrases have the highest priority and are never suppressed.
-
-Null and empty texts have no words and no labels. Repeated rows are scanned each. Extra columns are
-carried as they are.
+with one space between. Rules are regular expressions over that line, written by hand in ``licence_rules``:
+tags, grants, headers, bodies and clauses of licenses. Each has keywords, long strings of which every match
+holds one, read off the expression itself; one automaton finds the keywords of all rules in one pass, and
+a rule runs only on texts that hold one of its own. Detections are ordered by priority, then length, then place; one
+that lies within the interval of a detection before it is suppressed. Base phrases have the highest priority
+and are never suppressed.
+
+Null and empty texts have no words and no labels. Very long texts are read whole, in time that grows with
+their length and detections. Repeated rows are scanned each, and an empty table gives no rows. Extra columns
+are carried as they are; one named ``found`` gets an underscore after it.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import text_bytes
+from .licence_rules import RULES
+from .names import carried, source
 
 #: Fixed values of the contract: phrase and label.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-
-#: License names as notices spell them, by label. Versions are appended as alternatives.
-NAMES = {
-    "apache": (r"(?:the )?apache(?: software)?(?: license)?", ("1 0", "1 1", "2 0", "2")),
-    "mit": (r"(?:the )?(?:mit|expat)(?: license)?", ()),
-    "bsd": (r"(?:the )?bsd(?: license)?", ("2 clause", "3 clause", "4 clause", "0 clause")),
-    "gpl": (r"(?:the )?(?:gnu )?(?:gpl|general public license)(?: version| v)?", ("1", "2", "3", "2 0", "3 0")),
-    "lgpl": (r"(?:the )?(?:gnu )?(?:lgpl|lesser general public license|library general public license)(?: version| v)?", ("2", "2 1", "3", "3 0")),
-    "agpl": (r"(?:the )?(?:gnu )?(?:agpl|affero general public license)(?: version| v)?", ("1", "3", "3 0")),
-    "mpl": (r"(?:the )?(?:mpl|mozilla public license)(?: version| v)?", ("1 0", "1 1", "2 0")),
-    "epl": (r"(?:the )?(?:epl|eclipse public license)(?: version| v)?", ("1 0", "2 0")),
-    "cddl": (r"(?:the )?(?:cddl|common development and distribution license)(?: version| v)?", ("1 0", "1 1")),
-    "cpl": (r"(?:the )?common public license(?: version| v)?", ("1 0",)),
-    "isc": (r"(?:the )?isc license", ()),
-    "zlib": (r"(?:the )?zlib(?: libpng)? license", ()),
-    "unlicense": (r"(?:the )?unlicense", ()),
-    "wtfpl": (r"(?:the )?(?:wtfpl|do what the fuck you want to public license)", ("2",)),
-    "boost": (r"(?:the )?boost software license(?: version)?", ("1 0",)),
-    "artistic": (r"(?:the )?artistic license(?: version)?", ("1 0", "2 0")),
-    "ofl": (r"(?:the )?sil open font license(?: version)?", ("1 0", "1 1")),
-    "python": (r"(?:the )?(?:python software foundation|psf) license(?: version)?", ("2",)),
-    "eupl": (r"(?:the )?(?:eupl|european union public licen[cs]e)(?: version| v)?", ("1 1", "1 2")),
-    "odbl": (r"(?:the )?open database license(?: version| v)?", ("1 0",)),
-    "cc0": (r"(?:the )?(?:cc0|creative commons zero)(?: license)?", ("1 0",)),
-    "cc-by": (r"(?:the )?(?:cc by|creative commons attribution)(?: license)?", ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-sa": (r"(?:the )?(?:cc by sa|creative commons attribution share ?alike)(?: license)?", ("2 0", "2 5", "3 0", "4 0")),
-    "cc-by-nd": (r"(?:the )?(?:cc by nd|creative commons attribution no ?deriv(?:s|ative)s?)(?: license)?", ("3 0", "4 0")),
-    "cc-by-nc": (r"(?:the )?(?:cc by nc|creative commons attribution non ?commercial)(?: license)?", ("2 0", "3 0", "4 0")),
-    "cc-by-nc-sa": (r"(?:the )?(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: license)?", ("3 0", "4 0")),
-    "cc-by-nc-nd": (r"(?:the )?(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:s|ative)s?)(?: license)?", ("3 0", "4 0")),
-}
-#: A word that every spelling of the name holds one of; texts without it skip the name's rules.
-KEYWORDS = {
-    "apache": ("apache",), "mit": ("mit", "expat"), "bsd": ("bsd",), "gpl": ("gpl", "public license"), "lgpl": ("lgpl", "public license"),
-    "agpl": ("agpl", "public license"), "mpl": ("mpl", "mozilla"), "epl": ("epl", "eclipse"), "cddl": ("cddl", "distribution license"),
-    "cpl": ("common public",), "isc": ("isc license",), "zlib": ("zlib",), "unlicense": ("unlicense",), "wtfpl": ("wtfpl", "public license"),
-    "boost": ("boost",), "artistic": ("artistic license",), "ofl": ("open font",), "python": ("python", "psf"), "eupl": ("eupl", "european union"),
-    "odbl": ("open database",), "cc0": ("cc0", "commons zero"), "cc-by": ("cc by", "creative commons"), "cc-by-sa": ("cc by sa", "creative commons"),
-    "cc-by-nd": ("cc by nd", "creative commons"), "cc-by-nc": ("cc by nc", "creative commons"), "cc-by-nc-sa": ("cc by nc sa", "creative commons"),
-    "cc-by-nc-nd": ("cc by nc nd", "creative commons"),
-}
-#: Phrases around a name, with their priority and how sure a detection is.
-PHRASES = {
-    "tag": (r"spdx license identifier {}", 90, 1.0),
-    "grant": (r"(?:licensed|released|distributed|available|published|provided|covered|dual licensed)(?: to you)?(?: under| by)(?: the terms(?: and conditions)? of)? {}", 80, 0.95),
-    "terms": (r"(?:under|subject to|in accordance with|according to|governed by)(?: the terms(?: and conditions)? of| the conditions of)? {}", 70, 0.85),
-    "header": (r"{} (?:text|notice|agreement|header|all rights reserved|copyright)", 60, 0.8),
-    "see": (r"(?:see|read|view|a copy of|copy of) {}", 50, 0.7),
-}
 BASE_PRIORITY, BASE_SURE = 100, 0.9
-#: Notices without a license's name.
-PLAIN = {
-    "proprietary": (r"all rights reserved", ("rights reserved",), 20, 0.4),
-    "public-domain": (r"(?:released|placed|dedicated)(?: in)?(?:to)? the public domain", ("public domain",), 65, 0.8),
-    "unknown": (r"licensed under", ("licensed under",), 5, 0.3),
-}
 
 
 @dataclass(frozen=True)
 class Rule:
     label: str
-    keywords: tuple[bytes, ...]
+    keywords: tuple[str, ...]
     pattern: re.Pattern
     priority: int
     sure: float
+    #: Bytes of a match that stands in a lookahead, as places of base phrases may overlap.
+    size: int = 0
+
+
+def keywords(pattern) -> tuple[str, ...]:
+    """Strings of which every match of a parsed expression holds one, as long as they can be; none if there are no such."""
+    best, run = (), ""
+
+    def better(some: tuple[str, ...]) -> tuple[str, ...]:
+        return max(best, some, key=lambda x: min(map(len, x), default=0))
+
+    for kind, value in pattern:
+        if kind == re._constants.LITERAL:
+            run += chr(value)
+            continue
+        best, run = better((run,)), ""
+        if kind == re._constants.SUBPATTERN:
+            best = better(keywords(value[-1]))
+        elif kind == re._constants.MAX_REPEAT and value[0] > 0:
+            best = better(keywords(value[2]))
+        elif kind == re._constants.BRANCH:
+            each = [keywords(x) for x in value[1]]
+            best = better(tuple(k for x in each for k in x)) if all(each) else best
+    best = better((run,))
+    return best if min(map(len, best), default=0) else ()
 
 
 def rules() -> list[Rule]:
-    """All rules by priority: each phrase with each name, with each of its versions and without one."""
-    out = [Rule(label, (phrase.encode(),), re.compile(rf"(?= {phrase} )".encode()), BASE_PRIORITY, BASE_SURE) for phrase, label in BASE.items()]
-    for phrase, priority, sure in PHRASES.values():
-        for label, (name, versions) in NAMES.items():
-            keys = tuple(k.encode() for k in KEYWORDS[label])
-            for version in ("", *versions):
-                whole = phrase.format(f"{name}(?: license)?{f'(?: version| v)? {version}' if version else ''}")
-                out.append(Rule(label + (f"-{version.replace(' ', '.').replace('.clause', '-clause')}" if version else ""), keys, re.compile(f" {whole}(?= )".encode()), priority + bool(version), sure))
-    out += [Rule(label, tuple(k.encode() for k in keys), re.compile(f" {p}(?= )".encode()), priority, sure) for label, (p, keys, priority, sure) in PLAIN.items()]
+    """The base phrases, then all rules by priority."""
+    out = [Rule(label, (f" {phrase} ",), re.compile(rf"(?= {phrase} )".encode()), BASE_PRIORITY, BASE_SURE, len(phrase) + 1) for phrase, label in BASE.items()]
+    for line in RULES.strip().split("\n"):
+        label, priority, sure, pattern = line.split(" | ")
+        whole = f" {pattern.replace('_', ' ?')}(?= )"
+        out.append(Rule(label, keywords(re._parser.parse(whole)), re.compile(whole.encode()), int(priority), float(sure)))
     return sorted(out, key=lambda r: -r.priority)
 
 
@@ -115,39 +88,64 @@ def words_line(raw: bytes) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
+class Intervals:
+    """Intervals of which none lies within another, in order: of those that do, only the wider one is asked for."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def hold(self, start: int, end: int) -> bool:
+        at = bisect.bisect_right(self.starts, start) - 1
+        return at >= 0 and self.ends[at] >= end
+
+    def add(self, start: int, end: int) -> None:
+        if self.hold(start, end):
+            return
+        i, j = bisect.bisect_left(self.starts, start), bisect.bisect_right(self.ends, end)
+        self.starts[i : max(i, j)], self.ends[i : max(i, j)] = [start], [end]
+
+
 class Scanner:
     def __init__(self) -> None:
         self.rules = rules()
-        self.keywords = sorted({k for r in self.rules for k in r.keywords})
+        self.always = [k for k, r in enumerate(self.rules) if not r.keywords]
+        self.automaton = ahocorasick.Automaton()
+        by: dict[str, list[int]] = {}
+        for k, r in enumerate(self.rules):
+            for word in r.keywords:
+                by.setdefault(word, []).append(k)
+        for word, numbers in by.items():
+            self.automaton.add_word(word, numbers)
+        self.automaton.make_automaton()
 
     def detections(self, line: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) in the line, without those suppressed."""
-        present = {k for k in self.keywords if k in line}
-        if not present:
-            return []
+        asked = set(self.always)
+        for _, numbers in self.automaton.iter(line.decode("latin-1")):
+            asked.update(numbers)
         found = []
-        for rule in self.rules:
-            if present.isdisjoint(rule.keywords):
-                continue
-            for m in rule.pattern.finditer(line):
-                size = len(rule.keywords[0]) + 1 if rule.priority == BASE_PRIORITY else m.end() - m.start()
-                found.append((m.start(), m.start() + size, rule))
+        for rule in map(self.rules.__getitem__, sorted(asked)):
+            found += [(m.start(), m.start() + rule.size if rule.size else m.end(), rule) for m in rule.pattern.finditer(line)]
         kept: list[tuple[int, int, Rule]] = []
+        taken = Intervals()
         for start, end, rule in sorted(found, key=lambda x: (-x[2].priority, x[0] - x[1], x[0], x[2].label)):
-            if rule.priority == BASE_PRIORITY or not any(a <= start and end <= b for a, b, _ in kept):
+            if rule.priority == BASE_PRIORITY or not taken.hold(start, end):
                 kept.append((start, end, rule))
+                taken.add(start, end)
         return kept
 
 
 def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """The ``carry`` columns (all by default) and ``found``: words, base places, labels, score, detections."""
-    carry = docs.columns if carry is None else carry
+    held = carried(docs, carry, ["found"])
+    inner = held.inner
     detection = T.StructType([T.StructField("label", T.StringType()), T.StructField("first_word", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("priority", T.IntegerType())])
     found = T.StructType(
         [T.StructField(n, T.LongType()) for n in ("n_words", "n_base", "first_word", "last_word")]
         + [T.StructField("base_labels", T.StringType()), T.StructField("labels", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("detections", T.ArrayType(detection))]
     )
-    schema = T.StructType([*docs.select(*carry).schema.fields, T.StructField("found", found)])
+    schema = T.StructType([*docs.select(*held.columns).schema.fields, T.StructField("found", found)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
@@ -159,15 +157,16 @@ def scan(docs: DataFrame, text: str = "text", carry: list[str] | None = None) ->
             for a, b in zip(at.tolist(), at[1:].tolist(), strict=False):
                 line = words_line(raw[a:b])
                 kept = scanner.detections(line)
-                place = lambda x, line=line: line.count(b" ", 0, x)  # noqa: E731  a word starts after each space
-                base = [(place(s), r.label) for s, _, r in kept if r.priority == BASE_PRIORITY]
+                spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if kept else np.zeros(0, np.int64)
+                first, after = (np.searchsorted(spaces, [x[k] for x in kept]).tolist() for k in (0, 1))  # a word starts after each space
+                base = [(w, r.label) for w, (_, _, r) in zip(first, kept, strict=True) if r.priority == BASE_PRIORITY]
                 rows.append(
                     {
                         "n_words": max(0, line.count(b" ") - 1), "n_base": len(base), "first_word": min((x for x, _ in base), default=None), "last_word": max((x for x, _ in base), default=None),
                         "base_labels": ",".join(sorted({x for _, x in base})), "labels": ",".join(sorted({r.label for _, _, r in kept})), "score": max((r.sure for _, _, r in kept), default=0.0),
-                        "detections": [{"label": r.label, "first_word": place(s), "n_words": line.count(b" ", s, e), "priority": r.priority} for s, e, r in kept],
+                        "detections": [{"label": r.label, "first_word": w, "n_words": x - w, "priority": r.priority} for w, x, (_, _, r) in zip(first, after, kept, strict=True)],
                     }
                 )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], [*carry, "found"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, kind)], [*inner, "found"])
 
-    return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*held.columns, source(docs, text).cast("string").alias("text_read")).mapInArrow(run, schema).toDF(*held.names, "found")
