@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytetext import text_bytes
-from .names import carried, fresh, named, source
+from .names import carried, named, source
 
 Q = 8
 #: Edits allowed, as a share of the item's length. At q = 8 the lemma's bound is positive for all of it from 32 bytes on.
@@ -262,16 +262,15 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
 
     Regions are byte ranges of the normalised text. An item that occurs several times gives its best region.
     """
-    columns, names = carried(docs, carry, ["hits"])
-    body, found = fresh("text_read", names), fresh("hits_read", names)
-    spark, out = docs.sparkSession, docs.select(*columns, source(docs, text).cast("string").alias(body), F.array().cast(HIT).alias(found))
+    held = carried(docs, carry, ["hits"])
+    spark, out = docs.sparkSession, docs.select(*held.columns, source(docs, text).cast("string").alias("text_read"), F.array().cast(HIT).alias("hits"))
     items = benchmark.select(named(item_id).cast("long").alias("item_id"), named(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     slices = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
     for number in range(slices):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number).orderBy("item_id", "text").collect()
         shared, schema = spark.sparkContext.broadcast(Items([tuple(r) for r in rows])), out.schema
         out = out.mapInArrow(scan(shared, schema), schema)
-    return out.select(*map(named, names), F.col(found).alias("hits"))
+    return out.drop("text_read").toDF(*held.names, "hits")
 
 
 def scan(shared, schema: T.StructType):
