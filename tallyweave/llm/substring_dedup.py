@@ -13,7 +13,8 @@ per block, and no group of copies is ever collected. The short levels compare 48
 collision only keeps a candidate; the last one compares 128 bits.
 
 Null or empty texts have no words: nothing is removed and the kept text is empty. Repeated rows are
-documents of their own, so all windows of both go. Extra columns are carried in the struct ``row``.
+documents of their own, so all windows of both go. Very long texts are blocks of their own, and an empty
+table gives no rows. Extra columns, whatever their names, are carried in the struct ``row``.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .bytetext import WordHash, splitmix, text_bytes, word_spans
+from .names import carried, named
 from .scratch import Scratch
 
 BLOCK_BYTES = 4 << 20
@@ -189,8 +191,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, carry:
     spark, steps = docs.sparkSession, levels(length)
     scratch = Scratch(spark, "substring_dedup")
     carry = docs.columns if carry is None else carry
-    taken = docs.select(*carry, *([] if text in carry else [text]))
-    kept_schema = T.StructType([f for f in taken.schema.fields if f.name in carry])
+    held = carried(docs, carry, [])
+    taken = docs.select(*held.columns, *([] if text in carry else [named(text).alias("text_read")]))
+    kept_schema = T.StructType([f for f in taken.schema.fields if f.name in held.inner])
+    names = T.StructType([T.StructField(n, f.dataType, f.nullable) for n, f in zip(held.names, kept_schema.fields, strict=True)])
+    text = held.inner[carry.index(text)] if text in carry else "text_read"
     blocks = scratch.save(taken.mapInArrow(to_blocks(text, block_bytes), "block long, n_words long, payload binary"), "blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_WINDOWS))
@@ -249,4 +254,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, carry:
         row = pa.StructArray.from_arrays([batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in fields], fields=list(fields)) if len(fields) else pa.array([{}] * batch.num_rows, fields)
         return pa.table([row, pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], schema=arrow)
 
-    return payloads.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(last, out)
+    kept = payloads.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(last, out)
+    return kept.withColumn("row", F.col("row").cast(names))
