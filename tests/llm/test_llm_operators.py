@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyweave.llm import chat_format, decontaminate, langid, licences, neighbours, packing, quality, queries, sharding, simhash_dedup, substring_dedup
+from tallyweave.llm import bytetext, chat_format, decontaminate, langid, licences, neighbours, packing, quality, queries, scratch, sharding, simhash_dedup, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, row string, uid long, fp string, hits string, label int, n_words long"
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
@@ -329,6 +330,39 @@ def test_licences(docs, rows):
     assert collections.Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word) for r in got) == want
 
 
+def test_licence_labels_equal_brute_force():
+    scanner = licences.Scanner()
+    assert len(scanner.rules) > 250 and not scanner.always and min(len(k) for r in scanner.rules for k in r.keywords) >= 3
+    pieces = ["licensed under the mit license", "apache license version 2 0", "gnu general public license", "version 2 or later", "creative commons attribution non commercial", "share alike 4 0", "all rights reserved", "spdx license identifier", "gpl v3", "mit", "cc by nc", "sa 4 0", "under the", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "public domain", "released into the", "word"]
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        line = licences.words_line(" ".join(rng.choice(pieces, 12)).encode())
+        found = [(-r.priority, m.start() - (m.start() + r.size if r.size else m.end()), m.start(), r.label) for r in scanner.rules for m in r.pattern.finditer(line)]
+        kept = []
+        for priority, size, start, label in sorted(found):  # every pair of detections is compared
+            if -priority == licences.BASE_PRIORITY or not any(a <= start and start - size <= b for a, b, _ in kept):
+                kept.append((start, start - size, label))
+        assert [(s, e, r.label) for s, e, r in scanner.detections(line)] == kept
+
+
+def test_licence_keywords_stand_in_every_match():
+    for rule in licences.Scanner().rules:
+        if not rule.size:
+            text = rule.pattern.pattern.decode()
+            for choice in (0, -1):  # a match with the first, and with the last of each group's alternatives
+                match = re.sub(r"\(\?:([^()]*)\)(\?|\{[^}]*\}\??)?", lambda m: m[1].split("|")[choice] if not (m[2] and choice) else "", re.sub(r"\(\?:\\S\+ \)\{(\d+),\d+\}\?", lambda m: "x " * int(m[1]), text.removesuffix("(?= )")))
+                match = re.sub(r"\[(.)[^]]*\]\??", r"\1", re.sub(r"\\d\??", "2", re.sub(r"\\S\+", "x", match)))
+                for whole in {re.sub(r"(.)\?", r"\1", match), re.sub(r"(.)\?", "", match)}:
+                    if rule.pattern.fullmatch(whole.encode()):
+                        assert any(k in whole for k in rule.keywords), rule
+
+
+def test_licences_of_long_texts_are_linear():
+    scanner, began = licences.Scanner(), time.time()
+    assert len(scanner.detections(licences.words_line(b"licensed under the mit license " * 50_000))) == 100_000
+    assert time.time() - began < 20
+
+
 def test_licence_rules(spark):
     cases = {"Licensed under the Apache License, Version 2.0": "apache-2,apache-2.0", "under the mit license under the MIT-License": "mit", "SPDX-License-Identifier: GPL-3.0": "gpl-3.0", "the permit license": "", "CC BY-NC 4.0 and all rights reserved": "cc-by-nc,proprietary"}
     got = licences.scan(spark.createDataFrame([(t,) for t in cases], "text string")).select("text", "found.labels", "found.n_base").collect()
@@ -559,6 +593,120 @@ def test_more_languages_than_a_word_has_bits(spark):
     assert len(got) == 350 and all(r.lang_pred == r.lang for r in got)
 
 
+ODD_NAMES = ["a.b", "__text", "__hits", "text_read", "hits", "found", "score", "predicted", "lang_pred", "row", "key", "fp", "x`y"]
+
+
+@pytest.fixture(scope="module")
+def odd_names(spark):
+    """Documents with columns whose names hold dots and backticks, or are those that operators add."""
+    texts = {k: TEXTS[k] for k in (1, 2, 3, 5, 6, 7, 8, 12, 15)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("n_chars", F.length("text").cast("long"))
+    return df.select("*", *(F.lit(f"{k}").alias(n) for k, n in enumerate(ODD_NAMES)), F.create_map(F.lit("k"), F.col("doc_id")).alias("a map"))
+
+
+def test_operators_take_any_column_names(spark, odd_names):
+    labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0)], LABELS)
+    names = odd_names.columns
+    renamed = lambda *own: [f"{c}_" if c in own else c for c in names]
+    scored = quality.score(odd_names, quality.fit(odd_names, labels, "true"))
+    assert scored.columns == [*renamed("score", "predicted"), "score", "predicted"]
+    found = langid.identify(odd_names.withColumn("lang", F.lit("en")), langid.fit(odd_names.withColumn("lang", F.lit("en")), "true"), carry=names)
+    assert found.columns == [*renamed("score", "lang_pred"), "lang_pred", "score"]
+    scanned = licences.scan(odd_names)
+    assert scanned.columns == [*renamed("found"), "found"]
+    hits = decontaminate.find_items(odd_names, spark.createDataFrame([(1, PASSAGE)], "item_id long, text string"))
+    assert hits.columns == [*renamed("hits"), "hits"]
+    assert {r.doc_id for r in hits.collect() if r.hits} == {7, 8, 15}
+    kept = simhash_dedup.keep_one_of_each(odd_names)
+    cut = substring_dedup.remove_repeats(odd_names)
+    assert kept.columns == names and cut.select("row.*").columns == names
+    for df in (scored, found, scanned, hits, kept, cut):
+        rows = df.collect()
+        assert rows and {(r["row"] if df is cut else r)["a.b"] for r in rows} == {"0"}
+    assert packing.pack_documents(odd_names).count() >= 9 and sharding.shuffle_to_shards(odd_names).count() == 9 and simhash_dedup.near_groups(odd_names).count() == 9
+
+
+def test_one_row_of_those_of_one_id_and_text_stays(spark):
+    rows = [(1, "same text", k % 7) for k in range(60)]
+    for seed in range(3):
+        df = spark.createDataFrame(rows, "doc_id long, text string, x int").repartition(5, F.rand(seed))
+        assert [tuple(r) for r in simhash_dedup.keep_one_of_each(df).collect()] == [(1, "same text", 0)]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    class Session:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        scratch.shared_dir(Session)
+
+
+def test_scratch_drops_tables(spark):
+    own = scratch.Scratch(spark, "t")
+    a = own.save(spark.range(5), "a")
+    assert a.count() == 5 and spark.conf.get(scratch.CLEANUP, "false") == "false"
+    own.drop("a")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{own.root}/a")
+
+
+def test_votes_equal_brute_force():
+    rng = np.random.default_rng(3)
+    shares = (rng.random((90, quality.TERMS)) * (rng.random((90, quality.TERMS)) < 0.02)).astype(np.float32)
+    shares[40:50], labels = shares[30:40], rng.integers(0, 2, 60)
+    voters = quality.Voters(shares[:60], labels, {0: 700, 1: 300})
+    own = [np.bincount(labels, minlength=2)[y] for y in (0, 1)]
+    got = voters.scores(shares)
+    for k in range(90):
+        x = voters.weighted(shares[k : k + 1]) @ voters.axes
+        x = x[0] / np.linalg.norm(x)
+        near = sorted((-round(float(v @ x), 6), y) for v, y in zip(voters.vectors, labels.tolist(), strict=True))
+        near = [(-s, y) for s, y in near if s <= near[quality.NEIGHBOURS - 1][0]]
+        votes = [max(0.0, s) ** quality.SHARPNESS * (700, 300)[y] / own[y] for s, y in near]
+        assert abs(got[k] - sum(v for v, (_, y) in zip(votes, near, strict=True) if y) / sum(votes)) < 1e-4
+
+
+def test_words_are_terms_of_quality():
+    texts = ["the small house on the hill", "a cold river in the north", "xqzv kjw pfgh zzxq vbn wq kkjh"]
+    shares = quality.term_shares(*bytetext.text_bytes(pa.array(texts)))
+    assert all(set(np.flatnonzero(shares[i, : quality.WORDS])) != set(np.flatnonzero(shares[j, : quality.WORDS])) for i, j in ((0, 1), (0, 2), (1, 2)))
+    assert (quality.dense(quality.sparse(shares[0])) == shares[0]).all()
+
+
+def test_language_shares_equal_sets_of_grams():
+    rng = np.random.default_rng(9)
+    names = [f"l{k}" for k in range(5)]
+    line = lambda n: langid.letters_only(" ".join("".join(map(chr, rng.integers(97, 103, 5))) for _ in range(n)))
+    kept = {n: np.unique(np.concatenate([langid.grams(np.frombuffer(line(40), np.uint8), s) for s in langid.SIZES])) for n in names}
+    model = langid.MaskFilters(names, kept)
+    texts = [line(n) for n in (1, 5, 30, 200)]
+    sets = {n: set(kept[n].tolist()) for n in names}
+    for _, _, data, at in langid.chunks(texts):
+        got = model.shares(data, at)
+        for t, text in enumerate(texts):
+            want, weight = np.zeros(5), 0.0
+            for size, factor in langid.SIZES.items():
+                own = langid.grams(np.frombuffer(text, np.uint8), size).tolist()
+                weight += factor * len(own)
+                want += factor * np.array([sum(g in sets[n] for g in own) for n in names])
+            assert np.allclose(got[t], want / weight, atol=1e-3)
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_any_column_names(spark, odd_names, tmp_path, name):
+    spark.createDataFrame([(1, 1, 0), (7, 1, 0), (5, 1, 0)], LABELS).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, long_text(2))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = dict(corpus_pipeline.STAGES)[name](spark, odd_names, str(tmp_path))
+    if name != "best_fit_packing":
+        assert out.columns == odd_names.columns and {r["a.b"] for r in out.collect()} == {"0"}
+    else:
+        assert out.count() >= 9
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 @pytest.mark.parametrize("kind", ["odd", "empty"])
 def test_stages_take_odd_rows(spark, docs, empty, tmp_path, name, kind):
