@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.llm import decontaminate, packing, quality, simhash_dedup, substring_dedup
+from tallyweave.llm.names import named, quoted
 from tallyweave.llm.scratch import Scratch
 
 
 def as_rows(docs: DataFrame) -> DataFrame:
     """All columns in one, so that result columns can't clash with them."""
-    return docs.select(F.struct(*docs.columns).alias("row"))
+    return docs.select(F.struct(*map(named, docs.columns)).alias("row"))
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = substring_dedup.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
     kept = found.where("n_removed = 0 or kept_text <> ''")
-    columns = [F.col(f"row.`{c}`") for c in docs.columns]
+    columns = [F.col(f"row.{quoted(c)}") for c in docs.columns]
     for k, c in enumerate(docs.columns):
         if c == "text":
             columns[k] = text.alias(c)
