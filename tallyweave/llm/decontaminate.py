@@ -135,7 +135,8 @@ class Items:
         item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
         flat = np.concatenate([np.zeros(0, np.uint64), *keys])
         order = np.argsort(flat, kind="stable")
-        self.item = item[order]  # of each place, in order of the q-grams
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])
+        self.item, self.place = item[order], place[order]  # of each place, in order of the q-grams
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         rank = np.searchsorted(self.keys, flat)
         cuts = np.cumsum([0, *map(len, keys)])
@@ -162,24 +163,60 @@ class Items:
         ok = (self.keys[k] == found[where]) & (where + Q <= at[doc + 1])
         ok[ok] = np.bincount(doc[ok], minlength=len(at))[doc[ok]] >= min(self.least, 1 << 30)  # fewer than any item asks for
         where, k, doc = where[ok], k[ok], doc[ok]
+        cells, pairs = self.likely(doc, k)
+        n, few = len(self.size), cells[pairs <= PAIRS_AT_ONCE]
+        yield from self.bands_of_few(few, doc, k, where - at[doc])
         cuts = np.searchsorted(doc, np.arange(len(at)))
-        for d in np.unique(doc).tolist():
-            own = slice(cuts[d], cuts[d + 1])
-            for item in self.likely(np.unique(k[own])):
-                for band in self.bands_of(item, k[own], where[own] - at[d]):
-                    yield d, item, band
-
-    def likely(self, ranks: np.ndarray) -> list[int]:
-        """Items that have at least their bound of places whose q-grams are among these of a text."""
-        times, held = self.count[ranks], np.zeros(len(self.size), np.int64)
+        for cell in cells[pairs > PAIRS_AT_ONCE].tolist():
+            own = slice(cuts[cell // n], cuts[cell // n + 1])
+            for band in self.bands_of(cell % n, k[own], where[own] - at[cell // n]):
+                yield cell // n, cell % n, band
+
+    def pieces(self, ranks: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Some of the q-grams at a time: which, how many places in items each has, and all these places."""
+        times = self.count[ranks]
         upto = np.concatenate([[0], np.cumsum(times)])
         i = 0
         while i < len(ranks):
             j = max(i + 1, int(np.searchsorted(upto, upto[i] + PAIRS_AT_ONCE, "right")) - 1)
-            flat = np.repeat(self.first[ranks[i:j]] - upto[i:j], times[i:j]) + np.arange(upto[i], upto[j])
-            held += np.bincount(self.item[flat], minlength=len(held))
+            yield slice(i, j), times[i:j], np.repeat(self.first[ranks[i:j]] - upto[i:j], times[i:j]) + np.arange(upto[i], upto[j])
             i = j
-        return np.flatnonzero(held >= self.bound).tolist()
+
+    def likely(self, doc: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text times items + item) where the item has at least its bound of places whose q-grams are among those of the
+        text, and how many pairs of places the two have."""
+        pairs, often = np.unique(doc * len(self.keys) + k, return_counts=True)
+        doc, n = pairs // len(self.keys), len(self.size)
+        cells, held, total = np.zeros(0, np.int64), np.zeros(0), np.zeros(0)
+        for some, times, flat in self.pieces(pairs % len(self.keys)):
+            cells, back = np.unique(np.concatenate([cells, np.repeat(doc[some], times) * n + self.item[flat]]), return_inverse=True)
+            held = np.bincount(back, np.concatenate([held, np.ones(len(flat))]), len(cells))
+            total = np.bincount(back, np.concatenate([total, np.repeat(often[some], times)]), len(cells))
+            last = doc[some.stop] * n if some.stop < len(doc) else n * int(doc[-1] + 1)  # texts before that are counted whole
+            keep = (held >= self.bound[cells % n]) | (cells >= last)
+            cells, held, total = cells[keep], held[keep], total[keep]
+        return cells, total
+
+    def bands_of_few(self, few: np.ndarray, doc: np.ndarray, k: np.ndarray, places: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, item, band) that meet the bound, of the cells ``few``, all counted together."""
+        if not len(few):
+            return
+        n = len(self.size)
+        low = -int(self.size.max()) - 2  # no diagonal is lower, no band either
+        span = int(places.max()) - low + 2
+        cells, counts = np.zeros(0, np.int64), np.zeros(0)
+        for some, times, flat in self.pieces(k):
+            item = self.item[flat]
+            cell = np.repeat(doc[some] * n, times) + item
+            at = np.minimum(np.searchsorted(few, cell), len(few) - 1) if len(few) > 1 else np.zeros(len(cell), np.int64)
+            ok = few[at] == cell
+            band = (np.repeat(places[some], times)[ok] - self.place[flat][ok]) // (self.edits[item[ok]] + 1) - low
+            own = at[ok] * span + band
+            cells, back = np.unique(np.concatenate([cells, own, own - 1]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, np.ones(2 * len(own))]), len(cells))
+        enough = counts >= self.bound[few[cells // span] % n]
+        for c in cells[enough].tolist():
+            yield int(few[c // span] // n), int(few[c // span] % n), c % span + low
 
     def bands_of(self, item: int, k: np.ndarray, places: np.ndarray) -> list[int]:
         """Bands of one text whose count of the item's q-grams meets the bound; the text has q-grams ``k`` at ``places``."""

@@ -430,11 +430,33 @@ def test_counts_by_products_equal_counts_by_pairs(monkeypatch):
     text = "".join(rng.choice(["ab cd ", "ef ", "x "], 400, p=[0.45, 0.45, 0.1]))
     items = decontaminate.Items([(1, item)])
     line = np.frombuffer(decontaminate.plain(text + item), np.uint8)
-    monkeypatch.setattr(decontaminate.Items, "likely", lambda self, ranks: [0])
+    monkeypatch.setattr(decontaminate.Items, "likely", lambda self, doc, k: (np.array([0]), np.array([4])))
     items.bound = np.array([12])
     pairs = list(items.bands(line, np.array([0, len(line)])))
     monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", 3)
-    assert list(items.bands(line, np.array([0, len(line)]))) == pairs and len(pairs) > 3
+    assert list(items.bands(line, np.array([0, len(line)]))) == pairs and len(pairs) > 3  # one by one now
+
+
+def test_likely_items_equal_sets(monkeypatch):
+    rng = np.random.default_rng(12)
+    syllables = ["ab", "cd ", "efg", "h ", "ij"]
+    line = lambda n: decontaminate.plain("".join(rng.choice(syllables, n)))
+    items = decontaminate.Items([(k, line(60).decode()) for k in range(30)])
+    items.bound = np.full(30, 25)
+    texts = [line(int(n)) for n in rng.integers(5, 150, 40)]
+    at = np.cumsum([0, *map(len, texts)])
+    pieces = [decontaminate.grams(np.frombuffer(t, np.uint8)) for t in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+    flat = np.concatenate(pieces)
+    k = np.minimum(np.searchsorted(items.keys, flat), len(items.keys) - 1)
+    ok = items.keys[k] == flat
+    want = {(d, i) for d, p in enumerate(pieces) for i, (_, x) in enumerate(items.lines) if sum(g in set(p.tolist()) for g in decontaminate.grams(x).tolist()) >= 25}
+    for at_once in (7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "PAIRS_AT_ONCE", at_once)
+        cells, pairs = items.likely(doc[ok], k[ok])
+        assert set(zip((cells // 30).tolist(), (cells % 30).tolist(), strict=True)) == want and 0 < len(want) < 1200
+        assert pairs[0] == sum(x == y for x in pieces[cells[0] // 30].tolist() for y in decontaminate.grams(items.lines[cells[0] % 30][1]).tolist())
+    assert at[-1] == len(b"".join(texts))
 
 
 def test_short_items_are_found_as_words():
