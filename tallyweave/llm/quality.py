@@ -37,7 +37,7 @@ WORDS, WORD_PAIRS, SHAPES, PAIRS, EXTRA = 1024, 512, 384, 384, 4
 LEXICAL = WORDS + WORD_PAIRS
 TERMS = LEXICAL + SHAPES + PAIRS + EXTRA
 RANK, NEIGHBOURS, SHARPNESS = 64, 25, 8
-BLOCK_ROWS, CHUNK_BYTES = 512, 1 << 20
+BLOCK_ROWS, CHUNK_BYTES = 256, 1 << 20
 
 CLASSES = np.arange(256, dtype=np.uint8)
 CLASSES[97:123] = CLASSES[128:] = ord("a")

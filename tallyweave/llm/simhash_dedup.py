@@ -49,7 +49,7 @@ from .scratch import Scratch
 FAN_OUT = 8
 #: Fingerprints of one slice of a bucket, and of one task on average.
 TILE_ROWS, TASK_ROWS = 20_000, 50_000
-PAIRS_AT_ONCE = 1 << 15
+PAIRS_AT_ONCE = 1 << 13
 #: Sets of shingles in one slice of a proposed component, and of one task on average.
 SET_ROWS, SETS_AT_ONCE = 4_000, 5_000
 #: Rows of a table of hot buckets up to which it is broadcast.
