@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from typing import Any
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +15,22 @@ def short_hash(text: Column) -> Column:
     return F.substring(F.sha2(text, 256), 1, 16)
 
 
+def canonical_json(value: Any) -> str:
+    """Names in order, no white space; numbers that aren't finite are refused."""
+    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+
+
+def canonical_hash(value: Any) -> str:
+    """The first 16 hex digits of SHA-256 of the canonical JSON."""
+    return hashlib.sha256(canonical_json(value).encode()).hexdigest()[:16]
+
+
+def canonical_record(record_id: Column, **fields: Column) -> Column:
+    """The canonical JSON of a record, ``{"fields":{...},"id":...}``, where null fields are missing ones."""
+    body = F.to_json(F.struct(*(c.alias(n) for n, c in sorted(fields.items()))))
+    return F.concat(F.lit('{"fields":'), body, F.lit(',"id":'), F.regexp_replace(F.to_json(F.array(record_id.cast("string"))), r"^\[|\]$", ""), F.lit("}"))
+
+
 def record_digest(record_id: Column, **fields: Column) -> Column:
     """Hash of the id and the fields by name; a null field is a missing one."""
     parts = [F.when(c.isNotNull(), F.concat(F.lit(f"{n}="), c.cast("string"))) for n, c in sorted(fields.items())]

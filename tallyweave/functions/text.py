@@ -2,22 +2,55 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: What a selector answers to abstain, and the marks around a key.
-ABSTAIN = ("NONE", "NULL", "N/A", "NA", "NO_MATCH", "NO MATCH", "")
-KEY_MARKS = " .,:;'\"`()[]{}<>*#"
+# What a selector answers to abstain (in lower case), and the marks trimmed from a key.
+ABSTAIN = ("", "null", "none", "nil", "no_match", "nomatch", "no match", "n/a", "na")
+KEY_MARKS = " \t\r\n\"'`[]().,;:"
+# Fixed value: names of parameters whose values are credentials.
+SECRET = r"(?i)api[-_]?key|(^|[-_])key$|secret|passw|credential|authori[sz]ation|bearer|header|cookie|(^|[-_])token$"
+# Fixed value: marks and words that a query parser would read as syntax.
+SYNTAX = r"""(?U)[`+\-!(){}\[\]^"~*?:\\/]|(?<!\w)(?:AND|OR|NOT|IN)(?!\w)"""
 
+WORD = r"[\p{L}\p{N}_]+"
+#: Letters that case folding changes beyond lower case.
+FOLDED = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ŉ", "ʼn"), ("ǰ", "ǰ"), ("µ", "μ"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"))
 
-def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters, digits and underscores, in order."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
+
+def compositions() -> list[tuple[str, str]]:
+    """A letter followed by one combining mark, and the one character that they are composed to."""
+    out = []
+    for code in range(0xC0, min(sys.maxunicode, 0x1FFF)):
+        parts = unicodedata.normalize("NFD", chr(code))
+        if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(code):
+            out.append((unicodedata.normalize("NFC", parts[:-1]) + parts[-1], chr(code)))
+    return sorted(out, key=lambda x: x[1])
+
+
+COMPOSED = compositions()
+
+
+def composed(text: Column) -> Column:
+    """Letters and combining marks as composed characters; only texts that hold a mark are looked through."""
+    pairs = F.from_json(F.lit("[" + ",".join(f'{{"a":"{a}","b":"{b}"}}' for a, b in COMPOSED) + "]"), "array<struct<a: string, b: string>>")
+    return F.when(F.regexp_like(text, F.lit(r"\p{M}")), F.aggregate(pairs, text, lambda out, x: F.replace(out, x.a, x.b))).otherwise(text)
 
 
-def unicode_tokens(text: Column) -> Column:
-    """Lower-case runs of word characters of any script."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
+def folded(text: Column) -> Column:
+    """Case-folded text: lower case, and what folding changes beyond it."""
+    out = F.lower(text)
+    for letter, plain in FOLDED:
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return F.when(F.regexp_like(text, F.lit("[^\\x00-\\x7F]")), out).otherwise(F.lower(text))
+
+
+def tokens(text: Column) -> Column:
+    """Case-folded runs of letters and digits of any script and underscores, in order."""
+    return F.regexp_extract_all(folded(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
 def collapse(text: Column) -> Column:
@@ -25,11 +58,30 @@ def collapse(text: Column) -> Column:
 
 
 def exact_form(text: Column) -> Column:
-    """Whole-string match form: lower case, single spaces; marks and accents are kept."""
+    """Whole-string match form: composed, case-folded, single spaces; marks and accents are kept."""
+    return collapse(folded(composed(text)))
+
+
+def normalise_query(text: Column) -> Column:
+    """The form in which queries are compared: lower case, single spaces."""
     return collapse(F.lower(text))
 
 
-normalise_query = exact_form
+def order_key(text: Column) -> Column:
+    """The form by which records are ordered: compatibility characters of ASCII replaced, case-folded, single spaces."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u3000"
+    return collapse(folded(composed(F.translate(text, wide, "".join(map(chr, range(0x21, 0x7F))) + "  "))))
+
+
+def exact_forms(*fields: Column) -> Column:
+    """Distinct exact forms of string fields and arrays of strings, blanks left out."""
+    forms = F.transform(F.flatten(F.array(*fields)), lambda x: exact_form(F.coalesce(x, F.lit(""))))
+    return F.array_distinct(F.filter(forms, lambda x: x != ""))
+
+
+def rendered_queries(*queries: Column) -> Column:
+    """A record's queries in order: tidied, without blanks and repeats."""
+    return F.array_distinct(F.filter(F.transform(F.array(*queries), lambda x: tidy(F.coalesce(x, F.lit("")))), lambda x: x != ""))
 
 
 def tidy(text: Column) -> Column:
@@ -40,8 +92,7 @@ def tidy(text: Column) -> Column:
 
 def sanitise_query(text: Column) -> Column:
     """Blanks for query-syntax marks and for bare operators in capitals."""
-    marks = F.regexp_replace(text, r"""[+\-&|!(){}\[\]^"~*?:\\/<>=']""", " ")
-    return collapse(F.regexp_replace(marks, r"\b(AND|OR|NOT|IN)\b", " "))
+    return collapse(F.regexp_replace(text, SYNTAX, " "))
 
 
 def match_key(text: Column) -> Column:
@@ -60,6 +111,18 @@ def names(*fields: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.array(*fields), lambda x: F.trim(F.coalesce(x, F.lit("")))), lambda x: x != ""))
 
 
+def singular(token: Column) -> Column:
+    """A token of over three letters without its plural: -ies is -y, a final s goes, -ss stays."""
+    size = F.length(token)
+    plain = F.when(token.endswith("ies"), F.concat(F.substring(token, F.lit(1), size - 3), F.lit("y"))).when(token.endswith("s") & ~token.endswith("ss"), F.substring(token, F.lit(1), size - 1)).otherwise(token)
+    return F.when(size > 3, plain).otherwise(token)
+
+
+def singular_key(text: Column) -> Column:
+    """The match key with each of its tokens in the singular."""
+    return F.array_join(F.transform(F.split(match_key(text), " "), singular), " ")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Shared over all distinct tokens; 0 where either side has none."""
     both, shared = F.size(F.array_union(a, b)), F.size(F.array_intersect(a, b))
@@ -73,10 +136,22 @@ def curie(uri: Column) -> Column:
     return F.when(purl != "", F.concat(purl, F.lit(":"), local)).when(uri.contains("#"), F.substring_index(uri, "#", -1)).otherwise(uri)
 
 
+def is_secret_name(name: Column) -> Column:
+    """Whether a parameter of this name may carry a credential; ``token`` counts as a whole word only."""
+    return F.regexp_like(name, F.lit(SECRET))
+
+
 def redact_url(url: Column) -> Column:
-    """The address without user info and without the values of secret parameters."""
-    bare = F.regexp_replace(url, "^([a-z][a-z0-9+.-]*://)[^/@]*@", "$1")
-    return F.regexp_replace(bare, "([?&][^=&]*(?:key|token|secret|password)[^=&]*=)[^&#]*", "$1***")
+    """The address without user info and without parameters that may carry a credential; other texts are left as they are."""
+    part = lambda k: F.regexp_extract(url, r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$", k)
+    scheme, host, path, query, fragment = (part(k) for k in range(1, 6))
+    bare = F.regexp_replace(host, r"^.*@", "")
+    decode = lambda x: F.coalesce(F.try_url_decode(x), x)
+    encode = lambda x: F.replace(F.replace(F.url_encode(decode(x)), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    pairs = F.filter(F.split(query, "&"), lambda x: (x != "") & ~is_secret_name(decode(F.substring_index(x, "=", 1))))
+    kept = F.array_join(F.transform(pairs, lambda x: F.concat(encode(F.substring_index(x, "=", 1)), F.lit("="), encode(F.when(F.contains(x, F.lit("=")), F.substr(x, F.length(F.substring_index(x, "=", 1)) + 2)).otherwise("")))), "&")
+    out = F.concat(F.when(scheme != "", F.concat(F.lower(scheme), F.lit(":"))).otherwise(""), F.when(bare != "", F.concat(F.lit("//"), F.lower(bare))).otherwise(""), path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""))
+    return F.when((scheme == "") & (host == ""), url).otherwise(out)
 
 
 def candidate_key(place: Column, count: Column) -> Column:
@@ -86,15 +161,39 @@ def candidate_key(place: Column, count: Column) -> Column:
 
 
 def clean_key(answer: Column) -> Column:
-    return F.upper(F.btrim(F.coalesce(answer, F.lit("")), F.lit(KEY_MARKS)))
-
-
-def resolve_key(answer: Column, issued: Column) -> Column:
-    """(id, resolution) of a selector's answer, given the map of issued keys."""
-    key = clean_key(answer)
-    found = F.try_element_at(issued, key)
-    kind = F.when(key.isin(*ABSTAIN), "abstained").when(found.isNotNull(), "exact_key").otherwise("unresolved")
-    return F.struct(F.when(kind == "exact_key", found).alias("id"), kind.alias("resolution"))
+    """The answer without white space and marks at its ends."""
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    return bare(F.btrim(bare(F.coalesce(answer, F.lit(""))), F.lit(KEY_MARKS)))
+
+
+def resolve_key(answer: Column, issued: Column, legacy: bool = False) -> Column:
+    """(id, resolution) of a selector's answer, given the map of issued keys in order.
+
+    ``legacy`` also takes ids as they are, in other case, by what follows their last colon, or by rank; each
+    such way is named, so that none counts as an exact key.
+    """
+    text = clean_key(answer)
+    found = F.try_element_at(issued, F.upper(text))
+    rules = [(F.lower(text).isin(*ABSTAIN), "abstain", F.lit(None).cast("string")), (found.isNotNull(), "exact_key", found)]
+    if legacy:
+        ids = F.map_values(issued)
+        last = lambda test: F.try_element_at(F.filter(ids, test), F.lit(-1))
+        rules += [
+            (F.array_contains(ids, text), "legacy_exact_id", text),
+            (last(lambda x: F.lower(x) == F.lower(text)).isNotNull(), "legacy_fuzzy", last(lambda x: F.lower(x) == F.lower(text))),
+            (last(lambda x: F.substring_index(x, ":", -1) == text).isNotNull(), "legacy_fuzzy", last(lambda x: F.substring_index(x, ":", -1) == text)),
+            (F.regexp_like(text, F.lit("^[0-9]{1,9}$")) & F.coalesce(text.try_cast("int").between(1, F.size(ids)), F.lit(False)), "legacy_rank", F.try_element_at(ids, text.try_cast("int"))),
+        ]
+    kind, out = F.lit("unresolved"), F.lit(None).cast("string")
+    for when, name, value in reversed(rules):
+        kind, out = F.when(when, name).otherwise(kind), F.when(when, value).otherwise(out)
+    return F.struct(out.alias("id"), kind.alias("resolution"))
+
+
+def component_differences(before: Column, after: Column) -> Column:
+    """Names in two maps whose values differ, or that only one has, in order."""
+    names_ = F.array_sort(F.array_union(F.map_keys(before), F.map_keys(after)))
+    return F.filter(names_, lambda x: ~F.try_element_at(before, x).eqNullSafe(F.try_element_at(after, x)))
 
 
 def is_valid_score(score: Column) -> Column:
@@ -124,6 +223,22 @@ def shaped(v: Column, dimensions: int) -> Column:
     return unit(F.slice(v, 1, dimensions))
 
 
+def half(v: Column) -> Column:
+    """The vector as half-precision numbers hold it (11 bits, ties to even); a number that isn't finite is refused."""
+    def rounded(x):
+        size = F.abs(x.cast("double"))
+        step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2(F.greatest(size, F.lit(2.0**-24)))) - 10, F.lit(-24)))
+        near = F.bround(size / step) * step
+        bad = x.isNull() | F.isnan(x) | (near >= 65520)
+        return F.when(bad, F.raise_error(F.lit("a vector holds a number that half precision can't")).cast("double")).otherwise(F.when(x < 0, -near).otherwise(near))
+    return F.transform(v, rounded)
+
+
+def encoded_text(text: Column, vector: Column, dimensions: int) -> Column:
+    """The vector of a text; zero for a blank one, which no encoder is asked about."""
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", F.array_repeat(F.lit(0.0), dimensions)).otherwise(vector)
+
+
 def template(fmt: str, **fields: Column) -> Column:
     """``{name}`` in a static template replaced by its field; null is empty, the result is tidied."""
     out, rest = [], fmt

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,26 +24,48 @@ def by_gold_set(gold: DataFrame) -> DataFrame:
     return gold.select("source_id", name.alias("cluster_id"))
 
 
-def by_leaders(items: DataFrame, block: str, same_at: float = 0.6) -> DataFrame:
-    """Greedy leaders in order of label, within each block: an item joins the most similar leader or becomes one.
+def by_leaders(items: DataFrame, block: str, same_at: float = 0.85, reverse: bool = False) -> DataFrame:
+    """Greedy leaders in order of id, within each block: an item joins the first leader whose key is as similar
+    as ``same_at`` (twice the letters of matching blocks over all letters), or becomes one.
 
     The decision for an item depends on those before it, so a block is one sequential task; blocks are the
-    unit of scale and should be keyed finely.
+    unit of scale and should be keyed finely. Items of one key are one, and so are compared once.
     """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        leaders: list[tuple[frozenset, int]] = []
+        leaders: list[tuple[str, int]] = []
+        known: dict[str, int] = {}
         out = []
-        for item, label in pdf.sort_values(["label", "item_id"])[["item_id", "label"]].itertuples(index=False):
-            own = frozenset(str(label).lower().split())
-            near = max(((len(own & words) / max(1, len(own | words)), -who) for words, who in leaders), default=(0.0, 0))
-            if near[0] < same_at:
-                leaders.append((own, item))
-                near = (1.0, -item)
-            out.append((item, -near[1]))
+        for item, key in pdf.sort_values("item_id", ascending=not reverse)[["item_id", "key"]].itertuples(index=False):
+            if key not in known:
+                known[key] = next((who for text, who in leaders if as_similar(key, text, same_at)), item)
+                if known[key] == item:
+                    leaders.append((key, item))
+            out.append((item, known[key]))
         return pd.DataFrame(out, columns=["item_id", "cluster_id"])
 
-    return items.select("item_id", "label", F.col(block).alias("block")).groupBy("block").applyInPandas(run, "item_id long, cluster_id long")
+    keyed = items.select("item_id", tx.match_key(F.col("label")).alias("key"), F.col(block).alias("block"))
+    return keyed.groupBy("block").applyInPandas(run, "item_id long, cluster_id long")
+
+
+def as_similar(a: str, b: str, least: float) -> bool:
+    """Whether two keys' block ratio reaches ``least``; cheap bounds above it are asked first."""
+    if not a and not b:
+        return True
+    if 2 * min(len(a), len(b)) < least * (len(a) + len(b)):
+        return False
+    matcher = SequenceMatcher(None, a, b)
+    return matcher.quick_ratio() >= least and matcher.ratio() >= least
+
+
+def by_matching(results: DataFrame) -> DataFrame:
+    """Sources by their accepted target; an unmatched one is its own, others are open."""
+    s, matched = F.col("status"), (F.col("status") == "matched") & F.col("matched_id").isNotNull()
+    own = F.col("source_id").cast("string")
+    name = F.when(matched, F.concat(F.lit("t:"), F.col("matched_id").cast("string"))).when(s == "unmatched", F.concat(F.lit("s:"), own)).otherwise(F.concat(F.lit("r:"), own))
+    size = F.count("*").over(Window.partitionBy("cluster_id"))
+    kind = F.when(F.col("cluster_id").startswith("r:"), F.when(F.col("status") == "needs_review", "needs_review").otherwise("failed")).when(size > 1, "assigned").otherwise("singleton")
+    return results.withColumn("cluster_id", name).select(F.col("source_id").alias("item_id"), "cluster_id", kind.alias("outcome"))
 
 
 def mint_id(run: str, seed) -> F.Column:

@@ -107,6 +107,16 @@ def decider_status(levels: int = 4, accept_at: float = DECIDER_ACCEPT) -> Column
     return F.struct(F.when(degraded, "failed").otherwise(status).alias("status"), F.when(degraded, "retriever_failure").otherwise(reason).alias("reason"))
 
 
+def overlap_choice(overlaps: DataFrame) -> DataFrame:
+    """The offline decider's choice from ``query_id``, ``id``, ``rank``, ``overlap``: the largest overlap, of equals the later key.
+
+    Without any overlap it chooses none. Probabilities are shares of all overlaps.
+    """
+    best = overlaps.groupBy("query_id").agg(F.max_by("id", F.struct("overlap", "rank")).alias("id"), F.max("overlap").alias("overlap"), F.sum("overlap").alias("total"))
+    some = F.col("overlap") > 0
+    return best.select("query_id", F.when(some, F.col("id")).alias("id"), "overlap", F.when(some, F.col("overlap") / F.col("total")).otherwise(0.0).alias("p_choice"), F.when(some, 0.0).otherwise(1.0).alias("p_none"))
+
+
 def explanation() -> Column:
     """The numbers behind a decision in one line."""
     part = lambda name, label: F.when(F.col(name).isNotNull(), F.concat(F.lit(label), F.format_string("%.2f", F.col(name))))

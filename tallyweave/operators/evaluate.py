@@ -77,10 +77,16 @@ def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "source_id").groupBy("status_before", "status_after").agg(F.count("*").alias("n"))
 
 
-def deal_holdout(rows: DataFrame, draw_value: Column) -> DataFrame:
-    """Alternate rows in order of their draw: halves that differ by one at most."""
-    place = F.row_number().over(Window.orderBy("draw", "source_id"))  # a labelled set, of bounded size
-    return rows.withColumn("draw", draw_value).withColumn("part", F.when(place % 2 == 1, "fit").otherwise("holdout"))
+def deal_holdout(rows: DataFrame, draw_value: Column, ranges: int = 1024) -> DataFrame:
+    """Alternate rows in order of their draw: halves that differ by one at most.
+
+    Draws are even over [0, 1): each of ``ranges`` is ordered by itself, after as many rows as the ranges before it hold.
+    """
+    drawn = rows.withColumn("draw", draw_value).withColumn("range", F.floor(F.col("draw") * ranges))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # over a row for each range
+    first = drawn.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("draw", "source_id")) + F.col("first")
+    return drawn.join(F.broadcast(first), "range").withColumn("part", F.when(place % 2 == 1, "fit").otherwise("holdout")).drop("range", "first")
 
 
 def fit_grid(rows: DataFrame, accept: list[float], choose: list[float], target: float) -> DataFrame:

@@ -115,3 +115,31 @@ def applied_batch(checked: DataFrame) -> DataFrame:
     """All checked reviews, or none if any of them has a problem."""
     bad = checked.agg(F.count("problem").alias("bad"))
     return checked.crossJoin(F.broadcast(bad)).where("bad = 0").drop("bad", "problem")  # one row
+
+
+def last_invocation(invocations: DataFrame) -> DataFrame:
+    """Each run's last invocation (``run``, ``seq``, and more): how it ended, or ``interrupted`` if it never did."""
+    last = latest(invocations, "run")
+    return last.withColumn("state", F.coalesce("state", F.lit("interrupted")))
+
+
+def explained(source_id, results: DataFrame, attempts: DataFrame, reviews: DataFrame) -> DataFrame:
+    """All that is known of one source, in order: its revisions, attempts and reviews."""
+    own = lambda df: df.where(F.col("source_id") == source_id)
+    row = lambda df, what, at: own(df).select(F.lit(what).alias("what"), F.col(at).cast("long").alias("at"), F.to_json(F.struct(*df.columns)).alias("row"))
+    return row(results, "result", "seq").unionByName(row(attempts, "attempt", "attempt")).unionByName(row(reviews, "review", "review_id"))
+
+
+def inspected(snapshot: DataFrame, log: DataFrame) -> DataFrame:
+    """A run by status: how many, the mean and least confidence, and the latest commit."""
+    now = current_view(snapshot, log)
+    return now.groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.min("confidence").alias("least_confidence"), F.max("seq").alias("last_seq"))
+
+
+def salted_order(rows: DataFrame, salt: str, key: str = "source_id") -> DataFrame:
+    """Rows with their ``place`` by the hash of salt and id. Ranges of hashes are ranked alone."""
+    hashed = rows.withColumn("digest", F.sha2(F.concat(F.lit(salt), F.col(key).cast("string")), 256)).withColumn("range", F.substring("digest", 1, 3))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # over 4,096 rows at most
+    first = hashed.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(before, F.lit(0)).alias("first"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy("digest", key)) + F.col("first")
+    return hashed.join(F.broadcast(first), "range").withColumn("place", place).drop("range", "first", "digest")

@@ -6,13 +6,24 @@ the smaller id; scores are compared after rounding to nine digits, so summation
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from difflib import SequenceMatcher
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as tx
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+#: What a fuzzy clause counts, and how much more an exact form counts.
+FUZZY_WEIGHT, EXACT_BOOST = 0.5, 10.0
+#: Vectors of a group of a tile, and queries that are multiplied at once.
+TILE_VECTORS, TILE_QUERIES = 100_000, 256
 
 
 def top(df: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), id_column: str = "id") -> DataFrame:
@@ -26,9 +37,20 @@ def corpus(docs: DataFrame) -> DataFrame:
     return docs.select("id", tx.tokens(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
 
 
+def counted(terms: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """``id``, ``term``, ``size``, ``tf``: the inverted index, one shuffle on (id, term).
+
+    The empty term stands once for each document, so counts over all documents need no second scan. With
+    ``asked``, only its terms (and the empty one) leave the scan.
+    """
+    rows = terms.select("id", "size", F.explode(F.concat(F.array(F.lit("")), F.col("terms"))).alias("term"))
+    if asked is not None:
+        rows = rows.join(store.few(asked.union(asked.sparkSession.createDataFrame([("",)], "term string"))), "term", "left_semi")
+    return rows.groupBy("id", "term", "size").agg(F.count("*").alias("tf"))
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """``id``, ``term``, ``tf``, ``size``: the inverted index, one shuffle on (id, term)."""
-    return corpus(docs).select("id", "size", F.explode("terms").alias("term")).groupBy("id", "term", "size").agg(F.count("*").alias("tf"))
+    return counted(corpus(docs)).where("term <> ''").select("id", "term", "tf", "size")
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -36,30 +58,65 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return corpus(docs).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    """``query_id``, ``id``, ``score`` of every document that shares a term with a query."""
+def scored(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+    """``query_id``, ``id``, ``score`` of every document that shares a term with a query.
+
+    ``index`` has postings, ``stats`` one row with n_docs and mean_size. A term's postings meet its queries where
+    they are if these are few; so a frequent term is no hot key.
+    """
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    # Only terms that a query asks for leave the scan of the index.
-    hits = (index if index is not None else postings(docs)).join(asked.select("term").distinct(), "term", "left_semi")
+    hits = index.join(store.few(asked.select("term").distinct()), "term", "left_semi")
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = spread.crossJoin(F.broadcast(corpus_stats(docs)))  # one row
+    weighed = spread.crossJoin(F.broadcast(stats))  # one row
     idf = weighed.select("term", "mean_size", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return asked.join(hits.join(idf, "term"), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return hits.join(store.few(asked.join(idf, "term")), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+
+
+def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same without a stored index: one scan of the documents, of which only asked terms are written."""
+    asked = queries.select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    index = store.Work(docs.sparkSession, "postings").save(counted(corpus(docs), asked), "asked")
+    stats = index.where("term = ''").agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
+    return scored(queries, index.where("term <> ''"), stats)
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
+    return top(bm25_scores(queries, docs), k).select("query_id", "id", "score", "rank")
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
-    return top(bm25_scores(queries, docs, index), k).select("query_id", "id", "score", "rank")
+def overlap_scores(queries: DataFrame, index: DataFrame) -> DataFrame:
+    """``query_id``, ``id``, ``score``: shared over all distinct tokens of both whole texts, where any is shared; ``index`` has postings."""
+    q = queries.select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("q")).withColumn("nq", F.size("q"))
+    asked = q.select("query_id", "nq", F.explode("q").alias("term"))
+    sizes = index.groupBy("id").agg(F.count("*").alias("nd"))
+    shared = index.select("id", "term").join(store.few(asked), "term").groupBy("query_id", "id", "nq").agg(F.count("*").alias("n"))
+    return shared.join(sizes, "id").select("query_id", "id", (F.col("n") / (F.col("nq") + F.col("nd") - F.col("n"))).alias("score"))
 
 
-def exact_first(queries: DataFrame, docs: DataFrame, k: int = 10, exact: str = "exact") -> DataFrame:
-    """BM25 hits, with documents whose exact form equals the query's before all others."""
-    forms = docs.select("id", tx.exact_form(F.col(exact)).alias("form"))
-    same = queries.select("query_id", tx.exact_form(F.col("text")).alias("form")).join(forms, "form").select("query_id", "id", F.lit(1).alias("is_exact")).distinct()
-    scored = bm25_scores(queries, docs).join(same, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("is_exact", F.lit(0)).alias("is_exact"))
+def exact_hits(queries: DataFrame, docs: DataFrame, forms: Column) -> DataFrame:
+    """``query_id``, ``id`` of documents that have the query's exact form among ``forms``."""
+    own = docs.select("id", F.explode(tx.exact_forms(forms)).alias("form"))
+    return own.join(store.few(queries.select("query_id", tx.exact_form(F.col("text")).alias("form"))), "form").select("query_id", "id").distinct()
+
+
+def exact_boosted(queries: DataFrame, docs: DataFrame, k: int = 10, forms: str = "forms") -> DataFrame:
+    """BM25 with ``EXACT_BOOST`` times the weight of the form itself for documents that have the query's exact form."""
+    same = exact_hits(queries, docs, F.col(forms))
+    spread, n = same.groupBy("query_id").agg(F.count("*").alias("df")), docs.agg(F.count("*").alias("n_docs"))
+    weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * EXACT_BOOST
+    extra = same.join(spread, "query_id").crossJoin(F.broadcast(n)).select("query_id", "id", weight.alias("extra"))  # one row
+    both = bm25_scores(queries, docs).join(extra, ["query_id", "id"], "full")
+    return top(both.select("query_id", "id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score")), k)
+
+
+def exact_first(queries: DataFrame, docs: DataFrame, k: int = 10, forms: str = "forms") -> DataFrame:
+    """BM25 hits, with documents that have the query's exact form before all others."""
+    same = exact_hits(queries, docs, F.col(forms)).withColumn("is_exact", F.lit(1))
+    found = bm25_scores(queries, docs).join(same, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("is_exact", F.lit(0)).alias("is_exact"))
     order = Window.partitionBy("query_id").orderBy(F.desc("is_exact"), F.round("score", 9).desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def exact_lookup(mentions: DataFrame, names: DataFrame) -> DataFrame:
@@ -77,27 +134,165 @@ def deletions(word: Column) -> Column:
     return F.array_distinct(F.flatten(F.array(F.array(word), one, F.flatten(F.transform(one, once)))))
 
 
+def transposed(word: Column) -> Column:
+    """The word with each two neighbouring letters changed about."""
+    at = F.when(F.length(word) > 1, F.sequence(F.lit(1), F.length(word) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.lit(1)), F.substring(word, i, F.lit(1)), F.substring(word, i + 2, F.length(word))))
+
+
+def edits_up_to_two(a: Column, b: Column) -> Column:
+    """Edits between two words, where a transposition is one; over two may be given as more than they are."""
+    swapped = lambda x, y: F.coalesce(F.array_min(F.transform(transposed(x), lambda w: F.levenshtein(w, y))), F.lit(99)) + 1
+    twice = F.when(F.arrays_overlap(transposed(a), transposed(b)), 2).otherwise(99)
+    return F.least(F.levenshtein(a, b), F.when(a != b, F.least(swapped(a, b), swapped(b, a), twice)).otherwise(0))
+
+
 def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
     """Vocabulary terms within two edits of each asked term of ``least`` letters; an equi-join on deletions."""
     key = lambda df, name: df.select("term").where(F.length("term") >= 3).withColumn("key", F.explode(deletions(F.col("term")))).withColumnRenamed("term", name)
-    pairs = key(asked.where(F.length("term") >= least), "query_term").join(key(vocabulary, "term"), "key").select("query_term", "term").distinct()
-    edits = F.levenshtein("query_term", "term")
-    return pairs.withColumn("edits", edits).where((edits > 0) & (edits <= distance)).withColumn("weight", F.lit(0.5))
+    pairs = key(vocabulary, "term").join(store.few(key(asked.where(F.length("term") >= least), "query_term")), "key").select("query_term", "term").distinct()
+    found = pairs.withColumn("edits", edits_up_to_two(F.col("query_term"), F.col("term"))).where((F.col("edits") > 0) & (F.col("edits") <= distance))
+    return found.withColumn("weight", F.lit(FUZZY_WEIGHT))
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame, dimensions: int | None = None) -> DataFrame:
-    """Inner products of each query (``query_id``, ``vector``) with each row (``id``, ``vector``).
+def fuzzy_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
+    """BM25, and ``FUZZY_WEIGHT`` more for each long term of the query that the document holds or holds a term near to."""
+    asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("query_term")).where(F.length("query_term") >= least)
+    words = asked.select(F.col("query_term").alias("term")).distinct()
+    near = fuzzy_terms(words, index.select("term").distinct(), distance, least).select("query_term", "term").union(words.selectExpr("term AS query_term", "term"))
+    extra = index.select("id", "term").join(store.few(asked.join(near, "query_term").select("query_id", "query_term", "term")), "term")
+    extra = extra.select("query_id", "query_term", "id").distinct().groupBy("query_id", "id").agg((F.count("*") * FUZZY_WEIGHT).alias("extra"))
+    both = scored(queries, index, stats).join(extra, ["query_id", "id"], "full")
+    return both.select("query_id", "id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("extra", F.lit(0.0))).alias("score"))
 
-    Queries are a stated set: they are met in one pass over the rows.
-    """
-    shape = (lambda v: tx.shaped(v, dimensions)) if dimensions else (lambda v: v)
-    q = queries.select("query_id", shape(F.col("vector")).alias("q"))
-    return vectors.select("id", *(c for c in vectors.columns if c not in ("id", "vector")), shape(F.col("vector")).alias("v")).crossJoin(F.broadcast(q)).withColumn("score", tx.dot(F.col("q"), F.col("v"))).drop("q", "v")
 
+def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, dimensions: int | None = None, record: Column | None = None) -> DataFrame:
+    """The k rows (``id``, ``vector``) with the largest inner product with each query (``query_id``, ``vector``).
 
-def best_per_record(scores: DataFrame) -> DataFrame:
-    """One row for each record: the best of its vectors."""
-    return scores.groupBy("query_id", "record").agg(F.max(F.round("score", 9)).alias("score"), F.max_by("id", F.struct(F.round("score", 9), -F.col("id"))).alias("best_id"))
+    Both sides are dealt to groups, and each pair of groups is a tile that one task multiplies and cuts to its
+    best; so neither side is broadcast, and no pair leaves its tile but the best. With ``record``, an expression
+    of ``id``, each record counts once, by its best row (``best_id``).
+    """
+    spark = vectors.sparkSession
+    shape = (lambda v: tx.shaped(v, dimensions)) if dimensions else (lambda v: v.cast("array<double>"))
+    work = store.Work(spark, "dense")
+    q = work.save(queries.select(F.col("query_id").cast("long").alias("query_id"), shape(F.col("vector")).alias("v")), "queries")
+    rows = work.save(vectors.select(F.col("id").cast("long").alias("id"), (record if record is not None else F.col("id")).cast("long").alias("record"), shape(F.col("vector")).alias("v")), "rows")
+    asked, n = q.count(), rows.count()
+    a, b = max(1, -(-asked // TILE_VECTORS)), max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), -(-n // TILE_VECTORS))
+    left = q.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("long")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    right = rows.withColumn("b", F.pmod(F.xxhash64("record"), F.lit(b)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a - 1).cast("long"))))
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(dense_tile(k), "query_id long, id long, best_id long, score double")
+    return top(found, k)
+
+
+def dense_tile(k: int):
+    def run(key, queries: pa.Table, rows: pa.Table) -> pa.Table:
+        empty = pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "best_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not queries.num_rows or not rows.num_rows:
+            return empty
+        own = rows.sort_by([("record", "ascending"), ("id", "ascending")])
+        matrix = lambda t: np.stack([np.asarray(v, float) for v in t.column("v").to_numpy(zero_copy_only=False)])
+        x, record, number = matrix(own), own.column("record").to_numpy(), own.column("id").to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], record[1:] != record[:-1]]))
+        ids, out = queries.column("query_id").to_numpy(), []
+        for i in range(0, len(ids), TILE_QUERIES):
+            exact = matrix(queries.slice(i, TILE_QUERIES)) @ x.T
+            y = np.round(exact, 9)
+            best = np.maximum.reduceat(y, first, axis=1)
+            keep = np.argsort(-best, axis=1, kind="stable")[:, :k]  # records are in order, so ties go to the smaller
+            for j, at in enumerate(keep):
+                for r in at.tolist():
+                    a, b = first[r], first[r + 1] if r + 1 < len(first) else len(record)
+                    row = a + int(y[j, a:b].argmax())
+                    out.append((int(ids[i + j]), int(record[a]), int(number[row]), float(exact[j, row])))
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], names=empty.schema.names)
+
+    return run
+
+
+def nearest_records(queries: DataFrame, vectors: DataFrame, record: Column, k: int = 10, overfetch: int = 5) -> DataFrame:
+    """The k records nearest to each query by their best of the ``overfetch`` times k nearest rows; a record without a row there is left out."""
+    rows = dense_topk(queries, vectors, k * overfetch).select("query_id", "id", "score", record.cast("long").alias("record"))
+    best = rows.groupBy("query_id", "record").agg(F.max("score").alias("score")).withColumnRenamed("record", "id")
+    return top(best, k)
+
+
+def known(hits: DataFrame, targets: DataFrame) -> DataFrame:
+    """Hits whose target is still there."""
+    return hits.join(targets.select("id").distinct(), "id", "left_semi")
+
+
+def search_one(text: str, lists: dict[str, Callable[[DataFrame, int], DataFrame]], targets: DataFrame, limit: int = 20) -> DataFrame:
+    """What each of several retrievers finds for one text, fused, with the rank in each and the target's text."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be from 1 to 100")
+    asked = targets.sparkSession.createDataFrame([(0, text)], "query_id long, text string")
+    hits = None
+    for name, search in lists.items():
+        own = search(asked, limit).select("query_id", "id", "rank").withColumn("retriever", F.lit(name))
+        hits = own if hits is None else hits.unionByName(own)
+    found = top(fuse(known(hits, targets)), limit)
+    return targets.join(F.broadcast(found), "id").select("id", "rank", "score", "evidence", "text")  # limit rows
+
+
+def budget_outcome(ranked: DataFrame) -> DataFrame:
+    """Of each list with ``kept``: how many candidates are kept and cut, and the reason where the first is over the budget."""
+    agg = ranked.groupBy("query_id").agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("dropped"))
+    return agg.withColumn("reason", F.when(F.col("kept") == 0, "candidate_budget_exceeded"))
+
+
+def fuzzy_best(mentions: DataFrame, names: DataFrame, accept_at: float = 0.90, review_at: float = 0.75) -> DataFrame:
+    """Per mention (``source_id``, ``mention``) the name (``id``, ``name``) with the largest block ratio of their keys, of
+    equals the smaller id: ``score``, ``matched_id`` and a status by its levels.
+
+    Every key meets all names' keys: both are dealt to groups, and a tile compares those alone whose letters allow
+    a ratio above what it has. Below ``review_at`` nothing is matched.
+    """
+    spark = mentions.sparkSession
+    work = store.Work(spark, "fuzzy")
+    own = work.save(mentions.select("source_id", tx.match_key(F.coalesce("mention", F.lit(""))).alias("key")), "mentions")
+    asked = own.select("key").distinct()
+    held = work.save(names.select(tx.match_key(F.col("name")).alias("name"), "id").groupBy("name").agg(F.min("id").alias("id")), "names")
+    a, b = max(1, -(-asked.count() // 2000)), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-held.count() // 20_000))
+    left = asked.withColumn("a", F.pmod(F.xxhash64("key"), F.lit(a)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
+    right = held.withColumn("b", F.pmod(F.xxhash64("name"), F.lit(b)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(a - 1))))
+    kind = held.schema["id"].dataType.simpleString()
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(fuzzy_tile(review_at), f"key string, id {kind}, ratio double")
+    best = found.groupBy("key").agg(F.min(F.struct((-F.col("ratio")).alias("r"), "id")).alias("best")).select("key", (-F.col("best.r")).alias("ratio"), F.col("best.id").alias("found"))
+    status = F.when(F.col("ratio") >= accept_at, "matched").when(F.col("ratio") >= review_at, "needs_review").otherwise("unmatched")
+    return own.join(best, "key", "left").select("source_id", status.alias("status"), F.col("found").alias("matched_id"), F.round("ratio", 4).alias("score"))
+
+
+def fuzzy_tile(least: float):
+    def run(queries: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
+        out, texts, ids = [], names["name"].tolist(), names["id"].tolist()
+        letters = {c: k for k, c in enumerate(sorted(set("".join(texts))))}
+        counts = np.zeros((len(texts), len(letters)), np.int16)
+        for k, t in enumerate(texts):
+            for c in t:
+                counts[k, letters[c]] += 1
+        sizes = counts.sum(axis=1)
+        for key in queries["key"] if texts else ():
+            own = np.zeros(len(letters), np.int16)
+            for c in key:
+                if c in letters:
+                    own[letters[c]] += 1
+            bound = 2.0 * np.minimum(counts, own).sum(axis=1) / np.maximum(sizes + len(key), 1)
+            best: tuple = (least - 1e-12, None)
+            matcher = SequenceMatcher(None, b=key)
+            for k in np.argsort(-bound, kind="stable").tolist():
+                if bound[k] < best[0]:
+                    break
+                matcher.set_seq1(texts[k])
+                ratio = matcher.ratio()
+                if ratio > best[0] or (ratio == best[0] and best[1] is not None and ids[k] < best[1]):
+                    best = (ratio, ids[k])
+            if best[1] is not None:
+                out.append((key, best[1], best[0]))
+        return pd.DataFrame(out, columns=["key", "id", "ratio"])
+
+    return run
 
 
 def fuse(hits: DataFrame, k: int = RRF_K, weights: dict[str, float] | None = None) -> DataFrame:

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
+from ..functions.ids import canonical_hash
+from ..operators.index import TextIndex, identity_of
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 ATTEMPTS = """
@@ -20,19 +24,19 @@ FROM {orders} o LEFT JOIN (
     l_partkey % 4 AS candidate_count, CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS retrieval_failures
   FROM {lineitem}) a ON o.o_orderkey = a.l_orderkey
 """
-GOLD_FLAT = "SELECT DISTINCT l_orderkey AS source_id, l_partkey AS gold_id FROM {lineitem} WHERE l_linenumber <= 3 AND l_orderkey % 7 <> 0"
-LABELLED = "SELECT o_orderkey AS source_id FROM {orders} WHERE o_orderkey % 3 <> 0"
+GOLD_FLAT = "SELECT DISTINCT l_orderkey AS source_id, l_partkey AS gold_id FROM {lineitem} WHERE l_linenumber <= 3 AND l_returnflag <> 'R'"
+LABELLED = "SELECT o_orderkey AS source_id FROM {orders} WHERE o_orderpriority <> '5-LOW'"
 LOG = """
 SELECT user_id AS source_id, event_id AS seq, value AS confidence, event_id % 50 AS matched_id,
   CASE event_type WHEN 'purchase' THEN 'matched' WHEN 'click' THEN 'needs_review' WHEN 'error' THEN 'failed' WHEN 'view' THEN 'unmatched' ELSE 'matched' END AS status
 FROM {events}
 """
-SNAPSHOT = "SELECT c_custkey AS source_id FROM {customer} WHERE c_custkey % 2 = 0"
+SNAPSHOT = "SELECT c_custkey AS source_id FROM {customer}"
 REVIEWS = """
 SELECT event_id AS review_id, user_id AS source_id,
   CASE event_id % 5 WHEN 0 THEN 'accept' WHEN 1 THEN 'replace' WHEN 2 THEN 'reject' WHEN 3 THEN 'no_match' ELSE 'defer' END AS decision,
   event_id % 90 AS corrected_id, n - event_id % 2 AS result_revision
-FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) e WHERE event_id % 9 = 0
+FROM (SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id) AS n FROM {events}) e
 """
 SIGNALS = """
 SELECT l_orderkey AS order_id, l_partkey AS part_id, l_suppkey AS supp_id, l_linenumber AS line,
@@ -47,6 +51,11 @@ ANSWERS = """
 SELECT event_id, CASE event_id % 9 WHEN 0 THEN '0.75' WHEN 1 THEN '"0.9"' WHEN 2 THEN 'true' WHEN 3 THEN 'null' WHEN 4 THEN '1.7' WHEN 5 THEN '-0.1' WHEN 6 THEN '1' WHEN 7 THEN '{{"a": 1}}' ELSE 'not json' END AS answer
 FROM {events}
 """
+SELECTIONS = '''
+SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'nil' WHEN 1 THEN ' c01. ' WHEN 2 THEN 'C09' WHEN 3 THEN '"C03"' WHEN 4 THEN '' WHEN 5 THEN concat('c0', event_id % 6) WHEN 6 THEN 'No Match'
+  WHEN 7 THEN '{{C02}}' WHEN 8 THEN '[NoMatch];' WHEN 9 THEN NULL WHEN 10 THEN concat('go:', event_id % 6) ELSE concat(event_id % 7) END AS answer
+FROM {events}
+'''
 PROPOSALS = """
 SELECT user_id AS source_id, event_id AS place, CASE WHEN event_type IN ('view', 'click') THEN 'candidate' ELSE 'query' END AS kind,
   CASE WHEN event_id % 13 = 0 THEN ' ' WHEN event_type IN ('view', 'click') THEN concat(' c0', event_id % 6, ' ') ELSE concat('Term  ', event_id % 8) END AS value
@@ -60,7 +69,7 @@ FROM {events}
 """
 KEYED = """
 SELECT event_id AS result_key, event_id % 11 AS source_hash, event_id % 50 AS matched_id, event_id % 5 <> 0 AS current, CASE WHEN event_id % 7 = 0 THEN 't0' WHEN event_id % 7 < 5 THEN 't1' END AS target_digest
-FROM {events} WHERE event_id % 13 <> 0
+FROM {events} WHERE event_type <> 'error'
 """
 WORKSHEET = "SELECT event_id AS result_key, CASE WHEN event_id % 17 = 0 THEN 99 ELSE event_id % 11 END AS source_hash, event_id % 50 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS proposed_id FROM {events}"
 
@@ -83,6 +92,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The stored index of the documents: opened if it is of the table as it is now, else built."""
+    path = f"{store.shared_folder(spark)}/tallyweave/index-{canonical_hash([spark.sparkContext.applicationId, sf_dir])}"
+    identity = identity_of(table=canonical_hash(store.content_mark(spark, f"{sf_dir}/documents.parquet")))
+    return TextIndex.opened_or_built(documents(spark, sf_dir), path, identity)
+
+
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 

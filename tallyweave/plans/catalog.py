@@ -2,47 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import answers, ids, similarity
 from ..functions import text as tx
 from ..operators import catalogue, cluster, decide, evaluate, frontier, ledger, retrieval
-from . import base
-from .oracles import ORACLES as ORACLES  # noqa: PLC0414
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+from ..operators.index import TextIndex, identity_of
+from . import base, oracles
+from .registry import ORACLES, QUERIES, query
 
+ORACLES.update(oracles.ORACLES)
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.withColumn("score", F.round("score", digits) + F.lit(0.0))
 
 
 def candidates(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return retrieval.bm25_topk(base.benchmark(spark, d), base.documents(spark, d), k)
+    return base.text_index(spark, d).search(base.benchmark(spark, d), k)
 
 
 def two_lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
-    """The benchmark texts, and their first eight words, as two retrievers."""
-    docs, full = base.documents(spark, d), base.benchmark(spark, d)
-    head = full.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 8), " "))
-    return retrieval.bm25_topk(full, docs, k).withColumn("retriever", F.lit("full")).unionByName(retrieval.bm25_topk(head, docs, k).withColumn("retriever", F.lit("head")))
+    """Two retrievers over whole texts: BM25, and the overlap of tokens. Both read the stored index."""
+    index, asked = base.text_index(spark, d), base.benchmark(spark, d)
+    overlap = retrieval.top(retrieval.overlap_scores(asked, index.postings()), k).select("query_id", "id", "score", "rank")
+    return index.search(asked, k).withColumn("retriever", F.lit("bm25")).unionByName(overlap.withColumn("retriever", F.lit("overlap")))
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return base.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
 
-def label_queries(v: DataFrame) -> DataFrame:
-    """The first vector of each label."""
-    return v.groupBy(F.col("label").alias("query_id")).agg(F.min_by("vector", "id").alias("vector"))
+def asked_vectors(v: DataFrame) -> DataFrame:
+    """The query set of searches: every row whose id is divisible by 20."""
+    return v.where("id % 20 = 0").select(F.col("id").alias("query_id"), "vector")
 
 
 def attempts(spark: SparkSession, d: str) -> DataFrame:
@@ -83,35 +77,62 @@ def exact_lookup(spark, d):
 
 @query
 def exact_boosted_search(spark, d):
-    part = base.table(spark, d, "part")
-    docs = part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_name").alias("exact"))
-    asked = base.table(spark, d, "region").join(part, F.col("p_partkey") == F.col("r_regionkey") + 1).select(F.col("r_regionkey").alias("query_id"), F.col("p_name").alias("text"))
-    return rounded(retrieval.exact_first(asked, docs))
+    docs = base.documents(spark, d).withColumn("forms", F.array("text"))
+    return rounded(retrieval.exact_first(base.benchmark(spark, d), docs))
+
+
+@query
+def exact_weight_search(spark, d):
+    """Parts by name: equal names weigh ten times as much."""
+    docs = base.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.array("p_name", "p_type").alias("forms"))
+    asked = base.table(spark, d, "supplier").join(base.table(spark, d, "part"), F.col("p_partkey") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("query_id"), F.upper("p_name").alias("text"))
+    return rounded(retrieval.exact_boosted(asked, docs)).select("query_id", "id", "score", "rank")
 
 
 @query
 def fuzzy_vocabulary_expand(spark, d):
-    terms = base.benchmark(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    return retrieval.fuzzy_terms(terms, terms)
+    """Terms of the benchmark against all terms of the documents."""
+    asked = base.benchmark(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
+    return retrieval.fuzzy_terms(asked, base.text_index(spark, d).postings().select("term").distinct())
+
+
+@query
+def fuzzy_search(spark, d):
+    index = base.text_index(spark, d)
+    return rounded(retrieval.top(retrieval.fuzzy_scores(base.benchmark(spark, d), index.postings(), index.stats()), 10)).select("query_id", "id", "score", "rank")
+
+
+@query
+def index_upkeep(spark, d):
+    """An index that took documents in by three steps and lost some again answers as one built from what is left."""
+    docs = base.table(spark, d, "documents")
+    part = F.col("source")
+    sources = sorted(r.source for r in docs.select("source").distinct().where("source is not null").collect())  # a short list of sources
+    half = sources[: len(sources) // 2]
+    rows = docs.select(F.col("doc_id").alias("id"), "text", "source")
+    index = TextIndex.build(rows.where(part.isin(half)), f"{store.Work(spark, 'upkeep').root}/index", identity_of(table="documents"))
+    index.add(rows.where(~part.isin(half) | part.isNull()))
+    index.add(rows.where(part.isin(half[:1])).withColumn("text", F.upper("text")))
+    index.remove(base.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id")))
+    return rounded(index.search(base.benchmark(spark, d), 10))
 
 
 @query
 def dense_topk(spark, d):
     v = vectors(spark, d)
-    return rounded(retrieval.top(retrieval.dense_scores(label_queries(v), v.select("id", "vector")), 10))
+    return rounded(retrieval.dense_topk(asked_vectors(v), v)).select("query_id", "id", "score", "rank")
 
 
 @query
 def dense_best_per_record(spark, d):
     v = vectors(spark, d)
-    scores = retrieval.dense_scores(label_queries(v), v.select("id", "vector")).withColumn("record", F.floor(F.col("id") / 4))
-    return rounded(retrieval.top(retrieval.best_per_record(scores).withColumnRenamed("record", "id"), 10))
+    return rounded(retrieval.dense_topk(asked_vectors(v), v, record=F.floor(F.col("id") / 4)))
 
 
 @query
 def matryoshka_topk(spark, d):
     v = vectors(spark, d)
-    return rounded(retrieval.top(retrieval.dense_scores(label_queries(v), v.select("id", "vector"), 16), 10))
+    return rounded(retrieval.dense_topk(asked_vectors(v), v, dimensions=16)).select("query_id", "id", "score", "rank")
 
 
 @query
@@ -121,7 +142,7 @@ def rrf_multi_query(spark, d):
 
 @query
 def rrf_weighted(spark, d):
-    return rounded(retrieval.top(retrieval.fuse(two_lists(spark, d), weights={"full": 2.0}).drop("evidence"), 10), 9)
+    return rounded(retrieval.top(retrieval.fuse(two_lists(spark, d), weights={"bm25": 2.0}).drop("evidence"), 10), 9)
 
 
 @query
@@ -136,6 +157,14 @@ def rrf_excluding(spark, d):
     return rounded(retrieval.top(retrieval.fuse(two_lists(spark, d)).drop("evidence").join(out, "id", "left_anti"), 5), 9).select("query_id", "id", "score", "rank")
 
 
+def overlaps(spark, d):
+    """Candidates of the benchmark texts with the share of words that both hold."""
+    words = lambda c: F.array_distinct(F.split(tx.match_key(F.col(c)), " "))
+    asked = base.benchmark(spark, d).select("query_id", words("text").alias("q"))
+    texts = base.documents(spark, d).select("id", words("text").alias("t"))
+    return texts.join(F.broadcast(candidates(spark, d, 12)), "id").join(asked, "query_id").withColumn("overlap", F.round(tx.jaccard(F.col("q"), F.col("t")), 4)).drop("q", "t")
+
+
 def sized(spark, d):
     text = base.documents(spark, d).select("id", F.length("text").alias("size"))
     return candidates(spark, d, 12).join(text, "id")
@@ -158,20 +187,23 @@ def shortlist(spark, d):
 
 @query
 def resolve_keys(spark, d):
-    e, kind = F.col("event_id"), F.col("event_id") % 7
-    answer = F.when(kind == 0, "none").when(kind == 1, " c01. ").when(kind == 2, "C09").when(kind == 3, '"C03"').when(kind == 4, "").when(kind == 5, F.concat(F.lit("c"), F.lpad((e % 6).cast("string"), 2, "0"))).otherwise("N/A")
     issued = F.create_map(*(F.lit(x) for i in range(1, 5) for x in (f"C0{i}", f"id{i}")))
-    return base.table(spark, d, "events").select("event_id", tx.resolve_key(answer, issued).alias("r")).select("event_id", "r.id", "r.resolution")
+    rows = base.select(spark, d, base.SELECTIONS)
+    return rows.select("event_id", tx.resolve_key(F.col("answer"), issued).alias("r")).select("event_id", "r.id", "r.resolution")
+
+
+@query
+def resolve_keys_legacy(spark, d):
+    issued = F.create_map(*(F.lit(x) for i in range(1, 5) for x in (f"C0{i}", f"Go:{i}")))
+    rows = base.select(spark, d, base.SELECTIONS)
+    return rows.select("event_id", tx.resolve_key(F.col("answer"), issued, legacy=True).alias("r")).select("event_id", "r.id", "r.resolution")
 
 
 @query
 def overlap_choose(spark, d):
-    """The offline decider: of each list, the candidate with most shared tokens, and its share of all overlaps."""
-    asked = base.benchmark(spark, d).select("query_id", F.array_distinct(tx.tokens(F.col("text"))).alias("q"))
-    texts = base.documents(spark, d).select("id", F.array_distinct(tx.tokens(F.col("text"))).alias("t"))
-    scored = candidates(spark, d, 12).join(texts, "id").join(asked, "query_id").withColumn("overlap", F.round(tx.jaccard(F.col("q"), F.col("t")), 9))
-    best = scored.groupBy("query_id").agg(F.min_by("id", F.struct((-F.col("overlap")).alias("o"), "rank")).alias("id"), F.max("overlap").alias("overlap"), F.try_divide(F.max("overlap"), F.sum("overlap")).alias("share"))
-    return best.select("query_id", "id", F.round("overlap", 6).alias("overlap"), F.round("share", 6).alias("share"))
+    """The offline decider: of each list, the candidate with most shared words, and its share of all overlaps."""
+    best = decide.overlap_choice(overlaps(spark, d))
+    return best.select("query_id", "id", F.round("overlap", 6).alias("overlap"), F.round("p_choice", 6).alias("p_choice"), F.round("p_none", 6).alias("p_none"))
 
 
 @query
@@ -204,7 +236,10 @@ def curie_urls(spark, d):
 
 @query
 def redact_urls(spark, d):
-    url = F.concat(F.lit("https://me:pw@host/"), F.col("page_id"), F.lit("?a=1&api_key=s3"), F.col("page_id"), F.lit("&b=2"))
+    """Parameters that only look like credentials stay: max_tokens, monkey."""
+    p = F.col("page_id").cast("string")
+    secret = F.when(F.col("page_id") % 3 == 0, "api_key").when(F.col("page_id") % 3 == 1, "max_tokens").otherwise("x-token")
+    url = F.concat(F.lit("https://me:pw@Host:80/"), p, F.lit("?a=1&"), secret, F.lit("="), p, F.lit("&monkey=2&Authorization=b"))
     return base.table(spark, d, "pages").select("page_id", tx.redact_url(url).alias("url"))
 
 
@@ -233,10 +268,10 @@ def record_digest(spark, d):
 
 @query
 def changed_records(spark, d):
-    part = base.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
-    stored = part.where("id % 5 <> 0").select("id", ids.record_digest(F.col("id"), name=F.col("name")).alias("digest"))
+    part = base.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "p_size")
+    stored = part.where("p_size <= 40").select("id", ids.record_digest(F.col("id"), name=F.col("name")).alias("digest"))
     edited = F.when(F.col("id") % 3 == 0, F.concat("name", F.lit("*"))).otherwise(F.col("name"))
-    return ledger.upsert(stored, part.where("id % 7 <> 0").select("id", ids.record_digest(F.col("id"), name=edited).alias("digest")))
+    return ledger.upsert(stored, part.where("p_size >= 5").select("id", ids.record_digest(F.col("id"), name=edited).alias("digest")))
 
 
 @query
@@ -474,14 +509,14 @@ def name_similarity(spark, d):
 @query
 def route_proposals(spark, d):
     issued = base.select(spark, d, "SELECT DISTINCT user_id AS source_id, concat('C0', event_id % 4) AS key FROM {events}")
-    seen = base.select(spark, d, "SELECT DISTINCT user_id AS source_id, concat('term ', event_id % 5) AS query FROM {events} WHERE user_id % 2 = 0")
+    seen = base.select(spark, d, "SELECT DISTINCT user_id AS source_id, concat('term ', event_id % 5) AS query FROM {events} WHERE event_type = 'signup'")
     return frontier.route_proposals(base.select(spark, d, base.PROPOSALS), issued, seen)
 
 
 @query
 def dispatch_calls(spark, d):
     requests = base.select(spark, d, "SELECT event_id AS seq, concat(event_type, user_id % 40) AS request_key FROM {events}")
-    return frontier.dispatch(requests, base.select(spark, d, "SELECT concat(event_type, user_id % 40) AS request_key FROM {events} WHERE user_id % 40 < 6"), 90)
+    return frontier.dispatch(requests, base.select(spark, d, "SELECT concat(event_type, user_id % 40) AS request_key FROM {events} WHERE event_type = 'view'"), 90)
 
 
 @query
@@ -497,7 +532,7 @@ def max_live_clusters(spark, d):
 @query
 def join_passes(spark, d):
     hits = two_lists(spark, d)
-    return frontier.join_passes(*(hits.where(F.col("retriever") == r).select("query_id", "id", "rank") for r in ("head", "full")))
+    return frontier.join_passes(*(hits.where(F.col("retriever") == r).select("query_id", "id", "rank") for r in ("overlap", "bm25")))
 
 
 @query
@@ -508,12 +543,12 @@ def preflight_counts(spark, d):
 
 @query
 def gold_restricted(spark, d):
-    return catalogue.restricted_gold(base.select(spark, d, base.GOLD_FLAT), base.select(spark, d, "SELECT p_partkey AS id FROM {part} WHERE p_partkey % 4 <> 0"))
+    return catalogue.restricted_gold(base.select(spark, d, base.GOLD_FLAT), base.select(spark, d, "SELECT p_partkey AS id FROM {part} WHERE p_size <= 40"))
 
 
 @query
 def gold_alias_closure(spark, d):
-    aliases = base.select(spark, d, "SELECT p_partkey AS id, p_partkey + 1 AS alias FROM {part} WHERE p_partkey % 6 = 0")
+    aliases = base.select(spark, d, "SELECT p_partkey AS id, p_partkey + 1 AS alias FROM {part} WHERE p_size < 10")
     return catalogue.alias_closure(base.select(spark, d, base.GOLD_FLAT), aliases)
 
 
@@ -568,3 +603,8 @@ def run_gate(spark, d):
 def selected_iterations(spark, d):
     states = base.select(spark, d, "SELECT user_id AS run, event_id AS iteration, event_type AS digest, event_id % 17 AS unresolved FROM {events}")
     return frontier.selected_iteration(states, 900)
+
+
+from . import workflows  # noqa: E402  registers the queries over whole runs, which use those above
+
+__all__ = ["ORACLES", "QUERIES", "workflows"]

@@ -2,31 +2,37 @@
 
 from __future__ import annotations
 
-from .base import ANSWERS, ATTEMPTS, GOLD_FLAT, KEYED, LABELLED, LOG, PARENTS, PROPOSALS, REVIEWS, SIGNALS, SNAPSHOT, WORKSHEET, plain
+from .base import ANSWERS, ATTEMPTS, GOLD_FLAT, KEYED, LABELLED, LOG, PARENTS, PROPOSALS, REVIEWS, SELECTIONS, SIGNALS, SNAPSHOT, WORKSHEET, plain
 
 FAILURES = "('provider_failure', 'retriever_failure', 'fatal_provider_failure', 'unresolved_output', 'candidate_budget_exceeded')"
 
 
+def words(text: str) -> str:
+    """Case-folded words of any script."""
+    return rf"regexp_extract_all(replace(replace(replace(lower(coalesce({text}, '')), 'ß', 'ss'), 'ς', 'σ'), 'ſ', 's'), '[\p{{L}}\p{{N}}_]+')"
+
+
 def bm25(queries: str, docs: str, name: str = "bm25") -> str:
     """CTEs up to ``{name}(query_id, id, score)``."""
     n = name
     return f"""
-{n}_t AS (SELECT id, len(w) AS size, unnest(w) AS term FROM (SELECT id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+') AS w FROM ({docs}))),
-{n}_s AS (SELECT count(*) AS n, avg(len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_]+'))) AS m FROM ({docs})),
+{n}_t AS (SELECT id, len(w) AS size, unnest(w) AS term FROM (SELECT id, {words('text')} AS w FROM ({docs}))),
+{n}_s AS (SELECT count(*) AS n, avg(len({words('text')})) AS m FROM ({docs})),
 {n}_p AS (SELECT id, size, term, count(*) AS tf FROM {n}_t GROUP BY ALL),
 {n}_d AS (SELECT term, count(*) AS df FROM {n}_p GROUP BY term),
-{n}_q AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM ({queries})),
+{n}_q AS (SELECT DISTINCT query_id, unnest({words('text')}) AS term FROM ({queries})),
 {n} AS (SELECT query_id, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))) AS score
   FROM {n}_q JOIN {n}_p USING (term) JOIN {n}_d USING (term), {n}_s GROUP BY query_id, id)"""
 
 
 DOCS, ITEMS = "SELECT doc_id AS id, text FROM documents", "SELECT item_id AS query_id, text FROM benchmark"
-FIRST = "SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ') AS text FROM benchmark"
 RANK = "row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id)"
-TOP20 = f"""WITH {bm25(ITEMS, DOCS, 'a')}, {bm25(FIRST, DOCS, 'b')},
+OVERLAP = """ow AS (SELECT DISTINCT query_id, term FROM a_q), oq AS (SELECT query_id, count(*) AS nq FROM ow GROUP BY ALL), od AS (SELECT id, count(*) AS nd FROM a_p GROUP BY ALL),
+b AS (SELECT query_id, id, n / (nq + nd - n) AS score FROM (SELECT query_id, id, count(*) AS n FROM ow JOIN a_p USING (term) GROUP BY ALL) JOIN oq USING (query_id) JOIN od USING (id))"""
+TOP20 = f"""WITH {bm25(ITEMS, DOCS, 'a')}, {OVERLAP},
 hits AS (
-  SELECT 'full' AS retriever, query_id, id, score, {RANK} AS rank FROM a QUALIFY {RANK} <= 20
-  UNION ALL SELECT 'head', query_id, id, score, {RANK} FROM b QUALIFY {RANK} <= 20)"""
+  SELECT 'bm25' AS retriever, query_id, id, score, {RANK} AS rank FROM a QUALIFY {RANK} <= 20
+  UNION ALL SELECT 'overlap', query_id, id, score, {RANK} FROM b QUALIFY {RANK} <= 20)"""
 RESULTS = f"""attempts AS ({plain(ATTEMPTS)}),
 flagged AS (SELECT *, attempt IS NOT NULL AS real,
   attempt IS NOT NULL AND reason IS NULL AND chosen_id IS NOT NULL AND score BETWEEN 0 AND 1 AND score >= accept_at AND resolution = 'exact_key' AND (verifier IS NULL OR verifier = 'support') AS ok,
@@ -79,9 +85,16 @@ SELECT items, (SELECT count(*) FROM ca) AS n_clusters, (SELECT count(*) FROM cb)
   (SELECT count_if(clusters > 1) FROM cb) AS splits, tp::BIGINT AS true_pairs, (pp - tp)::BIGINT AS false_pairs, (gp - tp)::BIGINT AS missed_pairs, pair_precision, pair_recall,
   round(2 * pair_precision * pair_recall / nullif(pair_precision + pair_recall, 0), 4) AS pair_f1, b3_precision, b3_recall, round(2 * b3_precision * b3_recall / nullif(b3_precision + b3_recall, 0), 4) AS b3_f1 FROM r"""
 BY_HASH = "SELECT vec_id AS item_id, vec_id % 40 AS cluster_id, label AS gold_id FROM embeddings"
-QUERY_VECTORS = "SELECT label AS query_id, arg_min(embedding, vec_id)::DOUBLE[] AS q FROM embeddings GROUP BY label"
+QUERY_VECTORS = "SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0"
 DOT = "list_reduce(list_prepend(0.0, list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i])), lambda a, b: a + b)"
 SUMMED = "sum({w} / (60 + rank))"
+FORM = r"trim(regexp_replace(replace(replace(lower(nfc_normalize({0})), 'ß', 'ss'), 'ς', 'σ'), '\s+', ' ', 'g'))"
+#: DuckDB counts edits in bytes: letters with accents become free letters of one byte.
+ACCENTS = ("àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%")
+NEAR = f"""va AS (SELECT DISTINCT unnest({words('text')}) AS query_term FROM benchmark), vb AS (SELECT DISTINCT unnest({words('text')}) AS term FROM documents),
+ca AS (SELECT query_term, translate(query_term, '{ACCENTS[0]}', '{ACCENTS[1]}') AS c FROM va WHERE length(query_term) >= 5), cb AS (SELECT term, translate(term, '{ACCENTS[0]}', '{ACCENTS[1]}') AS d FROM vb WHERE length(term) >= 3),
+near AS (SELECT query_term, term, damerau_levenshtein(c, d) AS edits FROM ca JOIN cb ON abs(length(c) - length(d)) <= 2 AND c <> d WHERE damerau_levenshtein(c, d) <= 2)"""
+SELECTED = rf"""WITH a AS ({plain(SELECTIONS)}), k AS (SELECT event_id, trim(trim(trim(coalesce(answer, '')), ' .,:;''"`()[]' || chr(9) || chr(10) || chr(13))) AS bare, upper(bare) AS key, lower(bare) IN ('', 'null', 'none', 'nil', 'no_match', 'nomatch', 'no match', 'n/a', 'na') AS none FROM a)"""
 CAND = f"""WITH {bm25(ITEMS, DOCS, 'a')}, ranked AS (SELECT query_id, id, score, {RANK} AS rank FROM a QUALIFY {RANK} <= 12), sized AS (SELECT r.*, length(d.text) AS size FROM ranked r JOIN documents d ON d.doc_id = r.id)"""
 
 ORACLES: dict[str, str] = {
@@ -89,43 +102,55 @@ ORACLES: dict[str, str] = {
     "bm25_postings_stats": f"WITH {bm25(ITEMS, DOCS)} SELECT n AS n_docs, round(m, 6) AS mean_size, (SELECT count(*) FROM bm25_d) AS n_terms, (SELECT count(*) FROM bm25_p) AS n_postings FROM bm25_s",
     "exact_lookup": f"""WITH names AS (SELECT p_partkey AS id, {NAME_KEY.format('p_name')} AS key FROM part), m AS (SELECT s_suppkey AS source_id, {NAME_KEY.format("coalesce(p_name, 'none') || CASE WHEN s_suppkey % 3 = 0 THEN ' x' ELSE '!' END")} AS key FROM supplier LEFT JOIN part ON p_partkey = s_suppkey * 3)
 SELECT source_id, count(DISTINCT id) AS n_hits, CASE WHEN count(DISTINCT id) = 1 THEN 'matched' WHEN count(DISTINCT id) > 1 THEN 'needs_review' ELSE 'unmatched' END AS status, CASE WHEN count(DISTINCT id) = 1 THEN min(id) END AS matched_id FROM m LEFT JOIN names USING (key) GROUP BY source_id""",
-    "exact_boosted_search": f"""WITH {bm25("SELECT r_regionkey AS query_id, p_name AS text FROM region JOIN part ON p_partkey = r_regionkey + 1", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part")},
-same AS (SELECT q.r_regionkey AS query_id, p.p_partkey AS id FROM region q JOIN part x ON x.p_partkey = q.r_regionkey + 1 JOIN part p ON lower(p.p_name) = lower(x.p_name)),
+    "exact_boosted_search": f"""WITH {bm25(ITEMS, DOCS)}, same AS (SELECT item_id AS query_id, doc_id AS id FROM benchmark b JOIN documents d ON {FORM.format('d.text')} = {FORM.format('b.text')}),
 f AS (SELECT coalesce(b.query_id, s.query_id) AS query_id, coalesce(b.id, s.id) AS id, coalesce(score, 0) AS score, CASE WHEN s.id IS NULL THEN 0 ELSE 1 END AS is_exact FROM bm25 b FULL JOIN same s ON b.query_id = s.query_id AND b.id = s.id)
 SELECT query_id, id, round(score, 6) AS score, is_exact, row_number() OVER (PARTITION BY query_id ORDER BY is_exact DESC, round(score, 9) DESC, id) AS rank FROM f QUALIFY rank <= 10""",
-    "fuzzy_vocabulary_expand": """WITH v AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM benchmark)
-SELECT a.term AS query_term, b.term, levenshtein(a.term, b.term) AS edits, 0.5::DOUBLE AS weight FROM v a JOIN v b ON abs(length(a.term) - length(b.term)) <= 2 AND a.term <> b.term WHERE length(a.term) >= 5 AND length(b.term) >= 3 AND levenshtein(a.term, b.term) <= 2""",
+    "exact_weight_search": f"""WITH {bm25("SELECT s_suppkey AS query_id, upper(p_name) AS text FROM supplier JOIN part ON p_partkey = s_suppkey", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part")},
+same AS (SELECT s.s_suppkey AS query_id, p.p_partkey AS id FROM supplier s JOIN part x ON x.p_partkey = s.s_suppkey JOIN part p ON {FORM.format('x.p_name')} IN ({FORM.format('p.p_name')}, {FORM.format('p.p_type')})),
+w AS (SELECT query_id, 10 * ln(1 + ((SELECT count(*) FROM part) - count(*) + 0.5) / (count(*) + 0.5)) AS w FROM same GROUP BY ALL),
+f AS (SELECT coalesce(b.query_id, s.query_id) AS query_id, coalesce(b.id, s.id) AS id, coalesce(score, 0) + coalesce(CASE WHEN s.id IS NOT NULL THEN w END, 0) AS score FROM bm25 b FULL JOIN same s ON b.query_id = s.query_id AND b.id = s.id LEFT JOIN w ON w.query_id = s.query_id)
+SELECT query_id, id, round(score, 6) AS score, {RANK} AS rank FROM f QUALIFY {RANK} <= 10""",
+    "fuzzy_vocabulary_expand": f"""WITH {NEAR} SELECT query_term, term, edits, 0.5::DOUBLE AS weight FROM near""",
+    "fuzzy_search": f"""WITH {bm25(ITEMS, DOCS, 'a')}, {NEAR},
+x AS (SELECT DISTINCT q.query_id, q.term AS query_term, p.id FROM a_q q JOIN (SELECT query_term, term FROM near UNION SELECT DISTINCT term, term FROM a_q) n ON n.query_term = q.term JOIN a_p p ON p.term = n.term WHERE length(q.term) >= 5),
+e AS (SELECT query_id, id, 0.5 * count(*) AS extra FROM x GROUP BY ALL),
+f AS (SELECT query_id, id, coalesce(score, 0) + coalesce(extra, 0) AS score FROM a FULL JOIN e USING (query_id, id))
+SELECT query_id, id, round(score, 6) AS score, {RANK} AS rank FROM f QUALIFY {RANK} <= 10""",
+    "index_upkeep": f"""WITH s AS (SELECT source, row_number() OVER (ORDER BY source) AS n, count(*) OVER () AS m FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
+{bm25(ITEMS, "SELECT doc_id AS id, CASE WHEN source IN (SELECT source FROM s WHERE n = 1 AND m > 1) THEN upper(text) ELSE text END AS text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")}
+SELECT query_id, id, round(score, 6) AS score, {RANK} AS rank FROM bm25 QUALIFY {RANK} <= 10""",
     "dense_topk": f"""WITH q AS ({QUERY_VECTORS}), s AS (SELECT query_id, vec_id AS id, {DOT.format('q', 'embedding')} AS score FROM q, embeddings) SELECT query_id, id, round(score, 6) + 0.0 AS score, {RANK} AS rank FROM s QUALIFY {RANK} <= 10""",
-    "dense_best_per_record": f"""WITH q AS ({QUERY_VECTORS}), s AS (SELECT query_id, vec_id // 4 AS record, vec_id, round({DOT.format('q', 'embedding')}, 9) AS score FROM q, embeddings),
-b AS (SELECT query_id, record AS id, max(score) AS score, arg_min(vec_id, (-score, vec_id)) AS best_id FROM s GROUP BY ALL) SELECT query_id, id, round(score, 6) + 0.0 AS score, best_id, {RANK} AS rank FROM b QUALIFY {RANK} <= 10""",
+    "dense_best_per_record": f"""WITH q AS ({QUERY_VECTORS}), s AS (SELECT query_id, vec_id // 4 AS record, vec_id, {DOT.format('q', 'embedding')} AS score FROM q, embeddings),
+b AS (SELECT query_id, record AS id, arg_min(score, (-round(score, 9), vec_id)) AS score, arg_min(vec_id, (-round(score, 9), vec_id)) AS best_id FROM s GROUP BY ALL) SELECT query_id, id, round(score, 6) + 0.0 AS score, best_id, {RANK} AS rank FROM b QUALIFY {RANK} <= 10""",
     "matryoshka_topk": f"""WITH e AS (SELECT vec_id, label, list_slice(embedding::DOUBLE[], 1, 16) AS v FROM embeddings), u AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt({DOT.format('v', 'v')})) AS v FROM e),
-q AS (SELECT label AS query_id, arg_min(v, vec_id) AS q FROM u GROUP BY label), s AS (SELECT query_id, vec_id AS id, {DOT.format('q', 'v')} AS score FROM q, u) SELECT query_id, id, round(score, 6) + 0.0 AS score, {RANK} AS rank FROM s QUALIFY {RANK} <= 10""",
+q AS (SELECT vec_id AS query_id, v AS q FROM u WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS id, {DOT.format('q', 'v')} AS score FROM q, u) SELECT query_id, id, round(score, 6) + 0.0 AS score, {RANK} AS rank FROM s QUALIFY {RANK} <= 10""",
     "rrf_multi_query": f"""{TOP20}, f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, string_agg(retriever || ':' || rank, '|' ORDER BY retriever || ':' || rank) AS evidence FROM hits GROUP BY ALL) SELECT query_id, id, round(score, 9) AS score, evidence, {RANK} AS rank FROM f QUALIFY {RANK} <= 10""",
-    "rrf_weighted": f"""{TOP20}, f AS (SELECT query_id, id, sum(CASE retriever WHEN 'full' THEN 2.0 ELSE 1.0 END / (60 + rank)) AS score FROM hits GROUP BY ALL) SELECT query_id, id, round(score, 9) AS score, {RANK} AS rank FROM f QUALIFY {RANK} <= 10""",
+    "rrf_weighted": f"""{TOP20}, f AS (SELECT query_id, id, sum(CASE retriever WHEN 'bm25' THEN 2.0 ELSE 1.0 END / (60 + rank)) AS score FROM hits GROUP BY ALL) SELECT query_id, id, round(score, 9) AS score, {RANK} AS rank FROM f QUALIFY {RANK} <= 10""",
     "combsum": f"""{TOP20}, x AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM hits WINDOW w AS (PARTITION BY query_id, retriever)),
 f AS (SELECT query_id, id, sum(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END) AS score FROM x GROUP BY ALL) SELECT query_id, id, round(score, 6) AS score, {RANK} AS rank FROM f QUALIFY {RANK} <= 10""",
     "rrf_excluding": f"""{TOP20}, f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score FROM hits GROUP BY ALL), k AS (SELECT * FROM f WHERE id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)) SELECT query_id, id, round(score, 9) AS score, {RANK} AS rank FROM k QUALIFY {RANK} <= 5""",
     "candidate_keys": f"""{CAND} SELECT query_id, id, rank, 'C' || lpad(rank::VARCHAR, greatest(2, length((count(*) OVER (PARTITION BY query_id))::VARCHAR))::INT, '0') AS key FROM sized""",
     "budget_prefix": f"""{CAND}, u AS (SELECT *, sum(size + CASE WHEN rank > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM sized) SELECT query_id, id, rank, used::BIGINT AS used, used <= 8000 AND rank <= 10 AS kept FROM u""",
     "shortlist": f"""WITH {bm25(ITEMS, DOCS, 'a')}, w AS (SELECT query_id, id, score, {RANK} AS rank FROM a) SELECT query_id, id, round(score, 6) AS score, rank FROM w WHERE rank <= 15 AND score >= 20""",
-    "resolve_keys": """WITH a AS (SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'none' WHEN 1 THEN ' c01. ' WHEN 2 THEN 'C09' WHEN 3 THEN '"C03"' WHEN 4 THEN '' WHEN 5 THEN 'c' || lpad((event_id % 6)::VARCHAR, 2, '0') ELSE 'N/A' END AS answer FROM events),
-k AS (SELECT event_id, upper(trim(answer, ' .,:;''"`()[]{}<>*#')) AS key FROM a)
-SELECT event_id, CASE WHEN key NOT IN ('NONE', 'NULL', 'N/A', 'NA', 'NO_MATCH', 'NO MATCH', '') AND key IN ('C01', 'C02', 'C03', 'C04') THEN 'id' || substr(key, 3, 1) END AS id,
-  CASE WHEN key IN ('NONE', 'NULL', 'N/A', 'NA', 'NO_MATCH', 'NO MATCH', '') THEN 'abstained' WHEN key IN ('C01', 'C02', 'C03', 'C04') THEN 'exact_key' ELSE 'unresolved' END AS resolution FROM k""",
-    "overlap_choose": f"""{CAND}, t AS (SELECT s.query_id, s.id, s.rank, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) AS qa, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS da FROM sized s JOIN benchmark b ON b.item_id = s.query_id JOIN documents d ON d.doc_id = s.id),
-o AS (SELECT query_id, id, rank, CASE WHEN len(qa) = 0 OR len(da) = 0 THEN 0.0 ELSE len(list_intersect(qa, da)) / len(list_distinct(list_concat(qa, da))) END AS overlap FROM t)
-SELECT query_id, first(id ORDER BY round(overlap, 9) DESC, rank) AS id, round(max(overlap), 6) AS overlap, round(max(round(overlap, 9)) / nullif(sum(round(overlap, 9)), 0), 6) AS share FROM o GROUP BY query_id""",
+    "resolve_keys": f"""{SELECTED} SELECT event_id, CASE WHEN NOT none AND key IN ('C01', 'C02', 'C03', 'C04') THEN 'id' || substr(key, 3, 1) END AS id,
+  CASE WHEN none THEN 'abstain' WHEN key IN ('C01', 'C02', 'C03', 'C04') THEN 'exact_key' ELSE 'unresolved' END AS resolution FROM k""",
+    "resolve_keys_legacy": f"""{SELECTED}, r AS (SELECT event_id, CASE WHEN none THEN 'abstain:' WHEN key IN ('C01', 'C02', 'C03', 'C04') THEN 'exact_key:' || substr(key, 3, 1) WHEN regexp_matches(bare, '^go:[1-4]$') THEN 'legacy_fuzzy:' || substr(bare, 4, 1)
+  WHEN regexp_matches(bare, '^[1-4]$') THEN 'legacy_fuzzy:' || bare ELSE 'unresolved:' END AS r FROM k) SELECT event_id, CASE WHEN string_split(r, ':')[2] <> '' THEN 'Go:' || string_split(r, ':')[2] END AS id, string_split(r, ':')[1] AS resolution FROM r""",
+    "overlap_choose": f"""{CAND}, t AS (SELECT s.query_id, s.id, s.rank, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9]+')) AS qa, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9]+')) AS da FROM sized s JOIN benchmark b ON b.item_id = s.query_id JOIN documents d ON d.doc_id = s.id),
+o AS (SELECT query_id, id, rank, round(CASE WHEN len(qa) = 0 OR len(da) = 0 THEN 0.0 ELSE len(list_intersect(qa, da)) / len(list_distinct(list_concat(qa, da))) END, 4) AS overlap FROM t),
+m AS (SELECT query_id, first(id ORDER BY overlap DESC, rank DESC) AS id, max(overlap) AS overlap, sum(overlap) AS total FROM o GROUP BY query_id)
+SELECT query_id, CASE WHEN overlap > 0 THEN id END AS id, round(overlap, 6) AS overlap, CASE WHEN overlap > 0 THEN round(overlap / total, 6) ELSE 0.0 END AS p_choice, CASE WHEN overlap > 0 THEN 0.0 ELSE 1.0 END AS p_none FROM m""",
     "normalise_query": r"""SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS digest FROM documents""",
     "tidy_text": r"""SELECT doc_id, md5(array_to_string(list_filter(list_transform(string_split(regexp_replace(text, '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10))) AS digest FROM documents""",
-    "sanitise_query": r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(url || ' AND ' || url, '[+\-&|!(){}\[\]^"~*?:\\/<>=]', ' ', 'g'), '\b(AND|OR|NOT|IN)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""",
+    "sanitise_query": r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(url || ' AND ' || url, '[`+\-!(){}\[\]^"~*?:\\/]', ' ', 'g'), '\b(AND|OR|NOT|IN)\b', ' ', 'g'), '\s+', ' ', 'g'))) AS digest FROM pages""",
     "multivalue_split": "SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(p_type || ' ||' || p_name, ' '), lambda x: trim(x)), lambda x: x <> ''), ',') AS parts FROM part",
     "curie_urls": """SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'GO:' || page_id WHEN page_id % 3 = 1 THEN 'frag' || page_id ELSE url END AS curie FROM (SELECT page_id, replace(url, '#', '') AS url FROM pages)""",
-    "redact_urls": """SELECT page_id, 'https://host/' || page_id || '?a=1&api_key=***&b=2' AS url FROM pages""",
+    "redact_urls": """SELECT page_id, 'https://host:80/' || page_id || '?a=1' || CASE WHEN page_id % 3 = 1 THEN '&max_tokens=' || page_id ELSE '' END || '&monkey=2' AS url FROM pages""",
     "partition_split": f"""WITH d AS (SELECT c_custkey AS source_id, {DRAW.format("'salt' || chr(0) || c_custkey")} AS draw FROM customer) SELECT source_id, round(draw, 9) AS draw, CASE WHEN draw < 0.5 THEN 'prompt_train' WHEN draw < 0.75 THEN 'validation' ELSE 'test' END AS part FROM d""",
     "holdout_deal": f"""WITH d AS (SELECT c_custkey AS source_id, {DRAW.format("'fit' || chr(0) || c_custkey")} AS draw FROM customer) SELECT source_id, CASE WHEN row_number() OVER (ORDER BY draw, source_id) % 2 = 1 THEN 'fit' ELSE 'holdout' END AS part FROM d""",
     "audit_sample": f"""WITH {GOLD}, attempts AS ({plain(ATTEMPTS)}) SELECT source_id, attempt, coalesce(score BETWEEN 0.6 AND 0.8, false) AS verify, coalesce(score > 0.8 AND {DRAW.format("'run' || chr(0) || source_id")} < 0.1, false) AS audit FROM attempts""",
     "record_digest": """SELECT p_partkey, substr(sha256('id=' || p_partkey || chr(31) || 'brand=' || p_brand || chr(31) || 'name=' || p_name), 1, 16) AS digest FROM part""",
-    "changed_records": """SELECT p_partkey AS id, CASE WHEN p_partkey % 5 = 0 THEN 'insert' WHEN p_partkey % 7 = 0 THEN 'prune' WHEN p_partkey % 3 = 0 THEN 'update' ELSE 'keep' END AS action FROM part WHERE NOT (p_partkey % 5 = 0 AND p_partkey % 7 = 0)""",
+    "changed_records": """SELECT p_partkey AS id, CASE WHEN p_size > 40 THEN 'insert' WHEN p_size < 5 THEN 'prune' WHEN p_partkey % 3 = 0 THEN 'update' ELSE 'keep' END AS action FROM part""",
     "derive_status": f"{ALL} SELECT source_id, status, reason, matched_id, confidence, attempts FROM results",
     "decider_status": f"""WITH s AS ({plain(SIGNALS)}), v AS (SELECT *, CASE WHEN failed THEN 'failed:retriever_failure' WHEN screen_best IS NULL THEN 'unmatched:no_candidates' WHEN screen_best < 0.3 THEN 'unmatched:below_review_floor'
   WHEN abstained AND p_none >= 0.7 THEN 'unmatched:selector_abstained' WHEN abstained OR NOT exact_key OR screen_chosen IS NULL THEN 'needs_review:unresolved_output'
@@ -171,16 +196,16 @@ SELECT count(*) AS n, count_if(j.status = 'matched' AND j.correct AND NOT (f.ok
     "confidence_values": f"SELECT event_id, CASE WHEN answer IN ('0.75', '1') THEN answer::DOUBLE END AS score FROM ({plain(ANSWERS)})",
     "route_proposals": f"""WITH p AS (SELECT source_id, place, kind, trim(value) AS value, CASE WHEN kind = 'candidate' THEN upper(trim(value)) ELSE lower(regexp_replace(trim(value), ' +', ' ', 'g')) END AS form FROM ({plain(PROPOSALS)})),
 q AS (SELECT *, row_number() OVER (PARTITION BY source_id, kind, form ORDER BY place) AS n,
-  CASE WHEN kind = 'candidate' THEN EXISTS (SELECT 1 FROM events e WHERE e.user_id = source_id AND 'C0' || e.event_id % 4 = form) ELSE source_id % 2 = 0 AND EXISTS (SELECT 1 FROM events e WHERE e.user_id = source_id AND 'term ' || e.event_id % 5 = form) END AS known FROM p)
+  CASE WHEN kind = 'candidate' THEN EXISTS (SELECT 1 FROM events e WHERE e.user_id = source_id AND 'C0' || e.event_id % 4 = form) ELSE EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'signup' AND e.user_id = source_id AND 'term ' || e.event_id % 5 = form) END AS known FROM p)
 SELECT source_id, place, kind, value, CASE WHEN value = '' THEN 'blank' WHEN kind = 'candidate' AND NOT known THEN 'not_issued' WHEN kind = 'candidate' AND n > 1 THEN 'duplicate' WHEN kind = 'candidate' THEN 'candidate' WHEN known OR n > 1 THEN 'already_tried' ELSE 'query' END AS outcome FROM q""",
-    "dispatch_calls": """WITH r AS (SELECT event_id AS seq, event_type || user_id % 40 AS request_key, user_id % 40 < 6 AS hit FROM events), m AS (SELECT request_key, min(seq) AS f, row_number() OVER (ORDER BY min(seq)) AS n FROM r WHERE NOT hit GROUP BY request_key)
+    "dispatch_calls": """WITH r AS (SELECT event_id AS seq, event_type || user_id % 40 AS request_key, event_type = 'view' AS hit FROM events), m AS (SELECT request_key, min(seq) AS f, row_number() OVER (ORDER BY min(seq)) AS n FROM r WHERE NOT hit GROUP BY request_key)
 SELECT seq, request_key, CASE WHEN hit THEN 'cached' WHEN n > 90 THEN 'refused' WHEN seq = f THEN 'call' ELSE 'shared' END AS answer FROM r LEFT JOIN m USING (request_key)""",
     "stop_reasons": "SELECT user_id AS run, event_id AS iteration, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 'converged' WHEN count(*) OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 THEN 'oscillation' WHEN event_id >= 900 THEN 'max_iterations' END AS reason FROM events",
     "max_live_clusters": "WITH s AS (SELECT user_id AS run, event_id - event_id % 7 AS step, sum(CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE -1 END) AS delta FROM events GROUP BY ALL), l AS (SELECT run, sum(delta) OVER (PARTITION BY run ORDER BY step) AS live FROM s) SELECT run, max(live)::BIGINT AS max_live FROM l GROUP BY run",
-    "join_passes": f"{TOP20}, o AS (SELECT query_id, id, min(CASE retriever WHEN 'head' THEN 0 ELSE 1000 END + rank) AS spot FROM hits GROUP BY ALL) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS rank FROM o",
+    "join_passes": f"{TOP20}, o AS (SELECT query_id, id, min(CASE retriever WHEN 'overlap' THEN 0 ELSE 1000 END + rank) AS spot FROM hits GROUP BY ALL) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY spot, id) AS rank FROM o",
     "preflight_counts": "WITH i AS (SELECT doc_id - doc_id % 3 * (doc_id % 2) AS id, doc_id % 10 <= 1 OR trim(coalesce(text, '')) = '' AS blank FROM documents), g AS (SELECT id, count(*) AS n FROM i GROUP BY id) SELECT (SELECT count(*) FROM i) AS rows, (SELECT count(*) FROM g WHERE n > 1) AS duplicate_ids, (SELECT count(*) FROM i WHERE blank) AS empty_texts",
-    "gold_restricted": f"SELECT source_id, count_if(k) AS kept, count_if(NOT k) AS dropped FROM (SELECT source_id, gold_id IN (SELECT p_partkey FROM part WHERE p_partkey % 4 <> 0) AS k FROM ({plain(GOLD_FLAT)})) GROUP BY ALL",
-    "gold_alias_closure": f"WITH g AS ({plain(GOLD_FLAT)}) SELECT source_id, gold_id FROM g UNION SELECT source_id, gold_id + 1 FROM g WHERE gold_id % 6 = 0 AND gold_id IN (SELECT p_partkey FROM part)",
+    "gold_restricted": f"SELECT source_id, count_if(k) AS kept, count_if(NOT k) AS dropped FROM (SELECT source_id, gold_id IN (SELECT p_partkey FROM part WHERE p_size <= 40) AS k FROM ({plain(GOLD_FLAT)})) GROUP BY ALL",
+    "gold_alias_closure": f"WITH g AS ({plain(GOLD_FLAT)}) SELECT source_id, gold_id FROM g UNION SELECT source_id, gold_id + 1 FROM g WHERE gold_id IN (SELECT p_partkey FROM part WHERE p_size < 10)",
     "hop_headroom": f"""WITH g AS ({plain(GOLD_FLAT)}), s AS (SELECT DISTINCT l_orderkey AS source_id, l_partkey AS candidate FROM lineitem WHERE l_linenumber > 3), h AS ({plain(PARENTS)}),
 m AS (SELECT * FROM g WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.source_id = g.source_id AND candidate = gold_id))
 SELECT count(*) AS missed, count_if(EXISTS (SELECT 1 FROM s JOIN h ON (h.id = candidate AND h.parent = gold_id) OR (h.parent = candidate AND h.id = gold_id) WHERE s.source_id = m.source_id)) AS one_hop FROM m""",
