@@ -90,7 +90,7 @@ class WordTable:
         flat, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for i in range(0, len(words), 2000):
             some = [w.decode("utf-8", "replace") for w in words[i : i + 2000]]
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(some), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
             marks = np.flatnonzero(ids == self.mark)
             if self.mark >= 0 and len(marks) == len(some) - 1 and not any(MARK in w for w in some):
                 flat.append(np.delete(ids, marks))
@@ -138,12 +138,12 @@ class WordTable:
     def ids_of_words(self, split: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The same for texts without special tokens, by their words."""
         words = list(itertools.chain.from_iterable(split))
-        found, used, new = list(map(self.place.get, words)), self.used, []
-        if None in found:
-            new = list({w for w, k in zip(words, found, strict=True) if k is None})
+        at = np.fromiter(map(self.place.get, words, itertools.repeat(-1)), np.int64, len(words))
+        unknown, used, new = np.flatnonzero(at < 0).tolist(), self.used, []
+        if unknown:
+            new = list(dict.fromkeys(map(words.__getitem__, unknown)))
             self.learn(new)
-            found = list(map(self.place.__getitem__, words))
-        at = np.array(found, np.int64)
+            at[unknown] = list(map(self.place.__getitem__, map(words.__getitem__, unknown)))
         lengths = self.lengths[at]
         first = np.concatenate([[0], np.cumsum(lengths)])
         flat = self.flat[np.repeat(self.starts[at] - first[:-1], lengths) + np.arange(first[-1])]
