@@ -25,32 +25,34 @@ def should_audit(salt: str, record_id: Column, score: Column, high: float, rate:
     return F.coalesce((score > high) & (draw(salt, record_id) < rate), F.lit(False))
 
 
+def sound() -> Column:
+    """On an attempt's columns reason, chosen_id, score, resolution, verifier: acceptable, if its score is high enough."""
+    return F.col("reason").isNull() & F.col("chosen_id").isNotNull() & tx.is_valid_score(F.col("score")) & (F.col("resolution") == "exact_key") & (F.col("verifier").isNull() | (F.col("verifier") == "support"))
+
+
 def acceptable(accept_at: float | Column = ACCEPT_AT) -> Column:
-    """On an attempt's columns reason, chosen_id, score, resolution, verifier."""
-    return F.col("reason").isNull() & F.col("chosen_id").isNotNull() & tx.is_valid_score(F.col("score")) & F.coalesce(F.col("score") >= accept_at, F.lit(False)) & (F.col("resolution") == "exact_key") & (F.col("verifier").isNull() | (F.col("verifier") == "support"))
+    return sound() & F.coalesce(F.col("score") >= accept_at, F.lit(False))
 
 
-def derive_status(attempts: DataFrame, keys: tuple[str, ...] = ("source_id",), accept_at: float | Column = ACCEPT_AT, review_floor: float | Column = REVIEW_FLOOR) -> DataFrame:
-    """Status, reason, matched_id and confidence of each source from all its attempts: one aggregate.
+def evidence(attempts: DataFrame, keys: tuple[str, ...] = ("source_id",)) -> DataFrame:
+    """What all attempts of a source say, whatever the thresholds: one aggregate.
 
-    A source without attempts is a row with a null ``attempt``; thresholds may be columns of ``attempts``.
+    A source without attempts is a row with a null ``attempt``.
     """
     real, reason, score = F.col("attempt").isNotNull(), F.col("reason"), F.col("score")
-    ok = real & acceptable(accept_at)
+    ok = real & sound()
     scored = real & F.col("chosen_id").isNotNull() & tx.is_valid_score(score)
     failed = F.coalesce(reason.isin(*FAILURES), F.lit(False))
     order = F.struct((-score).alias("s"), F.col("attempt"))
-    packed = F.struct("chosen_id", "score")
     best = F.struct((-score).alias("s"), failed.alias("f"), F.col("attempt"))
     state = F.struct("chosen_id", "score", "resolution", "verifier")
     blocking = real & (F.coalesce(reason.isin(*BLOCKING), F.lit(False)) | (F.col("retrieval_failures") > 0))
     latest = lambda value, when: F.max_by(F.when(when, value), F.when(when, F.col("attempt")))
-    thresholds = [c for c in (accept_at, review_floor) if isinstance(c, Column)]
-    agg = attempts.groupBy(*keys).agg(
+    return attempts.groupBy(*keys).agg(
         F.count_if(real).alias("n"),
         F.count_if(real & reason.isNull()).alias("n_clear"),
         F.coalesce(F.bool_or(reason == "fatal_provider_failure"), F.lit(False)).alias("fatal"),
-        F.min_by(F.when(ok, packed), F.when(ok, order)).alias("winner"),
+        F.min_by(F.when(ok, F.struct("chosen_id", "score")), F.when(ok, order)).alias("winner"),
         latest(reason, real).alias("last_reason"),
         F.coalesce(F.bool_or(reason == "candidate_budget_exceeded"), F.lit(False)).alias("over_budget"),
         F.min_by(F.when(scored, state), F.when(scored, best)).alias("best"),
@@ -58,22 +60,26 @@ def derive_status(attempts: DataFrame, keys: tuple[str, ...] = ("source_id",), a
         F.coalesce(F.bool_or(F.col("candidate_count") > 0), F.lit(False)).alias("some_candidates"),
         F.coalesce(F.bool_or(blocking), F.lit(False)).alias("blocked"),
         latest(F.when(reason.isin(*BLOCKING), reason).otherwise("retriever_failure"), blocking).alias("block_reason"),
-        *(F.first(c).alias(f"threshold{i}") for i, c in enumerate(thresholds)),
     )
-    given = iter(range(2))
-    accept, floor = (F.col(f"threshold{next(given)}") if isinstance(c, Column) else F.lit(c) for c in (accept_at, review_floor))
-    b = F.col("best")
+
+
+def status_of(found: DataFrame, keys: tuple[str, ...] = ("source_id",), accept_at: float | Column = ACCEPT_AT, review_floor: float | Column = REVIEW_FLOOR) -> DataFrame:
+    """Status, reason, matched_id and confidence from evidence; thresholds may be columns of it.
+
+    The winner is the sound attempt of the highest score, so it alone tells whether any reaches a threshold.
+    """
+    b, won = F.col("best"), F.col("winner").isNotNull() & (F.col("winner.score") >= accept_at)
     rules = [
         (F.col("n") == 0, "failed", F.lit("provider_failure")),
         (F.col("fatal"), "failed", F.lit("fatal_provider_failure")),
-        (F.col("winner").isNotNull(), "matched", F.lit("accept_threshold")),
+        (won, "matched", F.lit("accept_threshold")),
         (F.col("n_clear") == 0, "failed", F.col("last_reason")),
         (F.col("over_budget"), "needs_review", F.lit("candidate_budget_exceeded")),
         (b.isNotNull() & b.verifier.isin("disagree", "no_match"), "needs_review", F.lit("verifier_disagreement")),
         (b.isNotNull() & b.verifier.isNotNull() & (b.verifier != "support"), "needs_review", F.lit("provider_failure")),
         (b.isNotNull() & (b.resolution != "exact_key"), "needs_review", F.lit("unresolved_output")),
-        (b.isNotNull() & (b.score >= accept), "needs_review", F.lit("provider_failure")),
-        (b.isNotNull() & (b.score >= floor), "needs_review", F.lit("below_accept_threshold")),
+        (b.isNotNull() & (b.score >= accept_at), "needs_review", F.lit("provider_failure")),
+        (b.isNotNull() & (b.score >= review_floor), "needs_review", F.lit("below_accept_threshold")),
         (b.isNull() & F.col("unresolved"), "needs_review", F.lit("unresolved_output")),
         (F.col("blocked"), "failed", F.col("block_reason")),  # a degraded search can't say no
         (b.isNotNull(), "unmatched", F.lit("below_review_floor")),
@@ -82,11 +88,16 @@ def derive_status(attempts: DataFrame, keys: tuple[str, ...] = ("source_id",), a
     status, why = F.lit("unmatched"), F.lit("no_candidates")
     for when, name, cause in reversed(rules):
         status, why = F.when(when, name).otherwise(status), F.when(when, cause).otherwise(why)
-    top = F.coalesce("winner", F.struct(b.chosen_id.alias("chosen_id"), b.score.alias("score")))
-    out = agg.select(*keys, status.alias("status"), why.alias("reason"), top.alias("top"), F.col("n").alias("attempts"))
+    top = F.when(won, F.col("winner")).otherwise(F.struct(b.chosen_id.alias("chosen_id"), b.score.alias("score")))
+    out = found.select(*keys, status.alias("status"), why.alias("reason"), top.alias("top"), F.col("n").alias("attempts"))
     return out.select(*keys, "status", "reason", F.when(F.col("status").isin("matched", "needs_review"), F.col("top.chosen_id")).alias("matched_id"), F.col("top.score").alias("confidence"), "attempts")
 
 
+def derive_status(attempts: DataFrame, keys: tuple[str, ...] = ("source_id",), accept_at: float = ACCEPT_AT, review_floor: float = REVIEW_FLOOR) -> DataFrame:
+    """Status, reason, matched_id and confidence of each source from all its attempts."""
+    return status_of(evidence(attempts, keys), keys, accept_at, review_floor)
+
+
 def decider_status(levels: int = 4, accept_at: float = DECIDER_ACCEPT) -> Column:
     """(status, reason) on columns screen_best, screen_chosen, p_choice, p_none, abstained, exact_key, rubric, least_property, failed, degraded."""
     c = F.col

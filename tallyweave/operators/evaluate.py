@@ -16,7 +16,11 @@ def f1(p: Column, r: Column, digits: int = 4) -> Column:
 
 def judged(results: DataFrame, gold: DataFrame) -> DataFrame:
     """Results with ``labelled``, ``no_match`` (an empty gold set) and ``correct``; gold has source_id, gold_ids."""
-    j = results.join(gold, "source_id", "left")
+    return judged_rows(results.join(gold, "source_id", "left"))
+
+
+def judged_rows(j: DataFrame) -> DataFrame:
+    """The same for results that have their ``gold_ids``, null if unlabelled."""
     labelled = F.col("gold_ids").isNotNull()
     hit = F.coalesce(F.array_contains("gold_ids", F.col("matched_id")), F.lit(False))
     return j.withColumn("labelled", labelled).withColumn("no_match", labelled & (F.size("gold_ids") == 0)).withColumn("correct", labelled & hit)

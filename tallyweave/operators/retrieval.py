@@ -211,6 +211,23 @@ def dense_tile(k: int):
     return run
 
 
+def holding(items: DataFrame, docs: DataFrame, index: DataFrame) -> DataFrame:
+    """``query_id``, ``id`` of the documents whose text holds an item's text.
+
+    All words of an item but the first and last, which may be cut, must be terms of the document: so the index
+    names the few documents that are looked at. Items of one or two words meet all documents.
+    """
+    asked = items.select("query_id", F.col("text").alias("item"), tx.tokens(F.col("text")).alias("t"))
+    inner = asked.select("query_id", "item", F.array_distinct(F.when(F.size("t") > 2, F.slice("t", 2, F.size("t") - 2)).otherwise(F.array().cast("array<string>"))).alias("inner"))
+    terms = inner.select("query_id", F.size("inner").alias("n"), F.explode("inner").alias("term"))
+    likely = index.select("id", "term").join(store.few(terms), "term").groupBy("query_id", "id", "n").agg(F.count("*").alias("held")).where("held = n").select("query_id", "id")
+    found = docs.join(store.few(likely), "id").join(inner.select("query_id", "item"), "query_id").where(F.contains("text", "item")).select("query_id", "id")
+    short = inner.where(F.size("inner") == 0).select("query_id", "item")
+    if not short.limit(1).count():
+        return found
+    return found.unionByName(docs.join(F.broadcast(short), F.contains("text", "item")).select("query_id", "id"))  # a stated set
+
+
 def nearest_records(queries: DataFrame, vectors: DataFrame, record: Column, k: int = 10, overfetch: int = 5) -> DataFrame:
     """The k records nearest to each query by their best of the ``overfetch`` times k nearest rows; a record without a row there is left out."""
     rows = dense_topk(queries, vectors, k * overfetch).select("query_id", "id", "score", record.cast("long").alias("record"))

@@ -30,6 +30,11 @@ def two_lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     return index.search(asked, k).withColumn("retriever", F.lit("bm25")).unionByName(overlap.withColumn("retriever", F.lit("overlap")))
 
 
+def holders(spark: SparkSession, d: str) -> DataFrame:
+    """``query_id``, ``id`` of the documents that hold a benchmark text."""
+    return retrieval.holding(base.benchmark(spark, d), base.documents(spark, d), base.text_index(spark, d).postings())
+
+
 def vectors(spark: SparkSession, d: str) -> DataFrame:
     return base.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
 
@@ -364,9 +369,11 @@ def eval_metrics(spark, d):
 
 @query
 def threshold_curve(spark, d):
-    rows = evaluate.at_thresholds(attempts(spark, d)).withColumn("floor", F.least(F.lit(decide.REVIEW_FLOOR), F.col("threshold")))
-    found = decide.derive_status(rows, ("source_id", "threshold"), F.col("threshold"), F.col("floor"))
-    return evaluate.metrics(evaluate.judged(found, base.gold_sets(spark, d)), ("threshold",))
+    """Each source's evidence is gathered once, and meets its gold once; only then do thresholds multiply the rows."""
+    known = decide.evidence(attempts(spark, d)).join(base.gold_sets(spark, d), "source_id", "left")
+    rows = evaluate.at_thresholds(known)
+    found = decide.status_of(rows, ("source_id", "threshold", "gold_ids"), F.col("threshold"), F.least(F.lit(decide.REVIEW_FLOOR), F.col("threshold")))
+    return evaluate.metrics(evaluate.judged_rows(found), ("threshold",))
 
 
 @query
@@ -395,11 +402,7 @@ def fit_grid(spark, d):
 
 @query
 def retrieval_recall(spark, d):
-    asked, docs = base.benchmark(spark, d), base.documents(spark, d)
-    ranked = retrieval.bm25_topk(asked, docs, 50)
-    # A stated query set (the benchmark) is met in one pass over the documents.
-    gold = docs.join(F.broadcast(asked.withColumnRenamed("text", "passage")), F.contains("text", "passage")).select("query_id", "id")
-    return evaluate.recall_at(ranked, gold, (1, 5, 50))
+    return evaluate.recall_at(candidates(spark, d, 50), holders(spark, d), (1, 5, 50))
 
 
 @query
@@ -464,10 +467,9 @@ def agreement(spark, d):
 
 @query
 def compare_runs(spark, d):
-    gold, runs = base.gold_sets(spark, d), None
-    for accept in (0.5, 0.7, 0.9):
-        one = evaluate.metrics(evaluate.judged(at_floors(spark, d, accept, 0.4), gold)).withColumn("run", F.lit(accept))
-        runs = one if runs is None else runs.unionByName(one)
+    known = decide.evidence(attempts(spark, d)).join(base.gold_sets(spark, d), "source_id", "left")
+    rows = known.withColumn("run", F.explode(F.array(F.lit(0.5), F.lit(0.7), F.lit(0.9))))
+    runs = evaluate.metrics(evaluate.judged_rows(decide.status_of(rows, ("source_id", "run", "gold_ids"), F.col("run"), 0.4)), ("run",))
     all_runs = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # a row for each run
     p = F.col("accepted_precision")
     return runs.select("run", "accepted_precision", "coverage", F.round(p - F.first(p).over(all_runs), 4).alias("delta"), (p == F.max(p).over(all_runs)).alias("best"))
@@ -568,17 +570,14 @@ def co_exposure(spark, d):
 @query
 def screen_funnel(spark, d):
     """Of the asked texts that a document holds: how many are retrieved, shortlisted, and first."""
-    docs, items = base.documents(spark, d), base.benchmark(spark, d)
-    gold = items.withColumnRenamed("text", "item").join(docs, F.contains("text", "item")).select("query_id", "id")
-    best = candidates(spark, d, 50).join(gold, ["query_id", "id"], "right").groupBy("query_id").agg(F.min("rank").alias("best"))
+    best = candidates(spark, d, 50).join(holders(spark, d), ["query_id", "id"], "right").groupBy("query_id").agg(F.min("rank").alias("best"))
     return best.agg(F.count("*").alias("asked"), F.count("best").alias("retrieved"), F.count_if(F.col("best") <= 5).alias("shortlisted"), F.count_if(F.col("best") == 1).alias("first"))
 
 
 @query
 def pair_table(spark, d):
     """Candidate pairs with their label, and the gold pairs that blocking left out."""
-    docs, items = base.documents(spark, d), base.benchmark(spark, d)
-    gold = items.withColumnRenamed("text", "item").join(docs, F.contains("text", "item")).select("query_id", "id").withColumn("gold", F.lit(True))
+    gold = holders(spark, d).withColumn("gold", F.lit(True))
     pairs = candidates(spark, d, 5).select("query_id", "id").withColumn("shown", F.lit(True)).join(gold, ["query_id", "id"], "full")
     return pairs.select("query_id", "id", F.coalesce("gold", F.lit(False)).alias("same"), F.col("shown").isNull().alias("blocking_miss"))
 
