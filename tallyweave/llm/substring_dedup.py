@@ -9,8 +9,10 @@ Plan. Documents are written once as *blocks* (some MB of text, compressed, one r
 a block sorts the hashes of its candidate windows, drops repeats of its own, and sends each bucket of
 the hash space one sorted run. A bucket finds the hashes that two or more blocks sent and answers each
 block with a bit per hash. So a window that occurs in a third of all documents reaches its bucket once
-per block, and no group of copies is ever collected. The short levels compare 48-bit hashes, where a
-collision only keeps a candidate; the last one compares 128 bits.
+per block, and no group of copies is ever collected. With its hashes a block also sends which of its words
+are candidates, so that the next level starts from there; where none is left anywhere, no further level
+runs. The short levels compare 48-bit hashes, where a collision only keeps a candidate; the last one
+compares 128 bits.
 
 Null or empty texts have no words: nothing is removed and the kept text is empty. Repeated rows are
 documents of their own, so all windows of both go. Very long texts are blocks of their own, and an empty
@@ -29,14 +31,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .bytetext import WordHash, splitmix, text_bytes, word_spans
+from .bytetext import WordHash, give_back, splitmix, text_bytes, word_spans
 from .names import carried, named
 from .scratch import Scratch
 
 BLOCK_BYTES = 4 << 20
 BUCKET_WINDOWS = 4_000_000
 RUNS = "bucket int, block long, n int, run binary"
-REPLIES = "block long, bucket int, level int, bits binary"
+REPLIES = "block long, bucket int, n int, bits binary"
 STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
@@ -76,16 +78,19 @@ def to_blocks(text: str, block_bytes: int):
 
 
 class Candidates:
-    """The windows of one block that are still repeated, recomputed from its text and the replies so far."""
+    """The windows of one block that are still repeated at a level: all, or those among the words that the bits name."""
 
-    def __init__(self, batch: pa.RecordBatch, text: str, steps: list[int], buckets: int) -> None:
+    def __init__(self, batch: pa.RecordBatch, text: str, steps: list[int], buckets: int, level: int = 0, bits: bytes = b"") -> None:
         self.steps, self.buckets = steps, buckets
         self.data, self.at = text_bytes(batch.column(batch.schema.get_field_index(text)))
         self.starts, self.ends, self.first = word_spans(self.data, self.at)
         n = len(self.starts)
         self.stop = np.repeat(self.first[1:], np.diff(self.first))  # the word after the last of each word's text
-        self.level, self.alive, self.prior = 0, np.arange(n), np.zeros(0)
-        self.hashes: list[np.ndarray] = []
+        self.one = self.word_hashes(1)
+        self.level, self.alive, self.prior = level, np.arange(n), np.ones(n + 1, bool)
+        if level:
+            self.prior = np.unpackbits(np.frombuffer(bits, np.uint8), count=n + 1).astype(bool)
+            self.alive = np.flatnonzero(self.prior[:-1])
         self.enter()
 
     def word_hashes(self, seed: int) -> np.ndarray:
@@ -103,8 +108,6 @@ class Candidates:
         self.alive = self.alive[self.alive + k <= self.stop[self.alive]]
         if self.level:  # both halves, which overlap in an odd length, were repeated
             self.alive = self.alive[self.prior[self.alive] & self.prior[self.alive + k - self.steps[self.level - 1]]]
-        if not self.level:
-            self.one = self.word_hashes(1)
         last = self.level == len(self.steps) - 1
         one = self.of(self.one, self.alive)
         two = self.of(self.word_hashes(2), self.alive) if last and len(self.alive) else np.zeros(len(one), np.uint64)
@@ -137,7 +140,7 @@ class Candidates:
         return self.prior
 
     def take(self, rows: list[dict]) -> None:
-        self.leave({r["bucket"]: r["bits"] for r in rows if r["level"] == self.level})
+        self.leave({r["bucket"]: r["bits"] for r in rows if r["bucket"] >= 0})
         self.alive = np.flatnonzero(self.prior[:-1])
         self.level += 1
         self.enter()
@@ -147,12 +150,22 @@ NO_RUNS = pa.table({"bucket": pa.array([], pa.int32()), "block": pa.array([], pa
 
 
 def emit(block: int, found: Candidates) -> pa.Table:
+    """A block's runs, and after the first level, under a bucket below zero, the words that it came with."""
     rows = list(found.runs())
+    if found.level:
+        rows.append((-1 - block % 1000, len(found.alive), np.packbits(found.prior).tobytes()))
     return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=NO_RUNS.schema)
 
 
-def answer(level: int, wide: bool):
+def resumed(batch: pa.RecordBatch, text: str, steps: list[int], buckets: int, level: int, rows: list[dict]) -> Candidates:
+    """A block's candidates at a level, from what it sent then."""
+    return Candidates(batch, text, steps, buckets, level, next((r["bits"] for r in rows if r["bucket"] < 0), b""))
+
+
+def answer(wide: bool):
     def of(key, table):
+        if key[0].as_py() < 0:
+            return table.select(["block", "bucket", "n", "run"]).rename_columns(["block", "bucket", "n", "bits"])
         runs, counts = table.column("run").to_pylist(), table.column("n").to_pylist()
         ones, twos = [], []
         for raw, n in zip(runs, counts, strict=True):
@@ -178,7 +191,7 @@ def answer(level: int, wide: bool):
                 twice = often[at] == one
         hit = [k for k in range(len(runs)) if twice[cuts[k] : cuts[k + 1]].any()]
         blocks = table.column("block").to_pylist()
-        return pa.table({"block": pa.array([blocks[k] for k in hit], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(hit), pa.int32()), "level": pa.array([level] * len(hit), pa.int32()), "bits": pa.array([np.packbits(twice[cuts[k] : cuts[k + 1]]).tobytes() for k in hit], pa.binary())})
+        return pa.table({"block": pa.array([blocks[k] for k in hit], pa.int64()), "bucket": pa.array([key[0].as_py()] * len(hit), pa.int32()), "n": pa.array([counts[k] for k in hit], pa.int32()), "bits": pa.array([np.packbits(twice[cuts[k] : cuts[k + 1]]).tobytes() for k in hit], pa.binary())})
 
     return of
 
@@ -205,28 +218,31 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, carry:
         for batch in batches:
             for block, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 yield from emit(block, Candidates(unpack(payload.as_py()), text, steps, buckets)).to_batches()
+        give_back()
 
     def later(level: int):
         def run(key, left, right):
-            rows, tables = right.select(["level", "bucket", "bits"]).to_pylist(), [NO_RUNS]
+            rows, tables = right.select(["bucket", "bits"]).to_pylist(), [NO_RUNS]
             for block, payload in zip(left.column("block").to_pylist(), left.column("payload"), strict=True):
-                found = Candidates(unpack(payload.as_py()), text, steps, buckets)
-                for _ in range(level):
-                    found.take(rows)
+                found = resumed(unpack(payload.as_py()), text, steps, buckets, level - 1, rows)
+                found.take(rows)
                 tables.append(emit(block, found))
+                del found
+            give_back()
             return pa.concat_tables(tables)
 
         return run
 
-    replies: DataFrame | None = None
+    replies, reached = None, 0
     for level in range(len(steps)):
         if replies is None:
             runs = payloads.mapInArrow(first, RUNS)
         else:
             runs = payloads.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(later(level), RUNS)
-        answers = runs.groupBy("bucket").applyInArrow(answer(level, level == len(steps) - 1), REPLIES)
-        new = scratch.save(answers, f"level{level}")
-        replies = new if replies is None else replies.unionByName(new)
+        replies, reached = scratch.save(runs.groupBy("bucket").applyInArrow(answer(level == len(steps) - 1), REPLIES), f"level{level}"), level
+        scratch.drop(f"level{level - 1}")
+        if level and not replies.where("bucket < 0 AND n > 0").limit(1).count():
+            break  # no window of this length is a candidate anywhere
 
     out = T.StructType([T.StructField("row", kept_schema), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     arrow = to_arrow_schema(out)
@@ -235,11 +251,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = 35, carry:
         return pa.concat_tables([finish(unpack(p.as_py()), right) for p in left.column("payload")] or [arrow.empty_table()])
 
     def finish(batch: pa.RecordBatch, right: pa.Table) -> pa.Table:
-        found = Candidates(batch, text, steps, buckets)
-        rows = right.select(["level", "bucket", "bits"]).to_pylist()
-        while found.level < len(steps) - 1:
-            found.take(rows)
-        begins = np.flatnonzero(found.leave({r["bucket"]: r["bits"] for r in rows if r["level"] == found.level})[:-1])
+        rows = right.select(["bucket", "bits"]).to_pylist()
+        found = resumed(batch, text, steps, buckets, reached, rows)
+        again = found.leave({r["bucket"]: r["bits"] for r in rows if r["bucket"] >= 0})[:-1]
+        begins = np.flatnonzero(again) if reached == len(steps) - 1 else np.zeros(0, np.int64)
         n = len(found.starts)
         edge = np.bincount(begins, minlength=n + 1) - np.bincount(begins + length, minlength=n + 1)[: n + 1]
         gone = np.cumsum(edge)[:n] > 0

@@ -80,6 +80,14 @@ def test_substring_dedup(docs, rows, length):
     assert collections.Counter(map(tuple, got)) == collections.Counter(want)
 
 
+@pytest.mark.parametrize("repeat", [0, 10, 20, 40])
+def test_substring_dedup_stops_where_no_candidate_is_left(spark, repeat):
+    texts = [long_text(50 + k, 200) + " " + " ".join(PASSAGE.split()[:repeat]) + " " + long_text(90 + k, 50) for k in range(8)] + [" ".join(["same"] * repeat)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted(substring_dedup.remove_repeats(df, block_bytes=3000).select("row.doc_id", "n_words", "n_removed", "kept_text").collect())
+    assert [tuple(r) for r in got] == [(k, *x) for k, x in enumerate(expected_removed(texts, 35))]
+
+
 def brute_fingerprint(t, k):
     w = WORDS.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     if not w:
