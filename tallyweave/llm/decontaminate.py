@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import text_bytes
+from .bytetext import give_back, text_bytes
 from .names import carried, named, source
 
 Q = 8
@@ -335,5 +335,6 @@ def scan(shared, schema: T.StructType):
             old = batch.column(batch.num_columns - 1).to_pylist()
             hits = pa.array([[*a, *b] for a, b in zip(old, new, strict=True)], hit_type)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hits], names=batch.schema.names)
+        give_back()
 
     return run

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytetext import text_bytes
+from .bytetext import give_back, text_bytes
 from .names import named
 from .scratch import Scratch
 
@@ -185,6 +185,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text:
                 cols = [np.array(c, np.int64) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
                 i = j
+        give_back()
 
     return docs.select(named(doc_id).cast("long").alias("doc_id"), named(text).cast("string").alias("text")).mapInArrow(run, PIECES)
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import SPACE, WordHash, splitmix, text_bytes, word_spans
+from .bytetext import SPACE, WordHash, give_back, splitmix, text_bytes, word_spans
 from .names import carried, named, source
 
 #: Labelled rows of each class that are fitted and vote, at most.
@@ -168,5 +168,6 @@ def score(docs: DataFrame, voters: Voters, text: str = "text", carry: list[str]
                 scores[i:j] = model.scores(term_shares(data[at[i] : at[j]], at[i : j + 1] - at[i]))
                 i = j
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], [*inner, "score", "predicted"])
+        give_back()
 
     return docs.select(*held.columns, source(docs, text).cast("string").alias("text_read")).mapInArrow(run, schema).toDF(*held.names, "score", "predicted")

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bytetext import splitmix, text_bytes
+from .bytetext import give_back, splitmix, text_bytes
 from .names import named
 from .scratch import Scratch
 
@@ -152,6 +152,7 @@ def fingerprints(docs: DataFrame, plan: Plan, carry: list[str], text: str = "tex
             raw, at = data.tobytes(), at.tolist()
             marks = [of_set(raw[a:b]) if plan.similarity else fingerprint(raw[a:b], plan.shingle, plan.words) for a, b in zip(at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(marks, pa.binary())], [*carry, "fp"])
+        give_back()
 
     return docs.select(*carry, F.col(text).cast("string").alias("__text")).mapInArrow(run, schema)
 
@@ -323,6 +324,7 @@ def near_links(classes: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
         keys = keys[:, order]
         tile = np.cumsum(np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))
         a, b = spanning_links(as_codes(table.column("fp"))[order], table.column("number").to_numpy()[order], plan.radius, tile)
+        give_back()
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return keyed.groupBy("part").applyInArrow(run, EDGES).distinct()
@@ -398,8 +400,11 @@ def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan, scratch: S
                 if number not in seen:
                     seen.add(number)
                     first.append(k)
-            sets = [np.unique(shingles(data[at[k] : at[k + 1]].tobytes(), plan.shingle).astype(np.uint64)).tobytes() for k in first]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(first, pa.int64())) for c in range(3)), pa.array(sets, pa.binary())], hashed.names)
+            for i in range(0, len(first), 1000):
+                some = first[i : i + 1000]
+                sets = [np.unique(shingles(data[at[k] : at[k + 1]].tobytes(), plan.shingle).astype(np.uint64)).tobytes() for k in some]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some, pa.int64())) for c in range(3)), pa.array(sets, pa.binary())], hashed.names)
+        give_back()
 
     rows = texts.join(proposed, "key").select("root", "number", "fp", F.col("text").cast("string").alias("text")).mapInArrow(hash_texts, hashed)
     rows = cut(rows, sizes, "root", SET_ROWS, scratch)
@@ -419,6 +424,7 @@ def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan, scratch: S
             a.append(keys[3, own[child]])
             b.append(keys[3, own[part[child]]])
         a, b = np.concatenate(a), np.concatenate(b)
+        give_back()
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
     return keyed.groupBy("part").applyInArrow(run, EDGES).distinct()
