@@ -22,12 +22,15 @@ FOLDED = (("ß", "ss"), ("ς", "σ"), ("ſ", "s"), ("ŉ", "ʼn"), ("ǰ", "ǰ"),
 
 
 def compositions() -> list[tuple[str, str]]:
-    """A letter followed by one combining mark, and the one character that they are composed to."""
+    """A letter followed by one combining mark, and the one character that they are composed to; of two marks in either order."""
     out = []
     for code in range(0xC0, min(sys.maxunicode, 0x1FFF)):
         parts = unicodedata.normalize("NFD", chr(code))
         if len(parts) > 1 and unicodedata.normalize("NFC", parts) == chr(code):
             out.append((unicodedata.normalize("NFC", parts[:-1]) + parts[-1], chr(code)))
+            other = unicodedata.normalize("NFC", parts[0] + parts[-1])
+            if len(parts) == 3 and len(other) == 1:
+                out.append((other + parts[1], chr(code)))
     return sorted(out, key=lambda x: x[1])
 
 

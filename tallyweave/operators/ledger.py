@@ -54,7 +54,7 @@ def failing_streak(invocations: DataFrame, length: int = 3) -> DataFrame:
 
 def duplicate_targets(results: DataFrame) -> DataFrame:
     """Targets that several sources matched, with those sources: a report, never a resolution."""
-    return results.where("status = 'matched'").groupBy("matched_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set(F.col("source_id").cast("long"))), "|").alias("sources")).where("n > 1")
+    return results.where("status = 'matched'").groupBy("matched_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("source_id")), "|").alias("sources")).where("n > 1")
 
 
 def top_groups(rows: DataFrame, key: str, k: int = 5) -> DataFrame:
