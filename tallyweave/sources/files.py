@@ -2,34 +2,61 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 
-def checked_id(column: Column, what: str) -> Column:
+NUMBER = "row number of the task"
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their number in their file, or in the part of it that one task reads."""
+    return rows.withColumn(NUMBER, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) + 1)
+
+
+def checked_id(column: Column, what: str, known: bool = False) -> Column:
+    """The id, stripped. A row without one fails the read, by its number where that is ``known``."""
     value = F.trim(column.cast("string"))
-    return F.when(value != "", value).otherwise(F.raise_error(F.lit(f"{what}: a row has no id")))
+    row = F.concat(F.lit(f"{what}: row "), F.col(f"`{NUMBER}`").cast("string")) if known else F.lit(f"{what}: a row")
+    return F.when(value != "", value).otherwise(F.raise_error(F.concat(row, F.lit(" has no id"))))
 
 
-def csv_records(spark: SparkSession, path: str, id_column: str, delimiter: str = ",", multivalue: tuple[str, ...] = (), separator: str = r"\|") -> DataFrame:
+def csv_records(spark: SparkSession, path: str, id_column: str, delimiter: str = ",", multivalue: tuple[str, ...] = (), separator: str = r"\|", encoding: str = "UTF-8") -> DataFrame:
     """Records of a CSV or TSV file: strings, stripped; multi-value columns are arrays without blanks."""
-    raw = spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, inferSchema=False)
+    raw = spark.read.csv(path, header=True, sep=delimiter, quote='"', escape='"', multiLine=True, inferSchema=False, encoding=encoding)
     raw = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns))
     fields = [(tx.multivalue(F.col(f"`{c}`"), separator) if c in multivalue else F.coalesce(F.trim(F.col(f"`{c}`")), F.lit(""))).alias(c) for c in raw.columns if c != id_column]
-    return raw.select(checked_id(F.col(f"`{id_column}`"), path).alias("id"), *fields)
+    return numbered(raw).select(checked_id(F.col(f"`{id_column}`"), path, known=True).alias("id"), *fields)
 
 
 def jsonl_records(spark: SparkSession, path: str, id_field: str) -> DataFrame:
     """Records of a JSON-lines file with their JSON types; a broken line fails the read."""
     raw = spark.read.json(path, mode="FAILFAST")
-    return raw.select(checked_id(F.col(id_field), path).alias("id"), *(c for c in raw.columns if c != id_field))
+    return numbered(raw).select(checked_id(F.col(id_field), path, known=True).alias("id"), *(c for c in raw.columns if c != id_field))
 
 
-def sql_records(spark: SparkSession, url: str, query: str, id_column: str, multivalue: tuple[str, ...] = (), fetch: int = 1000, **options: str) -> DataFrame:
+def sql_literal(value) -> str:
+    """A value as SQL writes it."""
+    if value is None or isinstance(value, bool):
+        return {None: "NULL", True: "TRUE", False: "FALSE"}[value]
+    return repr(value) if isinstance(value, int | float) else "'" + str(value).replace("'", "''") + "'"
+
+
+def bound(query: str, params: dict) -> str:
+    """The query with each ``:name`` outside of quotes as its value; a name without a value is an error."""
+    pieces = re.split(r"('(?:[^']|'')*')", query)
+    put = lambda text: re.sub(r"(?<![:\w]):([A-Za-z_]\w*)", lambda m: sql_literal(params[m[1]]), text)
+    return "".join(p if k % 2 else put(p) for k, p in enumerate(pieces))
+
+
+def sql_records(spark: SparkSession, url: str, query: str, id_column: str, multivalue: tuple[str, ...] = (), fetch: int = 1000, params: dict | None = None, **options: str) -> DataFrame:
     """Records of a JDBC query, streamed ``fetch`` rows at a time; null is an empty string."""
-    raw = spark.read.format("jdbc").option("url", url).option("query", query).option("fetchsize", fetch).options(**options).load()
+    raw = spark.read.format("jdbc").option("url", url).option("query", bound(query, params or {})).option("fetchsize", fetch).options(**options).load()
     fields = [tx.multivalue(F.col(c).cast("string"), r"\|").alias(c) if c in multivalue else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in raw.columns if c != id_column]
     return raw.select(checked_id(F.col(id_column), "query").alias("id"), *fields)
 
@@ -61,9 +88,26 @@ def owl_records(spark: SparkSession, path: str, id_prefix: str = "", include_obs
     return out if include_obsolete else out.where("not obsolete")
 
 
-def gold_sets(rows: DataFrame, separator: str = r"\|") -> DataFrame:
-    """``source_id``, ``gold_ids``: an empty cell is an empty set (no match is right), not a missing row."""
-    return rows.select(checked_id(F.col("source_id"), "gold").alias("source_id"), F.array_distinct(tx.multivalue(F.col("gold_ids"), separator)).alias("gold_ids"))
+def gold_sets(rows: DataFrame, separator: str = r"\|", normalize: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``source_id``, ``gold_ids``: an empty cell is an empty set (no match is right), not a missing row.
+
+    ``gold_ids`` is a cell, or an array as JSON lines have it. ``normalize`` changes each id; one that it makes null goes.
+    """
+    given = rows.schema["gold_ids"].dataType.typeName() == "array"
+    ids = F.filter(F.transform(F.coalesce("gold_ids", F.array().cast("array<string>")), lambda x: F.trim(x.cast("string"))), lambda x: x != "") if given else tx.multivalue(F.col("gold_ids"), separator)
+    if normalize is not None:
+        ids = F.filter(F.transform(ids, normalize), lambda x: x.isNotNull())
+    return rows.select(checked_id(F.col("source_id"), "gold").alias("source_id"), F.array_distinct(ids).alias("gold_ids"))
+
+
+def gold_file(spark: SparkSession, path: str, normalize: Callable[[Column], Column] | None = None, aliases: DataFrame | None = None) -> DataFrame:
+    """Gold sets of a CSV or JSON-lines file; a repeated source fails the read, and sets that aren't empty take their aliases in."""
+    raw = spark.read.json(path, mode="FAILFAST") if path.rstrip("/").endswith(".jsonl") else spark.read.csv(path, header=True, quote='"', escape='"', inferSchema=False)
+    gold = gold_sets(raw, normalize=normalize)
+    bad = gold.groupBy("source_id").count().where("count > 1").orderBy("source_id").limit(5).collect()
+    if bad:
+        raise ValueError(f"repeated sources: {[r.source_id for r in bad]}")
+    return gold if aliases is None else expanded_gold(gold, aliases)
 
 
 def expanded_gold(gold: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -82,15 +126,3 @@ def refuse_repeated_ids(records: DataFrame) -> DataFrame:
     if bad:
         raise ValueError(f"repeated ids: {[r.id for r in bad]}")
     return records
-
-
-MAPPING_COLUMNS = ("source_id", "matched_id", "confidence", "status", "reason", "attempts")
-
-
-def write_mapping(current: DataFrame, path: str) -> None:
-    """The mapping as CSV, a row for each source of the snapshot; pending rows have blanks."""
-    current.select(*(F.col(c) if c in current.columns else F.lit(None).cast("string").alias(c) for c in MAPPING_COLUMNS)).write.mode("overwrite").csv(path, header=True)
-
-
-def write_jsonl(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)

@@ -483,3 +483,61 @@ def test_search_one(spark, docs):
     assert [(r.id, r["rank"], r.evidence) for r in got] == [(1, 1, "again:2|bm25:2")]
     with pytest.raises(ValueError, match="limit"):
         retrieval.search_one("x", {}, docs, 101)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tallyweave import cli
+
+    (tmp_path / "t.csv").write_text("id,label,more\ng1,red cat,big\ng2,blue dog,\n")
+    (tmp_path / "s.csv").write_text("id,name\n1,red cat big\n2,zzz\n")
+    (tmp_path / "gold.csv").write_text("source_id,gold_ids\n1,g1|g9\n2,\n")
+    (tmp_path / "i.csv").write_text("id,label,kind\na,red cat,k\nb,red cat,k\nc,dog,j\n")
+    (tmp_path / "bad.csv").write_text("id,label\na,x\na,\n")
+
+    def call(*argv):
+        code = cli.main(list(map(str, argv)), spark)
+        return code, json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+
+    code, out = call("search", "cat", "--targets", tmp_path / "t.csv")
+    assert code == 0 and [h["id"] for h in out["hits"]] == ["g1"]
+    for more in ([], ["--decider"]):
+        code, out = call("match", "--sources", tmp_path / "s.csv", "--targets", tmp_path / "t.csv", "--out", tmp_path / "out", *more)
+        assert code == 0 and out["counts"] == {"matched": 1, "unmatched": 1}
+        code, out = call("eval", "--mapping", tmp_path / "out/mapping", "--gold", tmp_path / "gold.csv")
+        assert (out["accepted_precision"], out["no_match_recall"], out["n_labelled"]) == (1.0, 1.0, 2)
+    code, out = call("cluster", "--items", tmp_path / "i.csv", "--block", "kind", "--out", tmp_path / "groups")
+    assert out["clusters"] == 2
+    assert call("validate", "--items", tmp_path / "bad.csv") == (1, {"rows": 2, "duplicate_ids": 1, "empty_texts": 1})
+    assert call("cluster", "--items", tmp_path / "bad.csv", "--out", tmp_path / "x")[0] == 2
+
+
+def test_loaders_of_gold_and_sql(spark, tmp_path):
+    from tallyweave.sources import files
+
+    (tmp_path / "g.jsonl").write_text('{"source_id": "1", "gold_ids": ["a", " b ", "a"]}\n{"source_id": "2", "gold_ids": []}\n')
+    gold = {r.source_id: r.gold_ids for r in files.gold_file(spark, str(tmp_path / "g.jsonl"), lambda x: F.when(x != "b", F.upper(x))).collect()}
+    assert gold == {"1": ["A"], "2": []}
+    (tmp_path / "g.csv").write_text("source_id,gold_ids\n1,a\n1,b\n")
+    with pytest.raises(ValueError, match="repeated"):
+        files.gold_file(spark, str(tmp_path / "g.csv"))
+    (tmp_path / "b.csv").write_text("id,label\n1,x\n ,y\n")
+    with pytest.raises(Exception, match="row 2 has no id"):
+        files.csv_records(spark, str(tmp_path / "b.csv"), "id").collect()
+    (tmp_path / "l.csv").write_bytes("id,label\n1,é\n".encode("latin-1"))
+    assert files.csv_records(spark, str(tmp_path / "l.csv"), "id", encoding="ISO-8859-1").first().label == "é"
+    assert files.bound("select ':a', b::int from t where c = :c and d = :d", {"c": "x'y", "d": None}) == "select ':a', b::int from t where c = 'x''y' and d = NULL"
+    with pytest.raises(KeyError):
+        files.bound("select :x", {})
+
+
+@pytest.mark.parametrize(("a", "b"), [("Berries", "berry"), ("red cats", "the red cat"), ("", "x"), ("abc", "xyz"), ("glass", "glasses of wine")])
+def test_similarity_equals_its_definition(spark, a, b):
+    from tallyweave.functions import similarity
+
+    def one_of(w):
+        return w[:-3] + "y" if len(w) > 3 and w.endswith("ies") else w[:-1] if len(w) > 3 and w.endswith("s") and not w.endswith("ss") else w
+
+    x, y = (" ".join(map(one_of, t.lower().split())) for t in (a, b))
+    p, q = set(x.split()), set(y.split())
+    want = max(SequenceMatcher(None, x, y).ratio(), len(p & q) / len(p | q)) if x and y else 0.0
+    assert one(spark, s=similarity.similarity(F.lit(a), F.lit(b))).s == pytest.approx(want)
