@@ -14,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import store
+from ..functions import stem
 from ..functions import text as tx
 from ..functions.ids import canonical_hash
 from . import retrieval
 
 #: Part of every identity: another way of reading texts makes another index.
 VERSION = "unicode-words-1"
+ANALYZERS = {"default": tx.tokens, "en_stem": stem.stemmed}
 
 
 class IncompatibleIndex(ValueError):
@@ -30,8 +32,11 @@ class IncompatibleIndex(ValueError):
         self.differences = differences
 
 
-def identity_of(**parts: str) -> dict[str, str]:
-    return {"version": VERSION, **{k: str(v) for k, v in parts.items()}}
+def identity_of(analyzer: str = "default", **parts: str) -> dict[str, str]:
+    """What an index must agree in; ``analyzer`` is how texts become terms."""
+    if analyzer not in ANALYZERS:
+        raise ValueError(f"analyzer must be one of {', '.join(ANALYZERS)}")
+    return {"version": VERSION, "analyzer": analyzer, **{k: str(v) for k, v in parts.items()}}
 
 
 class TextIndex:
@@ -39,6 +44,7 @@ class TextIndex:
 
     def __init__(self, spark: SparkSession, path: str, identity: dict[str, str], step: int) -> None:
         self.spark, self.path, self.identity, self.step = spark, path, identity, step
+        self.words = ANALYZERS[identity.get("analyzer", "default")]
 
     @classmethod
     def build(cls, docs: DataFrame, path: str, identity: dict[str, str]) -> TextIndex:
@@ -76,7 +82,7 @@ class TextIndex:
         self.step += 1
         mark = F.lit(self.step).alias("step")
         self.write(docs.select("id", mark), "removed")
-        terms = docs.select("id", tx.tokens(F.col("text")).alias("terms")).withColumn("size", F.size("terms"))
+        terms = docs.select("id", self.words(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("size", F.size("terms"))
         self.write(retrieval.counted(terms).select("*", mark), "postings")
         self.write(self.rows("postings").where(F.col("step") == self.step).where("term = ''").select("id", "size", "step"), "documents")
 
@@ -109,7 +115,7 @@ class TextIndex:
 
     def search(self, queries: DataFrame, k: int, exclude: DataFrame | None = None) -> DataFrame:
         """The k best documents of each query; ids of ``exclude`` leave after ranking, so they shorten no list."""
-        scores = retrieval.scored(queries, self.postings(), self.stats())
+        scores = retrieval.scored(queries, self.postings(), self.stats(), self.words)
         if exclude is not None:
             scores = scores.join(exclude.select("id").distinct(), "id", "left_anti")
         return retrieval.top(scores, k).select("query_id", "id", "score", "rank")

@@ -58,13 +58,13 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return corpus(docs).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
 
 
-def scored(queries: DataFrame, index: DataFrame, stats: DataFrame) -> DataFrame:
+def scored(queries: DataFrame, index: DataFrame, stats: DataFrame, words: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """``query_id``, ``id``, ``score`` of every document that shares a term with a query.
 
     ``index`` has postings, ``stats`` one row with n_docs and mean_size. A term's postings meet its queries where
     they are if these are few; so a frequent term is no hot key.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     hits = index.join(store.few(asked.select("term").distinct()), "term", "left_semi")
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = spread.crossJoin(F.broadcast(stats))  # one row

@@ -9,6 +9,7 @@ from .. import store
 from ..functions import answers, ids
 from ..functions import text as tx
 from ..operators import cluster, engine, evaluate, ledger, matcher, reports, retrieval
+from ..operators.index import TextIndex, identity_of
 from ..sources import exports, targets
 from . import base, catalog
 from .oracles import ALL, CAND, DOCS, DOT, GOLD, ITEMS, LOGS, METRICS, PAIRS, QUERY_VECTORS, RANK, RESULTS, bm25
@@ -308,6 +309,13 @@ def decider_match_rewriting(spark, d):
     return matcher.decide_sources(sources, docs, index.search, matcher.lexical_decider(half)).drop("properties")
 
 
+@query
+def stemmed_search(spark, d):
+    """BM25 over English stems: an index of its own."""
+    index = TextIndex.build(base.documents(spark, d), f"{store.Work(spark, 'stems').root}/index", identity_of("en_stem"))
+    return catalog.rounded(index.search(base.benchmark(spark, d), 10))
+
+
 @query
 def match_loop(spark, d):
     """The retry loop over the benchmark texts: results, with how many attempts each took."""

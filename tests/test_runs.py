@@ -541,3 +541,26 @@ def test_similarity_equals_its_definition(spark, a, b):
     p, q = set(x.split()), set(y.split())
     want = max(SequenceMatcher(None, x, y).ratio(), len(p & q) / len(p | q)) if x and y else 0.0
     assert one(spark, s=similarity.similarity(F.lit(a), F.lit(b))).s == pytest.approx(want)
+
+
+STEMS = {
+    "consign": "consign", "consigned": "consign", "consigning": "consign", "consignment": "consign", "consistency": "consist", "consolation": "consol", "consolidate": "consolid", "conspicuously": "conspicu", "conspiracy": "conspiraci",
+    "knightly": "knight", "kneeling": "kneel", "knocked": "knock", "knives": "knive", "caresses": "caress", "ties": "tie", "cries": "cri", "gas": "gas", "gaps": "gap", "kiwis": "kiwi", "hoped": "hope", "hopping": "hop", "luxuriated": "luxuri",
+    "cry": "cri", "by": "by", "say": "say", "skies": "sky", "dying": "die", "news": "news", "proceed": "proceed", "generally": "general", "generate": "generat", "communism": "communism", "relational": "relat", "national": "nation", "happiness": "happi",
+    "anesthetics": "anesthet", "anesthetic": "anesthet", "running": "run", "beautiful": "beauti", "controlling": "control", "rate": "rate", "beds": "bed", "be": "be", "analogy": "analog", "agreed": "agre", "feed": "feed", "electricity": "electr", "youth": "youth",
+}
+
+
+def test_stems(spark, tmp_path):
+    from tallyweave.functions import stem
+
+    assert {w: stem.stem(w) for w in STEMS} == STEMS
+    assert one(spark, t=stem.stemmed(F.lit("Anésthetics of RUNNING cœurs"))).t == ["anesthet", "of", "run", "coeur"]
+    docs = spark.createDataFrame([(1, "an anaesthetic"), (2, "Anesthetics"), (3, None)], "id long, text string")
+    asked = spark.createDataFrame([(1, "anesthetic")], "query_id long, text string")
+    index = TextIndex.build(docs, str(tmp_path / "s"), identity_of("en_stem"))
+    assert [r.id for r in index.search(asked, 5).collect()] == [2] and index.stats().first().n_docs == 3
+    with pytest.raises(IncompatibleIndex, match="analyzer"):
+        TextIndex.open(spark, str(tmp_path / "s"), identity_of())
+    with pytest.raises(ValueError, match="analyzer"):
+        identity_of("other")
