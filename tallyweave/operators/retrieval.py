@@ -65,13 +65,14 @@ def scored(queries: DataFrame, index: DataFrame, stats: DataFrame, words: Callab
     they are if these are few; so a frequent term is no hot key.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    hits = index.join(store.few(asked.select("term").distinct()), "term", "left_semi")
+    hint = F.broadcast if store.is_few(asked) else lambda df: df  # one count: none of the sides below has more rows than this one
+    hits = index.join(hint(asked.select("term").distinct()), "term", "left_semi")
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = spread.crossJoin(F.broadcast(stats))  # one row
     idf = weighed.select("term", "mean_size", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     tf = F.col("tf")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
-    return hits.join(store.few(asked.join(idf, "term")), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return hits.join(hint(asked.join(idf, "term")), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def bm25_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -74,6 +74,10 @@ FROM {events} WHERE event_type <> 'error'
 WORKSHEET = "SELECT event_id AS result_key, CASE WHEN event_id % 17 = 0 THEN 99 ELSE event_id % 11 END AS source_hash, event_id % 50 + CASE WHEN event_id % 19 = 0 THEN 1 ELSE 0 END AS proposed_id FROM {events}"
 
 
+#: Indexes that this process has open, by folder and identity.
+OPEN: dict[tuple[str, str], TextIndex] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,7 +100,10 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The stored index of the documents: opened if it is of the table as it is now, else built."""
     path = f"{store.shared_folder(spark)}/tallyweave/index-{canonical_hash([spark.sparkContext.applicationId, sf_dir])}"
     identity = identity_of(table=canonical_hash(store.content_mark(spark, f"{sf_dir}/documents.parquet")))
-    return TextIndex.opened_or_built(documents(spark, sf_dir), path, identity)
+    key = (path, canonical_hash(identity))
+    if key not in OPEN:
+        OPEN[key] = TextIndex.opened_or_built(documents(spark, sf_dir), path, identity)
+    return OPEN[key]
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:

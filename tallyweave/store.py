@@ -66,6 +66,10 @@ def content_mark(spark: SparkSession, path: str) -> str:
     return "|".join(sorted(out))
 
 
+def is_few(df: DataFrame, most: int = FEW_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     """The table, to be broadcast if it is counted to have ``most`` rows at most."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_few(df, most) else df
