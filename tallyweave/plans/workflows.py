@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import answers, ids
 from ..functions import text as tx
-from ..operators import cluster, engine, evaluate, ledger, matcher, reports, retrieval
+from ..operators import cluster, decide, engine, evaluate, ledger, matcher, reports, retrieval
 from ..operators.index import TextIndex, identity_of
 from ..sources import exports, targets
 from . import base, catalog
-from .oracles import ALL, CAND, DOCS, DOT, GOLD, ITEMS, LOGS, METRICS, PAIRS, QUERY_VECTORS, RANK, RESULTS, bm25
+from .oracles import ALL, CAND, DOCS, DOT, GOLD, ITEMS, LOGS, METRICS, OVERLAP, PAIRS, QUERY_VECTORS, RANK, RESULTS, bm25
 from .registry import ORACLES, query
 
 
@@ -300,6 +300,46 @@ def decider_match(spark, d):
     return found.select("source_id", "matched_id", "status", "reason", "candidate_count", F.round("p_choice", 6).alias("p_choice"))
 
 
+@oracle("SELECT p_partkey, 'K' || substr(sha256('run|' || p_partkey), 1, 16) AS cluster_id FROM part")
+def minted_ids(spark, d):
+    """Names of clusters by run and seed."""
+    return base.table(spark, d, "part").select("p_partkey", cluster.mint_id("run", F.col("p_partkey")).alias("cluster_id"))
+
+
+@oracle(f"""WITH s AS ({base.plain(base.SIGNALS)}) SELECT order_id, part_id, supp_id, line, md5(array_to_string(list_filter([CASE WHEN screen_best IS NOT NULL THEN 'best screen ' || printf('%.2f', screen_best) END, CASE WHEN screen_chosen IS NOT NULL THEN 'chosen screen ' || printf('%.2f', screen_chosen) END,
+  CASE WHEN p_choice IS NOT NULL THEN 'choice ' || printf('%.2f', p_choice) END, CASE WHEN p_none IS NOT NULL THEN 'none ' || printf('%.2f', p_none) END], lambda x: x IS NOT NULL), '; ')) AS digest FROM s""")
+def decider_explanation(spark, d):
+    """The numbers behind each decision, in one line."""
+    return base.select(spark, d, base.SIGNALS).select("order_id", "part_id", "supp_id", "line", F.md5(decide.explanation()).alias("digest"))
+
+
+@oracle(f"""WITH {bm25("SELECT 0 AS query_id, 'red anvil of promo' AS text", "SELECT p_partkey AS id, p_name || ' ' || p_type AS text FROM part", 'a')}, {OVERLAP},
+hits AS (SELECT 'bm25' AS retriever, query_id, id, {RANK} AS rank FROM a QUALIFY {RANK} <= 20 UNION ALL SELECT 'overlap', query_id, id, {RANK} FROM b QUALIFY {RANK} <= 20),
+f AS (SELECT query_id, id, sum(1.0 / (60 + rank)) AS score, string_agg(retriever || ':' || rank, '|' ORDER BY retriever || ':' || rank) AS evidence FROM hits GROUP BY ALL)
+SELECT id, {RANK} AS rank, round(score, 9) AS score, evidence, p_name || ' ' || p_type AS text FROM f JOIN part ON p_partkey = id QUALIFY {RANK} <= 20""")
+def interactive_search(spark, d):
+    """One text asked of two retrievers: ranks, how each ranked it, and the texts."""
+    docs = base.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    index = retrieval.postings(docs)
+    lists = {"bm25": lambda q, k: retrieval.bm25_topk(q, docs, k), "overlap": lambda q, k: retrieval.top(retrieval.overlap_scores(q, index), k)}
+    return catalog.rounded(retrieval.search_one("red anvil of promo", lists, docs), 9)
+
+
+@oracle(f"""{LOGS}, s AS (SELECT min(source_id) AS one FROM log) SELECT 'result' AS what, seq AS at FROM log, s WHERE source_id = one UNION ALL SELECT 'review', review_id FROM reviews, s WHERE source_id = one""")
+def explain_source(spark, d):
+    """All that the ledger holds of its first source."""
+    log = catalog.log(spark, d)
+    first = log.agg(F.min("source_id")).first()[0]
+    none = log.select("source_id", F.lit(0).alias("attempt")).where("false")
+    return ledger.explained(first, log, none, base.select(spark, d, base.REVIEWS)).select("what", "at")
+
+
+@query
+def engine_warnings(spark, d):
+    """Blocks of the engine's runs that a reader should look at."""
+    return engine.warnings(engine_log(spark, d))
+
+
 @query
 def decider_match_rewriting(spark, d):
     """The same with a second pass, by the first half of a text, for what the first one missed."""
