@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import answers, ids
 from ..functions import text as tx
-from ..operators import cluster, decide, engine, evaluate, ledger, matcher, reports, retrieval
+from ..operators import ann, cluster, decide, engine, evaluate, ledger, matcher, reports, retrieval
 from ..operators.index import TextIndex, identity_of
 from ..sources import exports, targets
 from . import base, catalog
@@ -334,6 +334,21 @@ def explain_source(spark, d):
     return ledger.explained(first, log, none, base.select(spark, d, base.REVIEWS)).select("what", "at")
 
 
+@query
+def ann_topk(spark, d):
+    """Approximate neighbours by an inverted file; ``ann_recall`` measures it."""
+    v = catalog.vectors(spark, d)
+    return catalog.rounded(ann.topk(catalog.asked_vectors(v), v))
+
+
+@query
+def ann_recall(spark, d):
+    """The share of the exact ten nearest that the inverted file finds."""
+    v = catalog.vectors(spark, d)
+    asked = catalog.asked_vectors(v)
+    return ann.recall(ann.topk(asked, v), retrieval.dense_topk(asked, v))
+
+
 @query
 def engine_warnings(spark, d):
     """Blocks of the engine's runs that a reader should look at."""

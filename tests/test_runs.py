@@ -564,3 +564,19 @@ def test_stems(spark, tmp_path):
         TextIndex.open(spark, str(tmp_path / "s"), identity_of())
     with pytest.raises(ValueError, match="analyzer"):
         identity_of("other")
+
+
+def test_inverted_file(spark, monkeypatch):
+    from tallyweave.operators import ann
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 6)) * 8
+    x = centres[rng.integers(0, 12, 600)] + rng.normal(size=(600, 6))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(1000, None)], "id long, vector array<double>")
+    asked = v.where("id % 30 = 0").withColumnRenamed("id", "query_id")
+    exact = retrieval.dense_topk(asked.where("vector is not null"), v.where("vector is not null"), 10)
+    whole = ann.topk(asked, v, 10, probes=10**6)
+    assert ann.recall(whole, exact).first().recall == 1.0 and whole.count() == exact.count()
+    monkeypatch.setattr(ann, "SLICE", 20)
+    assert ann.recall(ann.topk(asked, v, 10, probes=8), exact).first().recall >= 0.9
+    assert ann.topk(asked.limit(0), v.limit(0), 10).count() == 0
