@@ -77,13 +77,19 @@ def obo_records(spark: SparkSession, path: str, id_prefix: str = "", include_obs
     return out if include_obsolete else out.where("not obsolete")
 
 
-def owl_records(spark: SparkSession, path: str, id_prefix: str = "", include_obsolete: bool = False) -> DataFrame:
-    """``owl:Class`` elements of an RDF/XML file, one row each."""
-    schema = "`_rdf:about` string, `rdfs:label` array<string>, `oboInOwl:hasExactSynonym` array<string>, `obo:IAO_0000115` array<string>, `rdfs:subClassOf` array<struct<`_rdf:resource`: string>>, `owl:deprecated` array<string>"
+def owl_records(
+    spark: SparkSession, path: str, id_prefix: str = "", include_obsolete: bool = False, label: str = "rdfs:label", synonyms: tuple[str, ...] = ("oboInOwl:hasExactSynonym",), definition: str = "obo:IAO_0000115", deprecated: str = "owl:deprecated",
+) -> DataFrame:
+    """``owl:Class`` elements of an RDF/XML file, one row each; predicates are named as the file's prefixes spell them."""
+    plain = dict.fromkeys((label, *synonyms, definition, deprecated))
+    schema = ", ".join(["`_rdf:about` string", "`rdfs:subClassOf` array<struct<`_rdf:resource`: string>>", *(f"`{p}` array<string>" for p in plain)])
     raw = spark.read.schema(schema).option("rowTag", "owl:Class").option("valueTag", "_VALUE").format("xml").load(path)
-    first = lambda c: F.coalesce(F.try_element_at(F.col(c), F.lit(1)), F.lit(""))
+    none = F.array().cast("array<string>")
+    all_of = lambda p: F.filter(F.transform(F.coalesce(F.col(f"`{p}`"), none), lambda x: F.trim(x)), lambda x: x != "")
+    first = lambda p: F.coalesce(F.try_element_at(all_of(p), F.lit(1)), F.lit(""))
     parents = F.array_sort(F.filter(F.transform("`rdfs:subClassOf`", lambda x: tx.curie(x["_rdf:resource"])), lambda x: x.isNotNull()))
-    out = raw.select(tx.curie(F.col("`_rdf:about`")).alias("id"), first("`rdfs:label`").alias("label"), F.array_sort(F.array_distinct(F.coalesce("`oboInOwl:hasExactSynonym`", F.array().cast("array<string>")))).alias("synonyms"), first("`obo:IAO_0000115`").alias("definition"), F.coalesce(parents, F.array().cast("array<string>")).alias("parents"), (first("`owl:deprecated`") == "true").alias("obsolete"))
+    names = F.array_sort(F.array_distinct(F.flatten(F.array(*map(all_of, synonyms))))) if synonyms else none
+    out = raw.select(tx.curie(F.col("`_rdf:about`")).alias("id"), first(label).alias("label"), names.alias("synonyms"), first(definition).alias("definition"), F.coalesce(parents, none).alias("parents"), (F.lower(first(deprecated)).isin("true", "1")).alias("obsolete"))
     out = out.where(F.col("id").isNotNull() & F.col("id").startswith(id_prefix))
     return out if include_obsolete else out.where("not obsolete")
 

@@ -580,3 +580,16 @@ def test_inverted_file(spark, monkeypatch):
     monkeypatch.setattr(ann, "SLICE", 20)
     assert ann.recall(ann.topk(asked, v, 10, probes=8), exact).first().recall >= 0.9
     assert ann.topk(asked.limit(0), v.limit(0), 10).count() == 0
+
+
+def test_ontology_of_other_predicates(spark, tmp_path):
+    from tallyweave.sources import files
+
+    (tmp_path / "o.owl").write_text("""<?xml version="1.0"?>
+<rdf:RDF xmlns:rdf="r" xmlns:owl="o" xmlns:skos="s" xmlns:rdfs="d">
+<owl:Class rdf:about="http://purl.obolibrary.org/obo/GO_2"><skos:prefLabel>two</skos:prefLabel><skos:altLabel>b</skos:altLabel><skos:altLabel> a </skos:altLabel><skos:altLabel>a</skos:altLabel><rdfs:subClassOf rdf:resource="http://purl.obolibrary.org/obo/GO_1"/></owl:Class>
+<owl:Class rdf:about="http://purl.obolibrary.org/obo/GO_3"><skos:prefLabel>old</skos:prefLabel><owl:deprecated>true</owl:deprecated></owl:Class>
+</rdf:RDF>""")
+    read = lambda **k: files.owl_records(spark, str(tmp_path / "o.owl"), label="skos:prefLabel", synonyms=("skos:altLabel", "skos:hiddenLabel"), **k).collect()
+    assert [(r.id, r.label, r.synonyms, r.parents, r.definition) for r in read()] == [("GO:2", "two", ["a", "b"], ["GO:1"], "")]
+    assert len(read(include_obsolete=True)) == 2 and read(id_prefix="CL:") == []
