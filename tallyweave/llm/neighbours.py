@@ -8,7 +8,7 @@ double precision and pushed through a heap of k for each query and task; the tas
 ranking over at most k rows of each.
 
 Queries are a stated set that meets all rows. Both sides are dealt to groups of at most ``TILE_GROUP``
-vectors on average, and each pair of groups is a tile of a grid, which one task joins: no side is collected
+vectors and ``TILE_BYTES`` of components on average, and each pair of groups is a tile of a grid, which one task joins: no side is collected
 or broadcast, and a vector is sent once for each group of the other side. Within a tile codes meet in blocks.
 
 Vectors that are null, zero, or hold a null or non-finite component, and rows without an id, take no part;
@@ -32,7 +32,7 @@ from .names import named
 from .scratch import Scratch
 
 NEAREST = 10
-TILE_GROUP, TILE_ROWS, TILE_QUERIES = 100_000, 2048, 256
+TILE_GROUP, TILE_BYTES, TILE_ROWS, TILE_QUERIES = 100_000, 64 << 20, 2048, 256
 #: float32 adds products of int8 exactly up to this many components.
 EXACT_DIMENSIONS = 1024
 #: Pairs whose distances are recomputed at once.
@@ -154,9 +154,10 @@ def nearest(vectors: DataFrame, is_query: str, vec_id: str = "vec_id", embedding
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where("vec_id is not null and v is not null").where(finite & F.exists("v", lambda x: x != 0))
     rows = scratch.save(rows.withColumn("number", F.monotonically_increasing_id()).withColumn("asks", F.expr(f"coalesce({is_query}, false)")), "vectors")
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    query_groups = max(1, -(-asking // TILE_GROUP))
-    row_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // TILE_GROUP))
+    n, asking, parts = rows.agg(F.count("*"), F.count_if("asks"), F.sum(F.size("v"))).first()
+    held = max(1, min(TILE_GROUP, TILE_BYTES * n // (8 * parts))) if n else TILE_GROUP
+    query_groups = max(1, -(-asking // held))
+    row_groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // held))
 
     def grouped(df: DataFrame, own_groups: int, own_name: str, other_groups: int, other_name: str) -> DataFrame:
         mine = F.pmod(F.xxhash64("number"), F.lit(own_groups)).cast("int").alias(own_name)

@@ -526,6 +526,9 @@ def test_neighbours_over_a_grid(spark, monkeypatch):
     whole = neighbours.nearest(df, "vec_id % 5 = 0").collect()
     monkeypatch.setattr(neighbours, "TILE_GROUP", 30)
     assert sorted(neighbours.nearest(df, "vec_id % 5 = 0").collect()) == sorted(whole) and len(whole) == 800
+    monkeypatch.setattr(neighbours, "TILE_GROUP", 100_000)
+    monkeypatch.setattr(neighbours, "TILE_BYTES", 8 * 6 * 50)
+    assert sorted(neighbours.nearest(df, "vec_id % 5 = 0").collect()) == sorted(whole)
 
 
 def test_neighbours(spark):
