@@ -22,8 +22,8 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 #: What a fuzzy clause counts, and how much more an exact form counts.
 FUZZY_WEIGHT, EXACT_BOOST = 0.5, 10.0
-#: Vectors of a group of a tile, and queries that are multiplied at once.
-TILE_VECTORS, TILE_QUERIES = 100_000, 256
+#: Vectors of a group of a tile, and bytes of their components, at most on average; queries that are multiplied at once.
+TILE_VECTORS, TILE_BYTES, TILE_QUERIES = 100_000, 64 << 20, 256
 
 
 def top(df: DataFrame, k: int, keys: tuple[str, ...] = ("query_id",), id_column: str = "id") -> DataFrame:
@@ -179,8 +179,9 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, dimensions:
     work = store.Work(spark, "dense")
     q = work.save(queries.select(F.col("query_id").cast("long").alias("query_id"), shape(F.col("vector")).alias("v")), "queries")
     rows = work.save(vectors.select(F.col("id").cast("long").alias("id"), (record if record is not None else F.col("id")).cast("long").alias("record"), shape(F.col("vector")).alias("v")), "rows")
-    asked, n = q.count(), rows.count()
-    a, b = max(1, -(-asked // TILE_VECTORS)), max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), -(-n // TILE_VECTORS))
+    asked, (n, parts) = q.count(), rows.agg(F.count("*"), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    held = max(1, min(TILE_VECTORS, TILE_BYTES * n // max(1, 8 * parts))) if n else TILE_VECTORS
+    a, b = max(1, -(-asked // held)), max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // 1000)), -(-n // held))
     left = q.withColumn("a", F.pmod(F.xxhash64("query_id"), F.lit(a)).cast("long")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(b - 1))))
     right = rows.withColumn("b", F.pmod(F.xxhash64("record"), F.lit(b)).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(a - 1).cast("long"))))
     found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(dense_tile(k), "query_id long, id long, best_id long, score double")
