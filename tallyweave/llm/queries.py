@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, langid, licences, quality
+from . import chat_format, decontaminate, filter_audit, langid, licences, quality
 from .neighbours import nearest
 from .packing import pack_documents
 from .sharding import shuffle_to_shards
@@ -73,7 +73,17 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality, op3_simhash, op4_sharding, op5_packing, op6_licences, op7_decontaminate, op8_substring_dedup, op9_neighbours, op10_langid)}
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_quality, op3_simhash, op4_sharding, op5_packing, op6_licences, op7_decontaminate, op8_substring_dedup, op9_neighbours, op10_langid,
+        op12_filter_audit,
+    )
+}
 ORACLES: dict[str, str] = {
     "op1_chat_format": r"""
 WITH rows AS (
@@ -102,5 +112,35 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.number <> c.number AND len(q.e) = len(c.e)
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score, vec_id) AS place FROM pairs)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10
+""",
+    "op12_filter_audit": r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body,
+    list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), flags AS (
+  SELECT doc_id, part, len(words) < 50 AS a, 100 * len(list_distinct(words)) < 65 * len(words) AS b,
+    100 * (length(body) - length(regexp_replace(body, '[A-Z]', '', 'g'))) > 5 * length(body) AS c, regexp_matches(body, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false) AS e FROM docs
+), marks AS (
+  SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id
+), marked AS (
+  SELECT part, MAP {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS fails, a::INT + b::INT + c::INT + d::INT + e::INT AS n_fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+  FROM flags LEFT JOIN marks USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+  WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5
+), steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS filter, n_fails, good, toxic, fails[filter_order[step]] AS fails_here,
+    len(list_filter(range(1, step), lambda i: fails[filter_order[i]])) > 0 AS gone
+  FROM marked, orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counts AS (
+  SELECT part, filter_order, step, filter, count(*) FILTER (NOT gone AND NOT fails_here) AS kept, count(*) FILTER (NOT gone AND fails_here) AS removed,
+    count(*) FILTER (gone AND fails_here) AS redundant, count(*) FILTER (fails_here AND n_fails = 1) AS unique_fails,
+    count(*) FILTER (NOT gone AND fails_here AND good) AS good_lost, count(*) FILTER (NOT gone AND fails_here AND toxic) AS toxic_lost
+  FROM steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, filter) AS BIGINT) AS shapley FROM counts
 """,
 }
