@@ -44,9 +44,9 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return raw, at - at[0]
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word ``[^\\x20\\x09-\\x0D]+``, and each text's first word (and the end)."""
-    solid = ~SPACE[data]
+def word_spans(data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word ``[^\\x20\\x09-\\x0D]+`` (or run of bytes that aren't ``space``), and each text's first word (and the end)."""
+    solid = ~space[data]
     begin, end = solid.copy(), solid.copy()
     begin[1:] &= ~solid[:-1]
     end[:-1] &= ~solid[1:]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, filter_audit, langid, licences, quality
+from .collocations import collocations
 from .neighbours import nearest
 from .packing import pack_documents
 from .sharding import shuffle_to_shards
@@ -73,6 +74,10 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(F.expr(f"{remainder} = 2"), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,7 +86,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality, op3_simhash, op4_sharding, op5_packing, op6_licences, op7_decontaminate, op8_substring_dedup, op9_neighbours, op10_langid,
-        op12_filter_audit,
+        op11_collocations, op12_filter_audit,
     )
 }
 ORACLES: dict[str, str] = {
@@ -112,6 +117,32 @@ WITH v AS (
   FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.number <> c.number AND len(q.e) = len(c.e)
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY number ORDER BY score, vec_id) AS place FROM pairs)
 SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM ranked WHERE place <= 10
+""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT lang, doc, generate_subscripts(parts, 1) AS piece, unnest(parts) AS piece_text FROM (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+      string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS parts FROM documents)
+), words AS (
+  SELECT lang, doc, piece, generate_subscripts(ws, 1) AS place, unnest(ws) AS w FROM (
+    SELECT lang, doc, piece, list_filter(string_split_regex(piece_text, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM pieces)
+), runs AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER win AS w2, lead(w, 2) OVER win AS w3 FROM words WINDOW win AS (PARTITION BY doc, piece ORDER BY place)
+), one AS (SELECT lang, w1, count(*) AS f FROM runs GROUP BY ALL),
+two AS (SELECT lang, w1, w2, count(*) AS f FROM runs WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+three AS (SELECT lang, w1, w2, w3, count(*) AS f FROM runs WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+held AS (
+  SELECT lang, w1, w2, max(f) AS most FROM (SELECT lang, w1, w2, f FROM three UNION ALL SELECT lang, w2, w3, f FROM three) GROUP BY ALL
+), cuts AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, two.f AS a, 1 AS k, p.f AS l, q.f AS r FROM two JOIN one p USING (lang, w1) JOIN (SELECT lang, w1 AS w2, f FROM one) q USING (lang, w2)
+    LEFT JOIN held USING (lang, w1, w2) WHERE most IS NULL OR 100 * most < 50 * two.f
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, three.f, 1, p.f, q.f FROM three JOIN one p USING (lang, w1) JOIN (SELECT lang, w1 AS w2, w2 AS w3, f FROM two) q USING (lang, w2, w3)
+  UNION ALL SELECT lang, w1 || ' ' || w2 || ' ' || w3, three.f, 2, p.f, q.f FROM three JOIN two p USING (lang, w1, w2) JOIN (SELECT lang, w1 AS w3, f FROM one) q USING (lang, w3)
+), best AS (
+  SELECT lang, phrase, a, l, r, CAST((1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (l::HUGEINT * r::HUGEINT) AS BIGINT) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY (1000000::HUGEINT * a::HUGEINT * a::HUGEINT) // (l::HUGEINT * r::HUGEINT), k) = 1
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN (SELECT lang, count(*) AS n FROM words GROUP BY lang) USING (lang) WHERE rank <= 2000
 """,
     "op12_filter_audit": r"""
 WITH docs AS (
