@@ -86,6 +86,11 @@ def replay(flagged: DataFrame, filters: str = "ABCDE") -> DataFrame:
         count(F.col("first") > F.col("step")).alias("kept"), count(here).alias("removed"), count(fails & (F.col("first") < F.col("step"))).alias("redundant"),
         count(F.col("mask") == F.col("bit")).alias("unique_fails"), count(here & F.col("good")).alias("good_lost"), count(here & F.col("toxic")).alias("toxic_lost"),
     )
+    return counts
+
+
+def with_shapley(counts: DataFrame) -> DataFrame:
+    """``counts`` with ``shapley``: what the step's filter removes over all orders."""
     letter = F.substring("filter_order", F.col("step"), F.lit(1))
     total = counts.groupBy("part", letter.alias("filter")).agg(F.sum("removed").alias("shapley"))
     return counts.withColumn("filter", letter).join(total, ["part", "filter"]).drop("filter")
@@ -97,5 +102,4 @@ def audit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     marked = labels.where("doc_id is not null").groupBy("doc_id").agg(*(F.max(F.coalesce(F.col(c) == 1, F.lit(False))).alias(a) for c, a in (("quality", "good"), ("toxic", "toxic"))))
     found = failures(docs, doc_id, text, part).join(marked, "doc_id", "left")
     flagged = found.select("part", "mask", F.coalesce("good", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("toxic"))
-    counts = replay(flagged)
-    return scratch.save(counts, "counts")
+    return with_shapley(scratch.save(replay(flagged), "counts"))
