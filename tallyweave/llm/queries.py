@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, filter_audit, langid, licences, quality
+from . import chat_format, decontaminate, filter_audit, langid, licences, personal_data, quality
 from .collocations import collocations
 from .neighbours import nearest
 from .packing import pack_documents
@@ -82,11 +82,15 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality, op3_simhash, op4_sharding, op5_packing, op6_licences, op7_decontaminate, op8_substring_dedup, op9_neighbours, op10_langid,
-        op11_collocations, op12_filter_audit,
+        op11_collocations, op12_filter_audit, op13_personal_data,
     )
 }
 ORACLES: dict[str, str] = {
