@@ -36,7 +36,7 @@ from .names import named
 from .scratch import Scratch
 
 #: Bytes of text that are one block; a longer text is a block of its own.
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 22
 #: Frequent words up to which all tasks get the sorted hashes (8 bytes each).
 BROADCAST_WORDS = 2_000_000
 HOT = 10_000

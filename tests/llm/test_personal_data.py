@@ -120,6 +120,6 @@ def test_odd_rows(spark, texts):
     got = {r.doc_id: r for r in found.collect()}
     assert got[1001].spans == got[1002].spans == "" and got[1001].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert got[None].spans == "email:0:6" and got[1004].spans == "email:300001:300007"
-    assert got[1005].n_phone == 0 and got[1005].spans.startswith("phone:0:17")
+    assert got[1005].n_phone == 0 and "phone:0:17" in got[1005].spans
     assert found.count() == len(texts) + len(rows) + 1
     assert pd.find_personal_data(spark.createDataFrame([], DOCS)).count() == 0
