@@ -13,7 +13,7 @@ them link if their sets of shingles (told by 64-bit hashes) have the similarity.
 first. What is lost are pairs whose fingerprints lie beyond the radius, and those that meet in no bucket nor
 through others.
 
-A bucket of more than ``TILE_ROWS`` is cut into slices, and each pair of slices meets in a tile of its own.
+Sets of shingles are held by bytes of text, so long documents make small slices. A bucket of more than ``TILE_ROWS`` is cut into slices, and each pair of slices meets in a tile of its own.
 A task holds many tiles in one index: rows in order of tile and of Gray rank, where neighbours differ in few
 bits. Groups of neighbours get a node with the bits that all share and their mask, and the tiles they span.
 A self-join walks pairs of nodes from the top: nodes without a common tile are pruned, and the shared bits
@@ -50,8 +50,8 @@ FAN_OUT = 8
 #: Fingerprints of one slice of a bucket, and of one task on average.
 TILE_ROWS, TASK_ROWS = 20_000, 50_000
 PAIRS_AT_ONCE = 1 << 13
-#: Sets of shingles in one slice of a proposed component, and of one task on average.
-SET_ROWS, SETS_AT_ONCE = 4_000, 5_000
+#: Bytes of text whose sets of shingles are in one slice of a proposed component, of one task on average, and hashed at once.
+SET_BYTES, TASK_BYTES, HASHED_BYTES = 12 << 20, 24 << 20, 4 << 20
 #: Rows of a table of hot buckets up to which it is broadcast.
 FEW_ROWS = 100_000
 #: What comparing two fingerprints costs, where sending one is 1: decides between exact plans only.
@@ -299,23 +299,26 @@ def deal(classes: DataFrame, plan: Plan) -> DataFrame:
     return classes.select("number", "fp").mapInArrow(run, "bucket long, number long, fp binary")
 
 
-def cut(rows: DataFrame, sizes: DataFrame, key: str, size: int, scratch: Scratch) -> DataFrame:
-    """``rows`` with ``low`` and ``high``: groups of a ``key`` with over ``size`` rows are cut into slices, and each row
-    stands once for each pair of slices with its own. ``sizes`` has the rows ``n`` of each key; rows have a ``number``."""
-    hot = scratch.save(sizes.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("slices")), f"hot_{key}")
+def cut(rows: DataFrame, sizes: DataFrame, key: str, size: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``rows`` with ``low`` and ``high``, and the weight of all of them: groups of a ``key`` that weigh over ``size`` are cut
+    into slices, and each row stands once for each pair of slices with its own. ``sizes`` has the weight ``n`` of each key;
+    rows have a ``number``."""
+    slices = F.ceil(F.col("n") / size)
+    total = sizes.agg(F.sum(F.col("n") * slices)).first()[0] or 0
+    hot = scratch.save(sizes.where(F.col("n") > size).select(key, slices.cast("int").alias("slices")), f"hot_{key}")
     many = hot.count()
     if not many:
-        return rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(0))
+        return rows.withColumn("low", F.lit(0)).withColumn("high", F.lit(0)), int(total)
     found = rows.join(F.broadcast(hot) if many <= FEW_ROWS else hot, key, "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
     found = found.withColumn("own", F.pmod(F.xxhash64("number"), F.col("slices")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    return found.select(*rows.columns, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return found.select(*rows.columns, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")), int(total)
 
 
 def near_links(classes: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """Links ``a``, ``b`` between the numbers of distinct fingerprints that connect all those within the radius."""
     spark, dealt = classes.sparkSession, deal(classes, plan)
-    tiles = cut(dealt, dealt.groupBy("bucket").agg(F.count("*").alias("n")), "bucket", TILE_ROWS, scratch)
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), classes.count() * len(plan.blocks) // TASK_ROWS)
+    tiles, rows = cut(dealt, scratch.save(dealt.groupBy("bucket").agg(F.count("*").alias("n")), "buckets"), "bucket", TILE_ROWS, scratch)
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), rows // TASK_ROWS)
     keyed = tiles.withColumn("part", F.pmod(F.xxhash64("bucket", "low", "high"), F.lit(parts)).cast("int"))
 
     def run(table):
@@ -385,10 +388,8 @@ def set_links(codes: np.ndarray, sets: list[np.ndarray], plan: Plan) -> np.ndarr
 
 def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan, scratch: Scratch) -> DataFrame:
     """Links ``a``, ``b`` that connect all pairs of the similarity within each root of ``proposed`` (``key``, ``number``,
-    ``fp``, ``root``), whose texts are those of ``texts`` (``key``, ``text``). Large roots are cut into slices that meet in tiles."""
+    ``size`` (bytes of its text), ``fp``, ``root``), whose texts are those of ``texts`` (``key``, ``text``). Large roots are cut into slices that meet in tiles."""
     spark = texts.sparkSession
-    sizes = scratch.save(proposed.groupBy("root").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(sizes.agg(F.sum("n")).first()[0] or 0) // SETS_AT_ONCE))
     hashed = T.StructType([T.StructField(n, t) for n, t in (("root", T.LongType()), ("number", T.LongType()), ("fp", T.BinaryType()), ("hashes", T.BinaryType()))])
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,26 +401,31 @@ def verified_links(texts: DataFrame, proposed: DataFrame, plan: Plan, scratch: S
                 if number not in seen:
                     seen.add(number)
                     first.append(k)
-            for i in range(0, len(first), 1000):
-                some = first[i : i + 1000]
+            i, upto = 0, np.concatenate([[0], np.cumsum([at[k + 1] - at[k] for k in first])])
+            while i < len(first):
+                j = max(i + 1, int(np.searchsorted(upto, upto[i] + HASHED_BYTES, "right")) - 1)
+                some, i = first[i:j], j
                 sets = [np.unique(shingles(data[at[k] : at[k + 1]].tobytes(), plan.shingle).astype(np.uint64)).tobytes() for k in some]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(some, pa.int64())) for c in range(3)), pa.array(sets, pa.binary())], hashed.names)
         give_back()
 
     rows = texts.join(proposed, "key").select("root", "number", "fp", F.col("text").cast("string").alias("text")).mapInArrow(hash_texts, hashed)
-    rows = cut(rows, sizes, "root", SET_ROWS, scratch)
+    sizes = scratch.save(proposed.groupBy("root").agg(F.sum("size").alias("n")), "sizes")
+    rows, weight = cut(rows, sizes, "root", SET_BYTES, scratch)
+    parts = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-weight // TASK_BYTES))
     keyed = rows.withColumn("part", F.pmod(F.xxhash64("root", "low", "high"), F.lit(parts)).cast("int"))
 
     def run(table):
         keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("root", "low", "high", "number")])
-        codes, raw, order = as_codes(table.column("fp")), table.column("hashes").to_pylist(), np.lexsort(keys[::-1])
+        codes, order = as_codes(table.column("fp")), np.lexsort(keys[::-1])
+        raw, at = text_bytes(table.column("hashes"))
         keys = keys[:, order]
         new = np.ones(len(order), bool)
         new[1:] = (keys[:, 1:] != keys[:, :-1]).any(axis=0)
         order, keys = order[new], keys[:, new]
         a, b = [], []
         for own in np.split(np.arange(len(order)), np.flatnonzero((keys[:3, 1:] != keys[:3, :-1]).any(axis=0)) + 1):
-            part = set_links(codes[order[own]], [np.frombuffer(raw[k], np.uint64) for k in order[own]], plan)
+            part = set_links(codes[order[own]], [raw[at[k] : at[k + 1]].view(np.uint64) for k in order[own]], plan)
             child = np.flatnonzero(part != np.arange(len(own)))
             a.append(keys[3, own[child]])
             b.append(keys[3, own[part[child]]])
@@ -435,7 +441,7 @@ def alike_classes(texts: DataFrame, marks: DataFrame, plan: Plan, scratch: Scrat
     classes = marks.groupBy("fp").agg(F.min(least).alias("least")).select(F.expr(f"substring(fp, 1, {8 * plan.words})").alias("fp"), "least", F.monotonically_increasing_id().alias("number"))
     classes = scratch.save(classes, "classes")
     roots = components(near_links(classes, plan, scratch), scratch)
-    proposed = scratch.save(classes.join(roots, classes.number == roots.node).select(F.col("least.key").alias("key"), "number", "fp", "root"), "proposed")
+    proposed = scratch.save(classes.join(roots, classes.number == roots.node).select(F.col("least.key").alias("key"), F.col("least.size").alias("size"), "number", "fp", "root"), "proposed")
     links = components(verified_links(texts, proposed, plan, scratch), Scratch(scratch.spark, "simhash_verified"))
     return classes.join(links, classes.number == links.node, "left").select("least", F.coalesce("root", "number").alias("root"))
 
@@ -464,9 +470,9 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     # A row is told by id and text, not by a number of its own: so only narrow tables are written.
     body = named(text).cast("string")
     key = F.sha2(F.concat_ws("\x00", F.coalesce(named(doc_id).cast("string"), F.lit("none")), F.coalesce(body, F.lit("")), body.isNull().cast("string")), 256)
-    rows = docs.select(named(doc_id).alias("id"), key.alias("key"), named(text).alias("text"))
-    marks = scratch.save(fingerprints(rows, plan, ["id", "key"]), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "key")
+    rows = docs.select(named(doc_id).alias("id"), key.alias("key"), F.coalesce(F.octet_length(body), F.lit(0)).cast("long").alias("size"), named(text).alias("text"))
+    marks = scratch.save(fingerprints(rows, plan, ["id", "key", "size"]), "fingerprints")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "key", "size")
     rooted = alike_classes(rows.select("key", "text"), marks, plan, scratch, order) if plan.similarity else rooted_classes(marks, plan, scratch, order)
     kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least.key").alias("key"))
     # Rows of one id and text: the least one stays. They meet before the shuffle already, however many they are.

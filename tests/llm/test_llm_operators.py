@@ -211,7 +211,7 @@ def test_near_copies_are_of_sets(spark):
 
 def test_verified_links_over_slices(spark, monkeypatch):
     monkeypatch.setattr(simhash_dedup, "TILE_ROWS", 8)
-    monkeypatch.setattr(simhash_dedup, "SET_ROWS", 5)
+    monkeypatch.setattr(simhash_dedup, "SET_BYTES", 9_000)
     monkeypatch.setattr(simhash_dedup, "FEW_ROWS", 0)
     rng, base = np.random.default_rng(4), long_text(30, 300).split()
     texts = [changed_words(rng, base, 3) for _ in range(40)] + [changed_words(rng, base, 20) for _ in range(10)] + [long_text(31), None]
@@ -219,6 +219,21 @@ def test_verified_links_over_slices(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == [0, *range(40, 52)]
 
 
+def test_long_documents_make_small_slices(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "SET_BYTES", 1 << 20)
+    monkeypatch.setattr(simhash_dedup, "TASK_BYTES", 2 << 20)
+    weights, cut = [], simhash_dedup.cut
+    monkeypatch.setattr(simhash_dedup, "cut", lambda *args: weights.append(cut(*args)) or weights[-1])
+    rng, base = np.random.default_rng(9), long_text(40, 20_000).split()
+    texts = [changed_words(rng, base, 60) for _ in range(40)] + [long_text(41, 20_000)]
+    kept = simhash_dedup.keep_one_of_each(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)).collect()
+    assert sorted(r.doc_id for r in kept) == [0, 40]
+    rows, weight = weights[-1]  # of the sets: the root is cut by its bytes, and all copies of its rows are counted
+    total = sum(map(len, texts[:40]))
+    assert weight == total * -(-total // (1 << 20))
+    assert {(r.low, r.high) for r in rows.select("low", "high").distinct().collect()} == {(a, b) for b in range(-(-total // (1 << 20))) for a in range(b + 1)}
+
+
 def test_packing(docs, rows):
     tok = TOKENIZER
     got = packing.pack_documents(docs).collect()
