@@ -10,9 +10,10 @@ and where those stay within ``k`` by banded alignment, which gives the region an
 Places of a q-gram in a text times its places in an item are counted some at a time, and where both are many
 by one product of polynomials over the diagonals: so memory and time are bounded for repetitive texts too.
 
-The benchmark is a stated query set: its items are broadcast in slices of at most ``SLICE_BYTES`` of text,
-and each slice meets all documents in one scan. Items shorter than q are looked up as whole words, all in
-one pass. Null or empty items match nothing, null or empty documents are clean, very long ones are read
+The benchmark is a stated query set. Its texts, not their indexes, are broadcast, at most some ``PASS_BYTES`` in one
+scan; a task indexes a slice of some ``SLICE_BYTES`` (about 50 bytes for one of text), meets the texts of a batch
+with it and frees it before the next. A larger benchmark takes several scans, each written before the next. Items
+shorter than q are looked up as whole words, all of a slice in one pass. Null or empty items match nothing, null or empty documents are clean, very long ones are read
 whole, repeated rows are judged each, and an empty table gives no rows. Of equal edits the first region is
 given. Extra columns are carried as they are; one named ``hits`` gets an underscore after it.
 """
@@ -30,11 +31,12 @@ from pyspark.sql import types as T
 
 from .bytetext import give_back, text_bytes
 from .names import carried, named, source
+from .scratch import Scratch
 
 Q = 8
 #: Edits allowed, as a share of the item's length. At q = 8 the lemma's bound is positive for all of it from 32 bytes on.
 EDITS = 0.1
-SLICE_BYTES = 8 << 20
+SLICE_BYTES, PASS_BYTES = 1 << 20, 32 << 20
 CHUNK_BYTES = 1 << 20
 GATE_BITS = 20
 #: Pairs of places that are counted at once, and of one q-gram from which on they are counted by a product.
@@ -132,13 +134,13 @@ class Items:
         self.short = ShortItems([(i, line) for i, line in lines if 0 < len(line) < Q])
         self.lines = [(i, np.frombuffer(line, np.uint8)) for i, line in lines if len(line) >= Q]
         keys = [grams(line) for _, line in self.lines]
-        item = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+        item = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
         flat = np.concatenate([np.zeros(0, np.uint64), *keys])
         order = np.argsort(flat, kind="stable")
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(k)) for k in keys)])
+        place = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(k), dtype=np.int32) for k in keys)])
         self.item, self.place = item[order], place[order]  # of each place, in order of the q-grams
         self.keys, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        rank = np.searchsorted(self.keys, flat)
+        rank = np.searchsorted(self.keys, flat).astype(np.int32)
         cuts = np.cumsum([0, *map(len, keys)])
         self.ranks = [rank[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]  # of each item's q-grams, by place
         self.gate = np.zeros(1 << GATE_BITS, bool)
@@ -302,39 +304,59 @@ def find_items(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_i
     held = carried(docs, carry, ["hits"])
     spark, out = docs.sparkSession, docs.select(*held.columns, source(docs, text).cast("string").alias("text_read"), F.array().cast(HIT).alias("hits"))
     items = benchmark.select(named(item_id).cast("long").alias("item_id"), named(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
-    slices = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SLICE_BYTES))
-    for number in range(slices):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == number).orderBy("item_id", "text").collect()
-        shared, schema = spark.sparkContext.broadcast(Items([tuple(r) for r in rows])), out.schema
-        out = out.mapInArrow(scan(shared, schema), schema)
+    passes = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PASS_BYTES))
+    scratch = Scratch(spark, "decontaminate") if passes > 1 else None
+    for number in range(passes):
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == number).orderBy("item_id", "text").toArrow()
+        schema = out.schema
+        out = out.mapInArrow(scan(spark.sparkContext.broadcast(sliced(rows)), schema), schema)
+        if scratch:
+            out = scratch.save(out, f"pass{number}")
+            scratch.drop(f"pass{number - 1}")
     return out.drop("text_read").toDF(*held.names, "hits")
 
 
+def sliced(rows: pa.Table) -> list[tuple[list[int], list[str]]]:
+    """Items in runs of about ``SLICE_BYTES``; a longer one is a run of its own."""
+    ids, texts = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+    upto = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    out, i = [], 0
+    while i < len(ids):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + SLICE_BYTES, "right")) - 1)
+        out.append((ids[i:j], texts[i:j]))
+        i = j
+    return out
+
+
 def scan(shared, schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_type
 
     hit_type = to_arrow_type(HIT)
 
+    def read(items: Items, lines: list[bytes]) -> list[list[dict]]:
+        """The hits of each normalised text."""
+        of: dict[int, list[tuple[int, int]]] = {}
+        for doc, item, band in items.bands(np.frombuffer(b"".join(lines), np.uint8), np.cumsum([0, *map(len, lines)])):
+            of.setdefault(doc, []).append((item, band))
+        return [items.hits(np.frombuffer(line, np.uint8), of.get(k, [])) if line and (k in of or len(items.short)) else [] for k, line in enumerate(lines)]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        slices, only = shared.value, None
         for batch in batches:
             data, at = text_bytes(batch.column(batch.num_columns - 2))
-            new: list[list[dict]] = []
-            i = 0
+            cuts, i = [0], 0
             while i < batch.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
-                lines = [plain(data[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")) for k in range(i, j)]
-                ends = np.cumsum([0, *map(len, lines)])
-                of: dict[int, list[tuple[int, int]]] = {}
-                joined = np.frombuffer(b"".join(lines), np.uint8)
-                for doc, item, band in items.bands(joined, ends):
-                    of.setdefault(doc, []).append((item, band))
-                for k, line in enumerate(lines):
-                    new.append(items.hits(np.frombuffer(line, np.uint8), of.get(k, [])) if line and (k in of or len(items.short)) else [])
-                i = j
-            old = batch.column(batch.num_columns - 1).to_pylist()
-            hits = pa.array([[*a, *b] for a, b in zip(old, new, strict=True)], hit_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], hits], names=batch.schema.names)
+                i = max(i + 1, int(np.searchsorted(at, at[i] + CHUNK_BYTES, "right")) - 1)
+                cuts.append(i)
+            hits = batch.column(batch.num_columns - 1).to_pylist()
+            for own in slices:
+                items = only or Items(list(zip(*own, strict=True)))
+                only = items if len(slices) == 1 else None
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    lines = [plain(data[at[k] : at[k + 1]].tobytes().decode("utf-8", "replace")) for k in range(a, b)]
+                    for k, new in enumerate(read(items, lines), a):
+                        hits[k] = [*hits[k], *new]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(hits, hit_type)], names=batch.schema.names)
         give_back()
 
     return run

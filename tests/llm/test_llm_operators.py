@@ -504,6 +504,22 @@ def test_fewest_edits_equals_the_table():
         assert decontaminate.fewest_edits(item, region) == (min(row), row.index(min(row)) if min(row) < len(item) else 0)
 
 
+def test_a_benchmark_of_several_slices_and_passes(spark, monkeypatch):
+    items = [(k, long_text(700 + k, 25)) for k in range(60)] + [(900, "tiny"), (901, None), (None, long_text(1)), (902, long_text(703, 25))]
+    docs = [(k, long_text(800 + k, 40) + (" " + items[k][1] if k % 2 else "") + (" tiny" if k % 7 == 0 else "")) for k in range(60)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return {(r.doc_id, h.item_id, h.edits, h.start, h.end) for r in decontaminate.find_items(docs, items).collect() for h in r.hits}
+
+    whole = found()
+    assert {x[:2] for x in whole} == {(k, k) for k in range(1, 60, 2)} | {(3, 902)} | {(k, 900) for k in range(0, 60, 7)}
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 700)
+    assert len(decontaminate.sliced(items.where("item_id is not null and text is not null").toArrow())) > 10 and found() == whole
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 3000)
+    assert found() == whole
+
+
 @pytest.mark.parametrize("size", [81, 120, 394])
 @pytest.mark.parametrize("share", [0.06, 0.07, 0.08, 0.09, 0.1])
 def test_decontamination_finds_up_to_a_tenth_of_edits(size, share):
