@@ -6,9 +6,13 @@ schema has one fingerprint, and columns of JSON documents, where each row has it
 all its messages, and unknown layouts are reported, not dropped. Both give canonical turns, an array of
 (role, text). Sources of several layouts become one table of conversations by ``format_sources``.
 
-Of a schema only paths that some mapping names are hashed, so ids and other columns beside a layout don't
-matter. Where those left fit no mapping as a whole, the widest mapping within them is taken, and two of
-equal width are refused with an error.
+Documents are walked ``LEVELS`` deep by their types, so a text that looks like JSON stays a text; what lies
+deeper is not told apart. Of a schema only paths that some mapping names are hashed, so ids and other fields
+beside a layout don't matter, at any level. Where those left fit no mapping as a whole, the widest mapping
+within them is taken; two of equal width are refused: with an error for a table, with a null layout for a
+document. A list without elements is a conversation without turns. In a list of messages, a bare string is a
+turn without a role, and any other element that is no object a turn of its text. Parts of a text are joined
+by lines, those without a text are left out.
 
 The template writes each turn as ``<s>[INST]role[/INST]text</s>``. Where a role or text holds a control
 string, or an escaped one, a backslash is put after its first bracket, so no control string is left inside
@@ -31,6 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .names import named, source
+
 #: Fixed values of the template.
 BEGIN, OPEN, CLOSE, END = "<s>", "[INST]", "[/INST]", "</s>"
 ESCAPE = r"([<\[])(\\*)(/?s>|/?INST\])"
@@ -68,9 +74,15 @@ MAPPINGS = (
     Mapping("mixed messages", ("messages[].role", "messages[].content", "messages[].text"), "messages", "role", "content\ntext"),
     Mapping("messages of speakers", ("messages[].from", "messages[].content"), "messages", "from", "content", roles=HUMAN),
     Mapping("named messages", ("messages[].role", "messages[].name", "messages[].content"), "messages", "role", "content"),
+    Mapping("message parts", ("messages[].role", "messages[].content[].text"), "messages", "role", "content[].text"),
+    Mapping("typed message parts", ("messages[].role", "messages[].content[].text", "messages[].content[].type"), "messages", "role", "content[].text"),
+    Mapping("messages of texts and parts", ("messages[].role", "messages[].content", "messages[].content[].text"), "messages", "role", "content\ncontent[].text"),
+    Mapping("messages of texts and typed parts", ("messages[].role", "messages[].content", "messages[].content[].text", "messages[].content[].type"), "messages", "role", "content\ncontent[].text"),
     Mapping("from and value", ("conversations[].from", "conversations[].value"), "conversations", "from", "value", roles=HUMAN),
     Mapping("prompt and response", ("prompt", "response"), turns=(("user", "prompt"), ("assistant", "response"))),
     Mapping("prompt and completion", ("prompt", "completion"), turns=(("user", "prompt"), ("assistant", "completion"))),
+    Mapping("prompt and response texts", ("prompt.text", "response.text"), turns=(("user", "prompt.text"), ("assistant", "response.text"))),
+    Mapping("prompt and completion texts", ("prompt.text", "completion.text"), turns=(("user", "prompt.text"), ("assistant", "completion.text"))),
     Mapping("system and prompt", ("system", "prompt", "response"), turns=(("system", "system"), ("user", "prompt"), ("assistant", "response"))),
     Mapping("instruction", ("instruction", "output"), turns=(("user", "instruction"), ("assistant", "output"))),
     Mapping("instruction and input", ("instruction", "input", "output"), turns=(("user", "instruction\ninput"), ("assistant", "output"))),
@@ -80,6 +92,9 @@ MAPPINGS = (
 BY_FINGERPRINT = {m.fingerprint: m for m in MAPPINGS}
 #: All paths that mappings name: others of a schema are not part of its fingerprint.
 KNOWN = frozenset(p for m in MAPPINGS for p in m.paths)
+#: Lists that hold no message: the layout that they would be of.
+EMPTY = {"messages[]": "messages", "conversations[]": "from and value"}
+LEVELS = 5
 
 
 def schema_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -118,11 +133,24 @@ def joined(field: str, value) -> Column:
     return F.concat_ws("\n", *(F.when(value(f) != "", value(f)) for f in field.split("\n")))
 
 
+def field_of(value: Column, path: str) -> Column:
+    """The text at a path of a struct: ``a``, ``a.b``, or ``a[].b`` for the parts of a list, by lines."""
+    name, _, rest = path.partition(".")
+    if name.endswith("[]"):
+        return F.array_join(F.transform(value[name[:-2]], lambda x: x[rest]), "\n")
+    return field_of(value[name], rest) if rest else value[name]
+
+
 def mapped(m: Mapping, value) -> Column:
-    """Canonical turns, where ``value(name)`` is a field's column."""
+    """Canonical turns of a table, where ``value(name)`` is a field's column."""
     if m.messages:
-        return F.coalesce(F.transform(value(m.messages), lambda x: turn(renamed(x[m.role], m.roles), joined(m.text, lambda f: x[f]))), F.array().cast(TURN))
-    return F.array(*(turn(F.lit(role), joined(field, value)) for role, field in m.turns))
+        return F.coalesce(F.transform(value(m.messages), lambda x: turn(renamed(x[m.role], m.roles), joined(m.text, lambda f: field_of(x, f)))), F.array().cast(TURN))
+
+    def of(path: str) -> Column:
+        name, _, rest = path.partition(".")
+        return field_of(value(name), rest) if rest else value(name)
+
+    return F.array(*(turn(F.lit(role), joined(field, of)) for role, field in m.turns))
 
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
@@ -132,35 +160,77 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
         key = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
         rows = df.groupBy(F.col("conv_id").alias("conv_id")).agg(F.sort_array(F.collect_list(key)).alias("turns"))
         return rows.select("conv_id", F.transform("turns", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"))).alias("turns"))
-    return df.select(F.col(conv_id).alias("conv_id"), mapped(m, lambda name: F.col(name)).alias("turns"))
+    return df.select(source(df, conv_id).alias("conv_id"), mapped(m, named).alias("turns"))
+
+
+# Expressions over JSON values are SQL text: a plan of thousands of nodes is then one call.
+
+
+def fields(value: str) -> str:
+    """The fields of an object of any types, or null."""
+    return f"try_variant_get({value}, '$', 'map<string, variant>')"
+
+
+def elements(value: str) -> str:
+    """The elements of a list of any types, or null."""
+    return f"try_variant_get({value}, '$', 'array<variant>')"
+
+
+def text_in(value: str) -> str:
+    """What a JSON value says: itself, the ``text`` of an object, or those of a list's elements by lines."""
+    one = lambda v: f"if({fields(v)} is not null, try_variant_get({v}, '$.text', 'string'), try_variant_get({v}, '$', 'string'))"
+    return f"if({elements(value)} is not null, array_join(transform({elements(value)}, part -> {one('part')}), '\\n'), {one(value)})"
+
 
+def paths_below(value: str, at: str = "", levels: int = LEVELS, in_list: bool = False) -> str:
+    """Nested field paths of a JSON value, as ``schema_paths`` has them; ``[]`` alone ends that of a list of values, or of none.
 
-def json_paths(document: Column) -> Column:
-    """Sorted nested field paths of a JSON document (objects, and arrays of objects with the fields of all), as lines."""
-    top = F.from_json(document, "map<string, string>")
+    A document is an object, and a list within a list is not walked.
+    """
+    end = f"array({at or repr('')})"
+    if not levels:
+        return end
+    entry, element = f"entry{levels}", f"element{levels}"
+    key = f"replace({entry}.key, '.', '..')"
+    member = paths_below(f"{entry}.value", f"concat({at}, '.', {key})" if at else key, levels - 1)
+    own = f"flatten(transform(map_entries({fields(value)}), {entry} -> {member}))"
+    if not at or in_list:
+        return f"coalesce({own}, {end})"
+    inside = f"concat({at}, '[]')"
+    listed = f"array_distinct(flatten(transform({elements(value)}, {element} -> {paths_below(element, inside, levels - 1, True)})))"
+    return f"coalesce({own}, if(size({elements(value)}) = 0, array({inside}), {listed}), {end})"
 
-    def of(entry):
-        fields = F.array_distinct(F.flatten(F.transform(F.from_json(entry.value, "array<map<string, string>>"), lambda x: F.coalesce(F.map_keys(x), F.array(F.lit("?"))))))
-        nested = F.transform(fields, lambda k: F.concat(entry.key, F.lit("[]."), k))
-        return F.when(F.ltrim(entry.value).startswith("[") & (F.size(fields) > 0), nested).otherwise(F.array(entry.key))
 
-    return F.array_join(F.array_sort(F.flatten(F.transform(F.map_entries(top), of))), "\n")
+def json_turns(m: Mapping, document: str) -> str:
+    """Canonical turns of a document of the mapping's layout."""
+    inner = lambda v, path: text_in(f"try_variant_get({v}, '$.{path.split('[]')[0].split('.')[0]}', 'variant')")
+    struct = lambda role, text: f"named_struct('role', coalesce({role}, ''), 'text', coalesce({text}, ''))"
+    lines = lambda v, paths: f"concat_ws('\\n', {', '.join(f'nullif({inner(v, x)}, {repr(str())})' for x in paths)})"
+    if not m.messages:
+        return f"array({', '.join(struct(repr(role), lines(document, field.split(chr(10)))) for role, field in m.turns)})"
+    role = inner("message", m.role)
+    for theirs, ours in reversed(m.roles):
+        role = f"if({inner('message', m.role)} = '{theirs}', '{ours}', {role})"
+    names = list(dict.fromkeys(f.split("[]")[0] for f in m.text.split("\n")))
+    turns = f"if({fields('message')} is not null, {struct(role, lines('message', names))}, {struct(repr(''), text_in('message'))})"
+    return f"transform(try_variant_get({document}, '$.{m.messages}', 'array<variant>'), message -> {turns})"
 
 
 def canonical_turns_from_json(df: DataFrame, document: str, conv_id: str = "conv_id") -> DataFrame:
-    """``conv_id``, ``layout`` (null if no mapping has its fingerprint) and ``turns`` (then null) of each row."""
-    marked = df.select(F.col(conv_id).alias("conv_id"), F.col(document).alias("document")).withColumn("fingerprint", F.sha2(json_paths(F.col("document")), 256))
-    layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURN)
-    for m in MAPPINGS:
-        if m.name == "turn rows":
-            continue
-        def value(name, m=m):
-            found = F.get_json_object("document", f"$.{name}")
-            fields = ", ".join(f"`{f}`: string" for f in (m.role, *m.text.split("\n")))
-            return F.from_json(found, f"array<struct<{fields}>>") if m.messages else F.coalesce(found, F.lit(""))
-        here = F.col("fingerprint") == m.fingerprint
-        layout, turns = F.when(here, m.name).otherwise(layout), F.when(here, mapped(m, value)).otherwise(turns)
-    return marked.select("conv_id", layout.alias("layout"), turns.alias("turns"))
+    """``conv_id``, ``layout`` (null if no mapping fits) and ``turns`` (then null) of each row."""
+    read = df.select(source(df, conv_id).alias("conv_id"), F.try_parse_json(source(df, document)).alias("document"))
+    listed = lambda names: f"array({', '.join(map(repr, sorted(names)))})"
+    found = read.withColumn("paths", F.expr(f"array_distinct({paths_below('document')})")).withColumn("known", F.expr(f"array_intersect(paths, {listed(KNOWN)})"))
+    marked = found.withColumn("fingerprint", F.sha2(F.array_join(F.array_sort("known"), "\n"), 256))
+    mappings = [m for m in MAPPINGS if m.name != "turn rows"]
+    whole = "case fingerprint " + " ".join(f"when '{m.fingerprint}' then '{m.name}'" for m in mappings) + " end"
+    held = ", ".join(f"if(size(array_intersect(known, {listed(m.paths)})) = {len(m.paths)}, named_struct('n', {len(m.paths)}, 'name', '{m.name}'), null)" for m in mappings)
+    widest = marked.withColumn("held", F.expr(f"sort_array(array_compact(array({held})), false)"))
+    alone = "if(size(held) = 1 or get(held, 0).n > get(held, 1).n, get(held, 0).name, null)"
+    empty = "case " + " ".join(f"when size(known) = 0 and array_contains(paths, '{path}') then '{name}'" for path, name in EMPTY.items()) + " end"
+    chosen = widest.select("conv_id", "document", F.expr(f"coalesce({whole}, {alone}, {empty})").alias("layout"))
+    turns = "case layout " + " ".join(f"when '{m.name}' then {json_turns(m, 'document')}" for m in mappings) + " end"
+    return chosen.select("conv_id", "layout", F.expr(turns).cast(TURN).alias("turns"))
 
 
 def escaped(text: Column) -> Column:
@@ -211,4 +281,5 @@ def digests(chats: DataFrame) -> DataFrame:
     """What is read back from each ``formatted``: its turns and its text under the loss mask."""
     read = chats.withColumn("turns", parse(F.col("formatted"))).withColumn("loss", loss_text(F.col("turns")))
     lines = F.array_join(F.transform("turns", lambda x: F.concat(x.role, F.lit("\n"), x.text, F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    layout = ["layout"] if "layout" in chats.columns else []
+    return read.select("conv_id", *layout, F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))

@@ -604,15 +604,44 @@ def test_layouts(spark):
     assert got[4] == got[5] == got[6] == (None, None)
     mixed = [(1, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","text":"yo"}]}'), (2, '{"messages":[{"role":"user","content":"hi"},{"role":"assistant","other":"yo"}]}'), (3, '{"messages":[]}')]
     got = {r.conv_id: (r.layout, r.turns and [tuple(t) for t in r.turns]) for r in chat_format.canonical_turns_from_json(spark.createDataFrame(mixed, "conv_id long, document string"), "document").collect()}
-    assert got == {1: ("mixed messages", [("user", "hi"), ("assistant", "yo")]), 2: (None, None), 3: (None, None)}
+    assert got == {1: ("mixed messages", [("user", "hi"), ("assistant", "yo")]), 2: ("messages", [("user", "hi"), ("assistant", "")]), 3: ("messages", [])}
     with pytest.raises(ValueError, match="both"):
         chat_format.canonical_turns(spark.createDataFrame([("a", "b", "c", "d", 1)], "prompt string, response string, question string, answer string, conv_id long"))
     both = chat_format.format_sources([spark.createDataFrame([(5, 0, "user", "x", "y")], "conv_id long, turn long, role string, text string, `a.b` string"), nested_layout(spark)], [(spark.createDataFrame(mixed, "conv_id long, document string"), "document")])
-    assert {r.conv_id: r.layout for r in both.collect()} == {5: "turn rows", 9: "messages", 1: "mixed messages", 2: None, 3: None}
+    assert {r.conv_id: r.layout for r in both.collect()} == {5: "turn rows", 9: "messages", 1: "mixed messages", 2: "messages", 3: "messages"}
     nested = spark.createDataFrame([(1, "p", "r")], "conv_id long, prompt string, response string")
     assert [tuple(t) for t in chat_format.canonical_turns(nested).first().turns] == [("user", "p"), ("assistant", "r")]
 
 
+@pytest.mark.parametrize(("document", "layout", "turns"), [
+    ('{"id":7,"messages":[{"role":"user","content":"hi","weight":1},{"role":"assistant","content":"yo"}],"meta":{"a":[1]}}', "messages", [("user", "hi"), ("assistant", "yo")]),
+    ('{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}],"source":"x"}', "from and value", [("user", "q"), ("assistant", "a")]),
+    ('{"messages":[],"id":1}', "messages", []), ('{"conversations":[]}', "from and value", []),
+    ('{"messages":[{"role":"user","content":"hi"},"stray",null,5]}', "messages", [("user", "hi"), ("", "stray"), ("", ""), ("", "5")]),
+    ('{"messages":[{"role":"user","content":[{"type":"text","text":"hi"},{"type":"image","url":"u"},{"type":"text","text":"there"}]}]}', "typed message parts", [("user", "hi\nthere")]),
+    ('{"messages":[{"role":"user","content":[{"text":"hi"}]},{"role":"assistant","content":"yo"}]}', "messages of texts and parts", [("user", "hi"), ("assistant", "yo")]),
+    ('{"prompt":{"text":"a"},"response":{"text":"b","id":3}}', "prompt and response texts", [("user", "a"), ("assistant", "b")]),
+    ('{"messages":[{"role":"user","content":"[{\\"text\\": \\"x\\"}]"}]}', "messages", [("user", '[{"text": "x"}]')]),
+    ('{"prompt":"{\\"a\\": 1}","response":"[]","n.o":1}', "prompt and response", [("user", '{"a": 1}'), ("assistant", "[]")]),
+    ('{"text":"t","id":[1]}', "text", [("assistant", "t")]), ('{"prompt":"p","response":"r","text":"t"}', "prompt and response", [("user", "p"), ("assistant", "r")]),
+    ('{"prompt":"p","response":"r","question":"q","answer":"a"}', None, None), ("[]", None, None), ('"text"', None, None), ("{}", None, None),
+    ('{"messages":[{"role":"user","content":"a"}],"messages":[]}', None, None),
+])
+def test_documents_with_more_fields_and_levels(spark, document, layout, turns):
+    rows = spark.createDataFrame([(1, document)], "`c.id` long, `doc.json` string")
+    r = chat_format.canonical_turns_from_json(rows, "doc.json", "c.id").first()
+    assert (r.layout, r.turns and [tuple(t) for t in r.turns]) == (layout, turns)
+
+
+def test_tables_of_parts(spark):
+    kind = "conv_id long, messages array<struct<role: string, content: array<struct<type: string, text: string>>>>, extra int"
+    rows = [(1, [("user", [("text", "hi"), ("image", None), ("text", "there")]), ("assistant", None)], 1), (2, None, 1), (3, [], None)]
+    got = {r.conv_id: [tuple(t) for t in r.turns] for r in chat_format.canonical_turns(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {1: [("user", "hi\nthere"), ("assistant", "")], 2: [], 3: []}
+    chats = chat_format.format_sources([spark.createDataFrame(rows, kind)], [])
+    assert {r.layout for r in chat_format.digests(chats).collect()} == {"typed message parts"}
+
+
 def test_quality_and_language_on_odd_rows(spark, docs, rows, empty):
     labels = spark.createDataFrame([(1, 1, 0), (5, 0, 0), (7, 1, 1), (5, 0, 0), (8, None, 0), (None, 1, 0)], LABELS)
     plain = docs.drop("score")
