@@ -84,7 +84,13 @@ def exact_forms(*fields: Column) -> Column:
 
 def rendered_queries(*queries: Column) -> Column:
     """A record's queries in order: tidied, without blanks and repeats."""
-    return F.array_distinct(F.filter(F.transform(F.array(*queries), lambda x: tidy(F.coalesce(x, F.lit("")))), lambda x: x != ""))
+    return rendered_list(F.array(*queries))
+
+
+def rendered_list(queries: Column) -> Column:
+    """The same of an array of any number of queries; null is none."""
+    listed = F.coalesce(queries.cast("array<string>"), F.array().cast("array<string>"))
+    return F.array_distinct(F.filter(F.transform(listed, lambda x: tidy(F.coalesce(x, F.lit("")))), lambda x: x != ""))
 
 
 def tidy(text: Column) -> Column:

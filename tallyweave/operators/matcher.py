@@ -10,10 +10,9 @@ Models are columns: functions of a source and its candidates. Those here go by n
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,66 +68,18 @@ def lexical_models(select_floor: float = 0.2, support: float = 0.5) -> Models:
 
 
 WORK = "array<struct<kind: string, value: string, id: string, attempt: int>>"
-STATE = f"source_id string, text string, attempt int, queue {WORK}, seen array<string>, chased array<string>, done array<string>, work struct<kind: string, value: string, id: string, attempt: int>, retry boolean, turn boolean"
 
 
 def first_state(sources: DataFrame) -> DataFrame:
     """Each source with its own query in the queue; ``queries`` (an array) if it has several, else its ``text``."""
     asked = F.col("queries") if "queries" in sources.columns else F.array("text")
-    queries = tx.rendered_queries(*[asked[k] for k in range(8)]) if "queries" in sources.columns else F.filter(asked, lambda q: F.trim(F.coalesce(q, F.lit(""))) != "")
+    queries = tx.rendered_list(asked) if "queries" in sources.columns else F.filter(asked, lambda q: F.trim(F.coalesce(q, F.lit(""))) != "")
     text = F.array_join(queries, "\n")  # several queries are one search, fused
     item = lambda value: F.struct(F.lit("query").alias("kind"), value.alias("value"), F.lit(None).cast("string").alias("id"), F.lit(0).alias("attempt"))
     none = F.array().cast("array<string>")
     return sources.select(F.col("source_id").cast("string").alias("source_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).alias("attempt"), F.array(item(text)).cast(WORK).alias("queue"), F.transform(queries, tx.normalise_query).alias("seen"), none.alias("chased"), none.alias("done"), F.lit(None).cast("struct<kind: string, value: string, id: string, attempt: int>").alias("work"), F.lit(False).alias("retry"), F.lit(True).alias("turn"))
 
 
-def take(state: dict, alternate: bool) -> dict | None:
-    """The next piece of work: what is to be tried again, else a candidate before a query (or by turns)."""
-    queue = list(state["queue"])
-    if state["retry"]:
-        return state
-    kinds = [w["kind"] for w in queue]
-    wanted = "candidate" if "candidate" in kinds and (not alternate or state["turn"] or "query" not in kinds) else "query"
-    at = next((k for k, kind in enumerate(kinds) if kind == wanted), None)
-    if at is None:
-        return None
-    work = queue.pop(at)
-    return state | {"queue": queue, "work": work, "turn": work["kind"] == "query"}
-
-
-def routed(state: dict, out: dict, policy: Policy) -> dict | None:
-    """The state after an attempt, or null if the source is done."""
-    attempt, reason = state["attempt"], out["reason"]
-    if reason in (FATAL, OVER) or out["accepted"] or attempt + 1 >= policy.max_attempts:
-        return None
-    state = state | {"attempt": attempt + 1}
-    if reason in SAME_WORK:
-        return state | {"retry": True}
-    queue, seen, chased, done = list(state["queue"]), list(state["seen"]), list(state["chased"]), list(state["done"])
-    if out["chosen_id"] is not None:
-        done.append(out["chosen_id"])
-    leads = [("verifier", i) for i in out["verifier_lead"]] + [("scorer", i) for i in out["leads"]]
-    for source, who in leads:
-        if source == "verifier" and who in chased:
-            continue
-        if policy.deduplicate_candidates and (who in done or any(w["kind"] == "candidate" and w["id"] == who for w in queue)):
-            continue
-        work = {"kind": "candidate", "value": state["work"]["value"], "id": who, "attempt": attempt}
-        if source == "verifier":
-            chased.append(who)
-            queue.insert(0, work)
-        else:
-            queue.append(work)
-    for query in out["searches"] + (out["rewrites"] if not queue and not out["searches"] else []):
-        form = " ".join(query.lower().split())
-        if form and form not in seen:
-            seen.append(form)
-            queue.append({"kind": "query", "value": query, "id": None, "attempt": attempt})
-    if not queue:
-        return None
-    return take(state | {"queue": queue, "seen": seen, "chased": chased, "done": done, "retry": False}, policy.alternate_queues)
-
-
 def attempt(frontier: DataFrame, targets: DataFrame, search: Callable[[DataFrame, int], DataFrame], models: Models, policy: Policy) -> DataFrame:
     """One pass: for each source its choice, score, second opinion, leads and new queries.
 
@@ -138,7 +89,7 @@ def attempt(frontier: DataFrame, targets: DataFrame, search: Callable[[DataFrame
     # Several queries of a source are lines of one value; each votes, and the votes are fused.
     lines = asked.select("source_id", F.posexplode(F.split("value", "\n")).alias("line", "query"))
     named = lines.withColumn("query_id", F.concat_ws("\n", "source_id", F.col("line").cast("string")))
-    hits = search(named.select("query_id", F.col("query").alias("text")), 20).select("query_id", F.col("id").cast("string").alias("id"), "rank")
+    hits = search(named.select("query_id", F.col("query").alias("text")), policy.candidates).select("query_id", F.col("id").cast("string").alias("id"), "rank")
     votes = hits.select(F.substring_index("query_id", "\n", 1).alias("query_id"), "id", F.concat(F.lit("line"), F.substring_index("query_id", "\n", -1)).alias("retriever"), "rank")
     fused = retrieval.top(retrieval.fuse(votes), policy.candidates * 4)
     shown = fused.join(targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate")), "id")
@@ -171,22 +122,48 @@ def attempt(frontier: DataFrame, targets: DataFrame, search: Callable[[DataFrame
     return out.withColumn("accepted", F.coalesce(decide.acceptable(policy.accept_at), F.lit(False)))
 
 
+def without(items: Column, others: Column) -> Column:
+    return F.filter(items, lambda x: ~F.array_contains(others, x))
+
+
 def advanced(frontier: DataFrame, outcome: DataFrame, policy: Policy) -> DataFrame:
-    """The frontier of the next pass: each row by itself."""
-    what = outcome.drop("attempt").select("source_id", F.struct("reason", "accepted", "chosen_id", "verifier_lead", "leads", "searches", "rewrites").alias("out"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for row in pdf.to_dict("records"):
-                out = {k: list(v) if k in ("verifier_lead", "leads", "searches", "rewrites") else v for k, v in row.pop("out").items()}
-                row = {k: list(v) if k in ("queue", "seen", "chased", "done") else v for k, v in row.items()}
-                after = routed(row, out, policy)
-                if after is not None:
-                    rows.append(after)
-            yield pd.DataFrame(rows, columns=list(pdf.columns.drop("out")))
-
-    return frontier.join(what, "source_id").mapInPandas(run, STATE)
+    """The frontier of the next pass, of the sources that are not done: each row's arrays tell what it does next.
+
+    After an outage the same work is tried again. Else a verifier's leads go before all that waits, a scorer's after
+    it, then new queries (rewrites only where nothing else is left); forms of a query that were asked are not asked
+    again. A candidate is taken before a query, or by turns.
+    """
+    none = F.array().cast("array<string>")
+    what = outcome.select("source_id", "reason", "accepted", "chosen_id", *(F.coalesce(F.col(c), none).alias(c) for c in ("verifier_lead", "leads", "searches", "rewrites")))
+    rows = frontier.join(what, "source_id").where(~F.coalesce(F.col("reason").isin(FATAL, OVER), F.lit(False)) & ~F.col("accepted") & (F.col("attempt") + 1 < policy.max_attempts))
+    same = F.coalesce(F.col("reason").isin(*SAME_WORK), F.lit(False))
+    item = lambda kind, value, who: F.struct(F.lit(kind).alias("kind"), value.alias("value"), who.cast("string").alias("id"), F.col("attempt").alias("attempt"))
+    follow = lambda who: item("candidate", F.col("work.value"), who)
+    waiting = lambda queue: F.transform(F.filter(queue, lambda w: w.kind == "candidate"), lambda w: w.id)
+    rows = rows.withColumn("done2", F.when(F.col("chosen_id").isNull(), F.col("done")).otherwise(F.concat("done", F.array("chosen_id"))))
+    first = F.array_distinct(without(F.col("verifier_lead"), F.col("chased")))
+    if policy.deduplicate_candidates:
+        first = without(without(first, F.col("done2")), waiting(F.col("queue")))
+    rows = rows.withColumn("first", first).withColumn("queue2", F.concat(F.transform(F.reverse("first"), follow), "queue").cast(WORK))
+    then = F.col("leads")
+    if policy.deduplicate_candidates:
+        then = F.array_distinct(without(without(then, F.col("done2")), waiting(F.col("queue2"))))
+    rows = rows.withColumn("queue3", F.concat("queue2", F.transform(then, follow)).cast(WORK))
+    wanted = F.concat("searches", F.when((F.size("queue3") == 0) & (F.size("searches") == 0), F.col("rewrites")).otherwise(none))
+    rows = rows.withColumn("wanted", wanted).withColumn("forms", F.transform("wanted", tx.normalise_query))
+    fresh = lambda q, k: (F.get(F.col("forms"), k) != "") & ~F.array_contains("seen", F.get(F.col("forms"), k)) & (F.array_position("forms", F.get(F.col("forms"), k)) == k + 1)
+    rows = rows.withColumn("new", F.filter("wanted", fresh)).withColumn("queue4", F.concat("queue3", F.transform("new", lambda q: item("query", q, F.lit(None)))).cast(WORK))
+    kinds = rows.withColumn("kinds", F.transform("queue4", lambda w: w.kind)).where(same | (F.size("queue4") > 0))
+    candidate = F.array_contains("kinds", "candidate")
+    if policy.alternate_queues:
+        candidate = candidate & (F.col("turn") | ~F.array_contains("kinds", "query"))
+    at = F.array_position("kinds", F.when(candidate, "candidate").otherwise("query")).cast("int")
+    moved = kinds.withColumn("at", at).withColumn("next", F.get("queue4", F.col("at") - 1))
+    keep = lambda name, new: F.when(same, F.col(name)).otherwise(new).alias(name)
+    return moved.select(
+        "source_id", "text", (F.col("attempt") + 1).alias("attempt"), keep("queue", F.filter("queue4", lambda w, k: k != F.col("at") - 1)), keep("seen", F.concat("seen", F.transform("new", tx.normalise_query))),
+        keep("chased", F.concat("chased", "first")), keep("done", F.col("done2")), keep("work", F.col("next")), same.alias("retry"), keep("turn", F.col("next.kind") == "query"),
+    )
 
 
 def match(sources: DataFrame, targets: DataFrame, search: Callable[[DataFrame, int], DataFrame], models: Models, policy: Policy = Policy()) -> tuple[DataFrame, DataFrame]:

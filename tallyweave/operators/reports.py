@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from . import evaluate
 from .evaluate import f1, ratio
 
@@ -160,31 +161,42 @@ def full_report(results: DataFrame, attempts_: DataFrame, gold: DataFrame, parts
     return metric.unionByName(by(results, "status", "status")).unionByName(by(parts.join(results.select("source_id"), "source_id", "left_semi"), "partition", "part")).unionByName(by(tries, "attempts", "attempts"))
 
 
+#: Sources that are looked at together when gold is taken out.
+PAGE = 1_000
+
+
 def removed_gold(gold: DataFrame, targets: DataFrame, salt: str, wanted: int, most: int) -> tuple[list, DataFrame]:
     """Targets to take out of the catalogue so that ``wanted`` sources have no right answer, ``most`` at most, and the gold left.
 
-    Whole gold sets go, in order of the sources' salted hashes. Only sources that can be chosen come to the driver:
-    a labelled set for building such cases, of as many rows as it takes to find ``wanted``.
+    Whole gold sets go, in order of the sources' salted hashes, ``PAGE`` sources at a time until ``wanted`` are found or no
+    source is left; with a page come the sources that share a target with it.
     """
     here = targets.select(F.col("id").alias("gold_id")).distinct()
     flat = gold.select("source_id", F.explode_outer("gold_ids").alias("gold_id")).join(here.withColumn("here", F.lit(True)), "gold_id", "left").groupBy("source_id").agg(F.sort_array(F.collect_set(F.when(F.col("here"), F.col("gold_id")))).alias("gold_ids"))
-    rows = flat.withColumn("order", F.sha2(F.concat(F.lit(salt), F.col("source_id").cast("string")), 256)).orderBy("order").limit(max(10_000, 20 * most)).collect()
-    labels = {r.source_id: set(r.gold_ids) for r in rows}
-    users: dict = {}
-    for source, ids in labels.items():
-        for i in ids:
-            users.setdefault(i, set()).add(source)
-    empty, gone = sum(not ids for ids in labels.values()), set()
-    for r in rows:
-        if empty >= wanted:
+    work = store.Work(targets.sparkSession, "removed_gold")
+    ordered = work.save(flat.withColumn("order", F.sha2(F.concat(F.lit(salt), F.col("source_id").cast("string")), 256)), "ordered")
+    by_target = work.save(ordered.select("source_id", "gold_ids", F.explode("gold_ids").alias("gold_id")), "by_target")
+    empty, gone, after = ordered.where(F.size("gold_ids") == 0).count(), set(), ""
+    while empty < wanted:
+        page = ordered.where((F.col("order") > after) & (F.size("gold_ids") > 0)).orderBy("order", "source_id").limit(PAGE).collect()
+        if not page:
             break
-        left = labels[r.source_id] - gone
-        if left:
-            hit = {s for i in left for s in users[i]}
-            more = sum(bool(labels[s] - gone) and not labels[s] - gone - left for s in hit)
-            if empty + more <= most:
-                gone |= left
-                empty += more
+        # All sources that share a target with those of the page, as whole gold sets: taking a target may empty these too.
+        mine = targets.sparkSession.createDataFrame([(i,) for i in sorted({i for r in page for i in r.gold_ids})], here.schema)
+        labels = {r.source_id: set(r.gold_ids) for r in by_target.join(F.broadcast(mine), "gold_id", "left_semi").select("source_id", "gold_ids").distinct().collect()}
+        users: dict = {}
+        for source, ids in labels.items():
+            for i in ids:
+                users.setdefault(i, set()).add(source)
+        for r in page:
+            left = set(r.gold_ids) - gone
+            if left and empty < wanted:
+                hit = {s for i in left for s in users[i]}
+                more = sum(bool(labels[s] - gone) and not labels[s] - gone - left for s in hit)
+                if empty + more <= most:
+                    gone |= left
+                    empty += more
+        after = page[-1].order
     kept = F.filter("gold_ids", lambda x: ~x.isin(*gone)) if gone else F.col("gold_ids")
     return sorted(gone), flat.select("source_id", kept.alias("gold_ids"))
 

@@ -360,7 +360,7 @@ def decider_match_rewriting(spark, d):
     """The same with a second pass, by the first half of a text, for what the first one missed."""
     docs, index = base.documents(spark, d), base.text_index(spark, d)
     sources = base.benchmark(spark, d).withColumnRenamed("query_id", "source_id")
-    half = lambda text: F.array(F.array_join(F.slice(F.split(text, " "), 1, 8), " "))
+    half = lambda text: F.array(F.array_join(F.slice(F.split(text, " "), 1, F.greatest(F.lit(1), F.floor(F.size(F.split(text, " ")) / 2).cast("int"))), " "))
     return matcher.decide_sources(sources, docs, index.search, matcher.lexical_decider(half)).drop("properties")
 
 

@@ -201,25 +201,54 @@ def work(kind, value="q", who=None):
     return {"kind": kind, "value": value, "id": who, "attempt": 0}
 
 
-def test_routing_of_leads_and_queries():
+STATE = f"source_id string, text string, attempt int, queue {matcher.WORK}, seen array<string>, chased array<string>, done array<string>, work struct<kind: string, value: string, id: string, attempt: int>, retry boolean, turn boolean"
+OUT = "source_id string, reason string, accepted boolean, chosen_id string, verifier_lead array<string>, leads array<string>, searches array<string>, rewrites array<string>"
+
+
+def test_routing_of_leads_and_queries(spark):
+    def routed(state, out, policy):
+        found = matcher.advanced(spark.createDataFrame([state], STATE), spark.createDataFrame([out | {"source_id": "1"}], OUT), policy).collect()
+        return found[0].asDict(recursive=True) if found else None
+
     state = {"source_id": "1", "text": "t", "attempt": 0, "queue": [work("query", "old")], "seen": ["old", "q"], "chased": [], "done": [], "work": work("query"), "retry": False, "turn": True}
     out = {"reason": None, "accepted": False, "chosen_id": "a", "verifier_lead": ["b"], "leads": ["c", "b"], "searches": ["New  Q", "OLD"], "rewrites": ["never"]}
     policy = matcher.Policy(max_attempts=5)
-    after = matcher.routed(state, out, policy)
+    after = routed(state, out, policy)
     assert after["work"]["id"] == "b" and [(w["kind"], w["id"] or w["value"]) for w in after["queue"]] == [("query", "old"), ("candidate", "c"), ("candidate", "b"), ("query", "New  Q")]
     assert after["seen"] == ["old", "q", "new q"] and after["chased"] == ["b"] and after["attempt"] == 1
-    once = matcher.routed(after, out | {"verifier_lead": ["b"], "searches": []}, matcher.Policy(max_attempts=5, deduplicate_candidates=True))
+    once = routed(after, out | {"verifier_lead": ["b"], "searches": []}, matcher.Policy(max_attempts=5, deduplicate_candidates=True))
     assert sum(w["id"] == "b" for w in once["queue"]) + (once["work"]["id"] == "b") == 1
-    turns = matcher.routed(after | {"turn": False}, out | {"verifier_lead": [], "leads": [], "searches": []}, matcher.Policy(max_attempts=5, alternate_queues=True))
+    turns = routed(after | {"turn": False}, out | {"verifier_lead": [], "leads": [], "searches": []}, matcher.Policy(max_attempts=5, alternate_queues=True))
     assert turns["work"]["kind"] == "query"
     for stop in ({"reason": matcher.FATAL}, {"reason": matcher.OVER}, {"accepted": True}):
-        assert matcher.routed(state, out | stop, policy) is None
-    assert matcher.routed(state | {"attempt": 4}, out, policy) is None
+        assert routed(state, out | stop, policy) is None
+    assert routed(state | {"attempt": 4}, out, policy) is None
     alone = state | {"queue": []}
     last = out | {"verifier_lead": [], "leads": [], "searches": []}
-    assert matcher.routed(alone, last, policy)["work"]["value"] == "never"
-    assert matcher.routed(alone, last | {"rewrites": ["old"]}, policy) is None
-    assert matcher.routed(state, out | {"reason": matcher.PROVIDER}, policy)["retry"] is True
+    assert routed(alone, last, policy)["work"]["value"] == "never"
+    assert routed(alone, last | {"rewrites": ["old"]}, policy) is None
+    assert routed(state, out | {"reason": matcher.PROVIDER}, policy)["retry"] is True
+
+
+def test_match_loop_takes_any_number_of_queries(spark):
+    """None, one, two and ten queries of a source: each votes, none is dropped."""
+    goal = spark.createDataFrame([(f"g{k}", f"word{k} tail") for k in range(12)], "id string, text string")
+    rows = [(0, None, []), (1, "word1 tail", ["word1 tail"]), (2, "word2 tail", ["word9", "word2 tail"]), (3, "word10 tail", [f"word{k}" for k in range(1, 10)] + ["word10 tail", " ", None]), (4, None, None)]
+    asked = spark.createDataFrame(rows, "source_id long, text string, queries array<string>")
+    results, attempts = matcher.match(asked, goal, searching(goal), matcher.lexical_models(), matcher.Policy(max_attempts=1))
+    got = {r.source_id: r for r in results.collect()}
+    assert {k: got[k].matched_id for k in "123"} == {"1": "g1", "2": "g2", "3": "g10"} and set(got) == set("01234")
+    assert got["0"].status == got["4"].status == "unmatched"
+    counts = {r.source_id: r.candidate_count for r in attempts.collect()}
+    assert counts["3"] == 12 and counts["0"] == counts["4"] == 0
+
+
+def test_match_loop_searches_as_deep_as_its_policy(spark):
+    goal = spark.createDataFrame([(f"g{k:02}", "same words") for k in range(40)], "id string, text string")
+    asked = spark.createDataFrame([(1, "same words")], "source_id long, text string")
+    for wanted in (5, 30):
+        attempts = matcher.match(asked, goal, searching(goal), matcher.lexical_models(), matcher.Policy(max_attempts=1, candidates=wanted))[1]
+        assert attempts.first().candidate_count == wanted
 
 
 def test_decider_path_and_its_second_pass(spark):
@@ -452,7 +481,9 @@ def test_blank_texts_are_not_encoded(spark):
     assert got == {1: [0.0], 2: [0.0], 3: [2.0]}
 
 
-def test_removed_gold_makes_as_many_cases_as_asked(spark):
+@pytest.mark.parametrize("page", [1_000, 3])
+def test_removed_gold_makes_as_many_cases_as_asked(spark, monkeypatch, page):
+    monkeypatch.setattr(reports, "PAGE", page)
     rng = np.random.default_rng(5)
     gold = [(i, sorted(set(rng.integers(0, 60, int(rng.integers(0, 4))).tolist()))) for i in range(80)]
     here = spark.createDataFrame([(i,) for i in range(55)], "id long")
