@@ -1,16 +1,26 @@
 """A stored BM25 index: built once, searched often, changed by adding and removing documents.
 
-A folder holds ``documents`` (id, size) and ``postings`` (id, term, tf, size), in parts named by the step that
-wrote them, ``removed`` (id, step), and ``identity``: what an index must agree in before it may be opened. A
-later step hides the rows that earlier ones wrote for the ids it removes, so a change never rewrites, and the
-index answers as if it had been built from what it holds now.
+A folder holds generations; the last one with an identity counts. A generation has ``documents`` (id, size),
+``postings`` (id, term, tf, size), in parts named by the step that wrote them, ``removed`` (id, step), and
+``identity``: what an index must agree in before it may be opened. A later step hides the rows that earlier ones
+wrote for the ids it removes, so a change never rewrites, and the index answers as if it had been built from what
+it holds now. ``vacuum`` writes what is held now as the next generation, of one step.
+
+Postings are range-partitioned and sorted by term and id, in small row groups, with a Bloom filter on the term.
+A search of few terms names them to the scan, which then reads the row groups alone that can hold one of them.
+
+A generation of one step also has ``terms``: the documents of each term, the largest part that one of them has in
+a score, and some of the next ones. From these follows, before any posting is read, a score that k documents of a
+query reach at least. Terms whose largest parts together stay below it bring no new document into the best k, so
+their postings are read for the documents alone that the other terms have found, and of these only for those
+that can still reach it. So a stop word is neither a hot key nor scored for every document.
 """
 
 from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import store
@@ -20,7 +30,13 @@ from ..functions.ids import canonical_hash
 from . import retrieval
 
 #: Part of every identity: another way of reading texts makes another index.
-VERSION = "unicode-words-1"
+VERSION = "unicode-words-2"
+#: Bytes of a row group of postings, and distinct terms of a search up to which they are named to the scan.
+ROW_GROUP_BYTES, NAMED_TERMS = 1 << 20, 64
+#: Places of a term's parts, in falling order, that are kept; a search takes the first that is k or more.
+KEPT_PLACES = (1, 10, 20, 50, 100, 400)
+#: Room for rounding between a bound and a score.
+MARGIN = 1e-6
 ANALYZERS = {"default": tx.tokens, "en_stem": stem.stemmed}
 
 
@@ -42,33 +58,44 @@ def identity_of(analyzer: str = "default", **parts: str) -> dict[str, str]:
 class TextIndex:
     """An index in a folder."""
 
-    def __init__(self, spark: SparkSession, path: str, identity: dict[str, str], step: int) -> None:
-        self.spark, self.path, self.identity, self.step = spark, path, identity, step
+    def __init__(self, spark: SparkSession, path: str, identity: dict[str, str], step: int, generation: int = 0) -> None:
+        self.spark, self.path, self.identity, self.step, self.generation = spark, path, identity, step, generation
         self.words = ANALYZERS[identity.get("analyzer", "default")]
 
+    @property
+    def root(self) -> str:
+        return f"{self.path}/generation{self.generation}"
+
     @classmethod
     def build(cls, docs: DataFrame, path: str, identity: dict[str, str]) -> TextIndex:
         """Writes an index of ``id`` and ``text``; what the folder held before is replaced."""
-        spark = docs.sparkSession
-        files, at = store.file_system(spark, path)
+        files, at = store.file_system(docs.sparkSession, path)
         files.delete(at, True)
-        out = cls(spark, path, identity, -1)
+        out = cls(docs.sparkSession, path, identity, -1)
         out.add(docs)
-        spark.createDataFrame([(json.dumps(identity, sort_keys=True),)], "identity string").coalesce(1).write.mode("overwrite").json(f"{path}/identity")
+        out.seal()
         return out
 
+    def seal(self) -> None:
+        """Writes the terms of the only step, and the identity, which makes the generation count."""
+        self.term_bounds().write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/terms")
+        self.spark.createDataFrame([(json.dumps(self.identity, sort_keys=True),)], "identity string").coalesce(1).write.mode("overwrite").json(f"{self.root}/identity")
+
     @classmethod
     def open(cls, spark: SparkSession, path: str, identity: dict[str, str]) -> TextIndex:
         """The index in a folder; refused before anything is read if its identity is another."""
-        if not store.exists(spark, f"{path}/identity/_SUCCESS"):
+        generations = sorted(int(n.removeprefix("generation")) for n in store.names_in(spark, path) if n.startswith("generation"))
+        generations = [g for g in generations if store.exists(spark, f"{path}/generation{g}/identity/_SUCCESS")]
+        if not generations:
             raise FileNotFoundError(f"no index in {path}")
-        found = json.loads(spark.read.schema("identity string").json(f"{path}/identity").first().identity)
+        out = cls(spark, path, identity, 0, generations[-1])
+        found = json.loads(spark.read.schema("identity string").json(f"{out.root}/identity").first().identity)
         differing = sorted(k for k in found.keys() | identity.keys() if found.get(k) != identity.get(k))
         if differing:
             raise IncompatibleIndex(differing)
-        last = spark.read.parquet(f"{path}/documents").agg(F.max("step")).first()[0]
-        gone = spark.read.parquet(f"{path}/removed").agg(F.max("step")).first()[0]
-        return cls(spark, path, identity, max(x for x in (last, gone, 0) if x is not None))
+        last, gone = (out.rows(name).agg(F.max("step")).first()[0] for name in ("documents", "removed"))
+        out.step = max(x for x in (last, gone, 0) if x is not None)
+        return out
 
     @classmethod
     def opened_or_built(cls, docs: DataFrame, path: str, identity: dict[str, str]) -> TextIndex:
@@ -83,7 +110,7 @@ class TextIndex:
         mark = F.lit(self.step).alias("step")
         self.write(docs.select("id", mark), "removed")
         terms = docs.select("id", self.words(F.coalesce("text", F.lit(""))).alias("terms")).withColumn("size", F.size("terms"))
-        self.write(retrieval.counted(terms).select("*", mark), "postings")
+        self.write_postings(retrieval.counted(terms).select("*", mark))
         self.write(self.rows("postings").where(F.col("step") == self.step).where("term = ''").select("id", "size", "step"), "documents")
 
     def remove(self, ids: DataFrame) -> None:
@@ -91,11 +118,30 @@ class TextIndex:
         self.step += 1
         self.write(ids.select("id", F.lit(self.step).alias("step")), "removed")
 
+    def vacuum(self) -> None:
+        """What is held now becomes the next generation, of one step; it counts once it is whole, then the old one goes."""
+        new = TextIndex(self.spark, self.path, self.identity, 0, self.generation + 1)
+        files, at = store.file_system(self.spark, new.root)
+        files.delete(at, True)  # of an attempt that didn't end
+        step = F.lit(0).alias("step")
+        new.write_postings(self.current("postings").select("id", "term", "size", "tf", step))
+        new.write(self.current("documents").select("id", "size", step), "documents")
+        new.write(self.current("documents").select("id", step), "removed")
+        new.seal()
+        files.delete(store.file_system(self.spark, self.root)[1], True)
+        self.generation, self.step = new.generation, 0
+
     def write(self, df: DataFrame, name: str) -> None:
-        df.write.mode("append").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        df.write.mode("append").option("compression", "zstd").parquet(f"{self.root}/{name}")
+
+    def write_postings(self, rows: DataFrame) -> None:
+        """In ranges of (term, id), so that a frequent term is dealt to several files. Ranges are drawn from a written table."""
+        counted = store.Work(self.spark, "postings").save(rows, "counted")
+        ordered = counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").option("compression", "zstd")
+        ordered.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/postings")
 
     def rows(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return self.spark.read.parquet(f"{self.root}/{name}")
 
     def current(self, name: str) -> DataFrame:
         """Rows that no later step has removed. The first step removes nothing that is there, so its marks are not read."""
@@ -113,13 +159,68 @@ class TextIndex:
         """One row: ``n_docs`` and ``mean_size``."""
         return self.current("documents").agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
 
+    def term_bounds(self) -> DataFrame:
+        """``term``, ``df``, and ``tops``: the parts of a score, less the term's weight, at the ``KEPT_PLACES`` that the term has."""
+        parts = self.postings().crossJoin(F.broadcast(self.stats())).select("term", retrieval.term_part().alias("part"))  # one row
+        # The best of a term are found in groups first: a frequent term is no single task.
+        most = KEPT_PLACES[-1]
+        dealt = parts.withColumn("deal", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(32)))
+        cut = dealt.withColumn("place", F.row_number().over(Window.partitionBy("term", "deal").orderBy(F.desc("part")))).where(F.col("place") <= most)
+        placed = cut.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part")))).where(F.col("place").isin(*KEPT_PLACES))
+        tops = placed.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("place", "part"))).alias("tops"))
+        return parts.groupBy("term").agg(F.count("*").alias("df")).join(tops, "term")
+
+    def named(self, rows: DataFrame, names: list[str] | None) -> DataFrame:
+        """``rows`` of these terms: a filter that the scan knows, so that it passes over row groups without them."""
+        if names is None:
+            return rows
+        one = [F.col("term") == n for n in names] or [F.lit(False)]
+        while len(one) > 1:
+            one = [a | b for a, b in zip(one[::2], one[1::2], strict=False)] + one[len(one) - len(one) % 2 :]
+        return rows.where(one[0])
+
     def search(self, queries: DataFrame, k: int, exclude: DataFrame | None = None) -> DataFrame:
         """The k best documents of each query; ids of ``exclude`` leave after ranking, so they shorten no list."""
-        scores = retrieval.scored(queries, self.postings(), self.stats(), self.words)
-        if exclude is not None:
-            scores = scores.join(exclude.select("id").distinct(), "id", "left_anti")
+        left_out = exclude.select("id").distinct() if exclude is not None else None
+        depth = k + (left_out.count() if left_out is not None else 0)
+        if self.step or depth > KEPT_PLACES[-1]:
+            scores = retrieval.scored(queries, self.postings(), self.stats(), self.words)
+        else:
+            scores = self.best_scores(queries, depth)
+        if left_out is not None:
+            scores = scores.join(left_out, "id", "left_anti")
         return retrieval.top(scores, k).select("query_id", "id", "score", "rank")
 
+    def best_scores(self, queries: DataFrame, k: int) -> DataFrame:
+        """``query_id``, ``id``, ``score`` of documents among which the k best of each query are."""
+        work = store.Work(self.spark, "search")
+        asked = work.save(queries.select("query_id", F.explode(F.array_distinct(self.words(F.col("text")))).alias("term")), "asked")
+        names = [r.term for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+        names = names if len(names) <= NAMED_TERMS else None
+        bounds = self.named(self.rows("terms"), names).join(store.few(asked), "term").crossJoin(F.broadcast(self.stats()))  # one row
+        place = next(p for p in KEPT_PLACES if p >= k)
+        weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        top = lambda p: weight * F.try_element_at("tops", F.lit(p))
+        own = bounds.select("query_id", "term", "mean_size", weight.alias("idf"), top(1).alias("bound"), top(place).alias("reached"))
+        rising = Window.partitionBy("query_id").orderBy("bound", "term")
+        reached = F.coalesce(F.max("reached").over(Window.partitionBy("query_id")), F.lit(0.0)) - MARGIN
+        upto = F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, 0))
+        terms = work.save(own.withColumn("reached", reached).withColumn("upto", upto).withColumn("weak", F.col("upto") < F.col("reached")), "terms")
+        few = store.is_few(terms)
+        hint = F.broadcast if few else lambda df: df
+        postings = self.named(self.rows("postings").where("term <> ''").drop("step"), names)
+        strong = postings.join(hint(terms.where("not weak")), "term").select("query_id", "id", (F.col("idf") * retrieval.term_part()).alias("part"))
+        scores = strong.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        if terms.where("weak").isEmpty():
+            return scores
+        weak = terms.where("weak").groupBy("query_id").agg(F.max("upto").alias("rest"), F.max("reached").alias("reached"))
+        held = scores.join(hint(weak), "query_id", "left").where("rest is null or score + rest >= reached").select("query_id", "id", "score")
+        held = work.save(held, "held")
+        wanted = held.select("query_id", "id").join(hint(terms.where("weak").select("query_id", "term", "idf", "mean_size")), "query_id")
+        theirs = postings.join(hint(terms.where("weak").select("term").distinct()), "term", "left_semi")
+        more = theirs.join(wanted, ["id", "term"]).select("query_id", "id", (F.col("idf") * retrieval.term_part()).alias("score"))
+        return held.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
+
     def digest(self) -> str:
         """A hash of all postings held now: equal for indexes that answer alike, whatever steps led there."""
         row = self.postings().agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id", "term", "tf", "size")).alias("x")).first()

@@ -58,6 +58,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return corpus(docs).agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
 
 
+def term_part() -> Column:
+    """What a term adds to a document's score, less its own weight; of ``tf``, ``size`` and ``mean_size``."""
+    tf = F.col("tf")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+
+
 def scored(queries: DataFrame, index: DataFrame, stats: DataFrame, words: Callable[[Column], Column] = tx.tokens) -> DataFrame:
     """``query_id``, ``id``, ``score`` of every document that shares a term with a query.
 
@@ -70,8 +76,7 @@ def scored(queries: DataFrame, index: DataFrame, stats: DataFrame, words: Callab
     spread = hits.groupBy("term").agg(F.count("*").alias("df"))
     weighed = spread.crossJoin(F.broadcast(stats))  # one row
     idf = weighed.select("term", "mean_size", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.col("mean_size")))
+    part = F.col("idf") * term_part()
     return hits.join(hint(asked.join(idf, "term")), "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 

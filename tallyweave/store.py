@@ -53,6 +53,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; of one that isn't there, none."""
+    files, at = file_system(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(at)] if files.exists(at) else []
+
+
 def content_mark(spark: SparkSession, path: str) -> str:
     """Lengths and times of the files under a path: another mark, another content."""
     files, at = file_system(spark, path)
