@@ -413,3 +413,24 @@ def full_report(spark, d):
     parts = results.select("source_id", ids.partition_of(ids.draw("r", F.col("source_id")), {"fit": 0.5, "test": 0.5}).alias("part"))
     return reports.full_report(results, catalog.attempts(spark, d), base.gold_sets(spark, d), parts)
 
+
+
+@oracle("""
+WITH c AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer),
+changed AS (SELECT id, segment, CASE WHEN balance < 0 THEN 0.0 ELSE balance END AS balance FROM c WHERE NOT (segment = 'BUILDING' AND balance > 5000)),
+grown AS (SELECT * FROM changed UNION ALL SELECT -id, 'NEW', 1.0 FROM c WHERE id <= 100)
+SELECT 'before' AS version, segment, count(*) AS n, round(sum(balance), 2) AS total FROM c GROUP BY segment
+UNION ALL SELECT 'changed', segment, count(*), round(sum(balance), 2) FROM changed GROUP BY segment
+UNION ALL SELECT 'compacted', segment, count(*), round(sum(balance), 2) FROM grown GROUP BY segment
+""")
+def table_versions(spark, d):
+    """A table that changes in place, as three of its versions show it: deltas and marks, then merged buckets."""
+    rows = base.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"))
+    table = delta.DeltaTable(spark, f"{store.Work(spark, 'versions').root}/customers")
+    first = table.create(rows, ["id"], 16)
+    table.change(rows.where("balance < 0").withColumn("balance", F.lit(0.0)), rows.where("segment = 'BUILDING' and balance > 5000"))
+    second = table.version()
+    table.change(rows.where("id <= 100").select((-F.col("id")).alias("id"), F.lit("NEW").alias("segment"), F.lit(1.0).alias("balance")))
+    table.compact(1)
+    every = [table.read(v).withColumn("version", F.lit(n)) for n, v in (("before", first), ("changed", second), ("compacted", None))]
+    return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("version", "segment").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("total"))

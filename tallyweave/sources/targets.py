@@ -1,13 +1,12 @@
-"""A catalogue of targets as a table: kept by collection, changed by what differs, read by id.
+"""A catalogue of targets as tables that change in place: kept by collection, changed by what differs, read by id.
 
-A folder holds ``terms`` (collection, id, digest, fields as given) and ``vectors`` (collection, id, ord, kind, text,
-vector), both in a folder for each collection. A change writes a collection's new rows beside the old ones and then
-names them current, so a reader sees one state or the other.
+A folder holds ``terms`` (id, digest, fields as given) and ``vectors`` (id, ord, kind, text, vector), a table of each for
+each collection. A load writes the records that are new or differ, into the buckets of their ids, and marks for those
+that go; a reader sees one version or the next.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +16,7 @@ from pyspark.sql import types as T
 from .. import store
 from ..functions import text as tx
 from ..operators import ledger
+from .delta import DeltaTable
 
 
 def digest_of(columns: list[str]) -> Column:
@@ -24,6 +24,10 @@ def digest_of(columns: list[str]) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(columns)))), 256), 1, 16)
 
 
+#: Commits of a bucket from which on a load merges it.
+DELTAS = 8
+
+
 class Targets:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
@@ -31,23 +35,11 @@ class Targets:
     def folder(self, table: str, collection: str) -> str:
         return f"{self.path}/{table}/{collection}"
 
-    def current(self, table: str, collection: str) -> str | None:
-        """The folder of the rows that count."""
-        at = f"{self.folder(table, collection)}/current"
-        return self.spark.read.text(at).first()[0] if store.exists(self.spark, f"{at}/_SUCCESS") else None
-
-    def put(self, table: str, collection: str, rows: DataFrame) -> None:
-        home, before = self.folder(table, collection), self.current(table, collection)
-        new = f"{home}/{uuid.uuid4().hex[:12]}"
-        rows.write.option("compression", "zstd").parquet(new)
-        self.spark.createDataFrame([(new,)], "value string").coalesce(1).write.mode("overwrite").text(f"{home}/current")
-        if before:
-            files, at = store.file_system(self.spark, before)
-            files.delete(at, True)
+    def table(self, table: str, collection: str) -> DeltaTable:
+        return DeltaTable(self.spark, self.folder(table, collection))
 
     def read(self, table: str, collection: str) -> DataFrame | None:
-        now = self.current(table, collection)
-        return self.spark.read.parquet(now) if now else None
+        return self.table(table, collection).read()
 
     def terms(self, collection: str) -> DataFrame:
         rows = self.read("terms", collection)
@@ -63,22 +55,30 @@ class Targets:
         bad = records.groupBy("id").count().where("count > 1").orderBy("id").limit(5).collect()
         if bad:
             raise ValueError(f"repeated ids: {[r.id for r in bad]}")
-        new = records.withColumn("digest", digest_of([c for c in records.columns if c != "id"]))
-        old = self.read("terms", collection)
-        if old is None:
-            self.put("terms", collection, new)
+        new, terms = records.withColumn("digest", digest_of([c for c in records.columns if c != "id"])), self.table("terms", collection)
+        before = terms.version()
+        if before is None:
+            terms.create(new, ["id"])
             return new.agg(F.lit("insert").alias("action"), F.count("*").alias("n"))
-        done = ledger.upsert(old.select("id", "digest"), new.select("id", "digest"))
+        old = terms.read(before)
+        held = old.select("id", "digest") if old is not None else new.select("id", "digest").limit(0)
+        done = ledger.upsert(held, new.select("id", "digest"))
         if not prune:
             done = done.withColumn("action", F.when(F.col("action") == "prune", "keep").otherwise(F.col("action")))
+        done = store.Work(self.spark, "load").save(done, "actions")
         counts = done.groupBy("action").agg(F.count("*").alias("n")).collect()  # a row for each of four actions
         if any(r.action != "keep" for r in counts):
-            stays = old if not prune else old.join(new.select("id"), "id", "left_semi")
-            self.put("terms", collection, stays.join(new.select("id"), "id", "left_anti").unionByName(new, allowMissingColumns=True))
+            puts = new.join(done.where("action in ('insert', 'update')").select("id"), "id", "left_semi")
+            terms.change(puts, done.where("action = 'prune'").select("id"), before)
+            terms.compact(DELTAS)
         return self.spark.createDataFrame([(r.action, r.n) for r in counts], "action string, n long")
 
     def get(self, collection: str, record_id: str) -> dict:
-        row = self.terms(collection).where(F.col("id") == record_id).first()
+        if self.table("terms", collection).version() is None:
+            raise KeyError(collection)
+        kind = self.terms(collection).schema["id"]
+        found = self.table("terms", collection).lookup(self.spark.createDataFrame([(record_id,)], T.StructType([kind])))
+        row = found.first() if found is not None else None
         if row is None:
             raise KeyError(record_id)
         return row.asDict(recursive=True)
@@ -95,24 +95,26 @@ class Targets:
     def add_vectors(self, collection: str, rows: DataFrame, dimensions: int) -> None:
         """Takes vectors in, in place of those of the same id and ord; another number of dimensions is refused."""
         right = F.when(F.size("vector") == dimensions, tx.half(F.col("vector"))).otherwise(F.raise_error(F.lit(f"a vector hasn't {dimensions} dimensions")).cast(T.ArrayType(T.DoubleType())))
-        new, held = rows.withColumn("vector", right.cast("array<float>")), self.read("vectors", collection)
-        self.put("vectors", collection, new if held is None else held.join(new.select("id", "ord"), ["id", "ord"], "left_anti").unionByName(new))
+        new, vectors = rows.withColumn("vector", right.cast("array<float>")), self.table("vectors", collection)
+        before = vectors.version()
+        if before is None:
+            vectors.create(new, ["id", "ord"])
+        else:
+            vectors.change(new, after=before)
+            vectors.compact(DELTAS)
 
     def drop(self, collection: str) -> None:
         for table in ("terms", "vectors"):
-            files, at = store.file_system(self.spark, self.folder(table, collection))
-            files.delete(at, True)
+            store.delete(self.spark, self.folder(table, collection))
 
     def sizes(self) -> list[tuple[str, str, int, int]]:
         """(table, collection, rows, bytes) of all that is held."""
         out = []
         for table in ("terms", "vectors"):
-            files, at = store.file_system(self.spark, f"{self.path}/{table}")
-            for status in files.listStatus(at) if files.exists(at) else ():
-                name = status.getPath().getName()
-                now = self.current(table, name)
-                if now:
-                    out.append((table, name, self.spark.read.parquet(now).count(), files.getContentSummary(store.file_system(self.spark, now)[1]).getLength()))
+            for name in store.names_in(self.spark, f"{self.path}/{table}"):
+                rows = self.read(table, name)
+                if rows is not None:
+                    out.append((table, name, rows.count(), self.table(table, name).size()))
         return out
 
 

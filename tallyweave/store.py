@@ -7,6 +7,7 @@ import contextlib
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,42 @@ def names_in(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(at)] if files.exists(at) else []
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as a text."""
+    files, at = file_system(spark, path)
+    stream = files.open(at)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def create_text(spark: SparkSession, path: str, body: str) -> bool:
+    """Writes a small file where none is of that name; whether it did."""
+    files, at = file_system(spark, path)
+    try:
+        stream = files.create(at, False)
+    except Py4JJavaError:
+        if files.exists(at):
+            return False
+        raise
+    try:
+        stream.write(bytearray(body.encode()))
+    finally:
+        stream.close()
+    return True
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = file_system(spark, path)
+    files.delete(at, True)
+
+
+def bytes_in(spark: SparkSession, path: str) -> int:
+    files, at = file_system(spark, path)
+    return files.getContentSummary(at).getLength()
+
+
 def content_mark(spark: SparkSession, path: str) -> str:
     """Lengths and times of the files under a path: another mark, another content."""
     files, at = file_system(spark, path)
