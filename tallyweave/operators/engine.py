@@ -1,35 +1,38 @@
-"""Clustering of one collection by a judge: a stream of decisions, then refinement.
-
-Each item in turn is shown clusters that a growing BM25 index finds for it; it joins one that a judge selects
-and a second judgement confirms, starts one of its own if it is judged new, or stays open. Refinement retries
-open items, merges clusters that are judged the same, and moves members that another cluster fits better, until
-the state comes back or the iterations run out. Every decision depends on those before it, so one run is one
-sequential task: a collection is cut into blocks, and each is a run of its own, in ``cluster_blocks``.
-
-A run gives one table of rows: what each iteration's state holds (members, clusters), merges that were tried,
-decisions, and the end. Judges are functions of texts; the one here goes by shared words and needs no network.
+"""Clustering of one collection by a judge, in rounds of joins.
+
+The pool is a stored BM25 index of all items' texts, whose terms carry the block, so items of different blocks never
+meet. It gives each item its nearest others once; what a judge says of two texts is a column. Equal texts are one
+item, told by their normalised form; their copies follow it.
+
+Items are decided in rounds. In each, an open item looks at the clusters of its decided neighbours, at most
+``shown_limit`` of them by their nearest member, and the judge compares it with some members of each. It joins the
+cluster it is most like, if its least like member there agrees. One that fits nowhere starts a cluster once no open
+neighbour that isn't surely different comes before it; the order is that of hashed ids, so of many like items some are first
+everywhere and few rounds are needed, however the input is sorted. One that is unsure stays open.
+
+Refinement tries open items again, merges pairs of clusters that are each other's best partner, and moves members that
+another cluster fits better, all from the state as it was before. Blocks end by themselves: when a state comes back, or
+the iterations run out. Each round is one plan over all blocks and is written before the next one, so a run goes on
+from the last written round where an executor is lost. Nothing of a cluster but a few members is gathered in one row.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as tx
-from ..functions.ids import canonical_hash
+from .cluster import mint_id
+from .index import TextIndex, identity_of
 
-WORD = re.compile(r"\w+")
-#: Outcomes, and how far a search reached that may start a cluster, the strongest first.
+#: Outcomes of an item.
 SEED, ASSIGNED, DEFERRED, FAILED = "seed", "assigned", "deferred", "failed"
 ACCEPTED, OPEN = (SEED, ASSIGNED), (DEFERRED, FAILED)
-STRENGTH = {"empty_pool": 3, "pool_exhausted": 3, "retrieval_exhausted": 2, "bounded": 1}
+STATE = ("block", "id", "priority", "outcome", "cluster", "reason", "proposal", "sure", "since")
 
 
 @dataclass(frozen=True)
@@ -38,13 +41,8 @@ class Settings:
 
     retrieve_limit: int = 20
     shown_limit: int = 8
-    expand_limit: int = 80
-    max_expansion_pages: int = 2
-    scan_below: int = 40
     member_evidence: int = 5
     evidence_chars: int = 200
-    mint_requires: str = "bounded"
-    verify_assignments: bool = True
     assign_accept_at: float = 0.7
     assign_review_floor: float = 0.5
     novelty_accept_at: float = 0.7
@@ -57,417 +55,282 @@ class Settings:
     order: str = "label"
 
     def __post_init__(self) -> None:
-        if not (self.retrieve_limit >= 1 and self.shown_limit >= 1 and self.member_evidence >= 1 and self.expand_limit >= self.retrieve_limit):
-            raise ValueError("limits must be 1 at least, and expand_limit no smaller than retrieve_limit")
-        if self.mint_requires not in STRENGTH or self.mint_requires == "empty_pool":
-            raise ValueError("mint_requires must be pool_exhausted, retrieval_exhausted or bounded")
+        if min(self.retrieve_limit, self.shown_limit, self.member_evidence) < 1:
+            raise ValueError("limits must be 1 at least")
         if self.assign_review_floor > self.assign_accept_at or self.merge_review_floor > self.merge_accept_at:
             raise ValueError("a review floor must not exceed its accept level")
 
 
-@dataclass(frozen=True)
-class Verdict:
-    """What a judge said: an answer (null: none of those shown), how sure it is, or why there is none."""
-
-    answer: object = None
-    sure: float | None = None
-    error: str | None = None
-
-
-Lines = list[str]
-
-
 @dataclass(frozen=True)
 class Judge:
-    """Five judgements over the lines that stand for items and clusters."""
-
-    select: Callable[[Lines, list[Lines]], Verdict]  # which of the clusters shown, by place
-    verify: Callable[[Lines, Lines], Verdict]  # whether it belongs there
-    novel: Callable[[Lines, list[Lines]], Verdict]  # whether it is none of these
-    same: Callable[[Lines, Lines], Verdict]  # whether two clusters are one
-    prefers: Callable[[Lines, Lines, Lines], Verdict]  # whether it fits the third better than the second
+    """``alike``: how alike two texts are, 0 to 1, as a column of both; null where there is no answer.
 
+    From ``same_at`` on they are the same, surer the farther from it; another cluster must fit better by ``gain``.
+    """
 
-def lexical_judge(same_at: float = 0.6, margin: float = 0.2, gain: float = 0.1) -> Judge:
-    """Goes by the Jaccard overlap of words; sure by its distance from ``same_at``."""
-    sets: dict[str, frozenset] = {}
-
-    def words(line: str) -> frozenset:
-        if line not in sets:
-            sets[line] = frozenset(re.findall("[a-z0-9]+", line.lower()))
-        return sets[line]
-
-    def pairs(a: Lines, b: Lines) -> list[float]:
-        return [len(x & y) / len(x | y) if x and y else 0.0 for x in map(words, a) for y in map(words, b)] or [0.0]
-
-    mean = lambda a, b: sum(p := pairs(a, b)) / len(p)
-    sure = lambda score: round(0.5 + 0.5 * min(1.0, abs(score - same_at) / margin), 3)
-
-    def select(own: Lines, shown: list[Lines]) -> Verdict:
-        scores = [mean(own, s) for s in shown]
-        best = max(scores, default=0.0)
-        return Verdict(scores.index(best) if scores and best >= same_at else None, sure(best))
-
-    def weakest(a: Lines, b: Lines) -> Verdict:
-        score = min(pairs(a, b))
-        return Verdict(score >= same_at, sure(score))
-
-    def novel(own: Lines, shown: list[Lines]) -> Verdict:
-        best = max((mean(own, s) for s in shown), default=0.0)
-        return Verdict(best < same_at, sure(best))
-
-    return Judge(select, weakest, novel, weakest, lambda own, now, other: Verdict(mean(own, other) > mean(own, now) + gain, 0.8))
-
-
-class Pool:
-    """BM25 over the texts of live clusters, changed one cluster at a time."""
-
-    def __init__(self) -> None:
-        self.terms: dict[str, Counter] = {}
-        self.holders: dict[str, set[str]] = {}
-        self.length = 0
-
-    def put(self, name: str, text: str | None) -> None:
-        """Sets a cluster's text; null takes the cluster out."""
-        for term in (old := self.terms.pop(name, Counter())):
-            self.holders[term].discard(name)
-        self.length -= old.total()
-        if text is not None:
-            self.terms[name] = new = Counter(WORD.findall(text.casefold()))
-            self.length += new.total()
-            for term in new:
-                self.holders.setdefault(term, set()).add(name)
-
-    def search(self, text: str, limit: int, without: Iterable[str] = ()) -> list[str]:
-        """The best clusters in order. Those left out are ranked too, so they shorten no list."""
-        out, n = set(without), len(self.terms)
-        mean = self.length / n if self.length else 1.0
-        scores: dict[str, float] = {}
-        for term in dict.fromkeys(WORD.findall(text.casefold())):
-            holding = self.holders.get(term, ())
-            weight = math.log(1 + (n - len(holding) + 0.5) / (len(holding) + 0.5))
-            for name in holding:
-                tf = self.terms[name][term]
-                scores[name] = scores.get(name, 0.0) + weight * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * self.terms[name].total() / mean))
-        ranked = sorted(scores, key=lambda c: (-scores[c], c))
-        return [c for c in ranked[: limit + len(out & self.terms.keys())] if c not in out][:limit]
-
-
-@dataclass
-class Group:
-    name: str
-    seed: str
-    born: int
-    members: list[str]
-    origin: str
-    revision: int = 0
-    into: str | None = None
+    alike: Callable[[Column, Column], Column]
+    same_at: float = 0.6
+    margin: float = 0.2
+    gain: float = 0.1
 
+    def sure(self, score: Column) -> Column:
+        return F.round(0.5 + 0.5 * F.least(F.lit(1.0), F.abs(score - self.same_at) / self.margin), 3)
 
-@dataclass(frozen=True)
-class Place:
-    """Where an item stands, and why."""
 
-    outcome: str
-    cluster: str | None = None
-    reason: str = ""
-    proposal: str | None = None
-    sure: float | None = None
+def lexical_judge(same_at: float = 0.6, margin: float = 0.2, gain: float = 0.1) -> Judge:
+    """Goes by the Jaccard overlap of words."""
+    words = lambda c: F.array_distinct(F.filter(F.split(tx.match_key(c), " "), lambda x: x != ""))
+    return Judge(lambda a, b: tx.jaccard(words(a), words(b)), same_at, margin, gain)
 
 
-@dataclass
 class Run:
-    """One collection's clustering. ``items`` are (id, text) in the order in which they are decided."""
-
-    items: list[tuple[str, str]]
-    judge: Judge
-    settings: Settings = field(default_factory=Settings)
-    name: str = "run"
-
-    def __post_init__(self) -> None:
-        if len(dict(self.items)) != len(self.items):
-            raise ValueError("an item's id occurs twice")
-        self.texts, self.pool = dict(self.items), Pool()
-        clip = lambda t: t if len(t) <= self.settings.evidence_chars else t[: self.settings.evidence_chars - 3].rstrip() + "..."
-        self.lines = {i: clip(" ".join(t.split())) for i, t in self.items}
-        self.groups: dict[str, Group] = {}
-        self.places: dict[str, Place] = {}
-        self.states: list[dict] = []
-        self.rows: list[dict] = []
-        self.phase, self.iteration, self.frozen = "stream", 0, set()
-        self.stop: str | None = None
-
-    # What is there.
-    def live(self) -> list[Group]:
-        return sorted((g for g in self.groups.values() if g.members), key=lambda g: g.born)
-
-    def shown(self, members: list[str], but: str | None = None) -> Lines:
-        return [self.lines[m] for m in members if m != but][: self.settings.member_evidence]
-
-    # What changes it.
-    def note(self, kind: str, item: str, **more) -> None:
-        self.rows.append({"kind": kind, "phase": self.phase, "iteration": self.iteration, "item": item, **more})
-
-    def revised(self, group: Group) -> None:
-        group.revision += 1
-        self.pool.put(group.name, "\n".join(self.texts[m] for m in group.members) if group.members else None)
-
-    def place(self, item: str, outcome: str, reason: str, cluster: str | None = None, proposal: str | None = None, sure: float | None = None) -> None:
-        self.places[item] = Place(outcome, cluster, reason, proposal, sure)
-
-    def join(self, item: str, group: Group, reason: str, sure: float | None) -> None:
-        group.members.append(item)
-        self.revised(group)
-        self.place(item, ASSIGNED, reason, group.name, sure=sure)
-
-    def mint(self, item: str, origin: str) -> None:
-        """A new cluster; its name tells run and seed, and how many the seed has started before."""
-        nth = 0
-        while (name := "K" + canonical_hash(["cluster", self.name, item, *([nth] if nth else [])])) in self.groups:
-            nth += 1
-        self.groups[name] = group = Group(name, item, len(self.groups), [item], origin)
-        self.revised(group)
-        self.place(item, SEED, f"minted:{origin}", name)
-
-    # The stream, and what was left open.
-    def pages(self, item: str):
-        """(clusters to show, all that were retrieved, how deep, page) until the pages or the clusters run out."""
-        s, seen, depth = self.settings, set(), self.settings.retrieve_limit
-        for page in range(s.max_expansion_pages + 1):
-            hits = self.pool.search(self.texts[item], depth)
-            some = [c for c in hits if c not in seen][: s.shown_limit]
-            live = self.live()
-            if page and len(live) <= s.scan_below:  # few clusters: what search leaves out is shown too
-                some += [g.name for g in live if g.name not in seen and g.name not in some][: s.shown_limit - len(some)]
-            yield some, hits, depth, page
-            seen.update(some)
-            depth = min(2 * depth, s.expand_limit)
-
-    def decide(self, item: str) -> None:
-        if not self.live():
-            self.mint(item, "empty_pool")
-            return
-        own, seen, first, hits, depth = [self.lines[item]], [], [], [], 0
-        for some, hits, depth, page in self.pages(item):
-            if not some and page:
-                break
-            if not some:
-                continue
-            verdict = self.judge.select(own, [self.shown(self.groups[c].members) for c in some])
-            chosen = None if verdict.answer is None else some[verdict.answer]
-            self.note("select", item, cluster=chosen, sure=verdict.sure, detail=f"page {page}, depth {depth}", shown=some)
-            seen += some
-            first = first if page else some
-            if verdict.error:
-                self.place(item, FAILED, verdict.error)
-                return
-            if chosen:
-                self.confirm(item, own, self.groups[chosen], verdict.sure)
-                return
-        if {g.name for g in self.live()} <= set(seen):
-            origin = "pool_exhausted"
-        else:
-            origin = "retrieval_exhausted" if len(hits) < depth and set(hits) <= set(seen) else "bounded"
-        if STRENGTH[origin] < STRENGTH[self.settings.mint_requires]:
-            self.place(item, DEFERRED, f"expansion_incomplete:{origin}")
-            return
-        nearest = (first or seen)[: self.settings.shown_limit]
-        verdict = self.judge.novel(own, [self.shown(self.groups[c].members) for c in nearest])
-        self.note("novelty", item, sure=verdict.sure, detail=origin, shown=nearest)
-        if verdict.error or verdict.answer is None:
-            self.place(item, FAILED, verdict.error or "invalid_output", sure=verdict.sure)
-        elif verdict.answer and (verdict.sure or 0) >= self.settings.novelty_accept_at:
-            self.mint(item, origin)
-        else:
-            self.place(item, DEFERRED, "novelty_below_threshold" if verdict.answer else "novelty_rejected", proposal=next(iter(nearest), None), sure=verdict.sure)
-
-    def confirm(self, item: str, own: Lines, group: Group, chosen_sure: float | None) -> None:
-        s = self.settings
-        if not s.verify_assignments:
-            if (chosen_sure if chosen_sure is not None else -1) >= s.assign_accept_at:
-                self.join(item, group, "selected", chosen_sure)
-            else:
-                self.place(item, DEFERRED, "below_accept_threshold", proposal=group.name, sure=chosen_sure)
-            return
-        verdict = self.judge.verify(own, self.shown(group.members))
-        self.note("verify", item, cluster=group.name, sure=verdict.sure, detail=str(verdict.answer))
-        sure = verdict.sure if verdict.sure is not None else -1
-        if verdict.error or verdict.answer is None:
-            self.place(item, FAILED, verdict.error or "invalid_output", proposal=group.name, sure=verdict.sure)
-        elif verdict.answer and sure >= s.assign_accept_at:
-            self.join(item, group, "verified", verdict.sure)
-        else:
-            reason = "verifier_rejected" if not verdict.answer else "below_accept_threshold" if sure >= s.assign_review_floor else "below_review_floor"
-            self.place(item, DEFERRED, reason, proposal=group.name, sure=verdict.sure)
-
-    # Refinement.
-    def consolidate(self, name: str) -> None:
-        s, group = self.settings, self.groups[name]
-        if not group.members or name in self.frozen:
-            return
-        near = self.pool.search("\n".join(self.texts[m] for m in group.members), s.retrieve_limit, {name} | self.frozen)[: s.shown_limit]
-        if not near:
-            return
-        own = self.shown(group.members)
-        chosen = self.judge.select(own, [self.shown(self.groups[c].members) for c in near])
-        if chosen.answer is None or chosen.error:
-            return
-        other = self.groups[near[chosen.answer]]
-        verdict = self.judge.same(own, self.shown(other.members))
-        sure = verdict.sure if verdict.sure is not None else -1
-        if verdict.error or verdict.answer is None:
-            outcome = "error"
-        elif not verdict.answer or sure < s.merge_review_floor:
-            outcome = "rejected"
-        else:
-            outcome = "applied" if sure >= s.merge_accept_at else "review"
-        kept = self.merged(group, other, verdict.sure) if outcome == "applied" else None
-        self.note("merge", group.name, cluster=other.name, sure=verdict.sure, detail=outcome, other=kept)
-
-    def merged(self, a: Group, b: Group, sure: float | None) -> str:
-        """The larger cluster, of equals the older, takes the other's members in; neither merges again in this iteration."""
-        kept, gone = sorted((a, b), key=lambda g: (-len(g.members), g.born))
-        moved, gone.members, gone.into = gone.members, [], kept.name
-        kept.members += moved
-        self.revised(kept)
-        self.revised(gone)
-        for item in moved:
-            self.place(item, ASSIGNED, "merged", kept.name, sure=sure)
-        self.frozen |= {kept.name, gone.name}
-        return kept.name
-
-    def reassign(self, item: str) -> None:
-        """A member of a cluster of two or more may move to another that is shown beside its own, or lose its place."""
-        s, now = self.settings, self.places[item]
-        home = self.groups.get(now.cluster or "")
-        if now.outcome not in ACCEPTED or home is None or len(home.members) < 2:
-            return
-        near = self.pool.search(self.texts[item], s.retrieve_limit)[: s.shown_limit]
-        if home.name not in near:
-            near = [*near[: s.shown_limit - 1], home.name]
-        if near == [home.name]:
-            return
-        own, stays = [self.lines[item]], self.shown(home.members, item)
-        verdict = self.judge.select(own, [self.shown(self.groups[c].members, item if c == home.name else None) for c in near])
-        chosen = None if verdict.answer is None else near[verdict.answer]
-        if verdict.error or chosen == home.name:
-            return
-        if chosen:
-            second = self.judge.prefers(own, stays, self.shown(self.groups[chosen].members))
-            self.note("compare", item, cluster=chosen, other=home.name, sure=second.sure, detail=str(second.answer))
-            if second.answer and (second.sure or 0) >= s.comparative_accept_at:
-                home.members.remove(item)
-                self.revised(home)
-                self.join(item, self.groups[chosen], "reassigned", second.sure)
-            return
-        second = self.judge.verify(own, stays)
-        self.note("reverify", item, cluster=home.name, sure=second.sure, detail=str(second.answer))
-        if second.error or second.answer is None or (second.answer and (second.sure or 0) >= s.assign_accept_at):
-            return
-        home.members.remove(item)
-        self.revised(home)
-        self.place(item, DEFERRED, "reverify_failed", proposal=home.name, sure=second.sure)
-
-    # Iterations.
-    def end(self) -> None:
-        digest = canonical_hash({"members": sorted([i, p.outcome, p.cluster or ""] for i, p in self.places.items()), "clusters": sorted(g.name for g in self.live())})
-        before = [s["digest"] for s in self.states]
-        unresolved = sum(p.outcome in OPEN for p in self.places.values())
-        self.states.append({"digest": digest, "unresolved": unresolved, "places": dict(self.places), "groups": {g.name: replace(g, members=list(g.members)) for g in self.groups.values()}})
-        if self.iteration and before and before[-1] == digest:
-            self.stop = "converged"
-        elif self.iteration and digest in before:
-            self.stop = "oscillation"
-        elif self.iteration >= self.settings.max_refine_iterations:
-            self.stop = "max_iterations"
-
-    def run(self) -> Run:
-        for item, _ in self.items:
-            self.decide(item)
-        self.end()
-        while self.stop is None:
-            self.iteration += 1
-            self.phase = "retry"
-            for item in [i for i, _ in self.items if self.places[i].outcome in OPEN]:
-                self.decide(item)
+    """The tables of one run: items, their texts as shown, their neighbours, and the states."""
+
+    def __init__(self, items: DataFrame, judge: Judge, settings: Settings, name: str) -> None:
+        self.work, self.judge, self.settings, self.name = store.Work(items.sparkSession, "engine"), judge, settings, name
+        self.number = 0
+        self.items = self.work.save(placed(items), "items")
+        repeated = self.items.groupBy("id").count().where("count > 1").limit(3).collect()
+        if repeated:
+            raise ValueError(f"repeated ids: {[r.id for r in repeated]}")
+        one = F.min(F.struct("priority", "id"))
+        heads = self.items.groupBy("block", "form").agg(one.alias("head")).select("block", "form", F.col("head.id").alias("head"))
+        self.copies = self.work.save(self.items.join(heads, ["block", "form"]).select("block", "id", "head"), "copies")
+        self.lines = self.work.save(self.items.join(self.copies.where("id = head").select("id"), "id", "left_semi").select("block", "id", "priority", clipped(F.col("label"), settings.evidence_chars).alias("line")), "lines")
+        self.pairs = self.work.save(self.neighbours(), "pairs")
+
+    def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.number += 1
+        return self.work.save(df, f"{name}{self.number}")
+
+    def neighbours(self) -> DataFrame:
+        """``id``, ``other``, ``rank``, ``score`` of the nearest texts of each, in both directions."""
+        mark = F.lower(F.hex(F.xxhash64("block")))
+        text = F.array_join(F.transform(tx.tokens(F.col("line")), lambda t: F.concat(mark, F.lit("_"), t)), " ")
+        tagged = self.lines.select("id", text.alias("text"))
+        index = TextIndex.build(tagged, f"{self.work.root}/pool", identity_of(pool=self.name))
+        near = index.search(tagged.withColumnRenamed("id", "query_id"), self.settings.retrieve_limit + 1).where("query_id <> id").select(F.col("query_id").alias("id"), F.col("id").alias("other"), "rank")
+        both = near.unionByName(near.select(F.col("other").alias("id"), F.col("id").alias("other"), "rank")).groupBy("id", "other").agg(F.min("rank").alias("rank"))
+        own, theirs = self.lines.select("id", "priority", F.col("line").alias("a")), self.lines.select(F.col("id").alias("other"), F.col("priority").alias("before"), F.col("line").alias("b"))
+        judged = both.join(own, "id").join(theirs, "other")
+        return judged.select("id", "other", "rank", self.judge.alike(F.col("a"), F.col("b")).alias("score"), (F.col("before") < F.col("priority")).alias("earlier"))
+
+    def unsettled(self) -> Column:
+        """Whether two texts are not surely different: the later one waits for the earlier."""
+        score = F.col("score")
+        return F.coalesce((score >= self.judge.same_at) | (self.judge.sure(score) < self.settings.novelty_accept_at), F.lit(True))
+
+    def evidence(self, state: DataFrame) -> DataFrame:
+        """``cluster``, ``member``, ``b`` (its text) of the first members of each cluster."""
+        order = Window.partitionBy("cluster").orderBy("since", "priority", "id")
+        first = state.where(F.col("outcome").isin(*ACCEPTED)).withColumn("n", F.row_number().over(order)).where(F.col("n") <= self.settings.member_evidence)
+        return first.select("cluster", F.col("id").alias("member")).join(self.lines.select(F.col("id").alias("member"), F.col("line").alias("b")), "member")
+
+    def shown(self, asking: DataFrame, state: DataFrame) -> DataFrame:
+        """``id``, ``cluster``, ``rank``: the clusters of an item's accepted neighbours, the nearest first."""
+        held = state.where(F.col("outcome").isin(*ACCEPTED)).select(F.col("id").alias("other"), "cluster")
+        near = self.pairs.join(asking.select("id"), "id", "left_semi").join(held, "other").groupBy("id", "cluster").agg(F.min("rank").alias("rank"))
+        return near.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("rank", "cluster"))).where(F.col("n") <= self.settings.shown_limit).drop("n")
+
+    def compared(self, shown: DataFrame, evidence: DataFrame) -> DataFrame:
+        """``shown`` with ``mean`` and ``least`` of what the judge says of the item and the cluster's other members, the ``share`` that agrees, and ``unclear``."""
+        rows = shown.join(evidence, "cluster").where("member <> id").join(self.lines.select("id", F.col("line").alias("a")), "id")
+        said = rows.select(*shown.columns, self.judge.alike(F.col("a"), F.col("b")).alias("score"))
+        return said.groupBy(*shown.columns).agg(F.avg("score").alias("mean"), F.min("score").alias("least"), F.count_if(F.col("score").isNull()).alias("unclear"), F.avg((F.col("score") >= self.judge.same_at).cast("double")).alias("share"))
+
+    def verdicts(self, asking: DataFrame, state: DataFrame) -> DataFrame:
+        """``id``, ``to_outcome``, ``to_cluster``, ``to_reason``, ``to_proposal``, ``to_sure`` of each asking item; a new cluster has no name yet."""
+        s, judge = self.settings, self.judge
+        found = self.compared(self.shown(asking, state), self.evidence(state))
+        best = found.groupBy("id").agg(F.max(F.struct("mean", (-F.col("rank")).alias("near"), "cluster", "least")).alias("best"), F.sum("unclear").alias("unclear"))
+        rows = asking.select("id").join(best, "id", "left")
+        mean, least = F.coalesce("best.mean", F.lit(0.0)), F.col("best.least")
+        fits, agrees = mean >= judge.same_at, least >= judge.same_at
+        outcome = (
+            F.when(F.col("unclear") > 0, FAILED).when(fits & agrees & (judge.sure(least) >= s.assign_accept_at), ASSIGNED).when(fits, DEFERRED)
+            .when(judge.sure(mean) >= s.novelty_accept_at, SEED).otherwise(DEFERRED)
+        )
+        rows = rows.withColumn("to_outcome", outcome)
+        reason = (
+            F.when(F.col("to_outcome") == FAILED, "invalid_output").when(F.col("to_outcome") == ASSIGNED, "verified").when(F.col("to_outcome") == SEED, "minted:neighbours_exhausted")
+            .when(~fits, "novelty_below_threshold").when(~agrees, "verifier_rejected").when(judge.sure(least) >= s.assign_review_floor, "below_accept_threshold").otherwise("below_review_floor")
+        )
+        return rows.select("id", "to_outcome", F.when(F.col("to_outcome") == ASSIGNED, F.col("best.cluster")).alias("to_cluster"), reason.alias("to_reason"), F.when(F.col("to_outcome") == DEFERRED, F.col("best.cluster")).alias("to_proposal"), F.when(fits, judge.sure(least)).otherwise(judge.sure(mean)).alias("to_sure"))
+
+    def taken(self, state: DataFrame, verdicts: DataFrame, since: int) -> DataFrame:
+        """The state with these verdicts; new clusters are named by their seed."""
+        both = state.join(verdicts, "id", "left")
+        new = F.col("to_outcome").isNotNull()
+        cluster = F.when(F.col("to_outcome") == SEED, mint_id(self.name, F.concat_ws("#", "id", F.lit(str(since))))).otherwise(F.col("to_cluster"))
+        pick = lambda name, value: F.when(new, value).otherwise(F.col(name)).alias(name)
+        return both.select("block", "id", "priority", pick("outcome", F.col("to_outcome")), pick("cluster", cluster), pick("reason", F.col("to_reason")), pick("proposal", F.col("to_proposal")), pick("sure", F.col("to_sure")), pick("since", F.lit(since)))
+
+    def stream(self) -> DataFrame:
+        """The state when every item is decided once."""
+        kinds = {"outcome": "string", "cluster": "string", "reason": "string", "proposal": "string", "sure": "double", "since": "int"}
+        state, turn = self.save(self.lines.select("block", "id", "priority", *(F.lit(None).cast(k).alias(n) for n, k in kinds.items())), "state"), 0
+        while True:
+            asking = state.where("outcome is null").select("id")
+            waits = self.pairs.where(self.unsettled() & F.col("earlier")).join(asking, "id", "left_semi").join(asking.select(F.col("id").alias("other")), "other", "left_semi")
+            said = self.verdicts(asking, state).join(waits.select("id").distinct().withColumn("waits", F.lit(True)), "id", "left")
+            # While one before it is open, an item takes no decision but to join or fail.
+            said = said.where(F.col("waits").isNull() | F.col("to_outcome").isin(ASSIGNED, FAILED)).drop("waits")
+            state, turn = self.save(self.taken(state, said, turn), "state"), turn + 1
+            if state.where("outcome is null").isEmpty():
+                return state
+
+    def retried(self, state: DataFrame, going: DataFrame, since: int, outcomes: tuple[str, ...] = OPEN) -> DataFrame:
+        """Open items again; of those that would start a cluster the first of each neighbourhood does."""
+        asking = state.where(F.col("outcome").isin(*outcomes)).join(going, "block", "left_semi").select("id")
+        said = self.save(self.verdicts(asking, state), "retry")
+        seeds = said.where(F.col("to_outcome") == SEED).select("id")
+        waits = self.pairs.where(self.unsettled() & F.col("earlier")).join(seeds, "id", "left_semi").join(seeds.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
+        return self.save(self.taken(state, said.join(waits, "id", "left_anti"), since), "state")
+
+    def merged(self, state: DataFrame, going: DataFrame, iteration: int) -> tuple[DataFrame, DataFrame]:
+        """The state after merges, and the merges: pairs of clusters that neighbours span and whose members all agree.
+
+        A cluster merges with its best partner if it is that one's best too, so no merge rests on another. The larger
+        takes the other's members in; of equals, the older.
+        """
+        s, judge = self.settings, self.judge
+        held = state.where(F.col("outcome").isin(*ACCEPTED)).join(going, "block", "left_semi").select("block", "id", "cluster")
+        spans = self.pairs.join(held, "id").join(held.select(F.col("id").alias("other"), F.col("cluster").alias("beside")), "other").where("cluster < beside").select("block", "cluster", "beside").distinct()
+        some = self.evidence(state)
+        rows = spans.join(some.select("cluster", F.col("b").alias("a")), "cluster").join(some.select(F.col("cluster").alias("beside"), "b"), "beside")
+        said = rows.groupBy("block", "cluster", "beside").agg(F.min(judge.alike(F.col("a"), F.col("b"))).alias("least"))
+        same = (F.col("least") >= judge.same_at) & (judge.sure(F.col("least")) >= s.merge_review_floor)
+        tried = self.save(said.where(same).withColumn("sure", judge.sure(F.col("least"))), "merges")
+        ends = tried.where(F.col("sure") >= s.merge_accept_at).select(F.explode(F.array(F.struct(F.col("cluster").alias("own"), F.col("beside").alias("partner")), F.struct(F.col("beside").alias("own"), F.col("cluster").alias("partner")))).alias("e"), "least").select("e.*", "least")
+        best = ends.groupBy("own").agg(F.min(F.struct((-F.col("least")).alias("l"), F.least("own", "partner").alias("x"), F.greatest("own", "partner").alias("y"), "partner")).alias("b")).select("own", F.col("b.partner").alias("partner"))
+        mutual = best.join(best.select(F.col("own").alias("partner"), F.col("partner").alias("own")), ["own", "partner"]).where("own < partner")
+        sizes = held.join(self.copies.select(F.col("head").alias("id")), "id").groupBy("cluster").agg(F.count("*").alias("n"))
+        born = state.where(F.col("outcome").isin(*ACCEPTED)).groupBy("cluster").agg(F.min(F.struct("since", "priority")).alias("born"))
+        about = sizes.join(born, "cluster").select("cluster", F.struct((-F.col("n")).alias("n"), "born", "cluster").alias("weight"))
+        chosen = mutual.join(about.select(F.col("cluster").alias("own"), F.col("weight").alias("w1")), "own").join(about.select(F.col("cluster").alias("partner"), F.col("weight").alias("w2")), "partner")
+        moves = self.save(chosen.select(F.greatest("w1", "w2")["cluster"].alias("cluster"), F.least("w1", "w2")["cluster"].alias("into")), "moves")
+        after = state.join(moves, "cluster", "left")
+        gone = F.col("into").isNotNull()
+        new = after.select("block", "id", "priority", F.when(gone, ASSIGNED).otherwise(F.col("outcome")).alias("outcome"), F.coalesce("into", "cluster").alias("cluster"), F.when(gone, "merged").otherwise(F.col("reason")).alias("reason"), "proposal", "sure", F.when(gone, iteration).otherwise(F.col("since")).alias("since"))
+        detail = F.when(F.col("into").isNotNull(), "applied").when(F.col("sure") >= s.merge_accept_at, "waits").otherwise("review")
+        pair = moves.select(F.least("cluster", "into").alias("cluster"), F.greatest("cluster", "into").alias("beside"), "into")
+        log = tried.join(pair, ["cluster", "beside"], "left").select("block", F.lit("merge").alias("kind"), F.lit(iteration).alias("iteration"), F.col("cluster").alias("item"), F.col("beside").alias("cluster"), detail.alias("detail"), F.col("into").alias("other"), "sure")
+        return self.save(new, "state"), log
+
+    def moved(self, state: DataFrame, going: DataFrame, iteration: int) -> DataFrame:
+        """Members of clusters of two or more go where they fit better by the judge's ``gain``, or lose a place where most members that are shown disagree."""
+        s, judge = self.settings, self.judge
+        held = state.where(F.col("outcome").isin(*ACCEPTED)).join(going, "block", "left_semi")
+        several = held.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")
+        asking = self.save(held.join(several, "cluster", "left_semi").select("id", F.col("cluster").alias("home"), "outcome"), "asking")
+        some = self.evidence(state)
+        home = self.compared(asking.select("id", F.col("home").alias("cluster"), F.lit(0).alias("rank")), some).select("id", F.col("mean").alias("home_mean"), F.col("share").alias("home_share"), F.col("unclear").alias("home_unclear"))
+        others = self.compared(self.shown(asking, state).join(asking.select("id", F.col("home").alias("cluster")), ["id", "cluster"], "left_anti"), some).where("unclear = 0")
+        best = others.groupBy("id").agg(F.max(F.struct("mean", (-F.col("rank")).alias("near"), "cluster")).alias("best"))
+        rows = asking.join(home, "id").join(best, "id", "left").where("home_unclear = 0")
+        better = (F.col("best.mean") >= judge.same_at) & (F.col("best.mean") > F.col("home_mean") + judge.gain) & (judge.sure(F.col("best.mean")) >= s.comparative_accept_at)
+        lost = (F.col("home_share") < 0.5) & (judge.sure(F.col("home_mean")) >= s.assign_accept_at) & (F.col("outcome") != SEED)
+        said = rows.where(F.coalesce(better, F.lit(False)) | lost).withColumn("goes", F.coalesce(better, F.lit(False)))
+        verdict = said.select("id", F.when(F.col("goes"), ASSIGNED).otherwise(DEFERRED).alias("to_outcome"), F.when(F.col("goes"), F.col("best.cluster")).alias("to_cluster"), F.when(F.col("goes"), "reassigned").otherwise("reverify_failed").alias("to_reason"), F.when(~F.col("goes"), F.col("home")).alias("to_proposal"), F.when(F.col("goes"), judge.sure(F.col("best.mean"))).otherwise(judge.sure(F.col("home_mean"))).alias("to_sure"))
+        return self.save(self.taken(state, verdict, iteration), "state")
+
+    def ended(self, states: list[DataFrame]) -> DataFrame:
+        """Per block and iteration: a digest of the state, how many items are open, and how the block ends there, if it does."""
+        each = [s.groupBy("block").agg(F.bit_xor(F.xxhash64("id", "outcome", "cluster")).alias("digest"), F.count_if(F.col("outcome").isin(*OPEN)).alias("open")).withColumn("iteration", F.lit(k)) for k, s in enumerate(states)]
+        every = each[0]
+        for e in each[1:]:
+            every = every.unionByName(e)
+        own = Window.partitionBy("block").orderBy("iteration")  # as many rows of a block as iterations
+        seen = F.array_contains(F.collect_list("digest").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("digest"))
+        stop = F.when(F.lag("digest").over(own) == F.col("digest"), "converged").when(seen, "oscillation").when(F.col("iteration") >= self.settings.max_refine_iterations, "max_iterations")
+        return every.withColumn("stop", stop)
+
+    def run(self) -> tuple[list[DataFrame], DataFrame, list[DataFrame]]:
+        """(states, their ends, logs of merges)."""
+        states, logs = [self.stream()], []
+        while True:
+            ends = self.save(self.ended(states), "ends")
+            going = ends.groupBy("block").agg(F.max("stop").alias("stop")).where("stop is null").select("block")
+            going = self.save(going, "going")
+            if going.isEmpty():
+                return states, ends, logs
+            k = len(states)
+            state = self.retried(states[-1], going, 1000 * k)
             if self.settings.consolidate:
-                self.phase, self.frozen = "consolidate", set()
-                for group in sorted(self.live(), key=lambda g: (-len(g.members), g.born)):
-                    self.consolidate(group.name)
+                state, log = self.merged(state, going, 1000 * k + 1)
+                logs.append(log.withColumn("iteration", F.lit(k)))
             if self.settings.reassign:
-                self.phase = "reassign"
-                for item in [i for i, _ in self.items if self.places[i].outcome in ACCEPTED and len(self.groups[self.places[i].cluster].members) > 1]:
-                    self.reassign(item)
-            self.end()
-        return self
-
-    def selected(self) -> int:
-        """The iteration that counts: the last if it converged, else that with the least open, of equals the first."""
-        last = len(self.states) - 1
-        return last if self.stop in ("converged", "resumed") else min(range(last + 1), key=lambda k: (self.states[k]["unresolved"], k))
-
-    def resume(self, judge: Judge | None = None) -> Run:
-        """Decides the failed items of the selected state anew, from that state; a new state is the one that counts."""
-        state = self.states[self.selected()]
-        failed = [i for i, _ in self.items if state["places"][i].outcome == FAILED]
-        if not failed:
-            return self
-        self.judge, self.phase, self.iteration = judge or self.judge, "resume", len(self.states)
-        for group in self.groups.values():
-            then = state["groups"].get(group.name)
-            group.members, group.into = (list(then.members), then.into) if then else ([], None)
-            self.revised(group)
-        self.places = dict(state["places"])
-        for item in failed:
-            self.decide(item)
-        self.end()
-        self.stop = "resumed"
-        return self
-
-    def table(self) -> list[dict]:
-        """All rows: states, steps, and the end."""
-        out, chosen = list(self.rows), self.selected()
-        for k, state in enumerate(self.states):
-            for order, (item, _) in enumerate(self.items):
-                p = state["places"][item]
-                out.append({"kind": "member", "iteration": k, "item": item, "cluster": p.cluster, "outcome": p.outcome, "detail": p.reason, "other": p.proposal, "sure": p.sure, "place": order, "counts": k == chosen})
-            for g in state["groups"].values():
-                out.append({"kind": "cluster", "iteration": k, "item": g.seed, "cluster": g.name, "detail": g.origin, "other": g.into, "shown": g.members, "place": g.born, "revision": g.revision, "counts": k == chosen})
-        out.append({"kind": "end", "iteration": len(self.states) - 1, "item": "", "detail": self.stop, "place": chosen, "counts": True})
-        return out
-
-
-COLUMNS = {"kind": "string", "phase": "string", "iteration": "int", "item": "string", "cluster": "string", "outcome": "string", "detail": "string", "other": "string", "sure": "double", "place": "int", "revision": "int", "counts": "boolean", "shown": "array<string>"}
+                state = self.moved(state, going, 1000 * k + 2)
+            states.append(state)
+
+    def table(self, states: list[DataFrame], ends: DataFrame, logs: list[DataFrame]) -> DataFrame:
+        """All rows: members and clusters of the state that counts, merges, and the end of each block."""
+        first = ends.where("stop is not null").groupBy("block").agg(F.min_by("stop", "iteration").alias("stop"), F.min("iteration").alias("last"))
+        least = ends.drop("stop").join(first, "block").where("iteration <= last").groupBy("block", "stop", "last").agg(F.min(F.struct("open", "iteration")).alias("least"))
+        chosen = self.save(least.select("block", "stop", "last", F.when(F.col("stop") == "converged", F.col("last")).otherwise(F.col("least.iteration")).alias("chosen")), "chosen")
+        rows = None
+        for k, s in enumerate(states):
+            own = s.join(chosen.where(F.col("chosen") == k).select("block"), "block", "left_semi").withColumn("iteration", F.lit(k))
+            rows = own if rows is None else rows.unionByName(own)
+        counted = self.save(rows, "counted")
+        head = counted.select(F.col("id").alias("head"), "outcome", "cluster", "reason", "proposal", "sure", "iteration", "since", F.col("priority").alias("head_priority"))
+        every = self.copies.join(head, "head").join(self.items.select("id", "place", "priority"), "id")
+        copy = (F.col("id") != F.col("head")) & F.col("outcome").isin(*ACCEPTED)
+        members = every.select("block", F.lit("member").alias("kind"), "iteration", F.col("id").alias("item"), "cluster", F.when(copy, ASSIGNED).otherwise(F.col("outcome")).alias("outcome"), F.when(copy, "same_text").otherwise(F.col("reason")).alias("detail"), F.col("proposal").alias("other"), "sure", "place", F.struct("since", "head_priority", "head", copy.alias("copy"), "id").alias("age"))
+        members = self.save(members, "members")
+        groups = members.where(F.col("outcome").isin(*ACCEPTED)).groupBy("block", "iteration", "cluster").agg(F.count("*").alias("size"), F.min_by("item", "age").alias("item"), F.min("age").alias("born"), F.max("age.since").alias("revision"))
+        clusters = groups.select("block", F.lit("cluster").alias("kind"), "iteration", "item", "cluster", F.lit("neighbours_exhausted").alias("detail"), F.col("size").cast("int").alias("place"), F.col("revision").cast("int").alias("revision"))
+        done = chosen.select("block", F.lit("end").alias("kind"), F.col("last").alias("iteration"), F.lit("").alias("item"), F.col("stop").alias("detail"), F.col("chosen").alias("place"))
+        out = members.drop("age").unionByName(clusters, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
+        for log in logs:
+            out = out.unionByName(log, allowMissingColumns=True)
+        return self.save(out, "log")
+
+
+def clipped(label: Column, chars: int) -> Column:
+    """One line of a text, of so many characters at most."""
+    line = F.trim(F.regexp_replace(label, r"\s+", " "))
+    return F.when(F.length(line) <= chars, line).otherwise(F.concat(F.rtrim(F.substring(line, 1, chars - 3)), F.lit("...")))
+
+
+def placed(items: DataFrame) -> DataFrame:
+    """``items`` with ``place`` in their block's order and ``priority``: ranges of the order are ranked alone, and placed by their sizes."""
+    ranged = store.Work(items.sparkSession, "places").save(items.repartitionByRange("block", "sort", "id").withColumn("range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("block", "range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rank = F.row_number().over(Window.partitionBy("block", "range").orderBy("sort", "id")) - 1
+    first = sizes.select("block", "range", before.alias("before"))
+    rows = ranged.withColumn("rank", rank).join(first, ["block", "range"])
+    return rows.select("block", "id", "label", "form", (F.col("rank") + F.col("before")).cast("int").alias("place"), F.xxhash64(F.lit("turn"), "id").alias("priority"))
+
+
+def read_items(items: DataFrame, block: Column, settings: Settings) -> DataFrame:
+    label = F.coalesce(F.col("label"), F.lit(""))
+    sort = tx.order_key(label) if settings.order == "label" or "place" not in items.columns else F.lpad(F.col("place").cast("string"), 20, "0")
+    return items.select(F.col("id").cast("string").alias("id"), label.alias("label"), sort.alias("sort"), F.coalesce(block.cast("string"), F.lit("")).alias("block"), tx.order_key(label).alias("form"))
 
 
 def cluster_blocks(items: DataFrame, block: Column, judge: Callable[[], Judge] = lexical_judge, settings: Settings = Settings(), run: str = "run") -> DataFrame:
-    """The rows of a run over each block of ``id`` and ``label``; blocks are ordered by label, or by id as given.
-
-    A block is one task: its key must be fine enough for a block's items to be decided one after the other.
-    """
+    """The rows of a run over ``id`` and ``label``, each ``block`` by itself."""
+    own = Run(read_items(items, block, settings), judge(), settings, run)
+    return own.table(*own.run())
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = ["sort", "id"] if settings.order == "label" else ["place"]
-        rows = pdf.sort_values(keys)
-        done = Run(list(zip(rows["id"], rows["label"], strict=True)), judge(), settings, f"{run}|{pdf['block'].iloc[0]}").run()
-        out = pd.DataFrame(done.table()).reindex(columns=list(COLUMNS))
-        for c in ("place", "revision"):
-            out[c] = out[c].astype("Int32")
-        out["counts"] = out["counts"].astype("boolean")
-        out = out.astype(object).where(out.notna(), None)
-        return out.assign(block=pdf["block"].iloc[0])
 
-    place = F.col("place") if "place" in items.columns else F.lit(0)
-    rows = items.select(F.col("id").cast("string").alias("id"), F.coalesce(F.col("label"), F.lit("")).alias("label"), tx.order_key(F.coalesce(F.col("label"), F.lit(""))).alias("sort"), place.alias("place"), block.alias("block"))
-    schema = ", ".join(f"{n} {t}" for n, t in COLUMNS.items())
-    return rows.groupBy("block").applyInPandas(work, f"{schema}, block string")
+def resumed(items: DataFrame, block: Column, log: DataFrame, judge: Callable[[], Judge] = lexical_judge, settings: Settings = Settings(), run: str = "run") -> DataFrame:
+    """``log`` with its failed items decided anew from the state that counts; nothing else of it changes."""
+    own = Run(read_items(items, block, settings), judge(), settings, run)
+    members = log.where("kind = 'member'").select(F.col("item").alias("id"), "outcome", "cluster", F.col("detail").alias("reason"), F.col("other").alias("proposal"), "sure")
+    state = own.save(own.lines.join(members, "id").select("block", "id", "priority", "outcome", "cluster", "reason", "proposal", "sure", F.when(F.col("outcome") == SEED, 0).otherwise(1).alias("since")), "state")
+    every = own.save(state.select("block").distinct(), "going")
+    after = own.retried(state, every, 2, (FAILED,))
+    ends = own.ended([after]).withColumn("stop", F.lit("resumed"))
+    return own.table([after], ends, [])
 
 
 def selected_members(log: DataFrame) -> DataFrame:
     """Items of the state that counts, with exported outcomes: a lone member is a singleton, open items need review or failed."""
-    rows = log.where("kind = 'member' AND counts")
-    size = log.where("kind = 'cluster' AND counts").select("block", "cluster", F.size("shown").alias("cluster_size"))
-    found = rows.join(size, ["block", "cluster"], "left")
+    size = log.where("kind = 'cluster'").select("block", "cluster", F.col("place").alias("cluster_size"))
+    found = log.where("kind = 'member'").join(size, ["block", "cluster"], "left")
     accepted = F.col("outcome").isin(*ACCEPTED)
     outcome = F.when(accepted & (F.col("cluster_size") > 1), "assigned").when(accepted, "singleton").when(F.col("outcome") == DEFERRED, "needs_review").otherwise("failed")
     reason = F.when(accepted & (F.col("cluster_size") == 1) & (F.col("outcome") != SEED), "lone_member").otherwise(F.col("detail"))
@@ -475,9 +338,11 @@ def selected_members(log: DataFrame) -> DataFrame:
 
 
 def selected_clusters(log: DataFrame) -> DataFrame:
-    """Clusters with members in the state that counts, with their members in order."""
-    rows = log.where("kind = 'cluster' AND counts AND size(shown) > 0")
-    return rows.select("block", F.col("cluster").alias("cluster_id"), "revision", F.size("shown").alias("size"), F.when(F.size("shown") > 1, "verified").otherwise("singleton").alias("status"), F.element_at("shown", 1).alias("seed_id"), F.col("detail").alias("mint_provenance"), F.array_join("shown", "|").alias("member_ids"), F.col("place").alias("created_seq"))
+    """Clusters of the state that counts, with their members in order. The list of members is what a cluster's row is for: large ones have long rows."""
+    listed = log.where("kind = 'member' AND cluster is not null AND outcome in ('seed', 'assigned')").groupBy("block", "cluster").agg(F.sort_array(F.collect_list(F.struct("place", "item"))).alias("m"))
+    rows = log.where("kind = 'cluster'").select("block", "cluster", "revision", F.col("place").alias("size"), F.col("item").alias("seed_id"), F.col("detail").alias("mint_provenance")).join(listed, ["block", "cluster"])
+    order = F.get("m", F.lit(0))["place"]
+    return rows.select("block", F.col("cluster").alias("cluster_id"), "revision", "size", F.when(F.col("size") > 1, "verified").otherwise("singleton").alias("status"), "seed_id", "mint_provenance", F.array_join(F.transform("m", lambda x: x["item"]), "|").alias("member_ids"), order.alias("created_seq"))
 
 
 def unresolved(members: DataFrame) -> DataFrame:

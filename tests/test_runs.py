@@ -267,109 +267,6 @@ def test_merged_screens_keep_the_first_order_and_the_higher_probability(spark):
     assert [(r.id, r["rank"], r.p) for r in got] == [("a", 1, 0.6), ("b", 2, 0.9), ("c", 3, 0.5)]
 
 
-def clustered(labels, judge=None, **settings):
-    return engine.Run([(str(i), t) for i, t in enumerate(labels)], judge or engine.lexical_judge(), engine.Settings(**settings)).run()
-
-
-def groups(run):
-    return sorted(sorted(g.members) for g in run.groups.values() if g.members)
-
-
-def test_engine_joins_mints_and_defers():
-    run = clustered(["red cat big", "red cat big old", "blue dog", "red big cat", "blue dog small", "zebra"])
-    assert groups(run) == [["0", "1", "3"], ["2"], ["5"]] and run.places["4"].reason == "below_accept_threshold"
-    assert (run.stop, run.selected()) == ("converged", 1)
-    assert clustered(["a"]).places["0"].reason == "minted:empty_pool" and clustered([]).stop in ("converged", "max_iterations")
-    with pytest.raises(ValueError, match="twice"):
-        engine.Run([("1", "a"), ("1", "b")], engine.lexical_judge())
-
-
-def test_engine_merges_the_larger_and_freezes_both():
-    said = engine.lexical_judge()
-    late = engine.Judge(lambda own, shown: engine.Verdict(None, 1.0), said.verify, lambda own, shown: engine.Verdict(True, 1.0), said.same, said.prefers)
-    run = engine.Run([(str(i), t) for i, t in enumerate(["red cat", "red cat", "red cat", "blue"])], late, engine.Settings(max_refine_iterations=1, reassign=False))
-    for item, _ in run.items:
-        run.decide(item)
-    run.end()
-    assert len(run.live()) == 4
-    run.judge, run.iteration, run.phase = said, 1, "consolidate"
-    first = run.live()[0].name
-    run.consolidate(first)
-    once = groups(run)
-    taken = next(iter(set(once[0]) - {"0"}))
-    assert sorted(map(len, once)) == [1, 1, 2] and run.places[taken].reason == "merged" and len(run.frozen) == 2
-    assert [m["detail"] for m in run.rows if m["kind"] == "merge"] == ["applied"]
-    run.consolidate(first)
-    assert groups(run) == once  # frozen until the next iteration
-    run.frozen = set()
-    run.consolidate(first)
-    assert groups(run) == [["0", "1", "2"], ["3"]] and run.groups[first].seed == "0"
-
-
-def test_engine_reassigns_at_the_margin_only():
-    run = clustered(["red cat", "red cat", "red cat dog", "blue dog", "blue dog"], max_refine_iterations=0, assign_accept_at=0.5)
-    home = run.groups[run.places["2"].cluster]
-    away = run.groups[run.places["3"].cluster]
-    assert home is not away
-    stays = engine.Judge(lambda own, shown: engine.Verdict(next((k for k, s in enumerate(shown) if "blue dog" in s), None), 1.0), run.judge.verify, run.judge.novel, run.judge.same, lambda *a: engine.Verdict(True, 0.79))
-    run.judge = stays
-    run.texts["2"] = "red cat blue dog"
-    run.reassign("2")
-    assert run.places["2"].cluster == home.name
-    run.judge = engine.Judge(stays.select, stays.verify, stays.novel, stays.same, lambda *a: engine.Verdict(True, 0.8))
-    run.reassign("2")
-    assert run.places["2"] == engine.Place(engine.ASSIGNED, away.name, "reassigned", None, 0.8) and "2" not in home.members
-    run.judge = engine.Judge(lambda *a: engine.Verdict(None, 1.0), lambda *a: engine.Verdict(False, 1.0), stays.novel, stays.same, stays.prefers)
-    run.reassign("2")
-    assert run.places["2"].outcome == engine.DEFERRED and run.places["2"].reason == "reverify_failed"
-
-
-def test_engine_resumes_failed_items_only():
-    said = engine.lexical_judge()
-    down = engine.Judge(lambda own, shown: engine.Verdict(error="provider_failure") if "zebra" in own[0] else said.select(own, shown), said.verify, said.novel, said.same, said.prefers)
-    run = clustered(["red cat", "zebra", "blue dog", "red cat"], down)
-    assert run.places["1"].outcome == engine.FAILED and run.places["1"].reason == "provider_failure"
-    before = {i: p for i, p in run.places.items() if i != "1"}
-    run.resume(said)
-    assert run.places["1"].outcome == engine.SEED and {i: p for i, p in run.places.items() if i != "1"} == before
-    assert run.stop == "resumed" and run.selected() == len(run.states) - 1
-    states = len(run.states)
-    assert len(run.resume(said).states) == states  # nothing failed is left
-
-
-def test_engine_stops_when_a_state_returns():
-    flip = collections.Counter()
-
-    def select(own, shown):
-        flip[own[0]] += 1
-        return engine.Verdict(None, 1.0)
-
-    run = clustered(["a", "b"], engine.Judge(select, *[lambda *a: engine.Verdict(False, 1.0)] * 4))
-    assert run.stop == "converged" and run.selected() == 1 and run.places["1"].reason == "novelty_rejected"
-    assert clustered(["red cat", "red cat"], max_refine_iterations=0).stop == "max_iterations"
-
-
-def test_mint_needs_a_search_that_reached_far_enough():
-    labels = [f"word{i} x" for i in range(60)] + ["y x"]
-    never = engine.Judge(lambda *a: engine.Verdict(None, 1.0), *[lambda *a: engine.Verdict(True, 1.0)] * 4)
-    run = clustered(labels, never, max_refine_iterations=0, mint_requires="pool_exhausted", scan_below=0, max_expansion_pages=0)
-    assert run.places["60"].reason == "expansion_incomplete:bounded"
-    assert clustered(labels, never, max_refine_iterations=0).places["60"].reason.startswith("minted")
-
-
-def test_engine_blocks_and_their_partition(spark):
-    rows = [(str(i), label, "k" if i < 6 else "j") for i, label in enumerate(["red cat big", "red cat big old", "blue dog", "red big cat", "blue dog small", "zebra", "red cat big", None])]
-    results = []
-    for part in (rows, rows[::-1]):
-        log = engine.cluster_blocks(spark.createDataFrame(part, "id string, label string, block string"), F.col("block"))
-        members, clusters = engine.selected_members(log), engine.selected_clusters(log)
-        assert engine.partition_faults(members, clusters).count() == 0
-        results.append(sorted(map(tuple, members.collect()), key=str))
-        assert members.count() == 8 and engine.run_summary(log).count() == 2
-        assert {r.code for r in engine.warnings(log).collect()} <= {"unresolved_share", "not_converged", "all_singletons", "single_cluster"}
-    assert results[0] == results[1]
-
-
 def test_leaders_by_ratio_depend_on_order(spark):
     rows = spark.createDataFrame([(1, "abcdefgh", "k"), (2, "abcdefgx", "k"), (3, "abcdefxx", "k"), (4, "ABCDEFGH", "k"), (5, "", "k")], "item_id long, label string, block string")
     assert sorted(map(tuple, cluster.by_leaders(rows, "block").collect())) == [(1, 1), (2, 1), (3, 3), (4, 1), (5, 5)]
@@ -445,11 +342,11 @@ def test_assignments_files(spark, tmp_path):
 
 def test_cluster_files(spark, tmp_path):
     log = engine.cluster_blocks(spark.createDataFrame([("1", "red cat", "k"), ("2", "red cat", "k"), ("3", "dog", "k")], "id string, label string, block string"), F.col("block"))
-    exports.write_clusters(engine.selected_members(log), engine.selected_clusters(log), log.where("kind = 'verify'"), str(tmp_path))
+    exports.write_clusters(engine.selected_members(log), engine.selected_clusters(log), log.where("kind = 'merge'"), str(tmp_path))
     read = {n: spark.read.csv(str(tmp_path / n), header=True) for n in ("members", "clusters", "unresolved")}
     assert tuple(read["members"].columns) == exports.MEMBERS and tuple(read["clusters"].columns) == exports.CLUSTERS and read["members"].count() == 3
     assert sorted((r.size, r.status) for r in read["clusters"].collect()) == [("1", "singleton"), ("2", "verified")]
-    assert spark.read.json(str(tmp_path / "decisions")).count() == 1
+    assert spark.read.json(str(tmp_path / "decisions")).count() == log.where("kind = 'merge'").count()
 
 
 def test_targets(spark, tmp_path):
