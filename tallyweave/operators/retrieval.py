@@ -133,11 +133,52 @@ def exact_lookup(mentions: DataFrame, names: DataFrame) -> DataFrame:
     return found.select("source_id", "n_hits", status.alias("status"), F.when(F.col("n_hits") == 1, F.col("least")).alias("matched_id"))
 
 
-def deletions(word: Column) -> Column:
-    """The word with each one and each two of its letters left out, and itself."""
-    once = lambda w: F.transform(F.sequence(F.lit(1), F.length(w)), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))
-    one = once(word)
-    return F.array_distinct(F.flatten(F.array(F.array(word), one, F.flatten(F.transform(one, once)))))
+#: The odd multiplier of a word's hash, and its inverse modulo 2^64: leaving a letter out moves those after it down by one power.
+POWER = 0x9E3779B97F4A7C15
+POWER_BACK = pow(POWER, -1, 1 << 64)
+
+
+def deletion_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the word, hash) of each word as it is, and with each one and each two of its letters left out."""
+    sizes = pa.compute.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    codes = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    starts, at, out = np.cumsum(sizes) - sizes, [], []
+    with np.errstate(over="ignore"):
+        for size in np.unique(sizes).tolist():
+            mine = np.flatnonzero(sizes == size)
+            powers = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, POWER, np.uint64)]))[:size]
+            i, j = (x.astype(np.int64) for x in np.triu_indices(size, 1))
+            held = max(1, (1 << 22) // max(1, len(i)))
+            for k in range(0, len(mine), held):
+                some = mine[k : k + held]
+                upto = np.zeros((len(some), size + 1), np.uint64)
+                np.cumsum(codes[starts[some][:, None] + np.arange(size)] * powers, axis=1, out=upto[:, 1:])
+                back, whole, one = np.uint64(POWER_BACK), upto[:, size:], np.arange(size)
+                twice = back * back
+                found = (
+                    whole + np.uint64(size), upto[:, one] + (whole - upto[:, one + 1]) * back + np.uint64(size - 1),
+                    upto[:, i] + (upto[:, j] - upto[:, i + 1]) * back + (whole - upto[:, j + 1]) * twice + np.uint64(max(0, size - 2)),
+                )
+                for h in found:
+                    at.append(np.repeat(some, h.shape[1]))
+                    out.append(h.ravel())
+    return (np.concatenate(at), np.concatenate(out)) if at else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def deletion_keys(words: DataFrame, name: str, wanted: np.ndarray | None = None) -> DataFrame:
+    """``name`` (a term) and ``key`` of its deletions; only keys among the sorted ``wanted``, if given."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.column(0).slice(i, 4096)
+                at, keys = deletion_hashes(part)
+                if wanted is not None:
+                    near = wanted[np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)] == keys if len(wanted) else np.zeros(len(keys), bool)
+                    at, keys = at[near], keys[near]
+                yield pa.RecordBatch.from_arrays([part.take(pa.array(at)), pa.array(keys.view(np.int64))], [name, "key"])
+
+    return words.select("term").where(F.length("term") >= 3).mapInArrow(run, f"{name} string, key long").distinct()
 
 
 def transposed(word: Column) -> Column:
@@ -154,9 +195,20 @@ def edits_up_to_two(a: Column, b: Column) -> Column:
 
 
 def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
-    """Vocabulary terms within two edits of each asked term of ``least`` letters; an equi-join on deletions."""
-    key = lambda df, name: df.select("term").where(F.length("term") >= 3).withColumn("key", F.explode(deletions(F.col("term")))).withColumnRenamed("term", name)
-    pairs = key(vocabulary, "term").join(store.few(key(asked.where(F.length("term") >= least), "query_term")), "key").select("query_term", "term").distinct()
+    """Vocabulary terms within two edits of each asked term of ``least`` letters; an equi-join on hashed deletions.
+
+    Where asked terms are few, their keys go to the tasks, and of a vocabulary term only keys among them leave; and only
+    terms of about an asked length are looked at.
+    """
+    own = store.Work(asked.sparkSession, "fuzzy_terms").save(deletion_keys(asked.where(F.length("term") >= least), "query_term"), "asked")
+    wanted, near = None, vocabulary
+    if store.is_few(own):
+        wanted = np.unique(own.select("key").toArrow().column(0).to_numpy()).view(np.uint64)
+        wanted.sort()
+        lengths = [r[0] for r in own.select(F.length("query_term")).distinct().collect()]
+        near = vocabulary.where(F.length("term").isin(sorted({n + d for n in lengths for d in range(-2, 3)})))
+    side = F.broadcast(own) if wanted is not None else own
+    pairs = deletion_keys(near, "term", wanted).join(side, "key").select("query_term", "term").distinct()
     found = pairs.withColumn("edits", edits_up_to_two(F.col("query_term"), F.col("term"))).where((F.col("edits") > 0) & (F.col("edits") <= distance))
     return found.withColumn("weight", F.lit(FUZZY_WEIGHT))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import store
-from ..functions import answers, ids
+from ..functions import answers, ids, templates
 from ..functions import text as tx
-from ..operators import ann, cluster, decide, engine, evaluate, ledger, matcher, reports, retrieval
+from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, reports, retrieval
 from ..operators.index import TextIndex, identity_of
 from ..sources import delta, exports, targets
 from . import base, catalog
@@ -441,3 +441,38 @@ def table_versions(spark, d):
     table.compact(1)
     every = [table.read(v).withColumn("version", F.lit(n)) for n, v in (("before", first), ("changed", second), ("compacted", None))]
     return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("version", "segment").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("total"))
+
+
+PART_TEMPLATE = """{# what a part is #}{{ p_name | upper }}{% if p_size > 30 %} large{% elif p_size > 10 %} middle{% else %} small{% endif %}
+{% for w in words %}{{ loop.index }}.{{ w }}{% if not loop.last %}, {% endif %}{% endfor %} {{ 'brass' if 'BRASS' in words else 'other' }}"""
+
+
+@oracle("""
+WITH p AS (SELECT p_partkey AS id, p_name, p_size, string_split(p_type, ' ') AS words FROM part)
+SELECT id, upper(p_name) || CASE WHEN p_size > 30 THEN ' large' WHEN p_size > 10 THEN ' middle' ELSE ' small' END || chr(10)
+  || array_to_string(list_transform(range(1, len(words) + 1), lambda i: i || '.' || words[i]), ', ') || CASE WHEN list_contains(words, 'BRASS') THEN ' brass' ELSE ' other' END AS text FROM p
+""")
+def compiled_template(spark, d):
+    """Parts as a template with branches and a loop says them, compiled to one column."""
+    rows = base.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size", F.split("p_type", " ").alias("words"))
+    return rows.select("id", templates.compiled(PART_TEMPLATE, rows.schema).alias("text"))
+
+
+@oracle("""
+WITH c AS (SELECT c_custkey AS source_id, CASE WHEN c_acctbal < 0 THEN 'unmatched' WHEN c_mktsegment = 'BUILDING' THEN 'needs_review' ELSE 'matched' END AS status FROM customer)
+SELECT 'current' AS section, status AS name, count(*) AS n FROM c GROUP BY status
+UNION ALL SELECT 'invocation', 'partial', (SELECT count(*) // 4 FROM c)
+UNION ALL SELECT 'invocation', 'complete', (SELECT count(*) - count(*) // 4 FROM c)
+""")
+def batch_lifecycle(spark, d):
+    """A run of customers in two invocations: a quarter first, then what is left; nothing is decided twice."""
+    rows = base.table(spark, d, "customer").select(F.col("c_custkey").alias("source_id"), "c_acctbal", "c_mktsegment")
+    status = F.when(F.col("c_acctbal") < 0, "unmatched").when(F.col("c_mktsegment") == "BUILDING", "needs_review").otherwise("matched")
+    run = batch.BatchRun(spark, f"{store.Work(spark, 'batch').root}/run", {"rule": "balance"})
+    decide_all = lambda some: some.join(rows, "source_id").select("source_id", status.alias("status"), F.lit(None).cast("string").alias("matched_id"), F.lit(1.0).alias("confidence"))
+    sources = rows.select("source_id")
+    quarter = rows.count() // 4
+    run.invoke(sources, decide_all, passes=2, limit=quarter)
+    run.invoke(sources, decide_all, passes=3)
+    now = run.results().groupBy("status").agg(F.count("*").alias("n")).select(F.lit("current").alias("section"), F.col("status").alias("name"), "n")
+    return now.unionByName(run.invocations().select(F.lit("invocation").alias("section"), F.col("state").alias("name"), F.col("decided").alias("n")))

@@ -61,6 +61,57 @@ def sql_records(spark: SparkSession, url: str, query: str, id_column: str, multi
     return raw.select(checked_id(F.col(id_column), "query").alias("id"), *fields)
 
 
+#: Cells of a histogram for each range that is wanted, how often a full cell is cut anew, and the share of a range's rows from which on it is.
+CELLS, REFINED, FULL = 16, 8, 0.5
+
+
+def key_ranges(ask: Callable[[str], list], table: str, key: str, parts: int) -> list[str]:
+    """Predicates over a numeric ``key`` that cut ``table`` into ranges of about equal counts; rows without a key go with the first.
+
+    ``ask`` runs a query in the database. Counts are by equal cells of the key; a cell with more than half a range's
+    rows is cut into cells itself, so a dense part of a key doesn't make one large range.
+    """
+    low, high, total = ask(f"SELECT MIN({key}) AS a, MAX({key}) AS b, COUNT({key}) AS n FROM {table}")[0]
+    if not total or low == high:
+        return [f"{key} IS NOT NULL OR {key} IS NULL"]
+    wanted, todo, cells = total / parts, [(float(low), float(high), 0)], []
+    while todo:
+        a, b, depth = todo.pop()
+        width = (b - a) / (CELLS * parts if not depth else CELLS)
+        # Whole numbers: a cell narrower than one can't be cut further.
+        counted = ask(f"SELECT cell, COUNT(*) AS n FROM (SELECT CAST(FLOOR(({key} - {a!r}) / {width!r}) AS INTEGER) AS cell FROM {table} WHERE {key} >= {a!r} AND {key} {'<=' if b == float(high) else '<'} {b!r}) c GROUP BY cell")
+        for cell, n in counted:
+            left = a + cell * width
+            if n > FULL * wanted and depth < REFINED and width > 1e-9 * max(1.0, abs(a), abs(b)):
+                todo.append((left, min(left + width, b) if left + width < b or b != float(high) else b, depth + 1))
+            else:
+                cells.append((left, n))
+    cells.sort()
+    cuts, held = [], 0
+    for left, n in cells:
+        if held and held + n / 2 >= wanted * (len(cuts) + 1):
+            cuts.append(left)
+        held += n
+    cuts = [c for c in dict.fromkeys(cuts) if c > float(low)]
+    ends = [None, *cuts, None]
+    spans = [[f"{key} >= {a!r}" if a is not None else "", f"{key} < {b!r}" if b is not None else ""] for a, b in zip(ends, ends[1:], strict=False)]
+    out = [" AND ".join(filter(None, s)) or f"{key} IS NOT NULL" for s in spans]
+    return [f"({out[0]}) OR {key} IS NULL", *out[1:]]
+
+
+def sql_records_in_parts(spark: SparkSession, url: str, query: str, id_column: str, key: str, parts: int = 8, multivalue: tuple[str, ...] = (), fetch: int = 1000, params: dict | None = None, **options: str) -> DataFrame:
+    """The same, read by a task for each range of a numeric column ``key`` of the query, of about equal counts."""
+    table = f"({bound(query, params or {})}) q"
+    reader = lambda: spark.read.option("fetchsize", fetch).options(**options)
+
+    def ask(text: str) -> list:
+        return [tuple(r) for r in reader().format("jdbc").option("url", url).option("query", text).load().collect()]
+
+    raw = reader().jdbc(url, table, predicates=key_ranges(ask, table, key, parts), properties=options)
+    fields = [tx.multivalue(F.col(c).cast("string"), r"\|").alias(c) if c in multivalue else F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in raw.columns if c != id_column]
+    return raw.select(checked_id(F.col(id_column), "query").alias("id"), *fields)
+
+
 def obo_records(spark: SparkSession, path: str, id_prefix: str = "", include_obsolete: bool = False) -> DataFrame:
     """``[Term]`` stanzas of an OBO file, one row each."""
     stanza = spark.read.text(path, lineSep="\n[").select(F.concat(F.lit("["), F.ltrim(F.col("value"))).alias("value"))
