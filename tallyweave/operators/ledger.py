@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import store
+
 
 def latest(log: DataFrame, key: str = "source_id", seq: str = "seq") -> DataFrame:
     """The last row of each key: an aggregate, so only one row of a key and task is shuffled."""
@@ -71,6 +73,36 @@ def page(results: DataFrame, offset: int, limit: int, order: str = "source_id")
     return rows.crossJoin(F.broadcast(total)).withColumn("next_offset", F.when(F.col("total") > offset + limit, F.lit(offset + limit).cast("long")))
 
 
+class Pages:
+    """Results written in ranges of their order, with the rows of each status in each range: a page reads the ranges it lies in."""
+
+    def __init__(self, results: DataFrame, order: str = "source_id") -> None:
+        self.order, self.columns = order, results.columns
+        ranged = results.repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+        self.path = f"{store.Work(results.sparkSession, 'pages').root}/results"
+        ranged.write.partitionBy("_range").option("compression", "zstd").parquet(self.path)
+        self.rows = results.sparkSession.read.parquet(self.path)
+        counts = self.rows.groupBy("_range", "status").count().collect()  # ranges times statuses
+        self.counts = sorted((r._range, r.status, r["count"]) for r in counts)
+
+    def page(self, offset: int, limit: int, status: str | None = None) -> DataFrame:
+        """A page in order, of one status if it is given, with the total and where the next page starts (null at the end)."""
+        if not 1 <= limit <= 200 or offset < 0:
+            raise ValueError("a page has 1 to 200 rows, from offset 0 on")
+        before, total, needed = None, 0, []
+        for at, own, n in self.counts:
+            if status is None or own == status:
+                if total < offset + limit and total + n > offset:
+                    before = total if before is None else before
+                    needed.append(at)
+                total += n
+        rows = self.rows.where(F.col("_range").isin(sorted(set(needed))) if needed else F.lit(False))
+        if status is not None:
+            rows = rows.where(F.col("status") == status)
+        found = rows.orderBy(self.order).offset(offset - (before or 0)).limit(limit).select(*self.columns)
+        return found.withColumn("total", F.lit(total).cast("long")).withColumn("next_offset", F.lit(offset + limit if total > offset + limit else None).cast("long"))
+
+
 def applicable_reviews(reviews: DataFrame, log: DataFrame) -> DataFrame:
     """Every review as applied (the last one of the current revision), superseded, or stale (another revision)."""
     now = revisions(log).groupBy("source_id").agg(F.max("revision").alias("now"))

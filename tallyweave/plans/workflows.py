@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import answers, ids, templates
 from ..functions import text as tx
-from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, reports, retrieval
+from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, pool, reports, retrieval
 from ..operators.index import TextIndex, identity_of
 from ..sources import delta, exports, targets
 from . import base, catalog
@@ -425,7 +425,7 @@ def full_report(spark, d):
 @oracle("""
 WITH c AS (SELECT c_custkey AS id, c_mktsegment AS segment, c_acctbal AS balance FROM customer),
 changed AS (SELECT id, segment, CASE WHEN balance < 0 THEN 0.0 ELSE balance END AS balance FROM c WHERE NOT (segment = 'BUILDING' AND balance > 5000)),
-grown AS (SELECT * FROM changed UNION ALL SELECT -id, 'NEW', 1.0 FROM c WHERE id <= 100)
+grown AS (SELECT * FROM changed UNION ALL SELECT -id, 'NEW', 1.0 FROM c WHERE id BETWEEN 1 AND 100)
 SELECT 'before' AS version, segment, count(*) AS n, round(sum(balance), 2) AS total FROM c GROUP BY segment
 UNION ALL SELECT 'changed', segment, count(*), round(sum(balance), 2) FROM changed GROUP BY segment
 UNION ALL SELECT 'compacted', segment, count(*), round(sum(balance), 2) FROM grown GROUP BY segment
@@ -437,7 +437,7 @@ def table_versions(spark, d):
     first = table.create(rows, ["id"], 16)
     table.change(rows.where("balance < 0").withColumn("balance", F.lit(0.0)), rows.where("segment = 'BUILDING' and balance > 5000"))
     second = table.version()
-    table.change(rows.where("id <= 100").select((-F.col("id")).alias("id"), F.lit("NEW").alias("segment"), F.lit(1.0).alias("balance")))
+    table.change(rows.where("id between 1 and 100").select((-F.col("id")).alias("id"), F.lit("NEW").alias("segment"), F.lit(1.0).alias("balance")))
     table.compact(1)
     every = [table.read(v).withColumn("version", F.lit(n)) for n, v in (("before", first), ("changed", second), ("compacted", None))]
     return every[0].unionByName(every[1]).unionByName(every[2]).groupBy("version", "segment").agg(F.count("*").alias("n"), F.round(F.sum("balance"), 2).alias("total"))
@@ -476,3 +476,29 @@ def batch_lifecycle(spark, d):
     run.invoke(sources, decide_all, passes=3)
     now = run.results().groupBy("status").agg(F.count("*").alias("n")).select(F.lit("current").alias("section"), F.col("status").alias("name"), "n")
     return now.unionByName(run.invocations().select(F.lit("invocation").alias("section"), F.col("state").alias("name"), F.col("decided").alias("n")))
+
+
+@oracle(f"""{ALL} SELECT source_id, status, (SELECT count(*) FROM results WHERE status = 'matched') AS total,
+CASE WHEN (SELECT count(*) FROM results WHERE status = 'matched') > 150 THEN 150 END::BIGINT AS next_offset FROM results WHERE status = 'matched' ORDER BY source_id LIMIT 50 OFFSET 100""")
+def matched_page(spark, d):
+    """A page of the matched results, read from the ranges that it lies in."""
+    return ledger.Pages(catalog.results(spark, d)).page(100, 50, "matched").select("source_id", "status", "total", "next_offset")
+
+
+@oracle(f"""
+WITH v AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN list_transform(embedding::DOUBLE[], lambda x: -x) ELSE embedding::DOUBLE[] END AS e FROM embeddings WHERE vec_id % 11 <> 0),
+l AS (SELECT id, list_transform(e, lambda x: x / sqrt({DOT.format('e', 'e')})) AS u FROM v), q AS ({QUERY_VECTORS}),
+s AS (SELECT query_id, id, {DOT.format('q', 'u')} / sqrt({DOT.format('q', 'q')}) AS score FROM q, l WHERE id <> query_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def vector_pool(spark, d):
+    """A pool that was built, changed and thinned, searched without each query's own row."""
+    v = catalog.vectors(spark, d).select("id", "vector")
+    turned = F.transform("vector", lambda x: -x)
+    held = pool.VectorPool(spark, f"{store.Work(spark, 'pool').root}/vectors")
+    held.upsert(v.where("id % 3 <> 0").withColumn("vector", F.when(F.col("id") % 5 == 0, turned).otherwise(F.col("vector"))))
+    held.upsert(v.where("id % 3 = 0 or id % 5 = 0 or id % 7 = 0").withColumn("vector", F.when(F.col("id") % 7 == 0, turned).otherwise(F.col("vector"))))
+    held.remove(v.where("id % 11 = 0"))
+    asked = catalog.asked_vectors(catalog.vectors(spark, d))
+    found = held.search(asked, 10, asked.select("query_id", F.col("query_id").alias("id")))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
