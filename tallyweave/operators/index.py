@@ -10,7 +10,7 @@ Postings are range-partitioned and sorted by term and id, in small row groups, w
 A search of few terms names them to the scan, which then reads the row groups alone that can hold one of them.
 
 A generation of one step also has ``terms``: the documents of each term, the largest part that one of them has in
-a score, and some of the next ones. From these follows, before any posting is read, a score that k documents of a
+a score, and how many have one of each size. From these follows, before any posting is read, a score that k documents of a
 query reach at least. Terms whose largest parts together stay below it bring no new document into the best k, so
 their postings are read for the documents alone that the other terms have found, and of these only for those
 that can still reach it. So a stop word is neither a hot key nor scored for every document.
@@ -33,8 +33,10 @@ from . import retrieval
 VERSION = "unicode-words-2"
 #: Bytes of a row group of postings, and distinct terms of a search up to which they are named to the scan.
 ROW_GROUP_BYTES, NAMED_TERMS = 1 << 20, 64
-#: Places of a term's parts, in falling order, that are kept; a search takes the first that is k or more.
-KEPT_PLACES = (1, 10, 20, 50, 100, 400)
+#: Steps of a part that are counted for each term, in one unit of it; parts are below K1 + 1.
+STEPS = 32
+#: Share of a search's postings that bounds must save from being scored to be used: below it one plain pass is cheaper.
+WORTHWHILE = 0.3
 #: Room for rounding between a bound and a score.
 MARGIN = 1e-6
 ANALYZERS = {"default": tx.tokens, "en_stem": stem.stemmed}
@@ -155,20 +157,20 @@ class TextIndex:
         """``id``, ``term``, ``tf``, ``size`` of the documents held now."""
         return self.current("postings").where("term <> ''").drop("step")
 
+    def vocabulary(self) -> DataFrame:
+        """``term`` of all documents held now."""
+        return self.postings().select("term").distinct() if self.step else self.rows("terms").select("term")
+
     def stats(self) -> DataFrame:
         """One row: ``n_docs`` and ``mean_size``."""
         return self.current("documents").agg(F.count("*").alias("n_docs"), F.avg("size").alias("mean_size"))
 
     def term_bounds(self) -> DataFrame:
-        """``term``, ``df``, and ``tops``: the parts of a score, less the term's weight, at the ``KEPT_PLACES`` that the term has."""
+        """``term``, ``df``, ``most`` (the largest part of a score, less the term's weight) and ``sizes``: how many documents have a
+        part of so many ``STEPS``. Aggregates that start in each task, so a frequent term is no single one's work."""
         parts = self.postings().crossJoin(F.broadcast(self.stats())).select("term", retrieval.term_part().alias("part"))  # one row
-        # The best of a term are found in groups first: a frequent term is no single task.
-        most = KEPT_PLACES[-1]
-        dealt = parts.withColumn("deal", F.pmod(F.hash(F.monotonically_increasing_id()), F.lit(32)))
-        cut = dealt.withColumn("place", F.row_number().over(Window.partitionBy("term", "deal").orderBy(F.desc("part")))).where(F.col("place") <= most)
-        placed = cut.withColumn("place", F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part")))).where(F.col("place").isin(*KEPT_PLACES))
-        tops = placed.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("place", "part"))).alias("tops"))
-        return parts.groupBy("term").agg(F.count("*").alias("df")).join(tops, "term")
+        steps = parts.groupBy("term", F.floor(F.col("part") * STEPS).cast("int").alias("step")).agg(F.count("*").alias("n"), F.max("part").alias("most"))
+        return steps.groupBy("term").agg(F.sum("n").alias("df"), F.max("most").alias("most"), F.sort_array(F.collect_list(F.struct("step", "n")), asc=False).alias("sizes"))
 
     def named(self, rows: DataFrame, names: list[str] | None) -> DataFrame:
         """``rows`` of these terms: a filter that the scan knows, so that it passes over row groups without them."""
@@ -183,7 +185,7 @@ class TextIndex:
         """The k best documents of each query; ids of ``exclude`` leave after ranking, so they shorten no list."""
         left_out = exclude.select("id").distinct() if exclude is not None else None
         depth = k + (left_out.count() if left_out is not None else 0)
-        if self.step or depth > KEPT_PLACES[-1]:
+        if self.step:
             scores = retrieval.scored(queries, self.postings(), self.stats(), self.words)
         else:
             scores = self.best_scores(queries, depth)
@@ -194,31 +196,32 @@ class TextIndex:
     def best_scores(self, queries: DataFrame, k: int) -> DataFrame:
         """``query_id``, ``id``, ``score`` of documents among which the k best of each query are."""
         work = store.Work(self.spark, "search")
-        asked = work.save(queries.select("query_id", F.explode(F.array_distinct(self.words(F.col("text")))).alias("term")), "asked")
+        asked = queries.select("query_id", F.explode(F.array_distinct(self.words(F.col("text")))).alias("term"))
         names = [r.term for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
         names = names if len(names) <= NAMED_TERMS else None
         bounds = self.named(self.rows("terms"), names).join(store.few(asked), "term").crossJoin(F.broadcast(self.stats()))  # one row
-        place = next(p for p in KEPT_PLACES if p >= k)
         weight = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        top = lambda p: weight * F.try_element_at("tops", F.lit(p))
-        own = bounds.select("query_id", "term", "mean_size", weight.alias("idf"), top(1).alias("bound"), top(place).alias("reached"))
+        # The least part of the k best documents of a term: sizes fall, and are counted until there are k.
+        start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("step"))
+        kth = F.aggregate("sizes", start, lambda acc, x: F.when(acc.n >= k, acc).otherwise(F.struct((acc.n + x.n).alias("n"), x.step.alias("step"))), lambda acc: F.when(acc.n >= k, acc.step / STEPS).otherwise(0.0))
+        own = bounds.select("query_id", "term", "df", "mean_size", weight.alias("idf"), (weight * F.col("most")).alias("bound"), (weight * kth).alias("reached"))
         rising = Window.partitionBy("query_id").orderBy("bound", "term")
-        reached = F.coalesce(F.max("reached").over(Window.partitionBy("query_id")), F.lit(0.0)) - MARGIN
+        reached = F.max("reached").over(Window.partitionBy("query_id")) - MARGIN
         upto = F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, 0))
         terms = work.save(own.withColumn("reached", reached).withColumn("upto", upto).withColumn("weak", F.col("upto") < F.col("reached")), "terms")
-        few = store.is_few(terms)
-        hint = F.broadcast if few else lambda df: df
+        about = terms.agg(F.count("*").alias("n"), F.sum("df").alias("all"), F.sum(F.when(F.col("weak"), F.col("df"))).alias("saved")).first()
+        hint = F.broadcast if about.n <= store.FEW_ROWS else lambda df: df
         postings = self.named(self.rows("postings").where("term <> ''").drop("step"), names)
-        strong = postings.join(hint(terms.where("not weak")), "term").select("query_id", "id", (F.col("idf") * retrieval.term_part()).alias("part"))
+        part = (F.col("idf") * retrieval.term_part()).alias("part")
+        if (about.saved or 0) < WORTHWHILE * (about["all"] or 1):
+            return postings.join(hint(terms.select("query_id", "term", "idf", "mean_size")), "term").select("query_id", "id", part).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        strong = postings.join(hint(terms.where("not weak").select("query_id", "term", "idf", "mean_size")), "term").select("query_id", "id", part)
         scores = strong.groupBy("query_id", "id").agg(F.sum("part").alias("score"))
-        if terms.where("weak").isEmpty():
-            return scores
         weak = terms.where("weak").groupBy("query_id").agg(F.max("upto").alias("rest"), F.max("reached").alias("reached"))
-        held = scores.join(hint(weak), "query_id", "left").where("rest is null or score + rest >= reached").select("query_id", "id", "score")
-        held = work.save(held, "held")
+        held = work.save(scores.join(hint(weak), "query_id", "left").where("rest is null or score + rest >= reached").select("query_id", "id", "score"), "held")
         wanted = held.select("query_id", "id").join(hint(terms.where("weak").select("query_id", "term", "idf", "mean_size")), "query_id")
         theirs = postings.join(hint(terms.where("weak").select("term").distinct()), "term", "left_semi")
-        more = theirs.join(wanted, ["id", "term"]).select("query_id", "id", (F.col("idf") * retrieval.term_part()).alias("score"))
+        more = theirs.join(wanted, ["id", "term"]).select("query_id", "id", part.alias("score"))
         return held.unionByName(more).groupBy("query_id", "id").agg(F.sum("score").alias("score"))
 
     def digest(self) -> str:

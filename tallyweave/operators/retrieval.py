@@ -188,10 +188,14 @@ def transposed(word: Column) -> Column:
 
 
 def edits_up_to_two(a: Column, b: Column) -> Column:
-    """Edits between two words, where a transposition is one; over two may be given as more than they are."""
-    swapped = lambda x, y: F.coalesce(F.array_min(F.transform(transposed(x), lambda w: F.levenshtein(w, y))), F.lit(99)) + 1
-    twice = F.when(F.arrays_overlap(transposed(a), transposed(b)), 2).otherwise(99)
-    return F.least(F.levenshtein(a, b), F.when(a != b, F.least(swapped(a, b), swapped(b, a), twice)).otherwise(0))
+    """Edits between two words, where a transposition is one; over two may be given as more than they are.
+
+    Each transposition is two edits without it, so words over four of those apart need no look at transpositions.
+    """
+    near = lambda x, y: F.exists(transposed(x), lambda w: F.levenshtein(w, y, 1).between(0, 1))
+    plain = F.levenshtein(a, b, 4)
+    two = F.when(near(a, b) | near(b, a) | F.arrays_overlap(transposed(a), transposed(b)), 2).otherwise(99)
+    return F.when(plain.between(0, 1), plain).when(plain == 2, F.when((F.length(a) == F.length(b)) & F.array_contains(transposed(a), b), 1).otherwise(2)).when(plain > 2, two).otherwise(99)
 
 
 def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
@@ -213,11 +217,11 @@ def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame, distance: int = 2, leas
     return found.withColumn("weight", F.lit(FUZZY_WEIGHT))
 
 
-def fuzzy_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, distance: int = 2, least: int = 5) -> DataFrame:
+def fuzzy_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, distance: int = 2, least: int = 5, vocabulary: DataFrame | None = None) -> DataFrame:
     """BM25, and ``FUZZY_WEIGHT`` more for each long term of the query that the document holds or holds a term near to."""
     asked = queries.select("query_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("query_term")).where(F.length("query_term") >= least)
     words = asked.select(F.col("query_term").alias("term")).distinct()
-    near = fuzzy_terms(words, index.select("term").distinct(), distance, least).select("query_term", "term").union(words.selectExpr("term AS query_term", "term"))
+    near = fuzzy_terms(words, vocabulary if vocabulary is not None else index.select("term").distinct(), distance, least).select("query_term", "term").union(words.selectExpr("term AS query_term", "term"))
     extra = index.select("id", "term").join(store.few(asked.join(near, "query_term").select("query_id", "query_term", "term")), "term")
     extra = extra.select("query_id", "query_term", "id").distinct().groupBy("query_id", "id").agg((F.count("*") * FUZZY_WEIGHT).alias("extra"))
     both = scored(queries, index, stats).join(extra, ["query_id", "id"], "full")

@@ -98,13 +98,13 @@ def exact_weight_search(spark, d):
 def fuzzy_vocabulary_expand(spark, d):
     """Terms of the benchmark against all terms of the documents."""
     asked = base.benchmark(spark, d).select(F.explode(tx.tokens(F.col("text"))).alias("term")).distinct()
-    return retrieval.fuzzy_terms(asked, base.text_index(spark, d).postings().select("term").distinct())
+    return retrieval.fuzzy_terms(asked, base.text_index(spark, d).vocabulary())
 
 
 @query
 def fuzzy_search(spark, d):
     index = base.text_index(spark, d)
-    return rounded(retrieval.top(retrieval.fuzzy_scores(base.benchmark(spark, d), index.postings(), index.stats()), 10)).select("query_id", "id", "score", "rank")
+    return rounded(retrieval.top(retrieval.fuzzy_scores(base.benchmark(spark, d), index.postings(), index.stats(), vocabulary=index.vocabulary()), 10)).select("query_id", "id", "score", "rank")
 
 
 @query
