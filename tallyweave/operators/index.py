@@ -138,9 +138,11 @@ class TextIndex:
 
     def write_postings(self, rows: DataFrame) -> None:
         """In ranges of (term, id), so that a frequent term is dealt to several files. Ranges are drawn from a written table."""
-        counted = store.Work(self.spark, "postings").save(rows, "counted")
+        work = store.Work(self.spark, "postings")
+        counted = work.save(rows, "counted")
         ordered = counted.repartitionByRange("term", "id").sortWithinPartitions("term", "id").write.mode("append").option("compression", "zstd")
         ordered.option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.root}/postings")
+        work.delete()
 
     def rows(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}")

@@ -83,20 +83,23 @@ class Pages:
         ranged.write.partitionBy("_range").option("compression", "zstd").parquet(self.path)
         self.rows = results.sparkSession.read.parquet(self.path)
         counts = self.rows.groupBy("_range", "status").count().collect()  # ranges times statuses
-        self.counts = sorted((r._range, r.status, r["count"]) for r in counts)
+        self.counts = [(r._range, r.status, r["count"]) for r in counts]
 
     def page(self, offset: int, limit: int, status: str | None = None) -> DataFrame:
         """A page in order, of one status if it is given, with the total and where the next page starts (null at the end)."""
         if not 1 <= limit <= 200 or offset < 0:
             raise ValueError("a page has 1 to 200 rows, from offset 0 on")
-        before, total, needed = None, 0, []
+        sizes: dict[int, int] = {}
         for at, own, n in self.counts:
             if status is None or own == status:
-                if total < offset + limit and total + n > offset:
-                    before = total if before is None else before
-                    needed.append(at)
-                total += n
-        rows = self.rows.where(F.col("_range").isin(sorted(set(needed))) if needed else F.lit(False))
+                sizes[at] = sizes.get(at, 0) + n
+        before, total, needed = None, 0, []
+        for at in sorted(sizes):
+            if total < offset + limit and total + sizes[at] > offset:
+                before = total if before is None else before
+                needed.append(at)
+            total += sizes[at]
+        rows = self.rows.where(F.col("_range").isin(needed) if needed else F.lit(False))
         if status is not None:
             rows = rows.where(F.col("status") == status)
         found = rows.orderBy(self.order).offset(offset - (before or 0)).limit(limit).select(*self.columns)
