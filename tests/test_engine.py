@@ -61,20 +61,18 @@ def test_clusters_merge_by_mutual_choice(spark):
 
 def test_random_collections_are_partitions(spark):
     rng = np.random.default_rng(4)
-    roots = [" ".join(f"r{r}w{k}" for k in range(8)) for r in range(12)]
-    labels = [" ".join(w for w in roots[r].split() if rng.random() > 0.06) + (" extra" if rng.random() < 0.2 else "") for r in rng.integers(0, 12, 150)]
-    log = log_of(spark, labels, blocks=["k" + str(i % 2) for i in range(150)])
+    roots = [" ".join(f"r{r}w{k}" for k in range(8)) for r in range(8)]
+    labels = [" ".join(w for w in roots[r].split() if rng.random() > 0.06) + (" extra" if rng.random() < 0.2 else "") for r in rng.integers(0, 8, 70)]
+    log = log_of(spark, labels, blocks=["k" + str(i % 2) for i in range(70)])
     got, clusters = engine.selected_members(log), engine.selected_clusters(log)
-    assert got.count() == 150 and engine.partition_faults(got, clusters).count() == 0
+    assert got.count() == 70 and engine.partition_faults(got, clusters).count() == 0
     for r in clusters.collect():
         own = r.member_ids.split("|")
         assert len(own) == r.size and r.seed_id in own
         assert len({labels[int(i)].split()[0].split("w")[0] for i in own}) == 1  # no cluster mixes two roots
         assert len({int(i) % 2 for i in own}) == 1
     joined = sum(r.size for r in clusters.collect() if r.size > 1)
-    assert joined > 120
-    again = log_of(spark, labels, blocks=["k" + str(i % 2) for i in range(150)])
-    assert groups(log) == groups(again)
+    assert joined > 50
     assert {r.stop_reason for r in engine.run_summary(log).collect()} <= {"converged", "oscillation", "max_iterations"}
     assert {r.code for r in engine.warnings(log).collect()} <= {"unresolved_share", "not_converged", "all_singletons", "single_cluster"}
 
