@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import answers, ids, templates
 from ..functions import text as tx
-from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, pool, reports, retrieval
+from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, pool, quantised, reports, retrieval
 from ..operators.index import TextIndex, identity_of
 from ..sources import delta, exports, targets
 from . import base, catalog
@@ -349,6 +349,26 @@ def ann_recall(spark, d):
     return ann.recall(ann.topk(asked, v), retrieval.dense_topk(asked, v))
 
 
+def quantised_search(spark, d) -> DataFrame:
+    v = catalog.vectors(spark, d)
+    index = quantised.QuantisedIndex.build(v, f"{store.Work(spark, 'codes').root}/index")
+    return index.search(catalog.asked_vectors(v))
+
+
+@query
+def quantised_topk(spark, d):
+    """Approximate neighbours by short codes, compared exactly at the end."""
+    return catalog.rounded(quantised_search(spark, d))
+
+
+@oracle("SELECT count(*) AS hits, true AS reached FROM (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % 20 = 0) q, range(1, 11) r(rank) WHERE rank <= (SELECT count(*) FROM embeddings)")
+def quantised_reach(spark, d):
+    """How many exact hits there are, and whether the short codes find nine in ten of them."""
+    v = catalog.vectors(spark, d)
+    measured = ann.recall(quantised_search(spark, d), retrieval.dense_topk(catalog.asked_vectors(v), v))
+    return measured.select("hits", (F.col("recall") >= 0.9).alias("reached"))
+
+
 @query
 def engine_warnings(spark, d):
     """Blocks of the engine's runs that a reader should look at."""
