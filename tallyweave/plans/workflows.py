@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import answers, ids, templates
 from ..functions import text as tx
-from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, pool, quantised, reports, retrieval
+from ..operators import ann, batch, cluster, decide, engine, evaluate, ledger, matcher, pool, quantised, reports, responses, retrieval
 from ..operators.index import TextIndex, identity_of
-from ..sources import delta, exports, targets
+from ..sources import delta, exports, rdf, targets
 from . import base, catalog
 from .oracles import ALL, CAND, DOCS, DOT, GOLD, ITEMS, LOGS, METRICS, OVERLAP, PAIRS, QUERY_VECTORS, RANK, RESULTS, bm25
 from .registry import ORACLES, query
@@ -522,3 +522,50 @@ def vector_pool(spark, d):
     asked = catalog.asked_vectors(catalog.vectors(spark, d))
     found = held.search(asked, 10, asked.select("query_id", F.col("query_id").alias("id")))
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "rank")
+
+
+#: Parts as classes: how they are written, and the rows that reading them gives.
+PART_CLASSES = """
+WITH p AS (SELECT concat('P:', p_partkey) AS id, p_name AS label, array_to_string(list_sort(list_distinct(string_split(p_type, ' '))), '|') AS synonyms, concat('"', p_brand, '" ', chr(92), ' ', p_type) AS definition,
+  concat('S:', p_size) AS parents, p_size > 45 AS obsolete FROM part)
+SELECT 'nt' AS syntax, * FROM p UNION ALL SELECT 'turtle', * FROM p
+"""
+
+
+@oracle(PART_CLASSES)
+def ontology_syntaxes(spark, d):
+    """Parts as an ontology, written as N-Triples (in any order) and as Turtle, and read back as classes."""
+    iri = lambda kind, column: F.concat(F.lit(f"<{rdf.NAMESPACES['obo']}{kind}_"), F.col(column).cast("string"), F.lit(">"))
+    quoted = lambda text: F.concat(F.lit('"'), F.regexp_replace(text, r'(["\\\\])', r"\\$1"), F.lit('"'))
+    at = lambda name: F.lit(f"<{rdf.address(name)}>")
+    said = F.concat(
+        F.array(F.struct(at("rdf:type").alias("p"), at("owl:Class").alias("o")), F.struct(at("rdfs:label").alias("p"), quoted(F.col("p_name")).alias("o")), F.struct(at("rdfs:subClassOf").alias("p"), iri("S", "p_size").alias("o")),
+                F.struct(at("obo:IAO_0000115").alias("p"), quoted(F.concat(F.lit('"'), "p_brand", F.lit('" \\ '), "p_type")).alias("o")), F.struct(at("owl:deprecated").alias("p"), F.when(F.col("p_size") > 45, '"true"').otherwise('"false"').alias("o"))),
+        F.transform(F.split("p_type", " "), lambda w: F.struct(at("oboInOwl:hasExactSynonym").alias("p"), quoted(w).alias("o"))),
+    )
+    parts = base.table(spark, d, "part").select(iri("P", "p_partkey").alias("s"), said.alias("said"))
+    folder = store.Work(spark, "ontology").root
+    lines = parts.select("s", F.explode("said").alias("t")).select(F.concat_ws(" ", "s", "t.p", "t.o", F.lit(".")).alias("value"))
+    lines.repartition(8, F.xxhash64("value")).write.text(f"{folder}/nt")
+    parts.select(F.concat("s", F.lit("\n  "), F.array_join(F.transform("said", lambda t: F.concat_ws(" ", t.p, t.o)), " ;\n  "), F.lit(" .\n")).alias("value")).write.text(f"{folder}/turtle")
+    read = [rdf.rdf_records(spark, f"{folder}/{x}", x, include_obsolete=True).select(F.lit(x).alias("syntax"), "id", "label", F.array_join("synonyms", "|").alias("synonyms"), "definition", F.array_join("parents", "|").alias("parents"), "obsolete") for x in rdf.READERS]
+    return read[0].unionByName(read[1])
+
+
+@oracle("""
+WITH e AS (SELECT event_id AS seq, event_type AS t, concat(event_type, ' ', user_id % 40) AS req FROM events),
+m1 AS (SELECT req, min(seq) AS f, row_number() OVER (ORDER BY min(seq), req) AS r FROM e WHERE t IN ('view', 'click') GROUP BY req), c1 AS (SELECT * FROM m1 WHERE r <= 120),
+m2 AS (SELECT req, min(seq) AS f, row_number() OVER (ORDER BY min(seq), req) AS r FROM e WHERE req NOT IN (SELECT req FROM c1) GROUP BY req), c2 AS (SELECT * FROM m2 WHERE r <= 120 - (SELECT count(*) FROM c1)),
+a AS (SELECT 1 AS pass, CASE WHEN c.req IS NULL THEN 'refused' WHEN seq = f THEN 'call' ELSE 'shared' END AS answer, c.req FROM e LEFT JOIN c1 c ON c.req = e.req WHERE t IN ('view', 'click')
+  UNION ALL SELECT 2, CASE WHEN k.req IS NOT NULL THEN 'cached' WHEN c.req IS NULL THEN 'refused' WHEN seq = c.f THEN 'call' ELSE 'shared' END, coalesce(k.req, c.req) FROM e LEFT JOIN c1 k ON k.req = e.req LEFT JOIN c2 c ON c.req = e.req)
+SELECT pass, answer, count(*) AS n, count(DISTINCT req) AS requests, coalesce(sum(length(req) + 3), 0)::BIGINT AS characters FROM a GROUP BY ALL
+""")
+def stored_responses(spark, d):
+    """Two passes of requests over one stored cache and one budget of 120 calls: what was asked, shared, kept and refused."""
+    rows = base.select(spark, d, "SELECT event_id AS seq, event_type, concat(event_type, ' ', user_id % 40) AS user FROM {events}").withColumn("request_key", responses.request_key("upper case", "user"))
+    folder = store.Work(spark, "responses").root
+    cache, budget = responses.ResponseCache(spark, f"{folder}/cache"), responses.CallBudget(spark, f"{folder}/budget", 120)
+    model = lambda asked: asked.select("request_key", F.concat(F.lit("re "), F.upper("user")).alias("response"))
+    first = cache.answered(rows.where("event_type in ('view', 'click')"), model, budget, "first").withColumn("pass", F.lit(1))
+    both = first.unionByName(cache.answered(rows, model, budget, "second").withColumn("pass", F.lit(2)))
+    return both.groupBy("pass", "answer").agg(F.count("*").alias("n"), F.count_distinct("response").alias("requests"), F.coalesce(F.sum(F.length("response")), F.lit(0)).cast("long").alias("characters"))
