@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .decide import derive_status
+
 
 def ratio(a: Column, b: Column, digits: int = 4) -> Column:
     return F.round(F.try_divide(a.cast("double"), b.cast("double")), digits)
@@ -81,6 +85,42 @@ def transitions(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "source_id").groupBy("status_before", "status_after").agg(F.count("*").alias("n"))
 
 
+def gold_outcome() -> Column:
+    """On judged rows: how a result stands to what is known of its source."""
+    s = F.col("status")
+    said = F.when(s == "matched", F.when(F.col("correct"), "accepted_correct").otherwise("accepted_wrong"))
+    said = said.when(s == "unmatched", F.when(F.col("no_match"), "correct_no_match").otherwise("incorrect_no_match"))
+    return F.when(F.col("labelled"), said.when(s == "needs_review", "review").otherwise("failed")).otherwise("unlabelled")
+
+
+#: Fields of a policy that judge the evidence of attempts and don't gather any: only these can be replayed.
+REPLAYED = ("accept_at", "review_floor")
+
+
+def refuse_unrecorded(recorded, proposed) -> None:
+    """Refuses a policy that would have asked other things than the recorded one did."""
+    if type(recorded) is not type(proposed):
+        raise ValueError("another kind of policy needs calls that were not recorded")
+    changed = [f.name for f in fields(recorded) if f.name not in REPLAYED and getattr(recorded, f.name) != getattr(proposed, f.name)]
+    if changed:
+        raise ValueError(f"these changes need calls that were not recorded: {', '.join(changed)}")
+
+
+def replay(attempts: DataFrame, gold: DataFrame, recorded, proposed) -> DataFrame:
+    """``matrix`` (``status`` or ``gold``), ``before``, ``after``, ``n``: what recorded attempts come to under another policy.
+
+    Both policies are applied to the attempts in one plan each, and meet by source in one join.
+    """
+    refuse_unrecorded(recorded, proposed)
+
+    def told(policy, name: str) -> DataFrame:
+        results = derive_status(attempts, accept_at=policy.accept_at, review_floor=policy.review_floor)
+        return judged(results, gold).select("source_id", F.array(F.struct(F.lit("status").alias("matrix"), F.col("status").alias("to")), F.struct(F.lit("gold").alias("matrix"), gold_outcome().alias("to"))).alias(name))
+
+    both = told(recorded, "a").join(told(proposed, "b"), "source_id").select(F.explode(F.arrays_zip("a", "b")).alias("x"))
+    return both.groupBy(F.col("x.a.matrix").alias("matrix"), F.col("x.a.to").alias("before"), F.col("x.b.to").alias("after")).agg(F.count("*").alias("n"))
+
+
 def deal_holdout(rows: DataFrame, draw_value: Column, ranges: int = 1024) -> DataFrame:
     """Alternate rows in order of their draw: halves that differ by one at most.
 
@@ -105,7 +145,7 @@ def fit_grid(rows: DataFrame, accept: list[float], choose: list[float], target:
 
 def recommended(grid: DataFrame) -> DataFrame:
     """Of the pairs that reach the target, that with most accepted; of equals, the stricter."""
-    return grid.where("good").agg(F.max_by(F.struct("accept_at", "choose_at", "accepted", "precision"), F.struct("accepted", "accept_at", "choose_at")).alias("r")).select("r.*")
+    return grid.where("good").agg(F.max_by(F.struct("accept_at", "choose_at", "accepted", "precision"), F.struct("accepted", "accept_at", "choose_at")).alias("r")).where("r is not null").select("r.*")
 
 
 def pairs_in(n: Column) -> Column:

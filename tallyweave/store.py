@@ -8,11 +8,11 @@ import tempfile
 import uuid
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join is broadcast.
-FEW_ROWS = 200_000
+#: Rows up to which a side of a join is broadcast, and bytes of what they hold.
+FEW_ROWS, FEW_BYTES = 200_000, 128 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -109,10 +109,24 @@ def content_mark(spark: SparkSession, path: str) -> str:
     return "|".join(sorted(out))
 
 
-def is_few(df: DataFrame, most: int = FEW_ROWS) -> bool:
-    return df.limit(most + 1).count() <= most
+def held_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds: texts as they are, nested columns as JSON, numbers as eight."""
+    size = F.lit(0).cast("long")
+    for field in df.schema.fields:
+        column, kind = F.col(f"`{field.name}`"), field.dataType.typeName()
+        if kind in ("array", "map", "struct"):
+            column = F.to_json(F.struct(column))
+        fixed = kind not in ("array", "map", "struct", "string", "binary", "char", "varchar")
+        size = size + (F.lit(8) if fixed else F.coalesce(F.octet_length(column), F.lit(0)))
+    return size
 
 
-def few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
-    """The table, to be broadcast if it is counted to have ``most`` rows at most."""
-    return F.broadcast(df) if is_few(df, most) else df
+def is_few(df: DataFrame, most: int = FEW_ROWS, most_bytes: int = FEW_BYTES) -> bool:
+    """Whether a table is small enough to be sent to every task, by rows and by bytes; no more than ``most`` rows are looked at."""
+    rows, held = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(held_bytes(df)), F.lit(0))).first()
+    return rows <= most and held <= most_bytes
+
+
+def few(df: DataFrame, most: int = FEW_ROWS, most_bytes: int = FEW_BYTES) -> DataFrame:
+    """The table, to be broadcast if it is counted to have ``most`` rows and ``most_bytes`` bytes at most."""
+    return F.broadcast(df) if is_few(df, most, most_bytes) else df
