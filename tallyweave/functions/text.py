@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -221,10 +222,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once a row, however often and in whichever loop it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def unit(v: Column) -> Column:
     """The vector over its length; zero stays zero."""
-    size = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    scaled = lambda v, size: F.transform(v, lambda x: F.when(size > 0, x.cast("double") / size).otherwise(0.0))
+    return named(v, lambda v: named(F.sqrt(dot(v, v)), lambda size: scaled(v, size)))
 
 
 def shaped(v: Column, dimensions: int) -> Column:

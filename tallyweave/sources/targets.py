@@ -128,8 +128,8 @@ def vector_rows(records: DataFrame, names: Column, body: Column) -> DataFrame:
 def hashed_vector(text: Column, dimensions: int) -> Column:
     """A vector of a text without a model: each token adds to the place that its hash names; of length one, or zero."""
     places = F.transform(tx.tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(dimensions)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
-    return tx.encoded_text(text, tx.unit(counts), dimensions)
+    counts = lambda places: F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda k: F.size(F.filter(places, lambda p: p == k)).cast("double"))
+    return tx.encoded_text(text, tx.unit(tx.named(places, counts)), dimensions)
 
 
 def encoded(rows: DataFrame, encoder: Callable[[Column], Column] | None = None, dimensions: int = 64) -> DataFrame:
