@@ -387,7 +387,7 @@ def decider_match_rewriting(spark, d):
 @query
 def stemmed_search(spark, d):
     """BM25 over English stems: an index of its own."""
-    index = TextIndex.build(base.documents(spark, d), f"{store.Work(spark, 'stems').root}/index", identity_of("en_stem"))
+    index = TextIndex.build(base.documents(spark, d), f"{store.Work(spark, 'stems').root}/index", identity_of("en_stem"), inverted=False)
     return catalog.rounded(index.search(base.benchmark(spark, d), 10))
 
 

@@ -2,7 +2,10 @@
 
 import math
 
+from pyspark.sql import functions as F
+
 from tallyweave.operators import retrieval
+from tallyweave.operators.index import TextIndex, identity_of
 from tallyweave.sources import targets
 
 
@@ -40,3 +43,29 @@ def test_equal_texts_are_scored_once_and_told_apart_again(spark, monkeypatch):
     assert [got[0][k][0] for k in range(1, 8)] == [0, 3, 6, 9, 12, 15, 18] and [got[1][k][0] for k in range(1, 8)] == [1, 2, 4, 5, 7, 8, 10]
     idf = lambda df, n=300: math.log(1 + (n - df + 0.5) / (df + 0.5))
     assert got[57][1][1] == round(idf(200) + idf(100) + 10 * idf(100), 6) and got[58][1][1] == round(idf(200), 6)
+
+
+def test_searches_of_few_terms_shuffle_no_pairs(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j) % 90}" for j in range(30))) for i in range(400)], "id long, text string")
+    asked = spark.createDataFrame([(q, " ".join(f"w{(q + j) % 90}" for j in range(80))) for q in range(20)], "query_id long, text string")
+    index = TextIndex.build(docs, str(tmp_path), identity_of(table="x"), inverted=False)
+    assert not (tmp_path / "generation0" / "postings").exists()
+    again = TextIndex.open(spark, str(tmp_path), identity_of(table="x"))
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    near = again.search(asked, 5)
+    assert rows(near) == rows(retrieval.top(retrieval.scored(asked, index.postings(), index.stats()), 5))
+    assert "Join" not in optimised(near) and "Aggregate" not in optimised(near)
+    shared = retrieval.overlap_top(asked, again.documents(), 5)
+    assert rows(shared) == rows(retrieval.top(retrieval.overlap_scores(asked, index.postings()), 5))
+    assert "Join" not in optimised(shared) and "Aggregate" not in optimised(shared)
+
+
+def test_fuzzy_and_exact_forms_score_as_by_joins(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "Anvils and bolts"), (2, "anvil anvil bolt"), (3, "ANVIL  bolts"), (4, "nothing"), (5, None), (6, "anvul boltz")], "id long, text string")
+    asked = spark.createDataFrame([(7, "anvil bolts"), (8, "anvils"), (9, "")], "query_id long, text string")
+    index = TextIndex.build(docs, str(tmp_path), identity_of(table="x"), inverted=False)
+    rows = lambda df: sorted((r.query_id, r["rank"], r.id, round(r.score, 9)) for r in df.collect())
+    want = retrieval.top(retrieval.fuzzy_scores(asked, index.postings(), index.stats(), vocabulary=index.vocabulary()), 3)
+    assert rows(retrieval.fuzzy_top(asked, index.documents(), index.vocabulary(), 3)) == rows(want)
+    got = {(r.query_id, r["rank"]): (r.id, r.is_exact) for r in retrieval.exact_first(asked, docs.withColumn("forms", F.array("text")), 2).collect()}
+    assert got[7, 1] == (3, 1) and got[7, 2][1] == 0 and got[8, 1] == (1, 0)
