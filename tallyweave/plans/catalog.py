@@ -26,7 +26,7 @@ def candidates(spark: SparkSession, d: str, k: int) -> DataFrame:
 def two_lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
     """Two retrievers over whole texts: BM25, and the overlap of tokens. Both read the stored index."""
     index, asked = base.text_index(spark, d), base.benchmark(spark, d)
-    overlap = retrieval.top(retrieval.overlap_scores(asked, index.postings()), k).select("query_id", "id", "score", "rank")
+    overlap = retrieval.overlap_top(asked, index.documents(), k)
     return index.search(asked, k).withColumn("retriever", F.lit("bm25")).unionByName(overlap.withColumn("retriever", F.lit("overlap")))
 
 
