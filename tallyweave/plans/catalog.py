@@ -32,7 +32,8 @@ def two_lists(spark: SparkSession, d: str, k: int = 20) -> DataFrame:
 
 def holders(spark: SparkSession, d: str) -> DataFrame:
     """``query_id``, ``id`` of the documents that hold a benchmark text."""
-    return retrieval.holding(base.benchmark(spark, d), base.documents(spark, d), base.text_index(spark, d).postings())
+    index = base.text_index(spark, d)
+    return retrieval.holding(base.benchmark(spark, d), base.documents(spark, d), index.postings(), index.documents())
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
