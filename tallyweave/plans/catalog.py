@@ -105,7 +105,7 @@ def fuzzy_vocabulary_expand(spark, d):
 @query
 def fuzzy_search(spark, d):
     index = base.text_index(spark, d)
-    return rounded(retrieval.top(retrieval.fuzzy_scores(base.benchmark(spark, d), index.postings(), index.stats(), vocabulary=index.vocabulary()), 10)).select("query_id", "id", "score", "rank")
+    return rounded(retrieval.fuzzy_top(base.benchmark(spark, d), index.documents(), index.vocabulary(), 10)).select("query_id", "id", "score", "rank")
 
 
 @query
@@ -116,7 +116,7 @@ def index_upkeep(spark, d):
     sources = sorted(r.source for r in docs.select("source").distinct().where("source is not null").collect())  # a short list of sources
     half = sources[: len(sources) // 2]
     rows = docs.select(F.col("doc_id").alias("id"), "text", "source")
-    index = TextIndex.build(rows.where(part.isin(half)), f"{store.Work(spark, 'upkeep').root}/index", identity_of(table="documents"))
+    index = TextIndex.build(rows.where(part.isin(half)), f"{store.Work(spark, 'upkeep').root}/index", identity_of(table="documents"), inverted=False)
     index.add(rows.where(~part.isin(half) | part.isNull()))
     index.add(rows.where(part.isin(half[:1])).withColumn("text", F.upper("text")))
     index.remove(base.table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("id")))
@@ -189,7 +189,7 @@ def budget_prefix(spark, d):
 
 @query
 def shortlist(spark, d):
-    return rounded(retrieval.shortlist(retrieval.bm25_scores(base.benchmark(spark, d), base.documents(spark, d)), 15, 20.0)).select("query_id", "id", "score", "rank")
+    return rounded(retrieval.shortlist(candidates(spark, d, 15).drop("rank"), 15, 20.0)).select("query_id", "id", "score", "rank")
 
 
 @query
