@@ -174,7 +174,8 @@ def overlaps(spark, d):
 
 def sized(spark, d):
     text = base.documents(spark, d).select("id", F.length("text").alias("size"))
-    return candidates(spark, d, 12).join(text, "id")
+    hits = store.Work(spark, "sized").save(candidates(spark, d, 12), "hits")  # read twice: to be counted, and to be joined
+    return text.join(store.few(hits), "id").select("query_id", "id", "score", "rank", "size")
 
 
 @query

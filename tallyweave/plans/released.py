@@ -106,5 +106,6 @@ w AS (SELECT query_id, max(per) AS per FROM (SELECT query_id, per, max(total) AS
 SELECT query_id, rank, ((rank - 1) // per)::INTEGER AS chunk FROM c JOIN w USING (query_id)""")
 def screen_chunks(spark, d):
     """The candidates of each benchmark text in chunks of eight at most that hold 4,000 characters at most, if one alone doesn't pass that."""
-    ranked = catalog.candidates(spark, d, 20).select("query_id", "id", "rank").join(base.documents(spark, d), "id")
+    hits = store.Work(spark, "chunks").save(catalog.candidates(spark, d, 20).select("query_id", "id", "rank"), "hits")  # read twice: to be counted, and to be joined
+    ranked = base.documents(spark, d).join(store.few(hits), "id")
     return reports.chunked(ranked, F.length("text"), 8, 4000).select("query_id", "rank", "chunk")
