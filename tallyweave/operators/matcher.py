@@ -92,7 +92,8 @@ def attempt(frontier: DataFrame, targets: DataFrame, search: Callable[[DataFrame
     hits = search(named.select("query_id", F.col("query").alias("text")), policy.candidates).select("query_id", F.col("id").cast("string").alias("id"), "rank")
     votes = hits.select(F.substring_index("query_id", "\n", 1).alias("query_id"), "id", F.concat(F.lit("line"), F.substring_index("query_id", "\n", -1)).alias("retriever"), "rank")
     fused = retrieval.top(retrieval.fuse(votes), policy.candidates * 4)
-    shown = fused.join(targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate")), "id")
+    fused = store.Work(frontier.sparkSession, "hits").save(fused, "fused")  # read twice: to be counted, and to be joined
+    shown = targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate")).join(store.few(fused), "id")
     ranked = shown.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
     kept = retrieval.within_budget(ranked, F.length("candidate"), policy.candidates, policy.chars)
     rows = asked.join(kept.withColumnRenamed("query_id", "source_id"), "source_id", "left")
@@ -216,7 +217,8 @@ def lexical_decider(rewrites: Callable[[Column], Column] | None = None) -> Decid
 def screened(asked: DataFrame, hits: DataFrame, targets: DataFrame, model: Decider) -> DataFrame:
     """``source_id``, ``id``, ``rank``, ``p`` of each candidate that is screened."""
     shown = hits.where(F.col("rank") <= model.max_candidates).select(F.col("query_id").alias("source_id"), F.col("id").cast("string").alias("id"), "rank")
-    rows = shown.join(targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate")), "id").join(asked.select(F.col("source_id").cast("string").alias("source_id"), "text"), "source_id")
+    shown = store.Work(asked.sparkSession, "hits").save(shown, "shown")  # read twice: to be counted, and to be joined
+    rows = targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate")).join(store.few(shown), "id").join(asked.select(F.col("source_id").cast("string").alias("source_id"), "text"), "source_id")
     return rows.select("source_id", "id", "rank", model.screen(F.col("text"), F.col("candidate")).alias("p"))
 
 
@@ -246,7 +248,8 @@ def decide_sources(sources: DataFrame, targets: DataFrame, search: Callable[[Dat
     short = retrieval.top(seen.withColumnRenamed("p", "score").drop("rank").join(seen.select("source_id", "id", F.col("rank").alias("place")), ["source_id", "id"]), model.shortlist, ("source_id",), "place").where(F.col("score") >= model.shortlist_floor)
     open_ = short.join(counted.where(F.col("screen_best") >= decide.SCREEN_FLOOR).select("source_id"), "source_id", "left_semi")
     choice = decide.overlap_choice(open_.select(F.col("source_id").alias("query_id"), "id", "rank", F.col("score").alias("overlap"))).withColumnRenamed("query_id", "source_id")
-    texts = targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate"))
+    choice = work.save(choice, "choice")
+    texts = targets.select(F.col("id").cast("string").alias("id"), F.col("text").alias("candidate")).join(store.few(choice.select("id").distinct()), "id", "left_semi")
     gated = choice.join(texts, "id", "left").join(asked, "source_id").join(seen.select("source_id", "id", F.col("p").alias("screen_chosen")), ["source_id", "id"], "left")
     s, t = F.col("text"), F.col("candidate")
     some = F.col("id").isNotNull()
