@@ -130,3 +130,8 @@ def is_few(df: DataFrame, most: int = FEW_ROWS, most_bytes: int = FEW_BYTES) ->
 def few(df: DataFrame, most: int = FEW_ROWS, most_bytes: int = FEW_BYTES) -> DataFrame:
     """The table, to be broadcast if it is counted to have ``most`` rows and ``most_bytes`` bytes at most."""
     return F.broadcast(df) if is_few(df, most, most_bytes) else df
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The table as a side of a join that shuffles: Spark would send it by the driver to every task where its files look small, and small files can hold much."""
+    return df.hint("merge")

@@ -4,7 +4,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from tallyweave.operators import retrieval
+from tallyweave import store
+from tallyweave.operators import engine, retrieval
 from tallyweave.operators.index import TextIndex, identity_of
 from tallyweave.sources import targets
 
@@ -69,3 +70,15 @@ def test_fuzzy_and_exact_forms_score_as_by_joins(spark, tmp_path):
     assert rows(retrieval.fuzzy_top(asked, index.documents(), index.vocabulary(), 3)) == rows(want)
     got = {(r.query_id, r["rank"]): (r.id, r.is_exact) for r in retrieval.exact_first(asked, docs.withColumn("forms", F.array("text")), 2).collect()}
     assert got[7, 1] == (3, 1) and got[7, 2][1] == 0 and got[8, 1] == (1, 0)
+
+
+def test_rounds_of_clustering_send_no_table_by_the_driver(spark, monkeypatch):
+    joins, save = [], store.Work.save
+    sent = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+    monkeypatch.setattr(store.Work, "save", lambda self, df, name: (joins.extend((name, x) for x in sent(df) if "/engine-" in self.root), save(self, df, name))[1])
+    labels = ["red cat big fat one", "red cat big fat two", "red cat big fat", "blue dog", "blue dog", "a b c d e f g", "a b c d e x y"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(labels)], "id string, label string")
+    log = engine.cluster_blocks(rows, F.lit("b"), settings=engine.Settings(max_refine_iterations=1))
+    joins += [(f.__name__, x) for f in (engine.selected_members, engine.selected_clusters, engine.run_summary) for x in sent(f(log))]
+    # Lists of blocks, and terms of a search, are counted to be few before they are sent.
+    assert joins and not [x for x in joins if not ("[block#" in x[1] and "LeftSemi" in x[1] or "[term#" in x[1])]
