@@ -96,21 +96,40 @@ def dense(raw: bytes) -> np.ndarray:
     return out
 
 
+def blocks(shares: np.ndarray | list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """Some rows after the others, with the place of the first."""
+    for i in range(0, len(shares), BLOCK_ROWS):
+        some = shares[i : i + BLOCK_ROWS]
+        yield i, some if isinstance(some, np.ndarray) else np.array([dense(r) for r in some])
+
+
 class Voters:
     """The fitted space and the labelled vectors in it."""
 
-    def __init__(self, shares: np.ndarray, labels: np.ndarray, class_sizes: dict[int, int]) -> None:
+    def __init__(self, shares: np.ndarray | list[bytes], labels: np.ndarray, class_sizes: dict[int, int]) -> None:
+        """``shares`` as an array, or as ``sparse`` rows: then one dense table of them is held at a time, and none beside the eigenvectors' work."""
         total = sum(class_sizes.values())
         self.prior = class_sizes.get(1, 0) / total if total else 0.5
-        self.idf = np.log((1 + len(shares)) / (1 + (shares > 0).sum(axis=0))).astype(np.float32) + 0.1
-        weighted = self.weighted(shares)
-        values, vectors = np.linalg.eigh(weighted.T @ weighted)
-        self.axes = vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
+        self.idf = np.log((1 + len(shares)) / (1 + sum(((x > 0).sum(axis=0) for _, x in blocks(shares)), np.zeros(TERMS, np.int64)))).astype(np.float32) + 0.1
+        self.axes = self.fitted(shares)
         self.labels = labels.astype(np.float32)
-        self.vectors = unit(weighted @ self.axes).astype(np.float32)
+        self.vectors = unit(self.all_weighted(shares) @ self.axes).astype(np.float32)
         taken = np.bincount(labels, minlength=2)
         self.weights = np.array([class_sizes.get(int(y), 0) / taken[y] for y in labels], np.float32)
 
+    def fitted(self, shares: np.ndarray | list[bytes]) -> np.ndarray:
+        x = self.all_weighted(shares)
+        products = x.T @ x
+        del x
+        values, vectors = np.linalg.eigh(products)
+        return vectors[:, np.argsort(-values)[:RANK]].astype(np.float32)
+
+    def all_weighted(self, shares: np.ndarray | list[bytes]) -> np.ndarray:
+        out = np.empty((len(shares), TERMS), np.float32)
+        for i, x in blocks(shares):
+            out[i : i + len(x)] = self.weighted(x)
+        return out
+
     def weighted(self, shares: np.ndarray) -> np.ndarray:
         """Shares times inverse document frequency, the words and the shapes of a text of one length each."""
         x = shares * self.idf
@@ -147,8 +166,9 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: str, doc_id: str = "doc_id"
     # A row for each id: at most SAMPLE of a class, however often an id is repeated.
     each = taught.mapInArrow(run, "label int, doc_id long, shares binary").groupBy("label", "doc_id").agg(F.min("shares").alias("shares"))
     rows = each.orderBy("label", "shares").collect()
-    shares = np.array([dense(r.shares) for r in rows], np.float32).reshape(-1, TERMS)
-    return Voters(shares, np.array([r.label for r in rows], np.int64), sizes)
+    voters = Voters([r.shares for r in rows], np.array([r.label for r in rows], np.int64), sizes)
+    give_back()
+    return voters
 
 
 def score(docs: DataFrame, voters: Voters, text: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -1,10 +1,13 @@
 """Work that must grow with the rows, not with the pairs of rows that look alike."""
 
 import math
+import tracemalloc
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyweave import store
+from tallyweave.llm import quality
 from tallyweave.operators import engine, retrieval
 from tallyweave.operators.index import TextIndex, identity_of
 from tallyweave.sources import targets
@@ -82,3 +85,16 @@ def test_rounds_of_clustering_send_no_table_by_the_driver(spark, monkeypatch):
     joins += [(f.__name__, x) for f in (engine.selected_members, engine.selected_clusters, engine.run_summary) for x in sent(f(log))]
     # Lists of blocks, and terms of a search, are counted to be few before they are sent.
     assert joins and not [x for x in joins if not ("[block#" in x[1] and "LeftSemi" in x[1] or "[term#" in x[1])]
+
+
+def test_voters_are_fitted_with_one_dense_table_at_a_time():
+    rng = np.random.default_rng(5)
+    shares = (rng.random((4096, quality.TERMS), np.float32) * (rng.random((4096, quality.TERMS), np.float32) < 0.02)).astype(np.float32)
+    rows, labels = [quality.sparse(x) for x in shares], rng.integers(0, 2, 4096)
+    tracemalloc.start()
+    voters = quality.Voters(rows, labels, {0: 9000, 1: 5000})
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 3 * shares.nbytes  # the work of the eigenvectors is most of it
+    plain = quality.Voters(shares, labels, {0: 9000, 1: 5000})
+    assert (voters.idf == plain.idf).all() and (voters.axes == plain.axes).all() and (voters.vectors == plain.vectors).all()
