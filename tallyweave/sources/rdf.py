@@ -1,8 +1,11 @@
 """Ontology classes from N-Triples and Turtle: triples as rows, gathered by subject with one shuffle.
 
-N-Triples are read line by line, by as many tasks as there are splits, with built-in functions alone. A Turtle file is
-cut into statements by one task, as its prefixes and long strings need (2 GB at most, the bound of one cell); its
-statements are then dealt out and read by all. Where a class has several labels, the first of the file counts.
+N-Triples are read line by line, by as many tasks as there are splits, with built-in functions alone. Turtle is read by
+splits as well, whose lines are joined to pieces. What a piece says depends on what is open where it starts (a statement,
+a long string) and on the prefixes before it: a first step notes for each case what the piece ends with, a file's notes
+(not its text) are then gone through in their order, and so each piece is known to be whole statements between a head
+and a tail, which meet those of their neighbours. A task holds a batch of lines, a piece or a statement at a time, never
+a file; a line and a statement are one cell each. Where a class has several labels, the first of the file counts.
 """
 
 from __future__ import annotations
@@ -10,11 +13,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as tx
 
 # Public namespaces.
@@ -29,8 +34,10 @@ NAMESPACES = {
 }
 TRIPLE = "subject string, predicate string, object string, is_iri boolean"
 RDF = NAMESPACES["rdf"]
-#: Statements of a Turtle file that go to a task at once.
+#: Statements of a Turtle file whose triples a task sends on at once.
 STATEMENTS = 2000
+#: Characters of a piece of Turtle: of whole lines, so the last line of a piece may exceed them. Spark reads a row group of stored pieces at once, whose size in bytes is one after compression, so its rows are bounded.
+PIECE, ROW_GROUP = 1 << 16, 64
 
 
 def address(name: str, namespaces: dict[str, str] | None = None) -> str:
@@ -66,21 +73,29 @@ def n_triples(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("place", unescaped(subject).alias("subject"), unescaped(part(2)).alias("predicate"), F.when(is_iri, unescaped(part(3))).when(literal, unescaped(part(5))).otherwise(part(4)).alias("object"), is_iri.alias("is_iri")).where("subject is not null")
 
 
-#: The kinds of tokens of Turtle, tried in this order.
-TOKEN = re.compile(
-    r'''(?P<skip>\s+|\#[^\n]*)
-    |(?P<long>"""(?:(?:"|"")?(?:[^"\\]|\\.))*"""|\'\'\'(?:(?:'|'')?(?:[^'\\]|\\.))*\'\'\')
-    |(?P<short>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
-    |(?P<iri><[^<>"\s]*>)
-    |(?P<tag>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
-    |(?P<kind>\^\^)
-    |(?P<number>[+-]?(?:\d+\.\d*[eE][+-]?\d+|\.?\d+[eE][+-]?\d+|\d*\.\d+|\d+)(?![\w:]))
-    |(?P<blank>_:[\w](?:[\w.-]*[\w-])?)
-    |(?P<name>(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:(?:[\w:]|%[0-9A-Fa-f]{2}|\\.)(?:(?:[\w:.-]|%[0-9A-Fa-f]{2}|\\.)*(?:[\w:-]|%[0-9A-Fa-f]{2}|\\.))?)?)
-    |(?P<word>[A-Za-z]+)
-    |(?P<mark>[.;,\[\]()])''',
-    re.VERBOSE | re.DOTALL,
-)
+#: The rest of a long string after its opening quotes, or after a line in it.
+CLOSE = {q: rf"(?:[^{q[0]}\\]++|\\.|{q[0]}{{1,2}}(?!{q[0]}))*+{q}" for q in ('"""', "'''")}
+#: The kinds of tokens of Turtle, tried in this order. Only a long string goes over the end of a line.
+KINDS = {
+    "skip": r"\s+|\#[^\n]*",
+    "long": "|".join(q + rest for q, rest in CLOSE.items()),
+    "short": r"""(?!"{3}|'{3})(?:"(?:[^"\\\n]|\\[^\n])*"|'(?:[^'\\\n]|\\[^\n])*')""",
+    "iri": r'<[^<>"\s]*>',
+    "tag": r"@[A-Za-z]+(?:-[A-Za-z0-9]+)*",
+    "kind": r"\^\^",
+    "number": r"[+-]?(?:\d+\.\d*[eE][+-]?\d+|\.?\d+[eE][+-]?\d+|\d*\.\d+|\d+)(?![\w:])",
+    "blank": r"_:[\w](?:[\w.-]*[\w-])?",
+    "name": r"(?:[^\W\d_](?:[\w.-]*[\w-])?)?:(?:(?:[\w:]|%[0-9A-Fa-f]{2}|\\[^\n])(?:(?:[\w:.-]|%[0-9A-Fa-f]{2}|\\[^\n])*(?:[\w:-]|%[0-9A-Fa-f]{2}|\\[^\n]))?)?",
+    "word": r"[A-Za-z]+",
+    "mark": r"[.;,\[\]()]",
+}
+TOKEN = re.compile("|".join(f"(?P<{kind}>{shape})" for kind, shape in KINDS.items()), re.DOTALL)
+#: Tokens up to the next mark that may end a statement.
+REST = re.compile(f"(?:{'|'.join((KINDS | {'mark': r'[;,\[\]()]'}).values())})*+", re.DOTALL)
+CLOSING = {q: re.compile(rest, re.DOTALL) for q, rest in CLOSE.items()}
+DIRECTIVES = ("@prefix", "@base", "prefix", "base")
+#: Stands for the tokens of a statement that is no directive.
+OTHER = ("other", "")
 ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", re.DOTALL)
 #: Characters that one letter stands for after a backslash.
 LETTERS = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f"}
@@ -107,41 +122,157 @@ def resolved(base: str, iri: str) -> str:
     return urljoin(base, iri) if base and not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", iri) else iri
 
 
-def statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``file``, ``first``, ``prefixes`` (JSON), ``tokens`` (JSON): groups of statements that share their prefixes."""
-    for batch in batches:
-        for file, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            known, base, own, held, first, number = {}, "", [], [], 0, 0
+def is_directive(own: list) -> bool:
+    return own[0][0] in ("tag", "word") and own[0][1].lower() in DIRECTIVES
 
-            def group(file=file):
-                return pa.RecordBatch.from_pylist([{"file": file, "first": first, "prefixes": json.dumps([base, known]), "tokens": json.dumps(held)}])
 
-            for kind, token in tokens(text):
+def is_whole(own: list) -> bool:
+    """Whether the last token ends the statement."""
+    kind, token = own[-1]
+    return (kind, token) == ("mark", ".") if not is_directive(own) or own[0][1][0] == "@" else kind == "iri"
+
+
+def declared(own: list, base: str, known: dict[str, str]) -> tuple[str, dict[str, str]]:
+    """The base and the prefixes after a directive."""
+    names = "prefix" in own[0][1].lower()
+    kinds = ["name"] * names + ["iri"] + ["mark"] * (own[0][1][0] == "@")
+    if [k for k, _ in own[1:]] != kinds or names and not own[1][1].endswith(":"):
+        raise ValueError(f"not Turtle: {' '.join(t for _, t in own)[:60]!r}")
+    iri = resolved(base, plain(own[1 + names][1][1:-1]))
+    return (base, known | {own[1][1][:-1]: iri}) if names else (iri, known)
+
+
+def walked(text: str, at: int, known: dict | None = None) -> tuple[dict[int, list | None], list, str]:
+    """From inside a statement on: where statements end (with the tokens of directives), what is open after the last one, and the quotes of an open long string. Stops at an end that is among the ``known``."""
+    ends, own = {}, [OTHER]
+    while at < len(text):
+        if own and not is_directive(own):
+            at = REST.match(text, at).end()
+        found = TOKEN.match(text, at)
+        if not found:
+            if text[at:at + 3] in CLOSING:
+                return ends, own or [OTHER], text[at:at + 3]
+            own, at = own or [OTHER], at + 1  # a start inside of a string was supposed wrongly, or reading this will fail
+            continue
+        at = found.end()
+        if found.lastgroup == "skip":
+            continue
+        own.append((found.lastgroup, found.group()))
+        if is_whole(own):
+            ends[at], own = own if is_directive(own) else None, []
+            if known and at in known:
+                break
+        elif not is_directive(own) or len(own) > 4:
+            own = [OTHER]
+    return ends, own, ""
+
+
+def opening(text: str) -> tuple[list, bool]:
+    """The first tokens, and where each ends, as far as they may be of directives; and whether others follow before a statement's end."""
+    out, at = [], 0
+    while at < len(text):
+        found = TOKEN.match(text, at)
+        if found and found.lastgroup != "skip":
+            kind, token = found.lastgroup, found.group()
+            if kind not in ("tag", "iri", "name") and token != "." and not (kind == "word" and token.lower() in DIRECTIVES):
+                return out, True
+            out.append((kind, token, found.end()))
+            if token == ".":
+                return out, False
+        elif not found:
+            return out, True
+        at = found.end()
+    return out, False
+
+
+def noted(text: str) -> str:
+    """What a piece of Turtle does, for each of the quotes of a long string that may be open before it (JSON)."""
+
+    def note(ends, own, quote, words=(), others=True):
+        places = list(ends)
+        return {"first": places[0] if places else -1, "last": places[-1] if places else -1, "found": [ends[at] for at in places[1:] if ends[at]], "own": own, "quote": quote, "words": words, "others": others}
+
+    ends, own, quote = walked(text, 0)
+    out = {"": note(ends, own, quote, *opening(text))}
+    for q, closing in CLOSING.items():
+        closed = closing.match(text)
+        if not closed:
+            out[q] = note({}, [OTHER], q)
+            continue
+        inner = walked(text, closed.end(), ends)
+        met = next(reversed(inner[0]), None)
+        if met in ends:
+            inner = ({at: x for at, x in inner[0].items()} | {at: x for at, x in ends.items() if at > met}, own, quote)
+        out[q] = note(*inner)
+    return json.dumps(out)
+
+
+def pieces(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``file``, ``block`` (a split's first byte), ``number``, ``text``, ``notes``: lines of a split in their order, joined to pieces."""
+    at, number, held, length = None, 0, [], 0
+
+    def piece():
+        text = "".join(held)
+        return pa.RecordBatch.from_pylist([{"file": at[0], "block": at[1], "number": number, "text": text, "notes": noted(text)}])
+
+    for batch in batches:
+        for file, block, line in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            if held and (length >= size or (file, block) != at):
+                yield piece()
+                number, held, length = number + 1, [], 0
+            at = (file, block)
+            held.append(line + "\n")
+            length += len(line) + 1
+    if held:
+        yield piece()
+
+
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For the pieces of files in their order: the place in the file, the prefixes after its head, where the statements end that are whole in it, and the place of the piece where its head began (none: no head)."""
+    file, out = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["file"] != file:
+                file, seq, began, quote, own, base, known = row["file"], 0, None, "", [], "", {}
+            note = json.loads(row["notes"])[quote]
+            ends, open_before, after = [], bool(own), None
+
+            def ended(at):
+                nonlocal base, known, own, after
+                if is_directive(own):
+                    base, known = declared(own, base, known)
+                ends.append(at)
+                after, own = after or (base, known), []
+
+            if not own:
+                after = (base, known)
+            for kind, token, at in note["words"]:
                 own.append((kind, token))
-                directive = own[0][1].lower() in ("@prefix", "@base", "prefix", "base") and own[0][0] in ("tag", "word")
-                ended = (kind, token) == ("mark", ".") if not directive or own[0][1][0] == "@" else kind == "iri"
-                if not ended:
-                    continue
-                if directive:
-                    if held:
-                        yield group()
-                        held, first = [], number
-                    iri = resolved(base, plain(next(t for k, t in own if k == "iri")[1:-1]))
-                    if "prefix" in own[0][1].lower():
-                        known = known | {own[1][1][:-1]: iri}
-                    else:
-                        base = iri
-                else:
-                    held.append(own)
-                    number += 1
-                    if len(held) >= STATEMENTS:
-                        yield group()
-                        held, first = [], number
-                own = []
-            if own:
-                raise ValueError(f"{file}: the last statement has no end")
-            if held:
-                yield group()
+                if is_whole(own):
+                    ended(at)
+                elif not is_directive(own) or len(own) > 4:
+                    own = [OTHER]
+            if note["others"]:
+                own = [OTHER]
+                if note["first"] >= 0:
+                    ended(note["first"])
+            if note["first"] >= 0:
+                for directive in note["found"]:
+                    base, known = declared(directive, base, known)
+                ends.append(note["last"])
+                own = [tuple(x) for x in note["own"]]
+            quote = note["quote"]
+            head = (ends[0] if ends else -1) if open_before else 0
+            out.append({k: row[k] for k in ("file", "block", "number")} | {"seq": seq, "prefixes": json.dumps(after or (base, known)), "head": head, "last": ends[-1] if ends else head, "began": began if open_before else None, "opens": bool(own) and head >= 0})
+            if own and head >= 0:
+                began = seq
+            seq += 1
+        if out:
+            yield pa.RecordBatch.from_pylist(out, PLACES)
+            out = []
+
+
+PLACES = pa.schema([("file", pa.string()), ("block", pa.int64()), ("number", pa.int64()), ("seq", pa.int64()), ("prefixes", pa.string()), ("head", pa.int64()), ("last", pa.int64()), ("began", pa.int64()), ("opens", pa.bool_())])
 
 
 class Statement:
@@ -223,24 +354,59 @@ class Statement:
 
 
 def read_statements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            base, known = json.loads(row["prefixes"])
-            out = []
-            for i, own in enumerate(json.loads(row["tokens"])):
-                number = row["first"] + i
-                for s, p, o, is_iri in Statement(own, base, known, f"{row['file']}.{number}").triples():
-                    out.append({"file": row["file"], "place": number, "subject": s, "predicate": p, "object": o, "is_iri": is_iri})
-            if out:
-                yield pa.RecordBatch.from_pylist([r | {"at": k} for k, r in enumerate(out)])
+    """Triples of texts that are whole statements, each with the prefixes before it."""
+    out = []
 
+    def rows():
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*out, strict=True), TRIPLES, strict=True)], schema=TRIPLES)
 
-def turtle(spark: SparkSession, path: str) -> DataFrame:
-    """``place`` and each triple of Turtle files; broken Turtle and unknown prefixes fail the read."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    groups = whole.mapInArrow(statements, "file string, first long, prefixes string, tokens string").repartition(spark.sparkContext.defaultParallelism)
-    rows = groups.mapInArrow(read_statements, f"file string, place long, {TRIPLE}, at long")
-    return rows.select(F.struct("file", "place", "at").alias("place"), "subject", "predicate", "object", "is_iri")
+    for batch in batches:
+        for i in range(batch.num_rows):
+            file, unit, prefixes, text = (column[i].as_py() for column in batch.columns)
+            (base, known), own, number = json.loads(prefixes), [], 0
+            for kind, token in tokens(text):
+                own.append((kind, token))
+                if not is_whole(own):
+                    continue
+                if is_directive(own):
+                    base, known = declared(own, base, known)
+                else:
+                    out.extend((file, unit, number, at, *triple) for at, triple in enumerate(Statement(own, base, known, f"{file}.{unit}.{number}").triples()))
+                    number += 1
+                    if number % STATEMENTS == 0 and out:
+                        yield rows()
+                        out = []
+                own = []
+            if own:
+                raise ValueError(f"{file}: the last statement has no end")
+            if out:
+                yield rows()
+                out = []
+
+
+TRIPLES = pa.schema([("file", pa.string()), ("unit", pa.int64()), ("number", pa.int64()), ("at", pa.int64()), ("subject", pa.string()), ("predicate", pa.string()), ("object", pa.string()), ("is_iri", pa.bool_())])
+
+
+def turtle(spark: SparkSession, path: str, piece: int = PIECE) -> DataFrame:
+    """``place`` and each triple of Turtle files; broken Turtle and unknown prefixes fail the read. The pieces are written before, with their places."""
+    lines = spark.read.text(path, lineSep="\n").select(F.input_file_name().alias("file"), F.expr("input_file_block_start()").alias("block"), "value")
+    work = store.Work(spark, "turtle")
+    cut = lines.mapInArrow(partial(pieces, piece), "file string, block long, number long, text string, notes string")
+    cut.write.option("compression", "zstd").option("parquet.block.row.count.limit", ROW_GROUP).parquet(f"{work.root}/pieces")
+    cut = spark.read.schema(cut.schema).parquet(f"{work.root}/pieces")
+    notes = cut.drop("text").repartition("file").sortWithinPartitions("file", "block", "number")
+    places = work.save(notes.mapInArrow(placed, "file string, block long, number long, seq long, prefixes string, head long, last long, began long, opens boolean"), "places")
+    cut = cut.drop("notes").join(store.few(places), ["file", "block", "number"])
+    part = lambda start, length: F.substring("text", start + 1, length)
+    head, last = F.col("head"), F.col("last")
+    whole = cut.where("last > head and head >= 0").select("file", (F.col("seq") * 2).alias("unit"), "prefixes", part(head, last - head).alias("text"))
+    heads = cut.where("began is not null").select("file", F.col("began").alias("seq"), F.col("seq").alias("next"), "prefixes", F.when(head < 0, F.col("text")).otherwise(part(F.lit(0), head)).alias("text"))
+    tails = cut.where("opens").select("file", "seq", F.col("seq").alias("next"), F.lit(None).cast("string").alias("prefixes"), F.substr("text", last + 1).alias("text"))
+    over = heads.unionByName(tails).groupBy("file", "seq").agg(F.coalesce(F.max("prefixes"), F.lit('["", {}]')).alias("prefixes"), F.array_sort(F.collect_list(F.struct("next", "text"))).alias("parts"))
+    joined = over.select("file", (F.col("seq") * 2 + 1).alias("unit"), "prefixes", F.array_join("parts.text", "").alias("text"))
+    units = whole.unionByName(joined).repartition(spark.sparkContext.defaultParallelism, "file", "unit")
+    rows = units.mapInArrow(read_statements, f"file string, unit long, number long, at long, {TRIPLE}")
+    return rows.select(F.struct("file", "unit", "number", "at").alias("place"), "subject", "predicate", "object", "is_iri")
 
 
 READERS = {"nt": n_triples, "turtle": turtle}

@@ -1,5 +1,9 @@
 """The same small ontology in three syntaxes, and the odd corners of each."""
 
+import os
+import subprocess
+import sys
+
 import pytest
 
 from tallyweave.sources import files, rdf
@@ -78,3 +82,61 @@ def test_statements_of_many_groups_keep_their_order(spark, tmp_path, monkeypatch
     (tmp_path / "m.ttl").write_text(head + "".join(f'<http://x/obo/A_{i % 10}> a owl:Class ; rdfs:label "n{99 - i}" .\n' for i in range(40)))
     got = {r.id: r.label for r in rdf.rdf_records(spark, str(tmp_path / "m.ttl"), "turtle").collect()}
     assert got == {f"A:{i}": f"n{99 - i}" for i in range(10)}
+
+
+CUT = '''@prefix
+ e: # <no> .
+ <http://e/>
+.
+PREFIX
+f:
+<http://f/>
+e:a e:p """one. \\"""
+@prefix e: <http://no/> .
+two ''' + "'''" + ''' PREFIX e: <http://no/>
+.""" , f:b.c # """
+;
+  e:q [ e:r ( 1.5
+"x. y" ) ] .
+@prefix e: <http://g/> . e:a e:p "last"@prefix
+.
+'''
+
+
+@pytest.mark.parametrize("piece", [1, 30, 1 << 20])
+def test_turtle_is_read_whole_wherever_it_is_cut(spark, tmp_path, piece):
+    (tmp_path / "a.ttl").write_text(CUT)
+    (tmp_path / "b.ttl").write_text("<http://x> <http://y> 'z' .")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(held, ("120", "1"), strict=True):
+            spark.conf.set(k, v)
+        rows = rdf.turtle(spark, str(tmp_path), piece).orderBy("place").collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    names = {}
+    name = lambda x: names.setdefault(x, f"_:{len(names)}") if x.startswith("_:") else x
+    got = [(name(r.subject), r.predicate, name(r.object), r.is_iri) for r in rows]
+    text = "one. \"\"\"\n@prefix e: <http://no/> .\ntwo ''' PREFIX e: <http://no/>\n."
+    R = rdf.NAMESPACES["rdf"]
+    assert got[:3] == [("http://e/a", "http://e/p", text, False), ("http://e/a", "http://e/p", "http://f/b.c", True), ("http://e/a", "http://e/q", "_:0", False)]
+    assert sorted((p, o) for s, p, o, _ in got[3:8] if not o.startswith("_:")) == [(R + "first", "1.5"), (R + "first", "x. y"), (R + "rest", R + "nil")]
+    assert got[8:] == [("http://g/a", "http://g/p", "last", False), ("http://x", "http://y", "z", False)]
+
+
+def test_no_task_holds_a_whole_turtle_file(tmp_path):
+    """200 MB, nearly all of it comments, read by a JVM with 512 MB of heap."""
+    with (tmp_path / "a.ttl").open("w") as out:
+        out.write("@prefix e: <http://e/> .\n")
+        for i in range(200):
+            out.write(("# " + "c" * 997 + "\n") * 1000 + f"e:s e:p {i} .\n")
+    body = f"""
+from pyspark.sql import SparkSession
+from tallyweave.sources import rdf
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.driver.memory", "512m").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).config("spark.local.dir", {str(tmp_path / "local")!r}).getOrCreate()
+print("numbers", rdf.turtle(s, {str(tmp_path / "a.ttl")!r}).selectExpr("sum(cast(object as int)) as n").first().n)
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    done = subprocess.run([sys.executable, "-c", body], env=env, capture_output=True, text=True, timeout=300)
+    assert f"numbers {sum(range(200))}" in done.stdout, done.stderr[-2000:]
